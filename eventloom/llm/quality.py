@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import U64, blocks, crc_mod, flat, lower_az, prepare, span_hash, words
 
 #: Labelled rows that the model is fitted on: the first by a hash of doc_id. A documented bound.
-TRAIN_ROWS = 5000
+TRAIN_ROWS = 4000
 BUCKETS, SHAPES, DIM, HIDDEN, SEED = 4096, 288, 64, 32, 7
 THRESHOLD = 0.7
 
@@ -71,18 +71,19 @@ def index_vectors(n: int, rng: np.random.Generator) -> np.ndarray:
     return out
 
 
-def context_vectors(index: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of the index vectors of the two words on either side, within a row, and the word's own."""
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+
+
+def neighbours(index: np.ndarray, ids: np.ndarray, first: np.ndarray, total: np.ndarray) -> None:
+    """Add to total the index vectors of the two words on either side, within a row."""
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    total = np.zeros_like(index)
     for gap in (1, 2):
         ok = row[gap:] == row[:-gap]
         a, b = ids[:-gap][ok], ids[gap:][ok]
         for x, y in ((a, b), (b, a)):
             for d in range(DIM):
                 total[:, d] += np.bincount(x, index[y, d], minlength=len(index)).astype(np.float32)
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-    return (unit(index) + 0.5 * unit(total)).astype(np.float32)
 
 
 def pooled(data: np.ndarray, offs: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -102,8 +103,13 @@ def fit(texts: pa.Array, label: np.ndarray) -> dict:
         return {"share": share}
     rng = np.random.default_rng(SEED)
     data, offs = flat(texts)
-    bucket, shape, first = tokens(data, offs)
-    tables = tuple(context_vectors(index_vectors(n, rng), ids, first) for n, ids in ((BUCKETS, bucket), (SHAPES, shape)))
+    index = [index_vectors(n, rng) for n in (BUCKETS, SHAPES)]
+    near = [np.zeros_like(x) for x in index]
+    for i, j in blocks(offs):
+        bucket, shape, first = tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        for x, total, ids in zip(index, near, (bucket, shape), strict=True):
+            neighbours(x, ids, first, total)
+    tables = tuple(_unit(x) + 0.5 * _unit(t) for x, t in zip(index, near, strict=True))
     x = pooled(data, offs, tables)
     mean, scale = x.mean(0), x.std(0) + 1e-6
     x = (x - mean) / scale

@@ -6,7 +6,7 @@ change of the document's score is added to the loss, so that naming a group does
 score by itself.
 
 Fitted on a bounded, hash-ordered sample of labelled rows (TRAIN_ROWS); features are the
-KEPT words and beginnings of the sample with the largest differences between the classes.
+at most KEPT words and beginnings that stand out in the sample's toxic texts.
 Scoring reads every whole text.
 
 Defined results: as for the quality classifier; the empty text has the score of the bias.
@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from eventloom.llm.common import U64, blocks, flat, lower_az, prepare, span_hash
 from eventloom.llm.quality import sample
 
-TRAIN_ROWS, KEPT, LEAST, SEED, THRESHOLD = 10000, 3000, 4, 11, 0.5
+TRAIN_ROWS, KEPT, LEAST, THRESHOLD = 6000, 3000, 4, 0.5
 #: Weight of the squared score change of a swapped sentence.
 PENALTY, SWAPS = 1.0, 2000
+#: A feature must be RATIO times as common in toxic texts as in all, by SURE standard deviations.
+RATIO, SURE = 3.0, 4.0
 #: Lengths of word beginnings that are features besides the whole word.
-HEADS = (4, 5, 6)
+HEADS = (4, 5, 6, 7)
 # Identity terms by kind; a term is swapped for the next of its kind.
 IDENTITY = {
     "gender": "women men woman man girls boys female male femmes hommes frauen männer mujeres hombres".split(),
@@ -97,20 +99,29 @@ def fit(texts: pa.Array, label: np.ndarray) -> dict:
     if len(label) < 20 or share in (0.0, 1.0):
         return {"share": share}
     n = len(label)
-    rows, keys = features(*flat(texts))
-    uniq, at = np.unique(keys, return_inverse=True)
-    pair = np.unique(rows.astype(np.int64) * len(uniq) + at)
-    r, c = pair // len(uniq), pair % len(uniq)
+    data, offs = flat(texts)
+    rows, keys = [], []
+    for i, j in blocks(offs, 1 << 20):
+        a, b = features(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        rows.append(a[new] + i)
+        keys.append(b[new])
+    r, keys = np.concatenate(rows), np.concatenate(keys)
+    uniq, c = np.unique(keys, return_inverse=True)
     df = np.bincount(c, minlength=len(uniq))
     pos = np.bincount(c, label[r], minlength=len(uniq))
-    p1, p0 = (pos + 0.5) / (label.sum() + 1), (df - pos + 0.5) / (n - label.sum() + 1)
-    gain = np.abs(np.log(p1 / p0)) * np.sqrt(df)
-    gain[df < LEAST] = 0
+    # How far above its share each feature stands in toxic texts, in standard deviations. Weights
+    # stay at or above 0: ordinary words are no evidence against, else long texts outvote one insult.
+    gain = (pos - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
+    gain[(df < LEAST) | (pos < RATIO * share * df)] = 0
     terms = pa.array(sorted(_NEXT))
     _, own = features(*flat(terms))  # identity terms are always features, so that the penalty reaches them
-    chosen = np.unique(np.concatenate([uniq[np.argsort(-gain, kind="stable")[:KEPT]], own]))
+    chosen = np.unique(np.concatenate([uniq[[i for i in np.argsort(-gain, kind="stable")[:KEPT] if gain[i] >= SURE]], own]))
     sieve = _sieve(chosen)
-    r, c = presence(rows, keys, chosen, sieve)
+    r, c = presence(r, keys, chosen, sieve)
     swap_rows, swap_texts = swapped(texts.to_pylist(), SWAPS)
     base = len(swap_rows)
     swap_texts += [_NEXT[t] for t in terms.to_pylist()]  # and each term alone against the next
@@ -134,6 +145,7 @@ def fit(texts: pa.Array, label: np.ndarray) -> dict:
             grad -= np.bincount(c, back[r], minlength=len(w))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+        w = np.maximum(w, 0)
         bias -= 0.5 * gb
     return {"keys": chosen, "w": w, "bias": bias}
 
