@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe, exact_dedup, jaccard_join, langid, quality, toxicity
+from eventloom.llm import bpe, exact_dedup, jaccard_join, langid, quality, substring_dedup, suffix_dedup, toxicity
 from eventloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.predictions(quality.quality(docs, quality.quality_model(docs, labels)), 4, 2, quality.THRESHOLD)
@@ -34,6 +38,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,10 +52,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op5_bpe": op5_bpe,
     "op7_jaccard": op7_jaccard,
+    "op8_suffix_array": op8_suffix_array,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language": op10_language,
 }
