@@ -82,6 +82,11 @@ class Merges:
         #: The sufficient lookahead, in symbols.
         self.width = max(len(symbols_of(t)) for t in self.valid)
         self.judged: dict[tuple[str, str], bool] = {}
+        #: By the first three symbols, the most symbols that a token has.
+        self.reach: dict[str, int] = {}
+        for t in self.valid:
+            s = t.removesuffix(END) or t
+            self.reach[s[:3]] = max(self.reach.get(s[:3], 0), len(s))
 
     def apply(self, s: list[str]) -> list[str]:
         """The merge loop as defined, lowest rank first and from the left; used on vocabulary entries and in tests."""
@@ -127,36 +132,32 @@ class Transducer:
         self.m = merges
 
     def word(self, w: str) -> list[str]:
-        """Tokens of a short pre-token (a string over the byte alphabet): last[i] ends the encoding of its first i symbols."""
-        valid, fits, width, n = self.m.valid, self.m.fits, self.m.width, len(w)
-        # The longest next token each time; where all neighbours fit, this is the encoding.
+        """Tokens of a short pre-token (a string over the byte alphabet): the longest token that fits
+        each time, stepping back where none does. Since every prefix has one encoding, a position
+        that has failed once need not be tried again."""
+        valid, fits, n = self.m.valid, self.m.fits, len(w)
+        reach, judged = self.m.reach.get, self.m.judged.get
         out: list[str] = []
-        i = 0
+        ends: list[int] = []
+        dead: set[int] = set()
+        i, last = 0, ""
+        j = min(n, reach(w[:3], 2))
         while i < n:
-            j = min(n, i + width)
             piece = w[i:j] + END if j == n else w[i:j]
-            while piece not in valid:
-                j -= 1
-                piece = w[i:j]
-            if out and not fits(out[-1], piece):
-                break
-            out.append(piece)
-            i = j
-        else:
-            return out
-        last: list[str] = [""] * (n + 1)
-        for i in range(1, n + 1):
-            tail = END if i == n else ""
-            for j in range(max(0, i - width), i):
-                piece = w[j:i] + tail
-                if piece in valid and (not j or fits(last[j], piece)):
-                    last[i] = piece
-                    break
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i -= len(last[i]) - (len(END) if i == n else 0)
-        return out[::-1]
+            if piece in valid and j not in dead and (not last or judged((last, piece)) or fits(last, piece)):
+                out.append(piece)
+                ends.append(i)
+                last, i = piece, j
+                j = min(n, i + reach(w[i : i + 3], 2))
+                continue
+            j -= 1
+            while j == i:
+                dead.add(i)
+                out.pop()
+                j = i - 1
+                i = ends.pop()
+                last = out[-1] if out else ""
+        return out
 
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of a pre-token of any length, each as soon as it is stable.
@@ -237,30 +238,38 @@ class Codec:
         self.alphabet = byte_alphabet()
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.words: dict[str, list[int]] = {}
+        self.number = {t: str(i) for t, i in self.merges.ids.items()}
+        self.words: dict[str, list[str]] = {}
         self.chunks: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}  # the generation of chunks before
 
-    def piece(self, p: str) -> list[int]:
-        got = self.words.get(p)
-        if got is None:
-            w = p if p.isascii() and p.isprintable() else "".join([self.alphabet[b] for b in p.encode()])
-            ids = self.merges.ids
-            if len(w) <= SHORT:
-                got = [ids[t] for t in self.transducer.word(w)]
-                if len(self.words) >= KEPT:
-                    self.words.clear()
-                self.words[p] = got
-            else:
-                got = [ids[t] for t in self.transducer.stream([*w[:-1], w[-1] + END])]
-        return got
+    def piece(self, p: str) -> list[str]:
+        """Tokens of a pre-token."""
+        w = p if p.isascii() and p.isprintable() else "".join([self.alphabet[b] for b in p.encode()])
+        if len(w) > SHORT:
+            return list(self.transducer.stream([*w[:-1], w[-1] + END]))
+        return self.transducer.word(w)
 
     def chunk(self, c: str) -> tuple[int, str, str]:
         """Count, ids and decoded text of a lower-cased run of non-spaces. Pre-tokens have no spaces, so chunks are independent."""
         got = self.older.get(c)
         if got is None:
-            ids = [i for p in ([c] if c.isalpha() else PIECES.findall(c)) for i in self.piece(p)]
-            got = len(ids), " ".join(map(str, ids)), "".join(self.decoder.stream(ids))
+            if c.isalpha():
+                tokens = self.piece(c)
+            else:
+                tokens = []
+                for p in PIECES.findall(c):
+                    t = self.words.get(p)
+                    if t is None:
+                        t = self.piece(p)
+                        if len(self.words) >= KEPT:
+                            self.words.clear()
+                        if len(p) <= SHORT:
+                            self.words[p] = t
+                    tokens += t
+            number = self.number
+            ids = [number[t] for t in tokens]
+            got = len(ids), " ".join(ids), "".join(self.decoder.stream(map(int, ids))) if self.decoder.bytes else " ".join(tokens)
         if len(c) <= SHORT:
             if len(self.chunks) >= KEPT // 2:
                 self.older, self.chunks = self.chunks, {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe, exact_dedup, jaccard_join, langid, quality, substring_dedup, suffix_dedup, toxicity
+from eventloom.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, pii, quality, substring_dedup, suffix_dedup, toxicity
 from eventloom.llm.common import table
 
 
@@ -30,10 +30,18 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(toxicity.toxicity(docs, toxicity.toxicity_model(docs, labels)), 5, 0, toxicity.THRESHOLD)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
+    "op6_decontaminate": op6_decontaminate,
     "op7_jaccard": op7_jaccard,
     "op8_suffix_array": op8_suffix_array,
     "op9_exact_dedup": op9_exact_dedup,
