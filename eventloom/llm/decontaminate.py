@@ -1,6 +1,6 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts and items are compared as lower-cased (A-Z) bytes with one space for each run of spaces.
+Texts and items are compared as the bytes of their lower-case forms, with one space for each run of spaces.
 An item of m bytes may differ from a region of a text by e = EDIT_SHARE * m edits. By the q-gram
 lemma such a region shares at least m - q + 1 - q * e q-grams with the item, and all of them lie on
 diagonals (text position less item position) no more than e apart. The shared q-grams are
@@ -23,17 +23,22 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import U64, blocks, flat, lower_az, prepare
+from eventloom.llm.common import U64, blocks, flat, prepare
 
 Q, EDIT_SHARE, MIN_WORDS, PART_BYTES = 8, 0.1, 5, 4 << 20
 _SIEVE_BITS = 22
 
 
+def lowered(col: pa.Array) -> pa.Array:
+    return pc.utf8_lower(col)
+
+
 def squeezed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes with single spaces between words, and the rows' offsets."""
+    """Bytes with single spaces between words, and the rows' offsets."""
     if not len(data):
         return data, offs
     space = (data == 32) | ((data >= 9) & (data <= 13))
@@ -42,7 +47,7 @@ def squeezed(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     inner = offs[:-1][offs[:-1] < len(data)]
     after_word[inner] = False
     keep = ~space | after_word
-    out = lower_az(data[keep])
+    out = data[keep]
     out[space[keep]] = 32
     return out, np.concatenate([[0], np.cumsum(keep)])[offs]
 
@@ -68,7 +73,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.texts = [], []
         for i, t in rows:
-            x = squeezed(*flat(pa.array([t])))[0].tobytes().strip()
+            x = squeezed(*flat(lowered(pa.array([t]))))[0].tobytes().strip()
             if x.count(b" ") + 1 >= MIN_WORDS and len(x) >= Q:
                 self.ids.append(i)
                 self.texts.append(np.frombuffer(x, np.uint8))
@@ -165,7 +170,7 @@ def _of(part) -> Items:
 def _search(batches: Iterator[pa.RecordBatch], part, at: int) -> Iterator[list[list[int]]]:
     index = _of(part)
     for b in batches:
-        data, offs = flat(b.column(at))
+        data, offs = flat(lowered(b.column(at)))
         found: list[list[int]] = []
         for i, j in blocks(offs, 1 << 20):
             found += index.search(*squeezed(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
