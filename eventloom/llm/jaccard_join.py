@@ -76,11 +76,9 @@ def sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def digests(h: np.ndarray, begin: np.ndarray) -> list[str | None]:
-    out = []
     total = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ U64(c)), dtype=U64)]) for c in (0x1B56C4E9, 0xA2F9836E4E441529)]
-    for a, b in zip(begin[:-1], begin[1:], strict=True):
-        out.append(f"{int(total[0][b] - total[0][a]):016x}{int(total[1][b] - total[1][a]):016x}" if b > a else None)
-    return out
+    one, two = ((t[begin[1:]] - t[begin[:-1]]).tolist() for t in total)
+    return [f"{x:016x}{y:016x}" if n else None for x, y, n in zip(one, two, np.diff(begin).tolist(), strict=True)]
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
