@@ -18,6 +18,7 @@ other than doc_id, text and item_id, text are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -156,15 +157,15 @@ class Items:
         return bool(d.min() <= e)
 
 
-_items: dict[int, Items] = {}
+_items: dict[str, Items] = {}
 
 
 def _of(part) -> Items:
-    key = part.id if hasattr(part, "id") else id(part)
-    if key not in _items:
+    """The index of a (name, broadcast) part, kept while the worker goes on with it."""
+    if part[0] not in _items:
         _items.clear()
-        _items[key] = Items(part.value)
-    return _items[key]
+        _items[part[0]] = Items(part[1].value)
+    return _items[part[0]]
 
 
 def _search(batches: Iterator[pa.RecordBatch], part, at: int) -> Iterator[list[list[int]]]:
@@ -194,11 +195,11 @@ def parts(benchmark: DataFrame) -> list:
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("i"), F.col("text").alias("t")).filter("t is not null")
     for r in rows.toLocalIterator():
         if held and size + len(r.t) > PART_BYTES:
-            out.append(sc.broadcast(held))
+            out.append((uuid.uuid4().hex, sc.broadcast(held)))
             held, size = [], 0
         held.append((r.i, r.t))
         size += len(r.t)
-    return [*out, sc.broadcast(held)]
+    return [*out, (uuid.uuid4().hex, sc.broadcast(held))]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
