@@ -1,7 +1,7 @@
 """Connected components of a distributed edge table (alternating large and small stars).
 
-Edges are first contracted inside each task by union-find, which shortens long chains; the
-star rounds then shuffle only what is left. Nothing of the graph comes to the driver but one
+Edges are first contracted inside each task by union-find, which shortens long chains; what is
+left is contracted in one task if it has at most LOCAL_EDGES edges, else the star rounds shuffle it. Nothing of the graph comes to the driver but one
 row of counters a round."""
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
 
     def out(pairs):
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string())], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["u", "v"])
 
     for b in batches:
         held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
@@ -54,11 +54,13 @@ def _mark(e: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: u, v (strings). Returns node, root: every node of an edge but the roots, once, with the smallest node reachable."""
+    """edges: u, v (longs). Returns node, root: every node of an edge but the roots, once, with the smallest node reachable."""
     prepare(edges.sparkSession)
-    e = stage(edges.filter("u <> v").mapInArrow(_contract, "u string, v string").distinct(), "stars")
+    e = stage(edges.filter("u <> v").mapInArrow(_contract, "u long, v long").distinct(), "stars")
     before = _mark(e)
-    while before[0]:
+    if before[0] <= LOCAL_EDGES:  # few enough for one union-find to hold
+        return e.coalesce(1).mapInArrow(_contract, "u long, v long").select(F.col("u").alias("node"), F.col("v").alias("root"))
+    while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

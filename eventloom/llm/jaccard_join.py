@@ -8,14 +8,16 @@ reach must share) enter index lists. A list is ordered by set size and position
 blocks of like size; an entry meets only blocks whose sizes fit, and in them only positions at
 which the required overlap can still be reached.
 
-Answers are derived where sets are close:
+Answers are derived where sets are close. The entries of short lists are paired in full; in
+longer lists, which large groups of near copies make,
 1. each class is compared with its neighbour in its longest list only; verified links make
    components, and a whole group of near copies is one component after that;
 2. classes are then compared with their list neighbours of other components;
 3. at last, every pair of entries of one list whose components still differ is compared, so no
    link between different components is missed; pairs inside a component are answered already.
-When one set is compared with several sets in a row, the overlap with the next is computed from
-that with the last by the tokens in which the two differ.
+Pairs are first held against histograms of the two sets, which bound their overlap from above;
+no pair is tested twice. When one set is compared with several sets in a row, the overlap with the
+next is computed from that with the last by the tokens in which the two differ.
 
 Shingles are 64-bit hashes; classes are 128-bit sums over a set.
 
@@ -42,6 +44,8 @@ from eventloom.llm.components import components
 SHINGLE, PERCENT = 3, 90
 #: Counters of the sketch that orders tokens (fixed size, filled from all documents).
 SKETCH_BITS, SLICE = 20, 4096
+#: Lists of up to so many entries are paired in full; longer ones go by components.
+SHORT_LIST = 64
 
 
 def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +124,8 @@ def _index(batches: Iterator[pa.RecordBatch], order) -> Iterator[pa.RecordBatch]
             first = rank < prefix[r]
             tok = h[o][first].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.where(size > 0, prefix, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(digests(h, begin), pa.string()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tok, pa.int64()))], names=["doc_id", "mark", "class", "n", "tokens"])
+            hist = [histogram(h[x:y]) for x, y in zip(begin[:-1], begin[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(digests(h, begin), pa.string()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tok, pa.int64())), pa.array(hist, pa.binary())], names=["doc_id", "mark", "class", "n", "tokens", "hist"])
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +133,29 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offs = flat(b.column(1))
         for i, j in blocks(offs):
             h, _, begin = sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([h[x:y].tobytes() for x, y in zip(begin[:-1], begin[1:], strict=True)], pa.binary())], names=["class", "set"])
+            own = [h[x:y] for x, y in zip(begin[:-1], begin[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in own], pa.binary())], names=["cid", "set"])
+
+
+def histogram(h: np.ndarray) -> bytes | None:
+    """Tokens by the top bits of their hash, about two a bin: a sixteenth of the set's size. None where a bin overflows."""
+    bits = max(4, int(len(h) // 2).bit_length())
+    count = np.bincount((h >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return count.astype(np.uint8).tobytes() if count.max(initial=0) < 256 else None
+
+
+def _reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that may be linked: two sets share no more tokens of a bin than the one with fewer has in it."""
+    for b in batches:
+        keep = []
+        for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("hist_u", "hist_v", "n_u", "n_v")), strict=True):
+            ok = True
+            if x is not None and y is not None:
+                x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+                short = min(len(x), len(y))  # bins are powers of two: the finer ones are summed
+                ok = linked(int(np.minimum(x.reshape(short, -1).sum(1), y.reshape(short, -1).sum(1)).sum()), n, m)
+            keep.append(ok)
+        yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
 def linked(overlap: int, a: int, b: int) -> bool:
@@ -165,7 +192,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if linked(overlap, len(probe), len(y)):
                 us.append(u)
                 vs.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array(vs, pa.string())], names=["u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,15 +203,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if carry is not None:
             t = pa.concat_tables([carry, t])
         carry = t.slice(t.num_rows - 1)
-        tok, n, pos = (t.column(c).to_numpy() for c in ("tok", "n", "pos"))
-        cls, comp = (np.array(t.column(c).to_pylist(), object) for c in ("class", "comp"))
-        if len(tok) < 2:
+        if t.num_rows < 2:
             continue
+        tok, n, pos, cid, comp = (t.column(c).to_numpy() for c in ("tok", "n", "pos", "cid", "comp"))
         a, z = n[:-1], n[1:]
         need = -(-PERCENT * (a + z) // (100 + PERCENT))
-        ok = (tok[1:] == tok[:-1]) & (100 * a >= PERCENT * z) & (1 + np.minimum(a - pos[:-1], z - pos[1:]) - 1 >= need) & (comp[1:] != comp[:-1])
-        x, y = cls[:-1][ok], cls[1:][ok]
-        yield pa.RecordBatch.from_arrays([pa.array(np.where(x < y, x, y).tolist(), pa.string()), pa.array(np.where(x < y, y, x).tolist(), pa.string())], names=["u", "v"])
+        ok = (tok[1:] == tok[:-1]) & (100 * a >= PERCENT * z) & (np.minimum(a - pos[:-1], z - pos[1:]) >= need) & (comp[1:] != comp[:-1])
+        x, y = cid[:-1][ok], cid[1:][ok]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["u", "v"])
 
 
 def fits(a: str, b: str):
@@ -200,58 +226,91 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("mark"))
     order = spark.sparkContext.broadcast(sketch(src))
-    rows = stage(src.mapInArrow(partial(_index, order=order), "doc_id long, mark long, class string, n long, tokens array<long>"), "jaccard-rows")
-    classes = stage(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").alias("d"), F.col("mark").alias("m"))).alias("row"), F.any_value("n").alias("n"), F.any_value("tokens").alias("tokens")), "jaccard-classes")
+    rows = stage(src.mapInArrow(partial(_index, order=order), "doc_id long, mark long, class string, n long, tokens array<long>, hist binary"), "jaccard-rows")
+    per = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").alias("d"), F.col("mark").alias("m"))).alias("row"), F.first(F.struct("n", "tokens", "hist")).alias("x"))
+    # Once written, a class keeps the number that it got.
+    classes = stage(per.select("class", "rep", "row", "x.*", F.monotonically_increasing_id().alias("cid")), "jaccard-classes")
 
-    entries = classes.select("class", "n", F.posexplode("tokens").alias("pos", "tok"))
+    entries = classes.select("cid", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("pos", "tok"))
     shared = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
-    lists = stage(entries.join(shared, "tok").select("tok", "length", "n", F.col("pos").cast("long").alias("pos"), "class"), "jaccard-lists")
-    listed = lists.select("class").distinct()
-    wanted = classes.join(listed, "class", "left_semi").select("class", F.col("row.d").alias("d"), F.col("row.m").alias("m"))
-    texts = src.join(wanted, src["doc_id"].eqNullSafe(wanted["d"]) & src["mark"].eqNullSafe(wanted["m"])).select("class", "text")
-    whole = stage(texts.mapInArrow(_sets_of, "class string, set binary").dropDuplicates(["class"]), "jaccard-sets")
+    lists = stage(entries.join(shared, "tok").select("tok", "length", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "cid"), "jaccard-lists")
+    small = classes.select("cid", "n", "hist")
+
+    def side(df: DataFrame, key: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(key if c == "cid" else f"{c}_{key}") for c in df.columns])
+
+    def reachable(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side(small, "v"), "v").join(side(small, "u"), "u").select("u", "v", "hist_u", "hist_v", "n_u", "n_v")
+        return both.mapInArrow(_reachable, "u long, v long")
 
-    links = spark.createDataFrame([], "u string, v string")
-    comps = None
+    # Short lists are paired in full at once: at most SHORT_LIST / 2 pairs an entry.
+    short = lists.filter(F.col("length") <= SHORT_LIST).withColumn("block", size_block())
+    met = meet(short.withColumn("block", F.explode(blocks_near())).alias("a"), short.alias("b"), "a.cid < b.cid")
+    near = stage(reachable(met), "jaccard-near")
+    long = stage(lists.filter(F.col("length") > SHORT_LIST), "jaccard-long")
+    listed = near.select(F.col("u").alias("cid")).union(near.select("v")).union(long.select("cid")).distinct()
+    wanted = classes.join(listed, "cid", "left_semi").select("cid", F.col("row.d").alias("d"), F.col("row.m").alias("m"))
+    texts = src.join(wanted.hint("shuffle_hash"), src["doc_id"].eqNullSafe(wanted["d"]) & src["mark"].eqNullSafe(wanted["m"])).dropDuplicates(["cid"]).select("cid", "text")
+    whole = stage(texts.mapInArrow(_sets_of, "cid long, set binary"), "jaccard-sets")
+
+    none = spark.createDataFrame([], "u long, v long")
+    links, tested, comps = none, none, None
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = whole.select(F.col("class").alias("u"), F.col("set").alias("set_u"))
-        right = whole.select(F.col("class").alias("v"), F.col("set").alias("set_v"))
-        both = pairs.distinct().join(right, "v").join(left, "u")
-        return both.sortWithinPartitions("u", "v").select("u", "v", "set_u", "set_v").mapInArrow(_verify, "u string, v string")
+        """Links among pairs."""
+        both = pairs.join(side(whole, "v"), "v").join(side(whole, "u"), "u")
+        return both.sortWithinPartitions("u", "v").select("u", "v", "set_u", "set_v").mapInArrow(_verify, "u long, v long")
 
-    def with_comp(entries: DataFrame) -> DataFrame:
+    def with_comp(entries: DataFrame, key: str = "cid") -> DataFrame:
         if comps is None:
-            return entries.withColumn("comp", F.col("class"))
-        return entries.join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("root", "class")).drop("root")
+            return entries.withColumn("comp", F.col(key))
+        return entries.join(comps.withColumnRenamed("node", key), key, "left").withColumn("comp", F.coalesce("root", key)).drop("root")
 
     def neighbours(entries: DataFrame) -> DataFrame:
         # A long list spans many partitions: size, position and class take part in the splitters.
-        by = ("tok", "n", "pos", "class")
-        return entries.repartitionByRange(n_parts, *by).sortWithinPartitions(*by).select(*by, "comp").mapInArrow(_neighbours, "u string, v string")
-
-    longest = lists.groupBy("class").agg(F.max(F.struct("length", "tok")).alias("top"))
-    own = lists.join(longest, "class").filter("tok = top.tok").drop("top")
-    for entries_of in (lambda: own, lambda: lists):
-        found = stage(verified(neighbours(with_comp(entries_of()))), "jaccard-links")
-        links = links.union(found)
+        by = ("tok", "n", "pos", "cid")
+        return entries.repartitionByRange(n_parts, *by).sortWithinPartitions(*by).select(*by, "comp").mapInArrow(_neighbours, "u long, v long")
+
+    def add(pairs: DataFrame) -> None:
+        """Links among the pairs that have not been tested, and what they join."""
+        nonlocal links, tested, comps
+        fresh = stage(reachable(pairs.distinct().join(tested, ["u", "v"], "left_anti")), "jaccard-tested")
+        tested = tested.union(fresh)
+        links = links.union(stage(verified(fresh), "jaccard-links"))
         comps = stage(components(links), "jaccard-comps")
 
-    # The rest of each list: entries outside its largest component, against all of other components.
-    entries = stage(with_comp(lists).withColumn("block", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))), "jaccard-entries")
-    per = entries.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1").select("tok", F.col("top.comp").alias("main"))
-    mixed = entries.join(per, "tok")
-    few = mixed.filter("comp <> main").withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-    a, b = few.alias("a"), mixed.alias("b")
-    cross = a.join(b, F.expr(f"a.tok = b.tok and a.block = b.block and a.comp <> b.comp and (b.comp = b.main or a.class < b.class) and {fits('a', 'b')}"))
-    pairs = stage(cross.select(F.least("a.class", "b.class").alias("u"), F.greatest("a.class", "b.class").alias("v")).distinct(), "jaccard-pairs")
-    found = stage(verified(pairs), "jaccard-links")
-    links = links.union(found)
+    if long.limit(1).count():
+        top = long.groupBy("cid").agg(F.max(F.struct("length", "tok")).alias("top"))
+        add(neighbours(with_comp(long.join(top, "cid").filter("tok = top.tok").drop("top"))))
+        add(neighbours(with_comp(long)))
+        # The rest of each long list: entries outside its largest component, against all of other components.
+        entries = stage(with_comp(long).withColumn("block", size_block()), "jaccard-entries")
+        per = entries.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1").select("tok", F.col("top.comp").alias("main"))
+        mixed = entries.join(per, "tok")
+        few = mixed.filter("comp <> main").withColumn("block", F.explode(blocks_near()))
+        add(meet(few.alias("a"), mixed.alias("b"), "a.comp <> b.comp and (b.comp = b.main or a.cid < b.cid)"))
+    # Pairs of short lists whose components still differ.
+    apart = with_comp(with_comp(near, "u").withColumnRenamed("comp", "cu"), "v").filter("cu <> comp").select("u", "v")
+    links = links.union(stage(verified(apart), "jaccard-links"))
     comps = stage(components(links), "jaccard-comps")
 
-    rooted = classes.select("class", "rep").join(comps.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    rooted = classes.select("class", "cid", "rep").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("comp"))
-    return rows, rooted.join(smallest, "root").select("class", "comp")
+    return rows.select("doc_id", "n", "class"), rooted.join(smallest, "root").select("class", "comp")
+
+
+def size_block():
+    return F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))
+
+
+def blocks_near():
+    return F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)
+
+
+def meet(a: DataFrame, b: DataFrame, rule: str) -> DataFrame:
+    """Distinct pairs of entries of one list in near blocks that pass the bounds and the rule."""
+    pairs = a.join(b, F.expr(f"a.tok = b.tok and a.block = b.block and {rule} and {fits('a', 'b')}"))
+    return pairs.select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
