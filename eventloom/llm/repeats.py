@@ -97,8 +97,8 @@ def _scan(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(h[at].view(np.int64)), pa.array(k, pa.int32())], names=["doc_id", "mark", "h", "k"])
 
 
-_CTX = pa.struct([("h", pa.int64()), ("a", pa.int64()), ("off", pa.int32()), ("ck", pa.binary()), ("ctx", pa.binary())])
-_CUT = "doc_id long, mark long, n long, sha string, body binary, ctxs array<struct<h:long,a:long,off:int,ck:binary,ctx:binary>>"
+_CTX = pa.struct([("h", pa.int64()), ("a", pa.int64()), ("z", pa.int64()), ("ck", pa.binary())])
+_CUT = "doc_id long, mark long, n long, sha string, body binary, ctxs array<struct<h:long,a:long,z:long,ck:binary>>"
 
 
 def body_of(data: np.ndarray, s, e, a: int, z: int) -> bytes:
@@ -114,7 +114,7 @@ def body_of(data: np.ndarray, s, e, a: int, z: int) -> bytes:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    """Contexts of the recurring anchors of each text. body: the text, only where it has such contexts."""
+    """Where the contexts of each text's recurring anchors are, and their digests. body: the text, only where it has such contexts."""
     for b in batches:
         data, offs = flat(b.column(2))
         hot = b.column(3)
@@ -123,7 +123,7 @@ def _cut(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBat
             values, first, s, e = units(block, offs[i : j + 1] - offs[i], kind)
             wanted = [hot[k].values for k in range(i, j)]
             if any(w is not None and len(w) for w in wanted):
-                r, h, p, lo, hi = anchors(values, first, kind)
+                r, h, _, lo, hi = anchors(values, first, kind)
                 edge = np.searchsorted(r, np.arange(j - i + 1))
             n, sha, body, ctxs = [], [], [], []
             for k in range(j - i):
@@ -135,13 +135,22 @@ def _cut(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBat
                     x, y = edge[k], edge[k + 1]
                     for q in x + np.flatnonzero(np.isin(h[x:y], w.to_numpy().view(U64))):
                         c = body_of(block, s, e, int(lo[q]), int(hi[q]) + kind.length)
-                        own.append({"h": int(h[q].view(np.int64)), "a": int(lo[q]) - a, "off": int(p[q] - lo[q]), "ck": hashlib.md5(c).digest(), "ctx": c})
+                        own.append({"h": int(h[q].view(np.int64)), "a": int(lo[q]) - a, "z": int(hi[q]) + kind.length - a, "ck": hashlib.md5(c).digest()})
                 sha.append(None if own else hashlib.sha256(whole).hexdigest())
                 body.append(whole if own else None)
                 ctxs.append(own)
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(body, pa.binary()), pa.array(ctxs, pa.list_(_CTX))], names=["doc_id", "mark", "n", "sha", "body", "ctxs"])
 
 
+def _contexts(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
+    """The contexts themselves."""
+    for b in batches:
+        for body, ctxs in zip(b.column("body").to_pylist(), b.column("ctxs").to_pylist(), strict=True):
+            s, e = context_units(body, kind) if kind.unit == "word" else (None, None)
+            cut = [body[c["a"] : c["z"]] if s is None else body[s[c["a"]] : e[c["z"] - 1]] for c in ctxs]
+            yield pa.RecordBatch.from_arrays([pa.array([c["h"] for c in ctxs], pa.int64()), pa.array([c["ck"] for c in ctxs], pa.binary()), pa.array(cut, pa.binary()), pa.array([c["z"] - c["a"] for c in ctxs], pa.int32())], names=["h", "ck", "ctx", "size"])
+
+
 def context_units(ctx: bytes, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts and ends of the units of a context."""
     if kind.unit == "byte":
@@ -152,15 +161,15 @@ def context_units(ctx: bytes, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    """Digest of every window of hot contexts."""
+    """Digest of every window of crowded contexts."""
     for b in batches:
-        for h, ck, ctx, n in zip(*(b.column(c).to_pylist() for c in ("h", "ck", "ctx", "n")), strict=True):
+        for ck, ctx, n in zip(*(b.column(c).to_pylist() for c in ("ck", "ctx", "n")), strict=True):
             s, e = context_units(ctx, kind)
             raw = np.frombuffer(ctx, np.uint8)
             lo, hi = s[: len(s) - kind.length + 1], e[kind.length - 1 :]
             one, two = span_hash(raw, lo, hi), span_hash(raw, lo, hi, 0xA0761D6478BD642F)
             m = len(lo)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(mix(two ^ U64(5)).view(np.int64)), pa.array([h] * m, pa.int64()), pa.array([ck] * m, pa.binary()), pa.array(np.arange(m), pa.int32()), pa.array([n] * m, pa.int64())], names=["w1", "w2", "h", "ck", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(mix(two ^ U64(5)).view(np.int64)), pa.array([ck] * m, pa.binary()), pa.array(np.arange(m), pa.int32()), pa.array([n] * m, pa.int64())], names=["w1", "w2", "ck", "at", "n"])
 
 
 def runs(at: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -212,40 +221,38 @@ def remove_repeats(docs: DataFrame, kind: Kind, shard: Callable, text: bool = Fa
     """doc_id, n, n_removed, n_spans, kept_sha256 (and kept, the text that is left, if asked for).
 
     shard(batches): rows h, ck, ctx, n of distinct contexts, all of an anchor in a row, to rows
-    h, ck, spans (array of struct s, e: units covered)."""
+    ck, spans (array of struct s, e: units covered)."""
     spark = docs.sparkSession
     prepare(spark)
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("mark"), docs["text"])
     seen = stage(src.mapInArrow(partial(_scan, kind=kind), "doc_id long, mark long, h long, k int"), "repeat-anchors")
     again = seen.groupBy("h").agg(F.sum("k").alias("k")).filter("k > 1").select("h")
     # One row for each (doc_id, mark): rows repeated in the table share it.
-    hot = seen.join(again, "h").groupBy("doc_id", "mark").agg(F.collect_set("h").alias("hs")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "hs")
+    hot = seen.join(again, "h").groupBy("doc_id", "mark").agg(F.collect_set("h").alias("hs")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "hs").hint("shuffle_hash")  # texts need no sort
     joined = src.join(hot, src["doc_id"].eqNullSafe(hot["d"]) & src["mark"].eqNullSafe(hot["m"]), "left").select("doc_id", "mark", "text", "hs")
     cut = stage(joined.mapInArrow(partial(_cut, kind=kind), _CUT), "repeat-texts")
 
-    each = cut.select("doc_id", "mark", F.explode("ctxs").alias("c")).select("doc_id", "mark", "c.h", "c.a", "c.ck", "c.ctx")
-    distinct = stage(each.groupBy("h", "ck", "ctx").agg(F.count(F.lit(1)).alias("n")), "repeat-contexts")
-    crowd = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most"))
-    # An anchor with one context recurs as that context or not at all.
-    many = stage(crowd.filter("c > 1").select("h", "c"), "repeat-shared")
-    mixed = distinct.join(many, "h")
+    held = cut.filter("body is not null")
+    each = held.select("body", "ctxs").mapInArrow(partial(_contexts, kind=kind), "h long, ck binary, ctx binary, size int")
+    distinct = stage(each.groupBy("h", "ck", "ctx").agg(F.count(F.lit(1)).alias("n"), F.any_value("size").alias("size")), "repeat-contexts")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans_ddl = "h long, ck binary, spans array<struct<s:int,e:int>>"
-    shards = mixed.filter(F.col("c") <= HOT_CONTEXTS).select("h", "ck", "ctx", "n").repartition(n_parts, "h").sortWithinPartitions("h", "ck")
-    found = shards.mapInArrow(partial(shard, kind=kind), spans_ddl)
-    if many.filter(F.col("c") > HOT_CONTEXTS).limit(1).count():
-        wins = mixed.filter(F.col("c") > HOT_CONTEXTS).select("h", "ck", "ctx", "n").mapInArrow(partial(_windows, kind=kind), "w1 long, w2 long, h long, ck binary, at int, n long")
+    crowd = stage(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_CONTEXTS).select("h"), "repeat-crowds")
+    crowded = bool(crowd.limit(1).count())
+    usual = distinct.join(crowd, "h", "left_anti") if crowded else distinct
+    shards = usual.select("h", "ck", "ctx", "n").repartition(n_parts, "h").sortWithinPartitions("h", "ck")
+    found = shards.mapInArrow(partial(shard, kind=kind), "ck binary, spans array<struct<s:int,e:int>>")
+    if crowded:
+        wins = distinct.join(crowd, "h", "left_semi").select("ck", "ctx", "n").mapInArrow(partial(_windows, kind=kind), "w1 long, w2 long, ck binary, at int, n long")
         wins = stage(wins, "repeat-windows")
         twice = wins.groupBy("w1", "w2").agg(F.sum("n").alias("k")).filter("k > 1").select("w1", "w2")
-        one = wins.join(twice, ["w1", "w2"]).groupBy("h", "ck").agg(F.collect_list(F.struct(F.col("at").alias("s"), (F.col("at") + kind.length).cast("int").alias("e"))).alias("spans"))
+        one = wins.join(twice, ["w1", "w2"]).groupBy("ck").agg(F.collect_list(F.struct(F.col("at").alias("s"), (F.col("at") + kind.length).cast("int").alias("e"))).alias("spans"))
         found = found.union(one)
-    size = F.length("ctx") if kind.unit == "byte" else F.length("ctx") - F.length(F.regexp_replace(F.decode("ctx", "iso-8859-1"), " ", "")) + 1
-    whole = distinct.filter("n > 1").select("h", "ck", F.array(F.struct(F.lit(0).alias("s"), size.cast("int").alias("e"))).alias("spans"))
+    whole = distinct.filter("n > 1").select("ck", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"))).alias("spans"))
     spans = stage(found.filter(F.size("spans") > 0).union(whole), "repeat-spans")
 
-    hits = each.select("doc_id", "mark", "h", "a", "ck").join(spans, ["h", "ck"]).select("doc_id", "mark", F.transform("spans", lambda x: F.struct((x["s"] + F.col("a")).alias("s"), (x["e"] + F.col("a")).alias("e"))).alias("x"))
-    cover = hits.groupBy("doc_id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("x"))).alias("cover")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "cover")
-    held = cut.filter("body is not null").select("doc_id", "mark", "n", "body")
+    hits = held.select("doc_id", "mark", F.explode("ctxs").alias("c")).select("doc_id", "mark", "c.a", "c.ck").join(spans, "ck").select("doc_id", "mark", F.transform("spans", lambda x: F.struct((x["s"] + F.col("a")).alias("s"), (x["e"] + F.col("a")).alias("e"))).alias("x"))
+    cover = hits.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("x")).alias("cover")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "cover").hint("shuffle_hash")
+    held = held.select("doc_id", "mark", "n", "body")
     done = held.join(cover, held["doc_id"].eqNullSafe(cover["d"]) & held["mark"].eqNullSafe(cover["m"]), "left").select("doc_id", "n", "body", "cover")
     out = done.mapInArrow(partial(_apply, kind=kind, text=text), _FINAL + (", kept string" if text else ""))
     rest = cut.filter("body is null").select("doc_id", "n", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
@@ -255,21 +262,30 @@ def remove_repeats(docs: DataFrame, kind: Kind, shard: Callable, text: bool = Fa
     return out.union(rest)
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple[int, bytes, bytes, int]]]:
-    """Rows (h, ck, ctx, n) of whole anchors, so many at a time that their contexts have about limit bytes."""
-    held: list[tuple[int, bytes, bytes, int]] = []
-    size = 0
-    for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in ("h", "ck", "ctx", "n")), strict=True):
-            if size >= limit and held and held[-1][0] != row[0]:
-                yield held
-                held, size = [], 0
-            held.append(row)
-            size += len(row[2])
-    if held:
-        yield held
-
+def groups_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple[bytes, bytes, int]]]:
+    """(ck, ctx, n) of whole anchors with two contexts or more, so many at a time that their contexts have about limit bytes.
 
-def spans_batch(rows: list[tuple[int, bytes, list[tuple[int, int]]]]) -> pa.RecordBatch:
+    An anchor with one context recurs as that context or not at all."""
+    done: list[tuple[bytes, bytes, int]] = []
+    own: list[tuple[bytes, bytes, int]] = []
+    size, last = 0, None
+    for b in batches:
+        for h, *row in zip(*(b.column(c).to_pylist() for c in ("h", "ck", "ctx", "n")), strict=True):
+            if h != last:
+                if len(own) > 1:
+                    done += own
+                    size += sum(len(r[1]) for r in own)
+                own, last = [], h
+                if size >= limit:
+                    yield done
+                    done, size = [], 0
+            own.append(tuple(row))
+    if len(own) > 1:
+        done += own
+    if done:
+        yield done
+
+
+def spans_batch(rows: list[tuple[bytes, list[tuple[int, int]]]]) -> pa.RecordBatch:
     kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([[{"s": s, "e": e} for s, e in r[2]] for r in rows], kind)], names=["h", "ck", "spans"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([[{"s": s, "e": e} for s, e in r[1]] for r in rows], kind)], names=["ck", "spans"])

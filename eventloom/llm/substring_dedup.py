@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.repeats import Kind, context_units, groups_of, remove_repeats, runs, spans_batch
 
-WINDOW, GRAM = 35, 12
+WINDOW, GRAM = 35, 8
 #: Bytes of contexts whose passages share an automaton.
 AUTOMATON_BYTES = 1 << 20
 
@@ -36,14 +36,14 @@ def _automata(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.Reco
     for rows in groups_of(batches, AUTOMATON_BYTES):
         count: Counter[bytes] = Counter()
         cut = []
-        for _, _, ctx, n in rows:
+        for _, ctx, n in rows:
             s, e = context_units(ctx, kind)
             wins = [ctx[a:z] for a, z in zip(s[: len(s) - kind.length + 1].tolist(), e[kind.length - 1 :].tolist(), strict=True)]
             cut.append((s, e, wins))
             for w in wins:
                 count[w] += n
         machine, any_passage = ahocorasick.Automaton(), False
-        for (_, _, ctx, _), (s, e, wins) in zip(rows, cut, strict=True):
+        for (_, ctx, _), (s, e, wins) in zip(rows, cut, strict=True):
             for a, z in runs(np.flatnonzero([count[w] > 1 for w in wins]), 1):  # windows that follow each other
                 passage = " " + ctx[s[a] : e[z + kind.length - 2]].decode("latin-1") + " "
                 machine.add_word(passage, len(passage))
@@ -52,13 +52,13 @@ def _automata(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.Reco
             continue
         machine.make_automaton()
         out = []
-        for (h, ck, ctx, _), (s, e, _) in zip(rows, cut, strict=True):
+        for (ck, ctx, _), (s, e, _) in zip(rows, cut, strict=True):
             spans = []
             for end, size in machine.iter(" " + ctx.decode("latin-1") + " "):
                 # both ends count the space put before the context
                 spans.append((int(np.searchsorted(s, end - size + 1)), int(np.searchsorted(e, end - 1)) + 1))
             if spans:
-                out.append((h, ck, sorted(set(spans))))
+                out.append((ck, sorted(set(spans))))
         yield spans_batch(out)
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.repeats import Kind, groups_of, remove_repeats, runs, spans_batch
 
-WINDOW, GRAM = 400, 200
+WINDOW, GRAM = 400, 96
 #: Bytes of contexts that are sorted together, and of queued suffixes that stay in memory.
 SORT_BYTES, QUEUE_BYTES = 4 << 20, 64 << 20
 
@@ -234,9 +234,9 @@ def recurring(contexts: list[bytes], length: int) -> list[np.ndarray]:
 def _sorted(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
     for rows in groups_of(batches, SORT_BYTES):
         out = []
-        for row, at in zip(rows, recurring([r[2] for r in rows], kind.length), strict=True):
+        for row, at in zip(rows, recurring([r[1] for r in rows], kind.length), strict=True):
             if len(at):
-                out.append((row[0], row[1], runs(at, kind.length)))
+                out.append((row[0], runs(at, kind.length)))
         yield spans_batch(out)
 
 
