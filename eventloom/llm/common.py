@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of one Arrow batch handed to Python: memory of a worker follows these, not the table.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of text that the numpy kernels look at together (one longer text is taken alone).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 U64 = np.uint64
 
