@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventloom.functions import confidence as C
 from eventloom.functions import scoring as S
 from eventloom.functions import text as T
 from eventloom.functions import urls as U
 from eventloom.operators import analytics as A
-from eventloom.operators import crawl, dedup, extract, graph, merge, paging, search, users
+from eventloom.operators import control, crawl, dedup, extract, graph, merge, paging, search, users
 from eventloom.operators.predicates import Query, by_free, end, overlaps, quality_gate, recently_added, this_month, this_weekend, where
 from eventloom.plans.adapters import CATALOG_SQL, DISCOVERY_SQL, LOG_SQL, NOW, RUNS_SQL, TODAY, catalog, discovery, log, read, runs
 
@@ -569,3 +570,88 @@ def q_organizer_profiles(spark, d):
 def q_entity_resolution(spark, d):
     n = read(spark, d, "supplier").select(F.lit("organization").alias("type"), F.concat("s_name", F.lit(" Ltd")).alias("raw"), F.col("s_suppkey").alias("ord"))
     return graph.resolve_exact(n, {"organization": {"google": "google"}})
+
+
+# --- control plane, confidences -----------------------------------------------------------------------
+
+_STATES = "WITH states AS (SELECT c_custkey AS provider, c_nationkey % 5 > 0 AS enabled, CASE WHEN c_custkey % 7 > 0 THEN date '2026-07-01' + CAST(c_custkey % 30 AS INTEGER) END AS next_run FROM customer)"
+
+
+@query(f"{_STATES} SELECT provider FROM states WHERE enabled AND (next_run IS NULL OR next_run <= date '{TODAY}') ORDER BY next_run NULLS FIRST, provider LIMIT 100")
+def q_due_providers(spark, d):
+    c = read(spark, d, "customer")
+    day = F.when(F.col("c_custkey") % 7 > 0, F.date_add(F.lit("2026-07-01").cast("date"), (F.col("c_custkey") % 30).cast("int")))
+    s = c.select(F.col("c_custkey").alias("provider"), (F.col("c_nationkey") % 5 > 0).alias("enabled"), day.alias("next_run_at"))
+    return control.due(s, _today(), 100).select("provider")
+
+
+@query("WITH a AS (SELECT o_orderstatus AS state, o_orderpriority AS feed FROM orders) SELECT state, feed, count(*) AS n FROM a GROUP BY GROUPING SETS ((state), (feed))")
+def q_histograms(spark, d):
+    return control.histogram(read(spark, d, "orders").select(F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("feed")), "state", "feed")
+
+
+@query("""WITH o AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'auto' ELSE 'review' END AS band, quality = 1 AS ok, toxic = 1 AS rolled, doc_id % 101 / 101.0::DOUBLE AS p FROM labels)
+SELECT count(*) AS n, round_even(count(*) FILTER (WHERE band = 'auto' AND ok) / count(*) FILTER (WHERE band = 'auto'), 4) AS auto_precision, round_even(count(*) FILTER (WHERE rolled) / count(*), 4) AS rollback_rate, round(avg(abs(p - CAST(ok AS INT))), 6) AS mean_error FROM o""")
+def q_feedback(spark, d):
+    o = read(spark, d, "labels").select(F.when(F.col("doc_id") % 3 == 0, "auto").otherwise("review").alias("band"), F.col("quality").alias("observed"), (F.col("toxic") == 1).alias("rolled_back"), (F.col("doc_id") % 101 / F.lit(101.0)).alias("predicted"))
+    return control.feedback(o)
+
+
+@query("""WITH l AS (SELECT CAST(ts AS DATE) AS day, user_id % 30 AS domain, CASE event_type WHEN 'error' THEN 'rejected' WHEN 'view' THEN 'duplicate' ELSE 'kept' END AS outcome FROM events)
+SELECT day, count(DISTINCT domain) AS domains, round_even(count(*) FILTER (WHERE outcome = 'duplicate') / count(*), 4) AS duplicate_rate, count(*) FILTER (WHERE outcome = 'rejected') AS rejected FROM l GROUP BY day""")
+def q_daily_metrics(spark, d):
+    out = F.expr("case event_type when 'error' then 'rejected' when 'view' then 'duplicate' else 'kept' end")
+    return control.daily_metrics(read(spark, d, "events").select(F.to_date("ts").alias("day"), (F.col("user_id") % 30).alias("domain"), out.alias("outcome")))
+
+
+@query(f"{DISCOVERY_SQL} SELECT value, count(*) AS n FROM (SELECT unnest(technologies) AS value FROM records) GROUP BY value ORDER BY n DESC, value LIMIT 5")
+def q_top_values(spark, d):
+    return control.top_values(discovery(spark, d), "technologies")
+
+
+@query(f"""{CATALOG_SQL}, {LOG_SQL}, r AS (SELECT user_id, event_key AS key, type, row_number() OVER (PARTITION BY user_id, event_key ORDER BY at DESC, type DESC) AS rn FROM (SELECT user_id, event_key, type, "at" FROM log WHERE type IN ('register', 'attend')) x)
+SELECT user_id, key, CASE WHEN type = 'attend' THEN 'attended' WHEN {_END} < date '{TODAY}' THEN 'missed' ELSE 'registered' END AS status FROM r JOIN catalog USING (key) WHERE rn = 1""".replace("ORDER BY at DESC", 'ORDER BY "at" DESC'))
+def q_attendance(spark, d):
+    return control.attendance(log(spark, d), catalog(spark, d), _today())
+
+
+@query("""WITH c AS (SELECT user_id AS run, event_id AS cycle, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS progress FROM events)
+SELECT run, cycle, max(progress) OVER w = 0 AND count(*) OVER w = 3 AS steady FROM c WINDOW w AS (PARTITION BY run ORDER BY cycle ROWS 2 PRECEDING)""")
+def q_steady_state(spark, d):
+    return control.steady(read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("cycle"), (F.col("event_type") == "error").cast("int").alias("progress")))
+
+
+@query("SELECT n_name AS name, 'nation' AS kind FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+def q_opportunities(spark, d):
+    n, s = read(spark, d, "nation"), read(spark, d, "supplier").filter("s_acctbal > 5000")
+    known = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.col("n_name").alias("name")).distinct()
+    return control.opportunities(known, n.select(F.col("n_name").alias("name")), "nation").select("name", "kind")
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '(?i)/(graphql|gql)\\b') THEN 'graphql' WHEN regexp_matches(url, '(?i)\\.ics(\\b|$)') THEN 'ics' WHEN regexp_matches(url, '(?i)calendar\\.google\\.com|/calendar') THEN 'calendar' WHEN regexp_matches(url, '(?i)/(feed|rss|atom)\\b|\\.(xml|rss)\\b') THEN 'rss' WHEN regexp_matches(url, '(?i)/api/|\\.json\\b') OR regexp_matches(url, '(?i)/(?:v[0-9]+/)?events?(?:/|\\?|\\b|$)|^https?://api\\.') THEN CASE WHEN contains(lower(url), '.json') THEN 'json' ELSE 'rest' END ELSE 'unknown' END AS kind FROM pages".replace("\\\\", "\\"))
+def q_endpoint_kind(spark, d):
+    return read(spark, d, "pages").select("page_id", C.endpoint_kind(F.col("url")).alias("kind"))
+
+
+@query()
+def q_search_result_score(spark, d):
+    p = read(spark, d, "pages")
+    return p.select("page_id", C.search_result(F.regexp_extract("html", "(?is)<h1[^>]*>(.*?)</h1>", 1), T.strip_tags(F.col("html")), U.registrable_domain(F.col("url")), F.col("url")).alias("score"))
+
+
+@query()
+def q_crawl_priority(spark, d):
+    return crawl.page_links(read(spark, d, "pages")).select("source", "target", C.crawl_priority(F.col("target"), F.lit(""), F.lit(False), F.lit(False), F.lit(0.0)).alias("priority"))
+
+
+@query()
+def q_page_signals(spark, d):
+    h = F.col("html")
+    return read(spark, d, "pages").select("page_id", C.framework(h).alias("framework"), C.feed_kinds(h, F.lit(None).cast("string")).alias("feeds"), C.endpoints(h).alias("endpoints"), C.off_topic(T.strip_tags(h)).alias("off_topic"), U.feeds(h).alias("feed_links"))
+
+
+@query()
+def q_onboarding_bands(spark, d):
+    r = discovery(spark, d)
+    parts = {"discovery": F.col("sandbox_quality"), "sandbox": C.sandbox(F.size("technologies"), F.col("event_count"), F.col("sandbox_quality"), F.lit(0.5)), "extraction": F.lit(0.5), "content": F.col("event_count") / 15, "duplicate": 1 - F.col("duplicate_rate"), "tech": F.size("technologies") / 3, "india": F.lit(0.5)}
+    return r.select(C.onboarding(parts, F.col("feed_type")).alias("b")).groupBy("b.band").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("b.total"), 4).alias("mean"))
