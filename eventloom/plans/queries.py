@@ -655,3 +655,32 @@ def q_onboarding_bands(spark, d):
     r = discovery(spark, d)
     parts = {"discovery": F.col("sandbox_quality"), "sandbox": C.sandbox(F.size("technologies"), F.col("event_count"), F.col("sandbox_quality"), F.lit(0.5)), "extraction": F.lit(0.5), "content": F.col("event_count") / 15, "duplicate": 1 - F.col("duplicate_rate"), "tech": F.size("technologies") / 3, "india": F.lit(0.5)}
     return r.select(C.onboarding(parts, F.col("feed_type")).alias("b")).groupBy("b.band").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("b.total"), 4).alias("mean"))
+
+
+@query()
+def q_organizer_pages(spark, d):
+    from eventloom.functions import organizers as O
+
+    return O.page_profile(read(spark, d, "pages"))
+
+
+@query("SELECT s_nationkey AS id, max(CAST(s_suppkey AS VARCHAR)) AS top, count(*) AS n FROM supplier GROUP BY 1")
+def q_alias_groups(spark, d):
+    from eventloom.functions import organizers as O
+
+    # every supplier of a nation is one identity: the number is punctuation, the rest filler
+    s = read(spark, d, "supplier").select(F.concat(F.lit("The Club of nation"), F.col("s_nationkey").cast("string")).alias("name"), "s_nationkey", "s_suppkey")
+    keyed = s.withColumn("key", O.canonical_key(F.col("name")))
+    return keyed.groupBy("key").agg(F.min("s_nationkey").alias("id"), F.max(F.col("s_suppkey").cast("string")).alias("top"), F.count(F.lit(1)).alias("n")).select("id", "top", "n")
+
+
+@query("""WITH d AS (SELECT o_custkey AS id, CASE o_custkey % 5 WHEN 0 THEN 'weekly' WHEN 1 THEN 'monthly' WHEN 2 THEN 'quarterly' WHEN 3 THEN 'annual' ELSE 'unknown' END AS cadence, CAST(o_orderdate AS DATE) AS d FROM orders),
+l AS (SELECT *, date_diff('day', lag(d) OVER (PARTITION BY id ORDER BY d), d) AS gap FROM d), g AS (SELECT id, cadence, max(d) AS last, count(*) AS n, median(gap) FILTER (WHERE gap > 0) AS m FROM l GROUP BY id, cadence),
+p AS (SELECT *, coalesce(CASE cadence WHEN 'weekly' THEN 7.0 WHEN 'monthly' THEN 30.0 WHEN 'quarterly' THEN 90.0 WHEN 'annual' THEN 365.0 END, m, 45.0) AS period, date '2001-06-01' - last AS age FROM g)
+SELECT id, CASE WHEN age < 0 THEN 'active' WHEN n = 1 THEN CASE WHEN age <= 2 * period THEN 'new' ELSE 'inactive' END WHEN age <= 1.5 * period THEN 'active' WHEN cadence IN ('annual', 'quarterly') AND age <= 2 * period THEN 'seasonal' WHEN age <= 3 * period THEN 'dormant' ELSE 'inactive' END AS state,
+ last + CAST(floor(period) AS INTEGER) AS next, CASE WHEN age < 0.75 * period THEN 'low' WHEN age <= 2 * period THEN 'high' ELSE 'medium' END AS chance FROM p""")
+def q_organizer_health(spark, d):
+    from eventloom.functions import organizers as O
+
+    cad = F.expr("case o_custkey % 5 when 0 then 'weekly' when 1 then 'monthly' when 2 then 'quarterly' when 3 then 'annual' else 'unknown' end")
+    return O.health(read(spark, d, "orders").select(F.col("o_custkey").alias("id"), cad.alias("cadence"), F.to_date("o_orderdate").alias("d")), F.lit("2001-06-01").cast("date"))
