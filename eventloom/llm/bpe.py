@@ -144,12 +144,16 @@ class Transducer:
         j = min(n, reach(w[:3], 2))
         while i < n:
             piece = w[i:j] + END if j == n else w[i:j]
-            if piece in valid and j not in dead and (not last or judged((last, piece)) or fits(last, piece)):
-                out.append(piece)
-                ends.append(i)
-                last, i = piece, j
-                j = min(n, i + reach(w[i : i + 3], 2))
-                continue
+            if piece in valid and j not in dead:
+                ok = judged((last, piece)) if last else True
+                if ok is None:
+                    ok = fits(last, piece)
+                if ok:
+                    out.append(piece)
+                    ends.append(i)
+                    last, i = piece, j
+                    j = min(n, i + reach(w[i : i + 3], 2))
+                    continue
             j -= 1
             while j == i:
                 dead.add(i)
@@ -253,6 +257,11 @@ class Codec:
     def chunk(self, c: str) -> tuple[int, str, str]:
         """Count, ids and decoded text of a lower-cased run of non-spaces. Pre-tokens have no spaces, so chunks are independent."""
         got = self.older.get(c)
+        if got is None and not self.decoder.bytes and len(c) > 1 and not c[-1].isalpha() and c[:-1].isalpha():
+            # A word and one mark are two pre-tokens: the word may be known without the mark.
+            a, b = (self.chunks.get(x) or self.chunk(x) for x in (c[:-1], c[-1]))
+            if a[0] and b[0]:
+                got = a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}"
         if got is None:
             if c.isalpha():
                 tokens = self.piece(c)
