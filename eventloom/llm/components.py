@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import prepare, stage
+from eventloom.llm.common import prepare, stage, unstage
 
 #: Edges that one union-find holds at a time; a task with more contracts them in turns.
 LOCAL_EDGES = 200_000
@@ -68,7 +68,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = stage(small, "stars")
+        old, e = e, stage(small, "stars")
+        unstage(old)
         now = _mark(e)
         if now == before:
             break

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import U64, blocks, flat, gram_hash, mix, prepare, sliding_min, span_hash, stage, words
+from eventloom.llm.common import U64, blocks, flat, gram_hash, mix, prepare, sliding_min, span_hash, stage, unstage, words
 
 HOT_CONTEXTS = 20_000
 #: Bits of the position within a block that ride along with a hash in one number.
@@ -232,6 +232,8 @@ def remove_repeats(docs: DataFrame, kind: Kind, shard: Callable, text: bool = Fa
     joined = src.join(hot, src["doc_id"].eqNullSafe(hot["d"]) & src["mark"].eqNullSafe(hot["m"]), "left").select("doc_id", "mark", "text", "hs")
     cut = stage(joined.mapInArrow(partial(_cut, kind=kind), _CUT), "repeat-texts")
 
+    unstage(seen)
+
     held = cut.filter("body is not null")
     each = held.select("body", "ctxs").mapInArrow(partial(_contexts, kind=kind), "h long, ck binary, ctx binary, size int")
     distinct = stage(each.groupBy("h", "ck", "ctx").agg(F.count(F.lit(1)).alias("n"), F.any_value("size").alias("size")), "repeat-contexts")
@@ -249,6 +251,7 @@ def remove_repeats(docs: DataFrame, kind: Kind, shard: Callable, text: bool = Fa
         found = found.union(one)
     whole = distinct.filter("n > 1").select("ck", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"))).alias("spans"))
     spans = stage(found.filter(F.size("spans") > 0).union(whole), "repeat-spans")
+    unstage(distinct, crowd)
 
     hits = held.select("doc_id", "mark", F.explode("ctxs").alias("c")).select("doc_id", "mark", "c.a", "c.ck").join(spans, "ck").select("doc_id", "mark", F.transform("spans", lambda x: F.struct((x["s"] + F.col("a")).alias("s"), (x["e"] + F.col("a")).alias("e"))).alias("x"))
     cover = hits.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("x")).alias("cover")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "cover").hint("shuffle_hash")
