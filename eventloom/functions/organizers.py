@@ -30,7 +30,7 @@ UNITS = {
     "incubator": r"incubat(?:or|ion)", "center of excellence": r"center of excellence|centre of excellence|\bcoe\b",
 }
 CADENCES = {"weekly": r"\bweekly\b|every week", "monthly": r"\bmonthly\b|every month|each month", "quarterly": r"\bquarterly\b|every quarter", "annual": r"\bannual\b|\byearly\b|every year"}
-CADENCE_DAYS = {"weekly": 7, "monthly": 30, "quarterly": 90, "annual": 365}
+CADENCE_DAYS = {"weekly": 7, "monthly": 31, "quarterly": 93, "annual": 366}
 SPONSOR = r"(?i)(?:sponsored by|in partnership with|powered by)\s+([A-Z][\w& ]{1,39})"
 UNIVERSITY = r"\b(?:IIT|NIT|IIIT|BITS|VIT|SRM|MUJ|Manipal|university|college|institute of technology|institute)\b"
 

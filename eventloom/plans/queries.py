@@ -676,7 +676,7 @@ def q_alias_groups(spark, d):
 
 @query("""WITH d AS (SELECT o_custkey AS id, CASE o_custkey % 5 WHEN 0 THEN 'weekly' WHEN 1 THEN 'monthly' WHEN 2 THEN 'quarterly' WHEN 3 THEN 'annual' ELSE 'unknown' END AS cadence, CAST(o_orderdate AS DATE) AS d FROM orders),
 l AS (SELECT *, date_diff('day', lag(d) OVER (PARTITION BY id ORDER BY d), d) AS gap FROM d), g AS (SELECT id, cadence, max(d) AS last, count(*) AS n, median(gap) FILTER (WHERE gap > 0) AS m FROM l GROUP BY id, cadence),
-p AS (SELECT *, coalesce(CASE cadence WHEN 'weekly' THEN 7.0 WHEN 'monthly' THEN 30.0 WHEN 'quarterly' THEN 90.0 WHEN 'annual' THEN 365.0 END, m, 45.0) AS period, date '2001-06-01' - last AS age FROM g)
+p AS (SELECT *, coalesce(CASE cadence WHEN 'weekly' THEN 7.0 WHEN 'monthly' THEN 31.0 WHEN 'quarterly' THEN 93.0 WHEN 'annual' THEN 366.0 END, m, 45.0) AS period, date '2001-06-01' - last AS age FROM g)
 SELECT id, CASE WHEN age < 0 THEN 'active' WHEN n = 1 THEN CASE WHEN age <= 2 * period THEN 'new' ELSE 'inactive' END WHEN age <= 1.5 * period THEN 'active' WHEN cadence IN ('annual', 'quarterly') AND age <= 2 * period THEN 'seasonal' WHEN age <= 3 * period THEN 'dormant' ELSE 'inactive' END AS state,
  last + CAST(floor(period) AS INTEGER) AS next, CASE WHEN age < 0.75 * period THEN 'low' WHEN age <= 2 * period THEN 'high' ELSE 'medium' END AS chance FROM p""")
 def q_organizer_health(spark, d):
@@ -684,3 +684,89 @@ def q_organizer_health(spark, d):
 
     cad = F.expr("case o_custkey % 5 when 0 then 'weekly' when 1 then 'monthly' when 2 then 'quarterly' when 3 then 'annual' else 'unknown' end")
     return O.health(read(spark, d, "orders").select(F.col("o_custkey").alias("id"), cad.alias("cadence"), F.to_date("o_orderdate").alias("d")), F.lit("2001-06-01").cast("date"))
+
+
+def _enrichment(c: DataFrame) -> DataFrame:
+    text = F.concat_ws(" ", "title", F.coalesce("description", F.lit("")))
+    return c.select("key", T.labels(text, T.TOPICS).alias("topics"), T.labels(text, T.TECHNOLOGIES).alias("technologies"), T.difficulty(text, F.col("category")).alias("level"))
+
+
+_SECTION_SQL = " UNION ALL ".join(
+    f"SELECT '{n}' AS section, key, row_number() OVER (ORDER BY {o}) AS rank FROM catalog WHERE {c}"
+    for n, c, o in (
+        ("upcoming", f"{_END} >= date '{TODAY}'", "start_date, key"), ("hackathons", f"{_END} >= date '{TODAY}' AND category = 'hackathon'", "start_date, key"), ("conferences", f"{_END} >= date '{TODAY}' AND category = 'conference'", "start_date, key"),
+        ("meetups", f"{_END} >= date '{TODAY}' AND category = 'meetup'", "start_date, key"), ("workshops", f"{_END} >= date '{TODAY}' AND category = 'workshop'", "start_date, key"),
+        ("recently_added", f"epoch_us(first_seen_at) >= epoch_us(timestamp '{NOW}' - INTERVAL 7 DAY)", "first_seen_at DESC, start_date, key"), ("registration_closing", f"start_date > date '{TODAY}' AND start_date <= date '{TODAY}' + 7", "start_date, key"),
+        ("online_events", f"{_END} >= date '{TODAY}' AND is_online", "start_date, key"), ("free_events", f"{_END} >= date '{TODAY}' AND is_free", "start_date, key"), ("trending", f"start_date >= date '{TODAY}'", f"-{_TREND}, start_date, key"), ("nearby_events", f"{_END} >= date '{TODAY}' AND {_CITY_SQL} = 'Pune'", "start_date, key"),
+    )
+)
+
+
+@query(f"{CATALOG_SQL}, s AS ({_SECTION_SQL}) SELECT section, rank, key FROM s WHERE rank <= 8")
+def q_homepage(spark, d):
+    from eventloom.operators import platform
+
+    h = platform.homepage(catalog(spark, d), _now(), 8, "Pune")
+    return h.filter(~F.col("section").isin("ai_events", "startup_events", *platform.TITLES))
+
+
+@query(f"{CATALOG_SQL} SELECT key FROM catalog WHERE {_END} >= date '{TODAY}' ORDER BY -(CAST({_SOURCE} AS DOUBLE) + ({_COMPLETE}) / 6.0::DOUBLE), key LIMIT 20")
+def q_feed_popular(spark, d):
+    from eventloom.operators import platform
+
+    return platform.feed(catalog(spark, d), "popular", _now(), 20).select("key")
+
+
+@query(f"{CATALOG_SQL} SELECT provider, count(*) AS fetched, count(*) FILTER (WHERE {_END} >= date '{TODAY}') AS upcoming, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, round(avg(({_COMPLETE}) / 6.0::DOUBLE), 4) AS completeness FROM catalog GROUP BY provider")
+def q_source_report(spark, d):
+    from eventloom.operators import platform
+
+    return platform.source_report(catalog(spark, d), _today())
+
+
+@query(f"{CATALOG_SQL} SELECT key, CAST(start_date AS varchar) AS start_date, CAST(end_date AS varchar) AS end_date FROM catalog WHERE provider = 'gdg'")
+def q_event_dto(spark, d):
+    from eventloom.operators import platform
+
+    return platform.event_dto(platform.browse(catalog(spark, d), "provider", "gdg")).select("key", "start_date", "end_date")
+
+
+@query()
+def q_browse_difficulty(spark, d):
+    from eventloom.operators import platform
+
+    c = catalog(spark, d)
+    return platform.browse(c, "difficulty", "beginner", _enrichment(c)).select("key")
+
+
+@query()
+def q_community_insights(spark, d):
+    from eventloom.operators import platform
+
+    c = catalog(spark, d)
+    v, e = graph.build(c)
+    return platform.insights(graph.profiles(c, e, _today()), v).select("list", "rank", "name", "n")
+
+
+@query("SELECT DISTINCT concat('site:', n_name, ' ', r_name, ' ', p) AS query FROM nation, region, (SELECT unnest(['Rust', 'Go', 'Python']) AS p)")
+def q_query_matrix(spark, d):
+    from eventloom.functions import discovery as D
+
+    tech = spark.createDataFrame([("Rust",), ("Go",), ("Python",)], "technology string")
+    return D.query_matrix(read(spark, d, "nation").select(F.col("n_name").alias("platform")), read(spark, d, "region").select(F.col("r_name").alias("city")), tech)
+
+
+@query(f"""{DISCOVERY_SQL} SELECT doc_id, CASE WHEN event_count >= 20 THEN 'high' WHEN event_count >= 5 THEN 'medium' ELSE 'low' END AS volume,
+ CASE WHEN feed_type IN ('search_result', 'unknown') OR event_count = 0 OR sandbox_quality < 0.5 THEN 'high' WHEN feed_type IN ('ai_extracted', 'json_api', 'graphql') THEN 'medium' ELSE 'low' END AS risk FROM records""")
+def q_promotion_risk(spark, d):
+    from eventloom.functions import discovery as D
+
+    p = D.promotion(F.col("feed_type"), F.col("event_count"), F.lit(0.5), F.col("sandbox_quality"))
+    return discovery(spark, d).select("doc_id", p.alias("p")).select("doc_id", "p.volume", "p.risk")
+
+
+@query("SELECT s_suppkey, concat('https://', regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), '.dev/') AS url FROM supplier")
+def q_candidate_urls(spark, d):
+    from eventloom.functions import discovery as D
+
+    return read(spark, d, "supplier").select("s_suppkey", D.candidate_urls(F.lit("series_instance"), F.col("s_name"))[0].alias("url"))
