@@ -23,8 +23,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventloom.llm.common import prepare, stage
 
@@ -60,27 +61,39 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array([tail[0]], pa.int32()), pa.array([tail[1]], pa.int64()), pa.array([2], pa.int8()), pa.array([tail[2]], pa.string())], schema=_OUT)
 
 
+def _ordered(docs: DataFrame, *more: Column) -> DataFrame:
+    """Rows dealt by content and sorted: equal texts are neighbours, by rising doc_id."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    norm = docs.select(*more, docs["doc_id"].cast("long").alias("doc_id"), F.translate(F.coalesce(docs["text"], F.lit("")), UPPER, LOWER).alias("norm"))
+    keyed = norm.withColumns({"lead": F.substring("norm", 1, PREFIX), "mark": F.xxhash64("norm")})
+    return keyed.repartitionByRange(n, "lead", "mark", "doc_id").sortWithinPartitions("lead", "mark", "norm", "doc_id")
+
+
+def _followed(spark, parts: list[int], edges: DataFrame) -> set[int]:
+    """Partitions whose first text is the last one of the partition before: a full comparison of one pair a border.
+
+    parts, in order, has a number for each partition with rows; edges: part, edge (1 first, 2 last), edge_text."""
+    if len(parts) < 2:
+        return set()
+    follows = spark.createDataFrame([(b, a) for a, b in zip(parts, parts[1:])], "part int, prev int")
+    heads = edges.filter("edge = 1").select("part", F.col("edge_text").alias("head"))
+    tails = edges.filter("edge = 2").select(F.col("part").alias("prev"), F.col("edge_text").alias("tail"))
+    return {r.part for r in follows.join(heads, "part").join(tails, "prev").filter("head = tail").select("part").collect()}
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_sha256, group (long): rows of equal normalised text share a group."""
     spark = docs.sparkSession
     prepare(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    norm = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER).alias("norm"))
-    keyed = norm.select("doc_id", "norm", F.substring("norm", 1, PREFIX).alias("lead"), F.xxhash64("norm").alias("mark"))
-    order = ("lead", "mark", "norm", "doc_id")
-    ranged = keyed.repartitionByRange(n, "lead", "mark", "doc_id").sortWithinPartitions(*order)
-    rows = ranged.select("doc_id", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.spark_partition_id().alias("part"))
+    rows = _ordered(docs).select("doc_id", "norm", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.spark_partition_id().alias("part"))
     numbered = stage(rows.mapInArrow(_runs, _DDL), "exact-runs")
 
     # Bounded by the number of partitions, not by the table: one row for each, without texts.
     last_run = {r.part: r.run for r in numbered.filter("edge = 2").select("part", "run").collect()}
     parts = sorted(last_run)
     joined: dict[int, int] = {}
-    if len(parts) > 1:
-        follows = spark.createDataFrame([(b, a) for a, b in zip(parts, parts[1:])], "part int, prev int")
-        heads = numbered.filter("edge = 1").select("part", F.col("edge_text").alias("head"))
-        tails = numbered.filter("edge = 2").select(F.col("part").alias("prev"), F.col("edge_text").alias("tail"))
-        same = {r.part for r in follows.join(heads, "part").join(tails, "prev").filter("head = tail").select("part").collect()}
+    same = _followed(spark, parts, numbered)
+    if same:
         owner = {p: (p << RUN_SHIFT) + last_run[p] for p in parts}
         for a, b in zip(parts, parts[1:]):
             if b in same:
@@ -105,6 +118,51 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     return g.join(per, "group").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def _last_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last row of each run of equal texts of a sorted partition; the partition's own last row has edge 2 and its text."""
+    held: pa.Table | None = None
+
+    def out(t: pa.Table, edge: int | None, text: bool) -> Iterator[pa.RecordBatch]:
+        n = t.num_rows
+        cols = [t.column("row"), t.column("part"), pa.array([edge] * n, pa.int8()), t.column("norm") if text else pa.nulls(n, pa.string())]
+        yield from pa.table(cols, names=["row", "part", "edge", "edge_text"]).to_batches()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        if held is None:
+            head = t.slice(0, 1)
+            yield from pa.table([pa.nulls(1, t.schema.field("row").type), head.column("part"), pa.array([1], pa.int8()), head.column("norm")], names=["row", "part", "edge", "edge_text"]).to_batches()
+        else:
+            t = pa.concat_tables([held, t])
+        held = t.slice(t.num_rows - 1)
+        if t.num_rows > 1:
+            norm = t.column("norm").combine_chunks()
+            yield from out(t.slice(0, t.num_rows - 1).filter(pc.not_equal(norm.slice(0, len(norm) - 1), norm.slice(1))), None, False)
+    if held is not None:
+        yield from out(held, 2, True)
+
+
+def exact_filter(docs: DataFrame) -> DataFrame:
+    """The rows that stay, one of each group of equal texts, with all their columns: one shuffle, no join of texts.
+
+    Sorted by rising doc_id, the row to keep is the last of its run; the last row of a partition goes
+    where the next partition goes on with its text. Of repeated rows with one doc_id, one stays."""
+    spark = docs.sparkSession
+    prepare(spark)
+    rows = _ordered(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row")).select("row", "norm", F.spark_partition_id().alias("part"))
+    ddl = T.StructType([T.StructField("row", T.StructType(docs.schema.fields)), T.StructField("part", T.IntegerType()), T.StructField("edge", T.ByteType()), T.StructField("edge_text", T.StringType())])
+    last = stage(rows.mapInArrow(_last_rows, ddl), "exact-last")
+    parts = sorted(r.part for r in last.filter("edge = 2").select("part").collect())
+    same = _followed(spark, parts, last)
+    gone = [a for a, b in zip(parts, parts[1:]) if b in same]
+    kept = last.filter(F.coalesce(F.col("edge") != 1, F.lit(True)))
+    if gone:
+        kept = kept.join(F.broadcast(spark.createDataFrame([(p, 2) for p in gone], "part int, edge byte")), ["part", "edge"], "left_anti")
+    return kept.select("row.*")
+
+
 ORACLE = """
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
 g AS (SELECT doc_id, norm, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)

@@ -296,7 +296,7 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     rooted = classes.select("class", "cid", "rep").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("comp"))
-    return rows.select("doc_id", "n", "class"), rooted.join(smallest, "root").select("class", "comp")
+    return rows.select("doc_id", "mark", "n", "class"), rooted.join(smallest, "root").select("class", "root", "comp")
 
 
 def size_block():
@@ -321,11 +321,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The row of each component whose doc_id is the smallest stays, with all its columns; rows without words stay.
-
-    Of several rows that carry that doc_id, the first by text stays."""
-    found = jaccard_components(docs)
-    keep = stage(found.filter("n_shingles > 0").groupBy("component_id").agg(F.lit(1).alias("one")).select(F.col("component_id").alias("__keep")), "near-keep")
-    bare = stage(found.filter("n_shingles = 0").select(F.col("doc_id").alias("__keep")).distinct(), "near-bare")
-    stays = keep.union(bare).distinct()
-    return docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(stays["__keep"]), "left_semi")
+    """Of each component, the row with the smallest doc_id stays (of several, the one whose text's hash is
+    smallest), with all its columns; rows without words stay. Rows repeated whole stay or go together."""
+    rows, comp = classes_and_components(docs)
+    key = F.struct(F.col("doc_id").alias("d"), F.col("mark").alias("m"))
+    # A component is named by its class, not by its doc_id, which other texts may carry too.
+    first = rows.join(comp, "class").groupBy("root").agg(F.min(F.when(F.col("doc_id").isNotNull(), key)).alias("k"), F.min(key).alias("any")).select(F.coalesce("k", "any").alias("k"))
+    stays = stage(first.select("k.*").union(rows.filter("class is null").select("doc_id", "mark")).distinct(), "near-keep").hint("shuffle_hash")
+    return docs.join(stays, docs["doc_id"].cast("long").eqNullSafe(stays["d"]) & F.xxhash64(docs["text"]).eqNullSafe(stays["m"]), "left_semi")

@@ -105,6 +105,25 @@ def test_exact_dedup(spark, corpus):
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
 
 
+def test_exact_filter(spark, corpus):
+    rows = corpus + [(i + 5000, "Again and again" if i % 2 else f"own {i}") for i in range(500)]
+    d = docs(spark, rows)
+    got = exact_dedup.exact_filter(d)
+    assert got.schema == d.schema
+    want: dict = {}
+    for i, t in rows:
+        k = (t or "").translate(LOW)
+        want[k] = max(want.get(k, -1), -1 if i is None else i)
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got.collect()) == sorted(want.values())
+
+
+def test_near_dedup_of_shared_ids(spark):
+    base = " ".join(f"w{i}" for i in range(100))
+    d = docs(spark, [(1, base), (2, base + " more"), (2, "quite another text under the same id"), (3, ""), (None, "no id here at all")])
+    got = {(r.doc_id, r.text) for r in jaccard_join.near_dedup(d).collect()}
+    assert got == {(1, base), (2, "quite another text under the same id"), (3, ""), (None, "no id here at all")}
+
+
 def test_exact_dedup_over_partition_borders(spark):
     rows = [(i, "Same text" if i % 3 else f"own {i}") for i in range(3000)]
     got = exact_dedup.exact_dedup(docs(spark, rows)).filter("group_size > 1").agg({"group_size": "max", "keep_id": "max", "doc_id": "count"}).first()
