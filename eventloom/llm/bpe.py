@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from eventloom.llm.common import prepare, strings
 
 #: Bounds of a worker's memories, in entries: words and chunks already encoded, pairs already judged.
-KEPT = 300_000
+KEPT = 120_000
 #: Pre-tokens of up to so many symbols are encoded in one go, without emitting in between.
 SHORT = 64
 
