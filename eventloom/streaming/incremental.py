@@ -45,3 +45,42 @@ def merge_batches(catalog_path: str, order: str) -> Callable[[DataFrame, int], N
         upsert(old, batch.select(*old.columns), F.col(order)).drop("action").write.mode("overwrite").parquet(f"{catalog_path}/v{n + 1}")
 
     return write
+
+
+STATE = "runs long, successes long, streak long, found double, circuit string, next_run timestamp"
+THRESHOLD, BASE_S, MOST_S, COOLDOWN_S = 3, 60, 600, 900
+
+
+def fold_runs(state: tuple | None, rows: list[tuple]) -> tuple:
+    """The state of a source after runs (at, ok, found) in order: running mean, streak, backoff, open circuit."""
+    import datetime as dt
+
+    runs, good, streak, mean, circuit, nxt = state or (0, 0, 0, 0.0, "closed", None)
+    for at, ok, found in sorted(rows):
+        runs += 1
+        if ok:
+            good += 1
+            mean += (found - mean) / good
+            streak, circuit, nxt = 0, "closed", at
+        else:
+            streak += 1
+            circuit = "open" if streak >= THRESHOLD else circuit
+            nxt = at + dt.timedelta(seconds=COOLDOWN_S if circuit == "open" else min(BASE_S * 2 ** (streak - 1), MOST_S))
+    return runs, good, streak, mean, circuit, nxt
+
+
+def provider_stream(runs: DataFrame) -> DataFrame:
+    """Per source, its state after every batch: runs has provider, at, ok, found."""
+    from eventloom.session import ship
+
+    ship(runs.sparkSession)
+
+    def step(key, frames, state):
+        import pandas as pd
+
+        rows = [r for f in frames for r in zip(f["at"].dt.to_pydatetime(), f["ok"], f["found"], strict=True)]
+        new = fold_runs(state.get if state.exists else None, rows)
+        state.update(new)
+        yield pd.DataFrame([(key[0], *new)], columns=["provider", *[c.split()[0] for c in STATE.split(", ")]])
+
+    return runs.groupBy("provider").applyInPandasWithState(step, f"provider string, {STATE}", STATE, "update", "NoTimeout")
