@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column
@@ -93,9 +95,30 @@ def normalize_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), LEGAL, " "), "[^a-z0-9]+", " "))
 
 
+def needles(pattern: str) -> list[str] | None:
+    """For each alternative of a pattern, a literal that any match holds; None where one has none of two characters."""
+    out = []
+    for part in pattern.split("|"):
+        bare = re.sub(r"\\b", "", part)
+        pieces = re.split(r"\[[^\]]*\]\??|\\.[?*+]?|\(.*\)|.[?*]|[^a-z0-9 /-]", bare)
+        best = max(pieces, key=len)
+        if len(best) < 2:
+            return None
+        out.append(best)
+    return out
+
+
+def found(low: Column, pattern: str) -> Column:
+    """Whether a pattern is in a lower-cased text: a search for its literals goes before the regular expression."""
+    hit, literal = low.rlike(f"(?i){pattern}"), needles(pattern)
+    if not literal:
+        return hit
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in literal]) & hit
+
+
 def labels(text: Column, table: dict[str, str]) -> Column:
-    """Names whose pattern is found, in table order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(f"(?i){p}"), F.lit(n)) for n, p in table.items()]))
+    """Names whose pattern is found, in table order (X05). The text is lower-cased once, as a lambda's variable."""
+    return F.transform(F.array(F.lower(text)), lambda low: F.array_compact(F.array(*[F.when(found(low, p), F.lit(n)) for n, p in table.items()])))[0]
 
 
 def difficulty(text: Column, category: Column) -> Column:
