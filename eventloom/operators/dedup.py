@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,7 +69,7 @@ def cluster_exact(df: DataFrame, order: str) -> DataFrame:
     rows than a task should, use cluster_blocked."""
     k = keyed(df).select(order, "start_date", "_title", "_url", "_city")
 
-    def greedy(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def greedy(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
         groups: list[list] = []
         out = []

@@ -110,7 +110,7 @@ def resolve_exact(raw: DataFrame, aliases: dict[str, dict[str, str]], threshold:
     ship(raw.sparkSession)
     names = raw.withColumn("norm", normalize_name(F.col("raw")))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         known = aliases.get(key[0], {})
         seen: dict[str, str] = {}
         out = []
