@@ -15,6 +15,8 @@ longer lists, which large groups of near copies make,
 2. classes are then compared with their list neighbours of other components;
 3. at last, every pair of entries of one list whose components still differ is compared, so no
    link between different components is missed; pairs inside a component are answered already.
+   Each class's overlap with the centre of the list's largest component is computed first: it
+   bounds the overlap of any two of them, and pairs that cannot reach the threshold are not made.
 Pairs are first held against histograms of the two sets, which bound their overlap from above;
 no pair is tested twice. When one set is compared with several sets in a row, the overlap with the
 next is computed from that with the last by the tokens in which the two differ.
@@ -195,6 +197,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
 
+def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = [len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True)) for x, y in zip(b.column("set_u").to_pylist(), b.column("set_v").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(n, pa.int64())], names=["u", "v", "o"])
+
+
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of neighbouring entries of a list (sorted by token, size, position) that pass the bounds and differ in component."""
     carry = None
@@ -287,8 +295,15 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         entries = stage(with_comp(long).withColumn("block", size_block()), "jaccard-entries")
         per = entries.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1").select("tok", F.col("top.comp").alias("main"))
         mixed = entries.join(per, "tok")
+        # Every class of such a list is compared once with the centre of its largest component; what
+        # two classes share is bounded by what each shares with the centre and has besides it.
+        to_centre = mixed.select(F.col("cid").alias("u"), F.col("main").alias("v")).distinct()
+        shared_with = stage(to_centre.join(side(whole, "v"), "v").join(side(whole, "u"), "u").mapInArrow(_overlaps, "u long, v long, o long"), "jaccard-centres")
+        mixed = stage(mixed.join(shared_with.select(F.col("u").alias("cid"), F.col("v").alias("main"), "o"), ["cid", "main"]), "jaccard-mixed")
         few = mixed.filter("comp <> main").withColumn("block", F.explode(blocks_near()))
-        add(meet(few.alias("a"), mixed.alias("b"), "a.comp <> b.comp and (b.comp = b.main or a.cid < b.cid)"))
+        most = "(least(a.o, b.o) + least(a.n - a.o, b.n - b.o))"
+        rule = f"a.comp <> b.comp and (b.comp = b.main or a.cid < b.cid) and 100 * {most} >= {PERCENT} * (a.n + b.n - {most})"
+        add(meet(few.alias("a"), mixed.alias("b"), rule))
     # Pairs of short lists whose components still differ.
     apart = with_comp(with_comp(near, "u").withColumnRenamed("comp", "cu"), "v").filter("cu <> comp").select("u", "v")
     links = links.union(stage(verified(apart), "jaccard-links"))
