@@ -10,13 +10,13 @@ which the required overlap can still be reached.
 
 Answers are derived where sets are close. The entries of short lists are paired in full; in
 longer lists, which large groups of near copies make,
-1. each class is compared with its neighbour in its longest list only; verified links make
-   components, and a whole group of near copies is one component after that;
-2. classes are then compared with their list neighbours of other components;
+1. each class is compared with its neighbour in its longest list; verified links make components;
+2. each class of a list is compared with the centre of the list's largest component, which links
+   what is around it: a whole group of near copies is mostly one component after that;
 3. at last, every pair of entries of one list whose components still differ is compared, so no
    link between different components is missed; pairs inside a component are answered already.
-   Each class's overlap with the centre of the list's largest component is computed first: it
-   bounds the overlap of any two of them, and pairs that cannot reach the threshold are not made.
+   The overlaps with the centre bound the overlap of any two entries, and pairs that cannot
+   reach the threshold are not made.
 Pairs are first held against histograms of the two sets, which bound their overlap from above;
 no pair is tested twice. When one set is compared with several sets in a row, the overlap with the
 next is computed from that with the last by the tokens in which the two differ.
@@ -290,16 +290,22 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if long.limit(1).count():
         top = long.groupBy("cid").agg(F.max(F.struct("length", "tok")).alias("top"))
         add(neighbours(with_comp(long.join(top, "cid").filter("tok = top.tok").drop("top"))))
-        add(neighbours(with_comp(long)))
-        # The rest of each long list: entries outside its largest component, against all of other components.
-        entries = stage(with_comp(long).withColumn("block", size_block()), "jaccard-entries")
-        per = entries.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1").select("tok", F.col("top.comp").alias("main"))
-        mixed = entries.join(per, "tok")
-        # Every class of such a list is compared once with the centre of its largest component; what
-        # two classes share is bounded by what each shares with the centre and has besides it.
-        to_centre = mixed.select(F.col("cid").alias("u"), F.col("main").alias("v")).distinct()
-        shared_with = stage(to_centre.join(side(whole, "v"), "v").join(side(whole, "u"), "u").mapInArrow(_overlaps, "u long, v long, o long"), "jaccard-centres")
-        mixed = stage(mixed.join(shared_with.select(F.col("u").alias("cid"), F.col("v").alias("main"), "o"), ["cid", "main"]), "jaccard-mixed")
+        # Every class of a list is compared once with the centre of the list's largest component. That
+        # links the classes around a centre, and bounds what two others can share: what each shares
+        # with the centre, and what each has besides it.
+        entries = with_comp(long)
+        largest = entries.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1")
+        mixed = stage(entries.join(largest.select("tok", F.col("top.comp").alias("centre")), "tok"), "jaccard-entries")
+        to_centre = mixed.filter("cid <> centre").select(F.col("cid").alias("u"), F.col("centre").alias("v")).distinct()
+        shared_with = stage(to_centre.join(side(whole, "v"), "v").join(side(whole, "u"), "u").select("u", "v", "set_u", "set_v").mapInArrow(_overlaps, "u long, v long, o long"), "jaccard-centres")
+        sizes = shared_with.join(side(small.select("cid", "n"), "u"), "u").join(side(small.select("cid", "n"), "v"), "v")
+        links = links.union(stage(sizes.filter(f"100 * o >= {PERCENT} * (n_u + n_v - o)").select("u", "v"), "jaccard-links"))
+        comps = stage(components(links), "jaccard-comps")
+        # The rest of each list: entries outside its largest component, against all of other components.
+        mixed = with_comp(mixed.drop("comp")).join(shared_with.select(F.col("u").alias("cid"), F.col("v").alias("centre"), "o"), ["cid", "centre"], "left").withColumn("o", F.coalesce("o", "n"))
+        mixed = stage(mixed.withColumn("block", size_block()), "jaccard-mixed")
+        per = mixed.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1").select("tok", F.col("top.comp").alias("main"))
+        mixed = mixed.join(per, "tok")
         few = mixed.filter("comp <> main").withColumn("block", F.explode(blocks_near()))
         most = "(least(a.o, b.o) + least(a.n - a.o, b.n - b.o))"
         rule = f"a.comp <> b.comp and (b.comp = b.main or a.cid < b.cid) and 100 * {most} >= {PERCENT} * (a.n + b.n - {most})"
