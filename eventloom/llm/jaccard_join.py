@@ -1,8 +1,8 @@
 """N-gram Jaccard join by set relations: block-skipping index lists, and answers derived from
 those of highly similar sets.
 
-A document's set is its distinct 3-word shingles. Documents of one set form a class, and only
-classes take part in the join (copies are never paired). The tokens of a class are ordered rare
+A document's set is its distinct shingles, of three words in op7 and of five in the pipeline's near
+stage, which link from similarity 0.9 and 0.8 on. Documents of one set form a class, and only classes take part in the join (copies are never paired). The tokens of a class are ordered rare
 first, by a counting sketch over all documents, and its first tokens (the prefix that any set in
 reach must share) enter index lists. A list is ordered by set size and position and cut in
 blocks of like size; an entry meets only blocks whose sizes fit, and in them only positions at
@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import U64, blocks, flat, gram_hash, lower_az, mix, prepare, span_hash, stage, words
 from eventloom.llm.components import components
 
+#: Words of a shingle and least similarity in per cent, by default.
 SHINGLE, PERCENT = 3, 90
 #: Counters of the sketch that orders tokens (fixed size, filled from all documents).
 SKETCH_BITS, SLICE = 20, 4096
@@ -50,18 +51,18 @@ SKETCH_BITS, SLICE = 20, 4096
 SHORT_LIST = 64
 
 
-def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and hash of every shingle, in text order; a shorter text has one of all its words."""
     n = len(offs) - 1
     low = lower_az(data)
     s, e, first = words(low, offs)
     unit = span_hash(low, s, e)
     count = np.diff(first)
-    row = np.repeat(np.arange(n), np.maximum(count - SHINGLE + 1, 0))
-    at = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(count - SHINGLE + 1, 0)) - np.maximum(count - SHINGLE + 1, 0), np.maximum(count - SHINGLE + 1, 0)) + first[row]
-    grams = gram_hash(unit, SHINGLE)
+    row = np.repeat(np.arange(n), np.maximum(count - size + 1, 0))
+    at = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(count - size + 1, 0)) - np.maximum(count - size + 1, 0), np.maximum(count - size + 1, 0)) + first[row]
+    grams = gram_hash(unit, size)
     rows, hashes = [row], [grams[at]]
-    for k in range(1, SHINGLE):
+    for k in range(1, size):
         few = np.flatnonzero(count == k)
         if len(few):
             rows.append(few)
@@ -69,9 +70,9 @@ def shingles(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(rows), np.concatenate(hashes)
 
 
-def sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sets(data: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct shingles of each row: hashes, sizes, and where each row begins."""
-    r, h = shingles(data, offs)
+    r, h = shingles(data, offs, shingle)
     o = np.lexsort((h, r))
     r, h = r[o], h[o]
     new = np.ones(len(r), bool)
@@ -87,12 +88,12 @@ def digests(h: np.ndarray, begin: np.ndarray) -> list[str | None]:
     return [f"{x:016x}{y:016x}" if n else None for x, y, n in zip(one, two, np.diff(begin).tolist(), strict=True)]
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SKETCH_BITS, np.int64)
     for b in batches:
         data, offs = flat(b.column(0))
         for i, j in blocks(offs):
-            _, h = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            _, h = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
             total += np.bincount((h >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
     at = [k for k in range(0, len(total), SLICE) if total[k : k + SLICE].any()]
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[k : k + SLICE].astype(np.uint32).tobytes() for k in at], pa.binary())], names=["at", "counts"])
@@ -104,25 +105,25 @@ def _sum(t: pa.Table) -> pa.Table:
     return pa.table({"at": pa.array([t.column("at")[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
 
-def sketch(docs: DataFrame) -> np.ndarray:
+def sketch(docs: DataFrame, shingle: int) -> np.ndarray:
     """Counts of hashed shingles over all documents; its size is fixed."""
-    parts = docs.select("text").mapInArrow(_sketch, "at int, counts binary").groupBy("at").applyInArrow(_sum, "at int, counts binary")
+    parts = docs.select("text").mapInArrow(partial(_sketch, shingle=shingle), "at int, counts binary").groupBy("at").applyInArrow(_sum, "at int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
     for r in parts.collect():
         out[r.at : r.at + SLICE] = np.frombuffer(r.counts, np.uint32)
     return out
 
 
-def _index(batches: Iterator[pa.RecordBatch], order) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], order, shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
     freq = order.value
     for b in batches:
         data, offs = flat(b.column(1))
         for i, j in blocks(offs):
-            h, size, begin = sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            h, size, begin = sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
             r = np.repeat(np.arange(j - i), size)
             o = np.lexsort((h, freq[(h >> U64(64 - SKETCH_BITS)).astype(np.int64)], r))
             rank = np.arange(len(h)) - begin[r]
-            prefix = size - -(-PERCENT * size // 100) + 1
+            prefix = size - -(-percent * size // 100) + 1
             first = rank < prefix[r]
             tok = h[o][first].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.where(size > 0, prefix, 0))]).astype(np.int32)
@@ -130,11 +131,11 @@ def _index(batches: Iterator[pa.RecordBatch], order) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(digests(h, begin), pa.string()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tok, pa.int64())), pa.array(hist, pa.binary())], names=["doc_id", "mark", "class", "n", "tokens", "hist"])
 
 
-def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets_of(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offs = flat(b.column(1))
         for i, j in blocks(offs):
-            h, _, begin = sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+            h, _, begin = sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
             own = [h[x:y] for x, y in zip(begin[:-1], begin[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in own], pa.binary())], names=["cid", "set"])
 
@@ -146,7 +147,7 @@ def histogram(h: np.ndarray) -> bytes | None:
     return count.astype(np.uint8).tobytes() if count.max(initial=0) < 256 else None
 
 
-def _reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reachable(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs that may be linked: two sets share no more tokens of a bin than the one with fewer has in it."""
     for b in batches:
         keep = []
@@ -155,16 +156,16 @@ def _reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if x is not None and y is not None:
                 x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
                 short = min(len(x), len(y))  # bins are powers of two: the finer ones are summed
-                ok = linked(int(np.minimum(x.reshape(short, -1).sum(1), y.reshape(short, -1).sum(1)).sum()), n, m)
+                ok = linked(int(np.minimum(x.reshape(short, -1).sum(1), y.reshape(short, -1).sum(1)).sum()), n, m, percent)
             keep.append(ok)
         yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def linked(overlap: int, a: int, b: int) -> bool:
-    return 100 * overlap >= PERCENT * (a + b - overlap)
+def linked(overlap: int, a: int, b: int, percent: int) -> bool:
+    return 100 * overlap >= percent * (a + b - overlap)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Overlaps of pairs sorted by their first class. A pair that shares it with the pair before is
     answered from that pair's overlap: less the probe's tokens that only the last set had, plus
     those that only this one has."""
@@ -191,7 +192,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gained = int((y[at] == changed).sum())
                 overlap += 2 * gained - len(changed)
             last = y
-            if linked(overlap, len(probe), len(y)):
+            if linked(overlap, len(probe), len(y), percent):
                 us.append(u)
                 vs.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
@@ -203,7 +204,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(n, pa.int64())], names=["u", "v", "o"])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of neighbouring entries of a list (sorted by token, size, position) that pass the bounds and differ in component."""
     carry = None
     for b in batches:
@@ -215,26 +216,27 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         tok, n, pos, cid, comp = (t.column(c).to_numpy() for c in ("tok", "n", "pos", "cid", "comp"))
         a, z = n[:-1], n[1:]
-        need = -(-PERCENT * (a + z) // (100 + PERCENT))
-        ok = (tok[1:] == tok[:-1]) & (100 * a >= PERCENT * z) & (np.minimum(a - pos[:-1], z - pos[1:]) >= need) & (comp[1:] != comp[:-1])
+        need = -(-percent * (a + z) // (100 + percent))
+        ok = (tok[1:] == tok[:-1]) & (100 * a >= percent * z) & (np.minimum(a - pos[:-1], z - pos[1:]) >= need) & (comp[1:] != comp[:-1])
         x, y = cid[:-1][ok], cid[1:][ok]
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["u", "v"])
 
 
-def fits(a: str, b: str):
+def fits(a: str, b: str, percent: int):
     """SQL of the size and position bounds between entries a and b of one list."""
-    need = f"ceil({PERCENT} * ({a}.n + {b}.n) / {100 + PERCENT}.0)"
-    return f"100 * least({a}.n, {b}.n) >= {PERCENT} * greatest({a}.n, {b}.n) and least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need}"
+    need = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent}.0)"
+    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need}"
 
 
-def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n, class) and (class, comp: smallest doc_id reachable, for classes with a set)."""
+def classes_and_components(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, n, class) and (class, comp: smallest doc_id reachable, for classes with a set), by
+    shingles of so many words and links of so many per cent (below 100) or more."""
     spark = docs.sparkSession
     prepare(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("mark"))
-    order = spark.sparkContext.broadcast(sketch(src))
-    rows = stage(src.mapInArrow(partial(_index, order=order), "doc_id long, mark long, class string, n long, tokens array<long>, hist binary"), "jaccard-rows")
+    order = spark.sparkContext.broadcast(sketch(src, shingle))
+    rows = stage(src.mapInArrow(partial(_index, order=order, shingle=shingle, percent=percent), "doc_id long, mark long, class string, n long, tokens array<long>, hist binary"), "jaccard-rows")
     per = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").alias("d"), F.col("mark").alias("m"))).alias("row"), F.first(F.struct("n", "tokens", "hist")).alias("x"))
     # Once written, a class keeps the number that it got.
     classes = stage(per.select("class", "rep", "row", "x.*", F.monotonically_increasing_id().alias("cid")), "jaccard-classes")
@@ -249,17 +251,17 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def reachable(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side(small, "v"), "v").join(side(small, "u"), "u").select("u", "v", "hist_u", "hist_v", "n_u", "n_v")
-        return both.mapInArrow(_reachable, "u long, v long")
+        return both.mapInArrow(partial(_reachable, percent=percent), "u long, v long")
 
     # Short lists are paired in full at once: at most SHORT_LIST / 2 pairs an entry.
-    short = lists.filter(F.col("length") <= SHORT_LIST).withColumn("block", size_block())
-    met = meet(short.withColumn("block", F.explode(blocks_near())).alias("a"), short.alias("b"), "a.cid < b.cid")
+    short = lists.filter(F.col("length") <= SHORT_LIST).withColumn("block", size_block(percent))
+    met = meet(short.withColumn("block", F.explode(blocks_near())).alias("a"), short.alias("b"), "a.cid < b.cid", percent)
     near = stage(reachable(met), "jaccard-near")
     long = stage(lists.filter(F.col("length") > SHORT_LIST), "jaccard-long")
     listed = near.select(F.col("u").alias("cid")).union(near.select("v")).union(long.select("cid")).distinct()
     wanted = classes.join(listed, "cid", "left_semi").select("cid", F.col("row.d").alias("d"), F.col("row.m").alias("m"))
     texts = src.join(wanted.hint("shuffle_hash"), src["doc_id"].eqNullSafe(wanted["d"]) & src["mark"].eqNullSafe(wanted["m"])).dropDuplicates(["cid"]).select("cid", "text")
-    whole = stage(texts.mapInArrow(_sets_of, "cid long, set binary"), "jaccard-sets")
+    whole = stage(texts.mapInArrow(partial(_sets_of, shingle=shingle), "cid long, set binary"), "jaccard-sets")
 
     none = spark.createDataFrame([], "u long, v long")
     links, tested, comps = none, none, None
@@ -267,7 +269,7 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs."""
         both = pairs.join(side(whole, "v"), "v").join(side(whole, "u"), "u")
-        return both.sortWithinPartitions("u", "v").select("u", "v", "set_u", "set_v").mapInArrow(_verify, "u long, v long")
+        return both.sortWithinPartitions("u", "v").select("u", "v", "set_u", "set_v").mapInArrow(partial(_verify, percent=percent), "u long, v long")
 
     def with_comp(entries: DataFrame, key: str = "cid") -> DataFrame:
         if comps is None:
@@ -277,7 +279,7 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def neighbours(entries: DataFrame) -> DataFrame:
         # A long list spans many partitions: size, position and class take part in the splitters.
         by = ("tok", "n", "pos", "cid")
-        return entries.repartitionByRange(n_parts, *by).sortWithinPartitions(*by).select(*by, "comp").mapInArrow(_neighbours, "u long, v long")
+        return entries.repartitionByRange(n_parts, *by).sortWithinPartitions(*by).select(*by, "comp").mapInArrow(partial(_neighbours, percent=percent), "u long, v long")
 
     def add(pairs: DataFrame) -> None:
         """Links among the pairs that have not been tested, and what they join."""
@@ -299,17 +301,17 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         to_centre = mixed.filter("cid <> centre").select(F.col("cid").alias("u"), F.col("centre").alias("v")).distinct()
         shared_with = stage(to_centre.join(side(whole, "v"), "v").join(side(whole, "u"), "u").select("u", "v", "set_u", "set_v").mapInArrow(_overlaps, "u long, v long, o long"), "jaccard-centres")
         sizes = shared_with.join(side(small.select("cid", "n"), "u"), "u").join(side(small.select("cid", "n"), "v"), "v")
-        links = links.union(stage(sizes.filter(f"100 * o >= {PERCENT} * (n_u + n_v - o)").select("u", "v"), "jaccard-links"))
+        links = links.union(stage(sizes.filter(f"100 * o >= {percent} * (n_u + n_v - o)").select("u", "v"), "jaccard-links"))
         comps = stage(components(links), "jaccard-comps")
         # The rest of each list: entries outside its largest component, against all of other components.
         mixed = with_comp(mixed.drop("comp")).join(shared_with.select(F.col("u").alias("cid"), F.col("v").alias("centre"), "o"), ["cid", "centre"], "left").withColumn("o", F.coalesce("o", "n"))
-        mixed = stage(mixed.withColumn("block", size_block()), "jaccard-mixed")
+        mixed = stage(mixed.withColumn("block", size_block(percent)), "jaccard-mixed")
         per = mixed.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1").select("tok", F.col("top.comp").alias("main"))
         mixed = mixed.join(per, "tok")
         few = mixed.filter("comp <> main").withColumn("block", F.explode(blocks_near()))
         most = "(least(a.o, b.o) + least(a.n - a.o, b.n - b.o))"
-        rule = f"a.comp <> b.comp and (b.comp = b.main or a.cid < b.cid) and 100 * {most} >= {PERCENT} * (a.n + b.n - {most})"
-        add(meet(few.alias("a"), mixed.alias("b"), rule))
+        rule = f"a.comp <> b.comp and (b.comp = b.main or a.cid < b.cid) and 100 * {most} >= {percent} * (a.n + b.n - {most})"
+        add(meet(few.alias("a"), mixed.alias("b"), rule, percent))
     # Pairs of short lists whose components still differ.
     apart = with_comp(with_comp(near, "u").withColumnRenamed("comp", "cu"), "v").filter("cu <> comp").select("u", "v")
     links = links.union(stage(verified(apart), "jaccard-links"))
@@ -320,31 +322,31 @@ def classes_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "mark", "n", "class"), rooted.join(smallest, "root").select("class", "root", "comp")
 
 
-def size_block():
-    return F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)))
+def size_block(percent: int):
+    return F.floor(F.log("n") / F.log(F.lit(100 / percent)))
 
 
 def blocks_near():
     return F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)
 
 
-def meet(a: DataFrame, b: DataFrame, rule: str) -> DataFrame:
+def meet(a: DataFrame, b: DataFrame, rule: str, percent: int) -> DataFrame:
     """Distinct pairs of entries of one list in near blocks that pass the bounds and the rule."""
-    pairs = a.join(b, F.expr(f"a.tok = b.tok and a.block = b.block and {rule} and {fits('a', 'b')}"))
+    pairs = a.join(b, F.expr(f"a.tok = b.tok and a.block = b.block and {rule} and {fits('a', 'b', percent)}"))
     return pairs.select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    rows, comp = classes_and_components(docs)
+    rows, comp = classes_and_components(docs, SHINGLE, PERCENT)
     full = rows.filter("class is not null").select("doc_id", "n", "class").join(comp, "class").select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
     return full.union(rows.filter("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Of each component, the row with the smallest doc_id stays (of several, the one whose text's hash is
     smallest), with all its columns; rows without words stay. Rows repeated whole stay or go together."""
-    rows, comp = classes_and_components(docs)
+    rows, comp = classes_and_components(docs, shingle, percent)
     key = F.struct(F.col("doc_id").alias("d"), F.col("mark").alias("m"))
     # A component is named by its class, not by its doc_id, which other texts may carry too.
     first = rows.join(comp, "class").groupBy("root").agg(F.min(F.when(F.col("doc_id").isNotNull(), key)).alias("k"), F.min(key).alias("any")).select(F.coalesce("k", "any").alias("k"))

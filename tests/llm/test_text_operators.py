@@ -124,6 +124,43 @@ def test_near_dedup_of_shared_ids(spark):
     assert got == {(1, base), (2, "quite another text under the same id"), (3, ""), (None, "no id here at all")}
 
 
+def brute_near(rows, shingle, percent):
+    """doc_ids that stay: the smallest of each component."""
+    sets = []
+    for _, t in rows:
+        w = WORD.findall((t or "").translate(LOW))
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    root = {d: d for d, _ in rows}
+    for i, (a, _) in enumerate(rows):
+        for j, (b, _) in enumerate(rows[:i]):
+            o = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * o >= percent * (len(sets[i]) + len(sets[j]) - o) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    return sorted(d for d, r in root.items() if d == r)
+
+
+@pytest.mark.parametrize("short", [64, 2])
+def test_near_stage_by_five_words_and_80_per_cent(spark, corpus, monkeypatch, short):
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)
+    rng = random.Random(12)
+    rows = [r for r in corpus if r[0] not in (None, 406)]
+    for g in range(8):  # copies with spread changes: five-word similarity on either side of 0.8, three-word below 0.9
+        w = [f"g{g}w{rng.randrange(10**6)}" for _ in range(230)]
+        rows.append((1000 + 10 * g, " ".join(w)))
+        for k in (4, 5, 6):
+            c = list(w)
+            for at in range(20, 20 + 35 * k, 35):
+                c[at] = f"changed{g}{k}{at}"
+            rows.append((1000 + 10 * g + k, " ".join(c)))
+    rows += [(2000, "one two three four"), (2001, "ONE two three four"), (2002, "two three four")]
+    got = sorted(r.doc_id for r in corpus_pipeline.near_stage(spark, docs(spark, rows), "").collect())
+    assert got == brute_near(rows, 5, 80)
+    assert brute_near(rows, 5, 80) != brute_near(rows, 3, 90)
+
+
 def test_exact_dedup_over_partition_borders(spark):
     rows = [(i, "Same text" if i % 3 else f"own {i}") for i in range(3000)]
     got = exact_dedup.exact_dedup(docs(spark, rows)).filter("group_size > 1").agg({"group_size": "max", "keep_id": "max", "doc_id": "count"}).first()
