@@ -12,7 +12,7 @@ documents pass by it, so a benchmark of any size is compared in full.
 
 Defined results: items of fewer than MIN_WORDS words (or null) are too short to be evidence and
 match nothing; null texts are empty and contain nothing; repeated items are reported by each of
-their ids; repeated rows are judged alike; a null item_id is reported as -1; an empty table gives no rows; columns
+their ids, each once; repeated rows are judged alike; a null item_id is reported as -1; an empty table gives no rows; columns
 other than doc_id, text and item_id, text are ignored.
 """
 
@@ -175,12 +175,13 @@ def _search(batches: Iterator[pa.RecordBatch], part, at: int) -> Iterator[list[l
         found: list[list[int]] = []
         for i, j in blocks(offs, 1 << 20):
             found += index.search(*squeezed(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
-        yield b, [sorted(index.ids[k] for k in f) for f in found]
+        yield b, [sorted({index.ids[k] for k in f}) for f in found]
 
 
 def _report(batches: Iterator[pa.RecordBatch], part) -> Iterator[pa.RecordBatch]:
     for b, found in _search(batches, part, 1):
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "items"])
+        names = [n for n in b.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(found, pa.list_(pa.int64()))], names=[*names, "items"])
 
 
 def _clean(batches: Iterator[pa.RecordBatch], part, at: int) -> Iterator[pa.RecordBatch]:
@@ -206,18 +207,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, items (sorted ids of the items found) of every row."""
     prepare(docs.sparkSession)
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    ddl = "doc_id long, items array<long>"
     every = parts(benchmark)
     if len(every) == 1:
-        found = src.mapInArrow(partial(_report, part=every[0]), ddl)
-    else:  # rows are told apart by their text's hash when the parts' answers meet
+        found = src.mapInArrow(partial(_report, part=every[0]), "doc_id long, items array<long>")
+    else:  # rows are told apart by doc_id and their text's hash when the parts' answers meet
         keyed = src.withColumn("mark", F.xxhash64("text"))
         out = None
         for p in every:
-            one = keyed.drop("mark").mapInArrow(partial(_report, part=p), ddl).filter(F.size("items") > 0)
+            one = keyed.mapInArrow(partial(_report, part=p), "doc_id long, mark long, items array<long>").filter(F.size("items") > 0)
             out = one if out is None else out.union(one)
-        merged = out.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumnRenamed("doc_id", "d")
-        found = src.select("doc_id").join(merged, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+        merged = out.groupBy("doc_id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "items")
+        found = keyed.select("doc_id", "mark").join(merged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select("doc_id", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items")
 
 

@@ -345,6 +345,19 @@ def test_decontamination_in_parts(spark, monkeypatch):
     assert got == {1: [1, 2], 2: [2], 3: []}
 
 
+@pytest.mark.parametrize("size", [10, 4 << 20])
+def test_decontamination_in_parts_of_null_and_shared_ids(spark, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "PART_BYTES", size)
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    bench = spark.createDataFrame([(1, a), (2, b), (2, b + " eight"), (None, a), (None, b)], "item_id long, text string")
+    both = f"{a} x {b} eight"
+    rows = [(None, a), (None, b), (None, "clean"), (None, None), (5, a), (5, "clean"), (5, both), (5, both), (6, "")]
+    got = [(r.doc_id, r.contaminated, r.n_items, r["items"]) for r in decontaminate.contamination(docs(spark, rows), bench).collect()]
+    items = {a: [-1, 1], b: [-1, 2], both: [-1, 1, 2]}
+    want = [(d, t in items, len(items.get(t, [])), items.get(t, [])) for d, t in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def test_empty_table(spark):
     d = docs(spark, [])
     bench = spark.createDataFrame([], "item_id long, text string")
