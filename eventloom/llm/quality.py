@@ -11,8 +11,9 @@ The model is fitted on a bounded, hash-ordered sample of labelled rows (TRAIN_RO
 reads every whole text.
 
 Defined results: a null text scores as the empty text; null labels and labels outside 0/1 are
-not learned from; a label row repeated for a doc_id counts once (smallest label); without labels
-of both classes every score is the share of label 1 (0.5 without any); a null doc_id is never
+not learned from; a label row repeated for a doc_id counts once (smallest label); with fewer than
+MIN_LABELS usable labels, or without both classes among them, nothing is learned: every score is the
+share of label 1 (0.5 without any), and quality_filter keeps all rows; a null doc_id is never
 learned from and has held_out false; only doc_id and text are read, other columns are ignored.
 """
 
@@ -30,6 +31,8 @@ from eventloom.llm.common import U64, blocks, crc_mod, flat, lower_az, prepare,
 
 #: Labelled rows that the model is fitted on: the first by a hash of doc_id. A documented bound.
 TRAIN_ROWS = 4000
+#: Labelled texts below which no model is fitted.
+MIN_LABELS = 20
 BUCKETS, SHAPES, DIM, HIDDEN, SEED = 4096, 288, 64, 32, 7
 THRESHOLD = 0.7
 
@@ -99,7 +102,7 @@ def pooled(data: np.ndarray, offs: np.ndarray, tables: tuple[np.ndarray, np.ndar
 def fit(texts: pa.Array, label: np.ndarray) -> dict:
     """Two layers by Adam on four fifths of the sample, then one temperature on the rest."""
     share = float(label.mean()) if len(label) else 0.5
-    if len(label) < 20 or share in (0.0, 1.0):
+    if len(label) < MIN_LABELS or share in (0.0, 1.0):
         return {"share": share}
     rng = np.random.default_rng(SEED)
     data, offs = flat(texts)
@@ -179,7 +182,10 @@ def _keep(batches: Iterator[pa.RecordBatch], model, at: int, threshold: float) -
 
 
 def quality_filter(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose text scores at least the threshold, with all their columns, in one pass."""
+    """The rows whose text scores at least the threshold, with all their columns, in one pass;
+    all rows where the model has learned nothing."""
+    if "net" not in model:
+        return docs
     prepare(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(partial(_keep, model=shipped, at=docs.columns.index("text"), threshold=threshold), docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from eventloom.llm.common import U64, blocks, flat, lower_az, prepare, span_hash
-from eventloom.llm.quality import sample
+from eventloom.llm.quality import MIN_LABELS, sample
 
 TRAIN_ROWS, KEPT, LEAST, THRESHOLD = 6000, 3000, 4, 0.5
 #: Weight of the squared score change of a swapped sentence.
@@ -96,7 +96,7 @@ def swapped(texts: list[str], most: int) -> tuple[list[int], list[str]]:
 
 def fit(texts: pa.Array, label: np.ndarray) -> dict:
     share = float(label.mean()) if len(label) else 0.5
-    if len(label) < 20 or share in (0.0, 1.0):
+    if len(label) < MIN_LABELS or share in (0.0, 1.0):
         return {"share": share}
     n = len(label)
     data, offs = flat(texts)

@@ -290,6 +290,13 @@ def test_no_labels(spark):
     assert quality.quality(d, quality.quality_model(d, lb)).first().score == 0.5
 
 
+@pytest.mark.parametrize("labels", [[], [(1, 0, 0)], [(i, int(i > 15), 0) for i in range(19)], [(i, 0, 0) for i in range(40)]])
+def test_quality_filter_keeps_all_where_nothing_was_learned(spark, labels):
+    d = docs(spark, [(i, f"clean text number {i}") for i in range(40)] + [(None, None)])
+    lb = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert quality.quality_filter(d, quality.quality_model(d, lb)).count() == 41
+
+
 def test_language(spark):
     rng = random.Random(6)
     kinds = {"aa": "abcde", "bb": "vwxyz"}
