@@ -10,8 +10,11 @@ banded alignment of the item with the region.
 The items are taken in parts of at most PART_BYTES; each part is sent to the executors and all
 documents pass by it, so a benchmark of any size is compared in full.
 
-Defined results: items of fewer than MIN_WORDS words (or null) are too short to be evidence and
-match nothing; null texts are empty and contain nothing; repeated items are reported by each of
+An item is found as a whole: a text that quotes only a part of it, however long and true to the word,
+does not contain it.
+
+Defined results: items of both fewer than MIN_WORDS words and fewer than MIN_BYTES bytes (or of
+fewer than Q bytes, or null) are too short to be evidence and match nothing; null texts are empty and contain nothing; repeated items are reported by each of
 their ids, each once; repeated rows are judged alike; a null item_id is reported as -1; an empty table gives no rows; columns
 other than doc_id, text and item_id, text are ignored.
 """
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import U64, blocks, flat, prepare
 
-Q, EDIT_SHARE, MIN_WORDS, PART_BYTES = 8, 0.1, 5, 4 << 20
+Q, EDIT_SHARE, MIN_WORDS, MIN_BYTES, PART_BYTES = 8, 0.1, 5, 24, 4 << 20
 _SIEVE_BITS = 22
 
 
@@ -75,7 +78,8 @@ class Items:
         self.ids, self.texts = [], []
         for i, t in rows:
             x = squeezed(*flat(lowered(pa.array([t]))))[0].tobytes().strip()
-            if x.count(b" ") + 1 >= MIN_WORDS and len(x) >= Q:
+            # Scripts without spaces have few words: their items are evidence by their bytes.
+            if (x.count(b" ") + 1 >= MIN_WORDS or len(x) >= MIN_BYTES) and len(x) >= Q:
                 self.ids.append(i)
                 self.texts.append(np.frombuffer(x, np.uint8))
         self.size = np.array([len(t) for t in self.texts], np.int64)

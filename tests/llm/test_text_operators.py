@@ -352,6 +352,14 @@ def test_decontamination_in_parts(spark, monkeypatch):
     assert got == {1: [1, 2], 2: [2], 3: []}
 
 
+def test_decontamination_of_items_with_few_spaces(spark):
+    item = "東京都の人口は約千四百万人である"
+    bench = spark.createDataFrame([(1, item), (2, "internationalization responsibilities"), (3, "so short"), (4, "a b c d e")], "item_id long, text string")
+    rows = [(1, "前文。" + item + "。後文"), (2, "of Internationalization  responsibilities now"), (3, "so short"), (4, item[:7]), (5, "x a b c d e x"), (6, "別の文章がここにあるだけで何も含まれない")]
+    got = {r.doc_id: r["items"] for r in decontaminate.contamination(docs(spark, rows), bench).collect()}
+    assert got == {1: [1], 2: [2], 3: [], 4: [], 5: [4], 6: []}
+
+
 @pytest.mark.parametrize("size", [10, 4 << 20])
 def test_decontamination_in_parts_of_null_and_shared_ids(spark, monkeypatch, size):
     monkeypatch.setattr(decontaminate, "PART_BYTES", size)
