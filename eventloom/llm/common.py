@@ -124,6 +124,11 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 # --- hashing --------------------------------------------------------------------------
 
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Masks of the first 0..8 bytes of a little-endian number.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+_MOST = (1 << 64) - 1
+#: Spans of up to so many bytes are hashed eight bytes a step; with a longer one, so many pieces of eight bytes at a time.
+SPAN_BYTES, SPAN_PIECES = 256, 1 << 16
 _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -146,20 +151,41 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _P) -> np.ndarray:
-    """64-bit hash of values[start:end] for each span, from one running sum."""
-    up, down = _powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * up[: len(values)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
-
-
-def gram_hash(units: np.ndarray, k: int) -> np.ndarray:
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: tuple[int, ...] = (_P,)) -> list[np.ndarray]:
+    """One 64-bit hash of data[start:end] (bytes) for each span and key.
+
+    Each eight bytes are mixed with their place in the span before they are summed, so no
+    arrangement of letters cancels, as it would in a polynomial modulo a power of two."""
+    size = ends - starts
+    pad = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", pad, 0, (1,))  # the eight bytes from each place on
+    out = [np.zeros(len(starts), U64) for _ in keys]
+    longest = int(size.max(initial=0))
+    if longest <= SPAN_BYTES:  # the next eight bytes of every span that has so many
+        alive = np.arange(len(starts))
+        for o in range(0, longest, 8):
+            alive = alive[size[alive] > o]
+            piece = eight[starts[alive] + o] & _FIRST[np.minimum(size[alive] - o, 8)]
+            for x, key in zip(out, keys, strict=True):
+                x[alive] += mix(piece ^ U64((o // 8 + 1) * key & _MOST))
+    else:  # all pieces of all spans, SPAN_PIECES at a time
+        edge = np.concatenate([[0], np.cumsum(-(-size // 8))])
+        for a in range(0, int(edge[-1]), SPAN_PIECES):
+            at = np.arange(a, min(a + SPAN_PIECES, int(edge[-1])))
+            row = np.searchsorted(edge, at, "right") - 1
+            k = at - edge[row]
+            piece = eight[starts[row] + 8 * k] & _FIRST[np.minimum(size[row] - 8 * k, 8)]
+            for x, key in zip(out, keys, strict=True):
+                np.add.at(x, row, mix(piece ^ (k + 1).astype(U64) * U64(key)))
+    return [mix(x + size.astype(U64)) for x in out]
+
+
+def gram_hash(units: np.ndarray, k: int, base: int = _Q) -> np.ndarray:
     """Hash of each run of k units (64-bit values), for every start at which k units are left."""
     n = len(units) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    up, down = _powers(_Q, len(units) + 1)
+    up, down = _powers(base, len(units) + 1)
     total = np.zeros(len(units) + 1, U64)
     np.cumsum(units * up[: len(units)], out=total[1:])
     return mix((total[k:] - total[: n]) * down[:n])

@@ -1,27 +1,36 @@
-"""N-gram Jaccard join by set relations: block-skipping index lists, and answers derived from
-those of highly similar sets.
+"""N-gram Jaccard join by set relations: index lists skipped by size and position, and answers
+derived from those of a highly similar set.
 
 A document's set is its distinct shingles, of three words in op7 and of five in the pipeline's near
-stage, which link from similarity 0.9 and 0.8 on. Documents of one set form a class, and only classes take part in the join (copies are never paired). The tokens of a class are ordered rare
-first, by a counting sketch over all documents, and its first tokens (the prefix that any set in
-reach must share) enter index lists. A list is ordered by set size and position and cut in
-blocks of like size; an entry meets only blocks whose sizes fit, and in them only positions at
-which the required overlap can still be reached.
-
-Answers are derived where sets are close. The entries of short lists are paired in full; in
-longer lists, which large groups of near copies make,
-1. each class is compared with its neighbour in its longest list; verified links make components;
-2. each class of a list is compared with the centre of the list's largest component, which links
-   what is around it: a whole group of near copies is mostly one component after that;
-3. at last, every pair of entries of one list whose components still differ is compared, so no
-   link between different components is missed; pairs inside a component are answered already.
-   The overlaps with the centre bound the overlap of any two entries, and pairs that cannot
-   reach the threshold are not made.
-Pairs are first held against histograms of the two sets, which bound their overlap from above;
-no pair is tested twice. When one set is compared with several sets in a row, the overlap with the
-next is computed from that with the last by the tokens in which the two differ.
-
-Shingles are 64-bit hashes; classes are 128-bit sums over a set.
+stage, which link from similarity 0.9 and 0.8 on. Documents of one set form a class, and only
+classes take part in the join (copies are never paired).
+
+Index lists. The tokens of a class are ordered rare first, by a counting sketch over all
+documents. Of two sets that link, the one that is closer to the centre (below; at first: the smaller one) has a
+shared token among the few tokens that it enters into index lists, and the other among the more
+tokens that it looks up. A list is ordered by set size, in blocks of one size, and inside a block by how much
+overlap the position still allows. A set looks only into blocks whose sizes fit, and of a block it
+reads only the front: all behind the first entry that cannot reach the needed overlap is skipped.
+
+Set relations. Lists with many entries come from large groups of near copies. Their members are not paired: a
+list names a centre, the member with the fewest rare tokens, and every member is compared with it
+once. That answers the links to the centre. What two members share follows from their differences
+to the centre: with D(A) the tokens that only one of A and the centre has,
+
+    |A ^ B| = |D(A) ^ D(B)|,   and A, B link  <=>  (100+p) |D(A) ^ D(B)| <= (100-p) (|A| + |B|)
+
+(^: tokens in one of the two only). Two members that both link with the centre are joined by it. Any other
+pair must share tokens of D, so the differences are indexed in their turn (the start is the case without a
+centre: D = all tokens), and lists of differences with many entries name centres again. The tokens of D
+are ordered by how many members of the group have them in D, so that what sets the centre apart
+from all others, which every member has, comes last. Lists with many entries after ROUNDS
+rounds are paired in full, less the pairs of one component. No link between different sets is lost.
+
+Candidates from the first lists are held against histograms of the two sets, which bound their
+overlap from above, before the sets are fetched.
+
+Shingles are 64-bit hashes, distinct inside one pair of documents but for a chance of 2^-64 a
+pair; sets are named by sums over two independent hashes of each shingle (128 bits).
 
 Defined results: null and wordless texts have n_shingles 0, link with nothing and are their own
 component; repeated rows are members of one class; a null doc_id is a row of its own class, whose
@@ -47,43 +56,47 @@ from eventloom.llm.components import components
 SHINGLE, PERCENT = 3, 90
 #: Counters of the sketch that orders tokens (fixed size, filled from all documents).
 SKETCH_BITS, SLICE = 20, 4096
-#: Lists of up to so many entries are paired in full; longer ones go by components.
+#: With more entries, the members of a list go by their differences to a centre.
 SHORT_LIST = 64
+#: Look-ups of one list that share a task: with more, the list's entries are copied to further tasks.
+LOOKUPS = 2048
+#: Rounds of centres, and copies of a centre's set that its members are dealt to.
+ROUNDS, SALT = 3, 16
+#: Keys of the two hashes of a word, and bases of those of a run of words.
+KEYS = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
-def shingles(data: np.ndarray, offs: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and hash of every shingle, in text order; a shorter text has one of all its words."""
+def shingles(data: np.ndarray, offs: np.ndarray, size: int, hashes: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Row and hashes of every shingle, in text order; a shorter text has one of all its words."""
     n = len(offs) - 1
     low = lower_az(data)
     s, e, first = words(low, offs)
-    unit = span_hash(low, s, e)
     count = np.diff(first)
-    row = np.repeat(np.arange(n), np.maximum(count - size + 1, 0))
-    at = np.arange(len(row)) - np.repeat(np.cumsum(np.maximum(count - size + 1, 0)) - np.maximum(count - size + 1, 0), np.maximum(count - size + 1, 0)) + first[row]
-    grams = gram_hash(unit, size)
-    rows, hashes = [row], [grams[at]]
-    for k in range(1, size):
-        few = np.flatnonzero(count == k)
-        if len(few):
-            rows.append(few)
-            hashes.append(gram_hash(unit, k)[first[few]] ^ U64(k))
-    return np.concatenate(rows), np.concatenate(hashes)
-
-
-def sets(data: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of each row: hashes, sizes, and where each row begins."""
-    r, h = shingles(data, offs, shingle)
+    own = np.maximum(count - size + 1, 0)
+    row = np.repeat(np.arange(n), own)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(own) - own, own) + first[row]
+    few = [np.flatnonzero(count == k) for k in range(1, size)]
+    out = []
+    for unit, (_, base) in zip(span_hash(low, s, e, tuple(k for k, _ in KEYS[:hashes])), KEYS, strict=False):
+        short = [gram_hash(unit, k, base)[first[f]] ^ U64(k) for k, f in enumerate(few, 1) if len(f)]
+        out.append(np.concatenate([gram_hash(unit, size, base)[at], *short]))
+    return np.concatenate([row, *(f for f in few if len(f))]), out
+
+
+def sets(data: np.ndarray, offs: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingles of each row: hashes, second hashes, sizes, and where each row begins."""
+    r, (h, g) = shingles(data, offs, shingle, 2)
     o = np.lexsort((h, r))
-    r, h = r[o], h[o]
+    r, h, g = r[o], h[o], g[o]
     new = np.ones(len(r), bool)
     new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-    r, h = r[new], h[new]
+    r, h, g = r[new], h[new], g[new]
     size = np.bincount(r, minlength=len(offs) - 1)
-    return h, size, np.concatenate([[0], np.cumsum(size)])
+    return h, g, size, np.concatenate([[0], np.cumsum(size)])
 
 
-def digests(h: np.ndarray, begin: np.ndarray) -> list[str | None]:
-    total = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(h ^ U64(c)), dtype=U64)]) for c in (0x1B56C4E9, 0xA2F9836E4E441529)]
+def digests(h: np.ndarray, g: np.ndarray, begin: np.ndarray) -> list[str | None]:
+    total = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(x ^ U64(c)), dtype=U64)]) for x, c in ((h, 0x1B56C4E9), (g, 0xA2F9836E4E441529))]
     one, two = ((t[begin[1:]] - t[begin[:-1]]).tolist() for t in total)
     return [f"{x:016x}{y:016x}" if n else None for x, y, n in zip(one, two, np.diff(begin).tolist(), strict=True)]
 
@@ -93,7 +106,7 @@ def _sketch(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
     for b in batches:
         data, offs = flat(b.column(0))
         for i, j in blocks(offs):
-            _, h = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
+            _, (h,) = shingles(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
             total += np.bincount((h >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
     at = [k for k in range(0, len(total), SLICE) if total[k : k + SLICE].any()]
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([total[k : k + SLICE].astype(np.uint32).tobytes() for k in at], pa.binary())], names=["at", "counts"])
@@ -119,23 +132,24 @@ def _index(batches: Iterator[pa.RecordBatch], order, shingle: int, percent: int)
     for b in batches:
         data, offs = flat(b.column(1))
         for i, j in blocks(offs):
-            h, size, begin = sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
+            h, g, size, begin = sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
             r = np.repeat(np.arange(j - i), size)
             o = np.lexsort((h, freq[(h >> U64(64 - SKETCH_BITS)).astype(np.int64)], r))
             rank = np.arange(len(h)) - begin[r]
-            prefix = size - -(-percent * size // 100) + 1
+            prefix = size - -(-percent * size // 100) + 1  # looked up
+            entered = size - -(-2 * percent * size // (100 + percent)) + 1
             first = rank < prefix[r]
             tok = h[o][first].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.where(size > 0, prefix, 0))]).astype(np.int32)
             hist = [histogram(h[x:y]) for x, y in zip(begin[:-1], begin[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(digests(h, begin), pa.string()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tok, pa.int64())), pa.array(hist, pa.binary())], names=["doc_id", "mark", "class", "n", "tokens", "hist"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(digests(h, g, begin), pa.string()), pa.array(size, pa.int64()), pa.array(entered, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tok, pa.int64())), pa.array(hist, pa.binary())], names=["doc_id", "mark", "class", "n", "entered", "tokens", "hist"])
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, offs = flat(b.column(1))
         for i, j in blocks(offs):
-            h, _, begin = sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
+            h, _, _, begin = sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
             own = [h[x:y] for x, y in zip(begin[:-1], begin[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([x.tobytes() for x in own], pa.binary())], names=["cid", "set"])
 
@@ -165,67 +179,131 @@ def linked(overlap: int, a: int, b: int, percent: int) -> bool:
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Overlaps of pairs sorted by their first class. A pair that shares it with the pair before is
-    answered from that pair's overlap: less the probe's tokens that only the last set had, plus
-    those that only this one has."""
-    name = probe = last = None
-    overlap = 0
-    for b in batches:
-        us, vs = [], []
-        for u, v, x, y in zip(*(b.column(c).to_pylist() for c in ("u", "v", "set_u", "set_v")), strict=True):
-            y = np.frombuffer(y, U64)
-            if u != name:
-                name, probe, last = u, np.frombuffer(x, U64), None
-            if last is None:
-                overlap = len(np.intersect1d(probe, y, assume_unique=True))
-            else:
-                both = np.sort(np.concatenate([last, y]))  # what is there once is in one of them only
-                once = np.ones(len(both), bool)
-                same = both[1:] == both[:-1]
-                once[1:] &= ~same
-                once[:-1] &= ~same
-                changed = both[once]
-                at = np.minimum(np.searchsorted(probe, changed), len(probe) - 1)
-                changed = changed[probe[at] == changed]
-                at = np.minimum(np.searchsorted(y, changed), len(y) - 1)
-                gained = int((y[at] == changed).sum())
-                overlap += 2 * gained - len(changed)
-            last = y
-            if linked(overlap, len(probe), len(y), percent):
-                us.append(u)
-                vs.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
-
-
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = [len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(y, U64), assume_unique=True)) for x, y in zip(b.column("set_u").to_pylist(), b.column("set_v").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(n, pa.int64())], names=["u", "v", "o"])
+def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of an entry and a look-up of one list that may be linked. Rows g, tok, salt, looks, n, late,
+    need, cid are sorted by all of them: lists, in them the entries before the look-ups, the entries in blocks
+    of one size, in a block those with most room first.
 
-
-def _neighbours(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of neighbouring entries of a list (sorted by token, size, position) that pass the bounds and differ in component."""
+    need is (100+p) d - (100-p) n of the set, and the room -late is (100+p) (d - 2 pos) + (100-p) n: a pair
+    can reach its overlap only if the need of each is at most the room of the other, so a block is read up to
+    the first entry whose room is less than the need of the set that looks."""
     carry = None
     for b in batches:
         t = pa.Table.from_batches([b])
         if carry is not None:
-            t = pa.concat_tables([carry, t])
-        carry = t.slice(t.num_rows - 1)
-        if t.num_rows < 2:
-            continue
-        tok, n, pos, cid, comp = (t.column(c).to_numpy() for c in ("tok", "n", "pos", "cid", "comp"))
-        a, z = n[:-1], n[1:]
-        need = -(-percent * (a + z) // (100 + percent))
-        ok = (tok[1:] == tok[:-1]) & (100 * a >= percent * z) & (np.minimum(a - pos[:-1], z - pos[1:]) >= need) & (comp[1:] != comp[:-1])
-        x, y = cid[:-1][ok], cid[1:][ok]
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["u", "v"])
+            t = pa.concat_tables([carry, t]).combine_chunks()
+        new = np.flatnonzero(_new_list(t)[1:]) + 1
+        last = int(new[-1]) if len(new) else 0
+        carry = t.slice(last)
+        if last:
+            yield from _paired(t.slice(0, last), percent)
+    if carry is not None and carry.num_rows:
+        yield from _paired(carry, percent)
+
+
+def _new_list(t: pa.Table) -> np.ndarray:
+    out = np.ones(t.num_rows, bool)
+    out[1:] = False
+    for c in ("g", "tok", "salt"):
+        x = t.column(c).to_numpy()
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
+def _paired(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
+    g, n, late, need, cid = (t.column(c).to_numpy() for c in ("g", "n", "late", "need", "cid"))
+    looks = t.column("looks").to_numpy() == 1
+    new_list = _new_list(t)
+    of = np.cumsum(new_list)
+    new_block = new_list | looks
+    new_block[1:] |= n[1:] != n[:-1]
+    new_block[1:] |= looks[:-1]
+    begin = np.flatnonzero(new_block)
+    end = np.append(begin[1:], len(g))
+    begin, end = begin[~looks[begin]], end[~looks[begin]]  # blocks of entries
+    if not len(begin):
+        return
+    size, of_list = n[begin], of[begin]
+    most = int(n.max()) + 2
+    low, width = int(late.min()), int(late.max() - late.min()) + 2
+    entries = np.flatnonzero(~looks)
+    block = np.searchsorted(begin, entries, "right") - 1
+    key = block * width + (late[entries] - low)
+    first_entry = np.searchsorted(entries, begin)
+    last_entry = first_entry + end - begin
+    probe = np.flatnonzero(looks)
+    k = np.searchsorted(of_list * most + size, of[probe] * most + -(-percent * n[probe] // 100))
+    while len(probe):
+        ok = k < len(size)
+        probe, k = probe[ok], k[ok]
+        ok = (of_list[k] == of[probe]) & (percent * size[k] <= 100 * n[probe])
+        probe, k = probe[ok], k[ok]
+        if not len(probe):
+            break
+        front = np.searchsorted(key, k * width + np.clip(-need[probe] - low, -1, width - 1), "right")
+        count = np.maximum(np.minimum(front, last_entry[k]) - first_entry[k], 0)
+        b = np.repeat(probe, count)
+        a = entries[np.arange(len(b)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first_entry[k], count)]
+        closer = (need[a] < need[b]) | ((need[a] == need[b]) & (cid[a] < cid[b]))
+        ok = closer & (need[a] <= -late[b])
+        x, y = cid[a[ok]], cid[b[ok]]
+        yield pa.RecordBatch.from_arrays([pa.array(g[a[ok]]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["g", "u", "v"])
+        k = k + 1
+
+
+def _differences(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of each member of a group: the tokens that only it and that only the centre has, and whether the two link (far: they do not)."""
+    more, less = 100 + percent, 100 - percent
+    for b in batches:
+        rows = []
+        for a, c in zip(b.column("set").to_pylist(), b.column("centre").to_pylist(), strict=True):
+            a, c = np.frombuffer(a, U64), np.frombuffer(c, U64)
+            own, gone = np.setdiff1d(a, c, assume_unique=True), np.setdiff1d(c, a, assume_unique=True)
+            d = len(own) + len(gone)
+            need = more * d - less * len(a)
+            rows.append((len(a), len(c), d, need, need > less * len(c), own.view(np.int64), gone.view(np.int64)))
+        n, size, d, need, far, own, gone = zip(*rows, strict=True) if rows else ([],) * 7
+        tokens = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("g"), b.column("cid"), *(pa.array(x, pa.int64()) for x in (n, size, d, need)), pa.array(far, pa.bool_()), pa.array(own, tokens), pa.array(gone, tokens)], names=["g", "cid", "n", "size", "d", "need", "far", "own", "gone"])
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], order, percent: int) -> Iterator[pa.RecordBatch]:
+    """The first tokens of each difference, that it looks up, and how many of them are entered into lists.
+
+    The centre's tokens are ordered by how many members lack them, others by how many documents have them."""
+    freq, more, less = order.value, 100 + percent, 100 - percent
+    group, known, count = None, None, None
+    for b in batches:
+        rows = []
+        lacking = b.column("lacking")
+        for k, (g, size, need, far) in enumerate(zip(*(b.column(x).to_pylist() for x in ("g", "size", "need", "far")), strict=True)):
+            own, gone = (b.column(x)[k].values.to_numpy(zero_copy_only=False).view(U64) for x in ("own", "gone"))
+            if g != group:
+                x = lacking[k].values
+                known, count = (np.zeros(0, np.int64),) * 2 if x is None else (x.field(c).to_numpy(zero_copy_only=False) for c in ("tok", "count"))
+                group = g
+            d = np.concatenate([own, gone])
+            seen = freq[(own >> U64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
+            lack = count[np.searchsorted(known, gone.view(np.int64))] if len(gone) else np.zeros(0, np.int64)
+            o = np.lexsort((d, np.concatenate([seen, lack])))
+            # The farther of two looks up, the closer is entered: they must share the mean of their needs, at least the closer's own.
+            # Partners of a far set need at least -less * |centre|, those of a near set more than less * |centre|.
+            enters = max(1, -(-need // more) if far else -(-(need + less * size + 1) // (2 * more)))
+            looks = max(1, -(-(need - less * size) // (2 * more))) if far else enters
+            rows.append((d[o][: max(0, len(d) - looks + 1)].view(np.int64), len(d) - enters + 1, np.sort(d).tobytes()))
+        tokens, entered, whole = zip(*rows, strict=True) if rows else ([],) * 3
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("g", "cid", "n", "d", "need", "far")), pa.array(tokens, pa.list_(pa.int64())), pa.array(entered, pa.int64()), pa.array(whole, pa.binary())], names=["g", "cid", "n", "d", "need", "far", "tokens", "entered", "set"])
 
 
-def fits(a: str, b: str, percent: int):
-    """SQL of the size and position bounds between entries a and b of one list."""
-    need = f"ceil({percent} * ({a}.n + {b}.n) / {100 + percent}.0)"
-    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {need}"
+def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The linked ones of pairs, by their differences to one centre (all tokens, where there is none)."""
+    for b in batches:
+        ok = []
+        for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("set_u", "set_v", "n_u", "n_v")), strict=True):
+            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            ok.append((100 + percent) * (len(x) + len(y) - 2 * shared) <= (100 - percent) * (n + m))
+        yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
 def classes_and_components(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -236,85 +314,83 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int) -> tuple
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("mark"))
     order = spark.sparkContext.broadcast(sketch(src, shingle))
-    rows = stage(src.mapInArrow(partial(_index, order=order, shingle=shingle, percent=percent), "doc_id long, mark long, class string, n long, tokens array<long>, hist binary"), "jaccard-rows")
-    per = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").alias("d"), F.col("mark").alias("m"))).alias("row"), F.first(F.struct("n", "tokens", "hist")).alias("x"))
+    rows = stage(src.mapInArrow(partial(_index, order=order, shingle=shingle, percent=percent), "doc_id long, mark long, class string, n long, entered long, tokens array<long>, hist binary"), "jaccard-rows")
+    per = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").alias("d"), F.col("mark").alias("m"))).alias("row"), F.first(F.struct("n", "entered", "tokens", "hist")).alias("x"))
     # Once written, a class keeps the number that it got.
     classes = stage(per.select("class", "rep", "row", "x.*", F.monotonically_increasing_id().alias("cid")), "jaccard-classes")
 
-    entries = classes.select("cid", F.col("n").cast("int").alias("n"), F.posexplode("tokens").alias("pos", "tok"))
-    shared = entries.groupBy("tok").agg(F.count(F.lit(1)).alias("length")).filter("length > 1")
-    lists = stage(entries.join(shared, "tok").select("tok", "length", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), "cid"), "jaccard-lists")
-    small = classes.select("cid", "n", "hist")
+    more, less = 100 + percent, 100 - percent
 
     def side(df: DataFrame, key: str) -> DataFrame:
         return df.select(*[F.col(c).alias(key if c == "cid" else f"{c}_{key}") for c in df.columns])
 
-    def reachable(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side(small, "v"), "v").join(side(small, "u"), "u").select("u", "v", "hist_u", "hist_v", "n_u", "n_v")
-        return both.mapInArrow(partial(_reachable, percent=percent), "u long, v long")
-
-    # Short lists are paired in full at once: at most SHORT_LIST / 2 pairs an entry.
-    short = lists.filter(F.col("length") <= SHORT_LIST).withColumn("block", size_block(percent))
-    met = meet(short.withColumn("block", F.explode(blocks_near())).alias("a"), short.alias("b"), "a.cid < b.cid", percent)
-    near = stage(reachable(met), "jaccard-near")
-    long = stage(lists.filter(F.col("length") > SHORT_LIST), "jaccard-long")
+    def lists_of(entries: DataFrame) -> DataFrame:
+        """g, tok, n, pos, late, need, cid, far, close (it is entered), and how many of the list are entered and look it up, of
+        lists in which some pair is open.
+
+        entries: g, cid, n, d, need, far, tokens, entered."""
+        each = entries.select("g", "cid", "n", "d", "need", "far", "entered", F.posexplode("tokens").alias("pos", "tok")).withColumn("close", F.col("pos") < F.col("entered"))
+        open_ = each.groupBy("g", "tok").agg(F.count(F.lit(1)).alias("all"), F.count_if("close").alias("length"), F.count_if("far").alias("lookups")).filter("all > 1 and length > 0 and lookups > 0").drop("all")
+        late = -(more * (F.col("d") - 2 * F.col("pos")) + less * F.col("n"))
+        return stage(each.join(open_, ["g", "tok"]).select("g", "tok", "n", "pos", late.alias("late"), "need", "cid", "far", "close", "length", "lookups"), "jaccard-lists")
+
+    def merged(lists: DataFrame) -> DataFrame:
+        """Pairs of the short lists."""
+        by = ("g", "tok", "salt", "looks", "n", "late", "need", "cid")
+        short = lists.filter(F.col("length") <= SHORT_LIST).withColumn("salts", F.ceil(F.col("lookups") / LOOKUPS).cast("int"))
+        entered = short.filter("close").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("looks", F.lit(0))
+        looked = short.filter("far").withColumn("salt", F.pmod(F.xxhash64("cid"), "salts").cast("int")).withColumn("looks", F.lit(1))
+        return entered.select(*by).union(looked.select(*by)).repartition(n_parts, "g", "tok", "salt").sortWithinPartitions(*by).mapInArrow(partial(_pairs, percent=percent), "g long, u long, v long").distinct()
+
+    none = F.lit(-1).cast("long")  # the group without a centre
+    plain = classes.select(none.alias("g"), "cid", "n", F.col("n").alias("d"), (F.col("n") * (more - less)).alias("need"), F.lit(True).alias("far"), "tokens", "entered")
+    lists = lists_of(plain)
+    small = classes.select("cid", "n", "hist")
+    both = merged(lists).join(side(small, "v"), "v").join(side(small, "u"), "u").select("u", "v", "hist_u", "hist_v", "n_u", "n_v")
+    near = stage(both.mapInArrow(partial(_reachable, percent=percent), "u long, v long"), "jaccard-near").select(none.alias("g"), "u", "v")
+    long = lists.filter(F.col("length") > SHORT_LIST)
     listed = near.select(F.col("u").alias("cid")).union(near.select("v")).union(long.select("cid")).distinct()
     wanted = classes.join(listed, "cid", "left_semi").select("cid", F.col("row.d").alias("d"), F.col("row.m").alias("m"))
     texts = src.join(wanted.hint("shuffle_hash"), src["doc_id"].eqNullSafe(wanted["d"]) & src["mark"].eqNullSafe(wanted["m"])).dropDuplicates(["cid"]).select("cid", "text")
     whole = stage(texts.mapInArrow(partial(_sets_of, shingle=shingle), "cid long, set binary"), "jaccard-sets")
 
-    none = spark.createDataFrame([], "u long, v long")
-    links, tested, comps = none, none, None
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs."""
-        both = pairs.join(side(whole, "v"), "v").join(side(whole, "u"), "u")
-        return both.sortWithinPartitions("u", "v").select("u", "v", "set_u", "set_v").mapInArrow(partial(_verify, percent=percent), "u long, v long")
-
-    def with_comp(entries: DataFrame, key: str = "cid") -> DataFrame:
-        if comps is None:
-            return entries.withColumn("comp", F.col(key))
-        return entries.join(comps.withColumnRenamed("node", key), key, "left").withColumn("comp", F.coalesce("root", key)).drop("root")
-
-    def neighbours(entries: DataFrame) -> DataFrame:
-        # A long list spans many partitions: size, position and class take part in the splitters.
-        by = ("tok", "n", "pos", "cid")
-        return entries.repartitionByRange(n_parts, *by).sortWithinPartitions(*by).select(*by, "comp").mapInArrow(partial(_neighbours, percent=percent), "u long, v long")
-
-    def add(pairs: DataFrame) -> None:
-        """Links among the pairs that have not been tested, and what they join."""
-        nonlocal links, tested, comps
-        fresh = stage(reachable(pairs.distinct().join(tested, ["u", "v"], "left_anti")), "jaccard-tested")
-        tested = tested.union(fresh)
-        links = links.union(stage(verified(fresh), "jaccard-links"))
-        comps = stage(components(links), "jaccard-comps")
-
-    if long.limit(1).count():
-        top = long.groupBy("cid").agg(F.max(F.struct("length", "tok")).alias("top"))
-        add(neighbours(with_comp(long.join(top, "cid").filter("tok = top.tok").drop("top"))))
-        # Every class of a list is compared once with the centre of the list's largest component. That
-        # links the classes around a centre, and bounds what two others can share: what each shares
-        # with the centre, and what each has besides it.
-        entries = with_comp(long)
-        largest = entries.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1")
-        mixed = stage(entries.join(largest.select("tok", F.col("top.comp").alias("centre")), "tok"), "jaccard-entries")
-        to_centre = mixed.filter("cid <> centre").select(F.col("cid").alias("u"), F.col("centre").alias("v")).distinct()
-        shared_with = stage(to_centre.join(side(whole, "v"), "v").join(side(whole, "u"), "u").select("u", "v", "set_u", "set_v").mapInArrow(_overlaps, "u long, v long, o long"), "jaccard-centres")
-        sizes = shared_with.join(side(small.select("cid", "n"), "u"), "u").join(side(small.select("cid", "n"), "v"), "v")
-        links = links.union(stage(sizes.filter(f"100 * o >= {percent} * (n_u + n_v - o)").select("u", "v"), "jaccard-links"))
-        comps = stage(components(links), "jaccard-comps")
-        # The rest of each list: entries outside its largest component, against all of other components.
-        mixed = with_comp(mixed.drop("comp")).join(shared_with.select(F.col("u").alias("cid"), F.col("v").alias("centre"), "o"), ["cid", "centre"], "left").withColumn("o", F.coalesce("o", "n"))
-        mixed = stage(mixed.withColumn("block", size_block(percent)), "jaccard-mixed")
-        per = mixed.groupBy("tok", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("tok").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top")).filter("comps > 1").select("tok", F.col("top.comp").alias("main"))
-        mixed = mixed.join(per, "tok")
-        few = mixed.filter("comp <> main").withColumn("block", F.explode(blocks_near()))
-        most = "(least(a.o, b.o) + least(a.n - a.o, b.n - b.o))"
-        rule = f"a.comp <> b.comp and (b.comp = b.main or a.cid < b.cid) and 100 * {most} >= {percent} * (a.n + b.n - {most})"
-        add(meet(few.alias("a"), mixed.alias("b"), rule, percent))
-    # Pairs of short lists whose components still differ.
-    apart = with_comp(with_comp(near, "u").withColumnRenamed("comp", "cu"), "v").filter("cu <> comp").select("u", "v")
-    links = links.union(stage(verified(apart), "jaccard-links"))
+    def salted(df: DataFrame) -> DataFrame:
+        return df.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALT)])))
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALT)).cast("int"))
+
+    links = spark.createDataFrame([], "u long, v long")
+    differing = whole.join(small.drop("hist"), "cid").select(none.alias("g"), "cid", "n", "set")
+    for at in range(ROUNDS):
+        if not long.limit(1).count():
+            long = None
+            break
+        members = stage(centred(long), f"jaccard-members-{at}")
+        groups = members.select(F.col("g").alias("cid")).distinct()
+        centres = salted(whole.withColumnRenamed("set", "centre").join(groups, "cid").withColumnRenamed("cid", "g"))
+        apart = stage(dealt(members.join(whole, "cid")).join(centres, ["g", "salt"]).select("g", "cid", "set", "centre").mapInArrow(partial(_differences, percent=percent), _DIFFERENCE), "jaccard-differences")
+        lacking = apart.select("g", F.explode("gone").alias("tok")).groupBy("g", "tok").agg(F.count(F.lit(1)).alias("count")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("tok", "count"))).alias("lacking"))
+        apart = stage(dealt(apart).join(salted(lacking), ["g", "salt"], "left").sortWithinPartitions("g").drop("salt").mapInArrow(partial(_prefixes, order=order, percent=percent), _PREFIX), "jaccard-prefixes")
+        links = links.union(apart.filter("not far").select(F.col("g").alias("u"), F.col("cid").alias("v")))
+        differing = differing.union(apart.select("g", "cid", "n", "set"))
+        lists = lists_of(apart)
+        near = near.union(stage(merged(lists), "jaccard-near"))
+        long = lists.filter(F.col("length") > SHORT_LIST)
+
+    def with_comp(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.join(comps.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+
+    comps = stage(components(links), "jaccard-comps")
+    if long is not None and long.limit(1).count():  # lists that no centre has broken up
+        blocks_ = with_comp(long, "cid", "comp").withColumn("block", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
+        wide = blocks_.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
+        rule = f"a.g = b.g and a.tok = b.tok and a.block = b.block and a.cid < b.cid and a.comp <> b.comp and (a.far and b.close or b.far and a.close) and a.need <= -b.late and b.need <= -a.late and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
+        near = near.union(stage(wide.alias("a").join(blocks_.alias("b"), F.expr(rule)).select("a.g", F.col("a.cid").alias("u"), F.col("b.cid").alias("v")).distinct(), "jaccard-near"))
+    # Pairs whose components still differ are compared.
+    open_ = with_comp(with_comp(near, "u", "comp_u"), "v", "comp_v").filter("comp_u <> comp_v").select("g", "u", "v")
+    pairs = open_.join(side(differing, "v").withColumnRenamed("g_v", "g"), ["g", "v"]).join(side(differing, "u").withColumnRenamed("g_u", "g"), ["g", "u"])
+    links = links.union(stage(pairs.select("u", "v", "set_u", "set_v", "n_u", "n_v").mapInArrow(partial(_verify, percent=percent), "u long, v long"), "jaccard-links"))
     comps = stage(components(links), "jaccard-comps")
 
     rooted = classes.select("class", "cid", "rep").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -322,18 +398,17 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int) -> tuple
     return rows.select("doc_id", "mark", "n", "class"), rooted.join(smallest, "root").select("class", "root", "comp")
 
 
-def size_block(percent: int):
-    return F.floor(F.log("n") / F.log(F.lit(100 / percent)))
-
-
-def blocks_near():
-    return F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)
+_DIFFERENCE = "g long, cid long, n long, size long, d long, need long, far boolean, own array<long>, gone array<long>"
+_PREFIX = "g long, cid long, n long, d long, need long, far boolean, tokens array<long>, entered long, set binary"
 
 
-def meet(a: DataFrame, b: DataFrame, rule: str, percent: int) -> DataFrame:
-    """Distinct pairs of entries of one list in near blocks that pass the bounds and the rule."""
-    pairs = a.join(b, F.expr(f"a.tok = b.tok and a.block = b.block and {rule} and {fits('a', 'b', percent)}"))
-    return pairs.select(F.least("a.cid", "b.cid").alias("u"), F.greatest("a.cid", "b.cid").alias("v")).distinct()
+def centred(long: DataFrame) -> DataFrame:
+    """g, cid: the members of long lists with their new centre, which is left out. The centre of a
+    list is the member that has its first long list earliest: few of its tokens are rarer."""
+    early = long.groupBy("g", "cid").agg(F.min("pos").alias("early"))
+    chosen = long.join(early, ["g", "cid"]).groupBy("g", "tok").agg(F.min(F.struct("early", "cid")).alias("c"))
+    met = long.join(chosen, ["g", "tok"]).select(F.col("c.cid").alias("g"), "cid")
+    return met.filter("g <> cid").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

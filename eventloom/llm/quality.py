@@ -40,7 +40,7 @@ THRESHOLD = 0.7
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket and shape of each word, and the first word of each row."""
     s, e, first = words(data, offs)
-    h = span_hash(lower_az(data), s, e)
+    h = span_hash(lower_az(data), s, e)[0]
     bucket = (h % U64(BUCKETS)).astype(np.int64)
     run = lambda m: np.concatenate([[0], np.cumsum(m, dtype=np.int64)])
     upper = run((data >= 65) & (data <= 90))

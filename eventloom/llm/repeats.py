@@ -54,7 +54,7 @@ def units(data: np.ndarray, offs: np.ndarray, kind: Kind):
     if kind.unit == "byte":
         return BYTE_UNITS[data], offs, None, None
     s, e, first = words(data, offs)
-    return span_hash(data, s, e), first, s, e
+    return span_hash(data, s, e)[0], first, s, e
 
 
 def anchors(values: np.ndarray, first: np.ndarray, kind: Kind):

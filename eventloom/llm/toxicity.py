@@ -56,11 +56,11 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before[inner], after[inner - 1] = False, False
     s, e = np.flatnonzero(letter & ~before), np.flatnonzero(letter & ~after) + 1
     row = np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(s, offs)))
-    rows, keys = [row], [span_hash(low, s, e)]
+    rows, keys = [row], span_hash(low, s, e)
     for n in HEADS:
         ok = e - s > n
         rows.append(row[ok])
-        keys.append(span_hash(low, s[ok], s[ok] + n) ^ U64(n))
+        keys.append(span_hash(low, s[ok], s[ok] + n)[0] ^ U64(n))
     return np.concatenate(rows), np.concatenate(keys)
 
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from eventloom.llm import bpe, common, components, decontaminate, exact_dedup, jaccard_join, langid, pii, quality, repeats, substring_dedup, suffix_dedup, toxicity
+from eventloom.llm.common import flat, span_hash
 from eventloom.llm.queries import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -192,13 +193,54 @@ def brute_components(rows):
     return [(d, len(sets[i]), ids.get(root(i)) if sets[i] else d) for i, (d, _) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("short", [64, 2])
-def test_jaccard_components(spark, corpus, monkeypatch, short):
+@pytest.mark.parametrize(("short", "rounds", "lookups"), [(64, 3, 2048), (2, 3, 4), (1, 0, 2048)])
+def test_jaccard_components(spark, corpus, monkeypatch, short, rounds, lookups):
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "LOOKUPS", lookups)
     got = jaccard_join.jaccard_components(docs(spark, corpus)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(brute_components(corpus), key=repr)
 
 
+def near_group(n: int) -> list:
+    """Copies of one text in which few to many words differ, some of them copies of copies: links on both sides of 0.9."""
+    rng = random.Random(31)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(n):
+        w = list(base) if i % 3 or not rows else rows[rng.randrange(len(rows))][1].split(" ")
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 6, 9])):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(40) if i % 5 else rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("rounds", [3, 1])
+def test_group_of_near_copies(spark, monkeypatch, rounds):
+    monkeypatch.setattr(jaccard_join, "SHORT_LIST", 16)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    rows, made = near_group(500), []
+    stage = jaccard_join.stage
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, name: made.append((name, out := stage(df, name))) or out)
+    got = sorted(map(tuple, jaccard_join.jaccard_components(docs(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == sorted(brute_components(rows))
+    assert len({c for _, _, c in got}) > 20
+    if rounds == 3:  # the group's pairs (125,000) are not made
+        assert sum(df.count() for name, df in made if name == "jaccard-near") < 15_000
+
+
+def test_hashes_of_words_that_polynomials_confuse():
+    a = "a"
+    for _ in range(12):  # Thue and Morse
+        a += a.translate(str.maketrans("ab", "ba"))
+    texts = [a, a.translate(str.maketrans("ab", "ba")), "x" * 5000, "x" * 4999 + "y", "x" * 8, "x" * 9, "y" + "x" * 8]
+    data, offs = flat(pa.array(texts))
+    for s, e in ((offs[:-1], offs[1:]), (offs[-4:-1], offs[-3:])):
+        for h in span_hash(data, s, e, (3, 5)):
+            assert len(set(h.tolist())) == len(s)
+    assert span_hash(data, offs[-2:-1], offs[-1:])[0][0] == span_hash(data, offs[:-1], offs[1:])[0][-1]
+
+
 @pytest.mark.parametrize("local", [200_000, 5])
 def test_components(spark, monkeypatch, local):
     monkeypatch.setattr(components, "LOCAL_EDGES", local)
