@@ -35,6 +35,7 @@ TECHNOLOGIES = {
     "PyTorch": r"py ?torch", "AWS": r"\baws\b|amazon web services", "Azure": r"\bazure\b", "GCP": r"\bgcp\b|google cloud", "Rust": r"\brust\b", "Go": r"\bgolang\b",
     "Flutter": r"\bflutter\b", "LangChain": r"lang ?chain", "OpenAI": r"open ?ai", "Claude": r"\bclaude\b", "Gemini": r"\bgemini\b|\bgemma\b",
 }
+# What topics stand for (skills, audiences, careers), words of level, legal forms, communities, organisations.
 SKILLS = {
     "Artificial Intelligence": ["AI Engineering"], "Machine Learning": ["Machine Learning", "MLOps"], "LLMs": ["Prompt Engineering", "AI Engineering"],
     "Generative AI": ["Prompt Engineering", "AI Engineering"], "Data Science": ["Data Analysis", "Machine Learning"], "Cloud": ["Cloud Architecture"],
@@ -95,30 +96,52 @@ def normalize_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), LEGAL, " "), "[^a-z0-9]+", " "))
 
 
-def needles(pattern: str) -> list[str] | None:
-    """For each alternative of a pattern, a literal that any match holds; None where one has none of two characters."""
+def variants(pattern: str) -> list[tuple[str, bool, bool]] | None:
+    """The literals that a pattern of optional characters and small classes stands for, with whether a word
+    border must be on their left and right. None for a pattern that has more in it."""
     out = []
     for part in pattern.split("|"):
-        bare = re.sub(r"\\b", "", part)
-        pieces = re.split(r"\[[^\]]*\]\??|\\.[?*+]?|\(.*\)|.[?*]|[^a-z0-9 /-]", bare)
-        best = max(pieces, key=len)
-        if len(best) < 2:
+        left, right = part.startswith(r"\b"), part.endswith(r"\b")
+        atoms = re.findall(r"(\[[^\]^]+\]|\\[.+]|[a-z0-9 /.-])(\??)", core := part.removeprefix(r"\b").removesuffix(r"\b"))
+        if "".join(x + y for x, y in atoms) != core or any(x == "." for x, _ in atoms):
             return None
-        out.append(best)
+        made = [""]
+        for atom, optional in atoms:
+            letters = list(atom[1:-1]) if atom[0] == "[" else [atom.removeprefix("\\")]
+            made = [m + x for m in made for x in letters + [""] * bool(optional)]
+        out += [(m, left, right) for m in made]
     return out
 
 
-def found(low: Column, pattern: str) -> Column:
-    """Whether a pattern is in a lower-cased text: a search for its literals goes before the regular expression."""
-    hit, literal = low.rlike(f"(?i){pattern}"), needles(pattern)
-    if not literal:
-        return hit
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in literal]) & hit
+_BORDER = r"[^\p{L}\p{N}_]"
 
 
 def labels(text: Column, table: dict[str, str]) -> Column:
-    """Names whose pattern is found, in table order (X05). The text is lower-cased once, as a lambda's variable."""
-    return F.transform(F.array(F.lower(text)), lambda low: F.array_compact(F.array(*[F.when(found(low, p), F.lit(n)) for n, p in table.items()])))[0]
+    """Names whose pattern is found, in table order (X05). The text is lower-cased and cut into words once; whole words
+    are looked up among these, other literals are searched for, and only what no literal says is left to a regular expression."""
+    forms = {n: variants(p) for n, p in table.items()}
+    whole = lambda v: v[1] and v[2] and v[0].isalnum()
+    every = sorted({v[0] for vs in forms.values() for v in vs or () if whole(v)})
+
+    def said(low: Column, words: Column, name: str) -> Column:
+        if forms[name] is None:
+            return low.rlike(table[name])
+        tests = []
+        for v, left, right in forms[name]:
+            if whole((v, left, right)):
+                tests.append(F.array_contains(words, v))
+            elif left or right:
+                exact = (rf"(^|{_BORDER})" if left else "") + re.escape(v) + (rf"($|{_BORDER})" if right else "")
+                tests.append(F.contains(low, F.lit(v)) & low.rlike(exact))
+            elif not any(o in v and o != v for o, *_ in forms[name] if not _[0] and not _[1]):
+                tests.append(F.contains(low, F.lit(v)))
+        return reduce(lambda a, b: a | b, tests)
+
+    def named(low: Column) -> Column:
+        words = F.array_intersect(F.split(low, f"{_BORDER}+"), F.array(*[F.lit(w) for w in every])) if every else F.array()
+        return F.transform(F.array(words), lambda w: F.array_compact(F.array(*[F.when(said(low, w, n), F.lit(n)) for n in table])))[0]
+
+    return F.transform(F.array(F.lower(text)), named)[0]
 
 
 def difficulty(text: Column, category: Column) -> Column:
@@ -171,8 +194,7 @@ def communities(text: Column, provider: Column) -> Column:
 
 
 def organisations(text: Column) -> Column:
-    low = F.lower(text)
-    return F.array_distinct(F.array_compact(F.array(*[F.when(low.rlike(rf"\b{k}\b"), F.lit(v)) for k, v in ORGANISATIONS.items()])))
+    return F.array_distinct(F.transform(labels(text, {k: rf"\b{k}\b" for k in ORGANISATIONS}), lambda k: F.element_at(literal_map(ORGANISATIONS), k)))
 
 
 _MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"

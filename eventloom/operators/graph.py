@@ -19,29 +19,32 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")), " ", "-")
 
 
-def mentions(catalog: DataFrame) -> DataFrame:
-    """key, edge, name of every entity that a record names, with the record's facts."""
+def mentions(catalog: DataFrame, only: tuple[str, ...] = tuple(TYPES)) -> DataFrame:
+    """key, edge, name of every entity that a record names, by edges of the kinds asked for, with the record's facts."""
     text = F.concat_ws(" ", "title", F.coalesce("description", F.lit("")))
     city = normalize_city(F.col("city"))
     some = lambda edge, a: F.transform(a, lambda x: F.struct(F.lit(edge).alias("edge"), x.alias("name")))
     one = lambda edge, x: F.when(F.coalesce(x, F.lit("")) != "", F.array(F.struct(F.lit(edge).alias("edge"), x.alias("name")))).otherwise(F.array().cast("array<struct<edge:string,name:string>>"))
-    every = F.concat(
-        some("HOSTED_BY", communities(text, F.col("provider"))),
-        some("ORGANIZED_BY", organisations(text)),
-        one("PART_OF", series_name(F.col("title"), F.col("city"))),
-        one("HELD_AT", venue(F.col("location"), F.col("city"))),
-        one("IN_CITY", city),
-    )
+    kinds = {
+        "HOSTED_BY": lambda: some("HOSTED_BY", communities(text, F.col("provider"))),
+        "ORGANIZED_BY": lambda: some("ORGANIZED_BY", organisations(text)),
+        "PART_OF": lambda: one("PART_OF", series_name(F.col("title"), F.col("city"))),
+        "HELD_AT": lambda: one("HELD_AT", venue(F.col("location"), F.col("city"))),
+        "IN_CITY": lambda: one("IN_CITY", city),
+    }
+    every = F.concat(*[make() for edge, make in kinds.items() if edge in only])
     return catalog.select("key", "category", "start_date", city.alias("city"), F.explode(every).alias("m")).select("key", "category", "start_date", "city", "m.edge", "m.name")
 
 
-def build(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+def build(catalog: DataFrame, only: tuple[str, ...] = tuple(TYPES)) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges); a vertex carries the union of what its events say (A10). ACTIVE_IN and HOSTS_SERIES are derived."""
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv]), F.col("edge"))
-    m = mentions(catalog).withColumn("type", kind).withColumn("id", F.concat_ws(":", "type", slug(F.col("name"))))
-    vertices = m.groupBy("id", "type").agg(
+    m = mentions(catalog, only).withColumn("type", kind).withColumn("id", F.concat_ws(":", "type", slug(F.col("name"))))
+    # The events of a vertex are the sources of its edges: a city may have a share of the whole catalog, so only their number is here.
+    once = m.groupBy("id", "type", "key").agg(F.min("name").alias("name"), *[F.any_value(c).alias(c) for c in ("city", "category", "start_date")])
+    vertices = once.groupBy("id", "type").agg(
         F.min("name").alias("name"),
-        F.array_sort(F.collect_set("key")).alias("event_keys"),
+        F.count(F.lit(1)).alias("events"),
         F.array_sort(F.collect_set("city")).alias("cities"),
         F.array_sort(F.collect_set("category")).alias("categories"),
         F.min("start_date").alias("first_seen"),
@@ -55,6 +58,14 @@ def build(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     return vertices, direct.unionByName(active).unionByName(hosts_series).distinct()
 
 
+def entity_maps(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """key, community, organizer: the names of the first host and organiser of each event, by id."""
+    e = edges.filter(F.col("type").isin("HOSTED_BY", "ORGANIZED_BY")).groupBy(F.expr("substr(source, 7)").alias("key"), F.col("type").alias("edge")).agg(F.min("target").alias("id"))
+    named = e.join(vertices.select("id", "name"), "id")
+    pick = lambda edge: F.max(F.when(F.col("edge") == edge, F.col("name")))
+    return named.groupBy("key").agg(pick("HOSTED_BY").alias("community"), pick("ORGANIZED_BY").alias("organizer"))
+
+
 def neighbours(edges: DataFrame, node: str, edge: str | None = None, outward: bool = True) -> DataFrame:
     here, there = ("source", "target") if outward else ("target", "source")
     out = edges.filter(F.col(here) == node)
@@ -93,13 +104,13 @@ def profiles(catalog: DataFrame, edges: DataFrame, today: Column) -> DataFrame:
 
 
 def recurring_series(vertices: DataFrame, limit: int) -> DataFrame:
-    s = vertices.filter("type = 'event_series'").select("id", "name", F.size("event_keys").alias("editions")).filter("editions >= 2")
+    s = vertices.filter("type = 'event_series'").select("id", "name", F.col("events").alias("editions")).filter("editions >= 2")
     return s.orderBy(F.desc("editions"), "name", "id").limit(limit)
 
 
 def directory(vertices: DataFrame, per_type: int = 24) -> DataFrame:
     w = Window.partitionBy("type").orderBy(F.desc("events"), "name", "id")
-    v = vertices.select("type", "id", "name", F.size("event_keys").alias("events"))
+    v = vertices.select("type", "id", "name", "events")
     return v.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_type)
 
 

@@ -86,7 +86,7 @@ def insights(profiles: DataFrame, vertices: DataFrame, top: int = 5) -> DataFram
     p = profiles.join(vertices.select("id", "type", "name"), "id")
     lists = (
         p.filter("type = 'community'").select(F.lit("fastest_growing").alias("list"), "name", F.col("active").alias("n"))
-        .unionByName(vertices.filter("type = 'city'").select(F.lit("most_active_cities").alias("list"), "name", F.size("event_keys").cast("long").alias("n")))
+        .unionByName(vertices.filter("type = 'city'").select(F.lit("most_active_cities").alias("list"), "name", F.col("events").alias("n")))
         .unionByName(p.filter("type = 'organization'").select(F.lit("most_active_organizers").alias("list"), "name", F.col("total").alias("n")))
         .unionByName(p.filter("type = 'event_series' and total >= 2").select(F.lit("recurring_series").alias("list"), "name", F.col("total").alias("n")))
         .unionByName(p.filter("type = 'community' and active = 0").select(F.lit("inactive_communities").alias("list"), "name", F.col("total").alias("n")))

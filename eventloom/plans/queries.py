@@ -279,11 +279,17 @@ def q_cosine_topk(spark, d):
 _TOPIC_LIST = "[" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{re2(p)}') THEN '{n}' END" for n, p in (T.TOPICS | {f"tech:{k}": v for k, v in T.TECHNOLOGIES.items()}).items()) + "]"
 
 
-@query(f"SELECT label, count(*) AS n FROM (SELECT unnest({_TOPIC_LIST}) AS label FROM documents) WHERE label IS NOT NULL GROUP BY label")
+#: Ends of texts, so that the taxonomy has something to find in the invented prose.
+_ENDS = ["AI and MLOps on k8s", "react native, Next.js", "Open-source FOSS start-ups", "c++ gaming club", "an a.i. demo day", "Chatgpt, Gemma; LangChain", "big data with py torch", "CI / CD at scale", "AR/VR nights", "carts and pairs", "microservices on AWS", "pentesters meet infosec", "web3 NFTs", "tea"]
+_ENDED = "concat(text, ' ', {ends}[doc_id % " + str(len(_ENDS)) + " + {first}])"
+
+
+@query(f"SELECT label, count(*) AS n FROM (SELECT unnest({_TOPIC_LIST}) AS label FROM (SELECT {_ENDED.format(ends=_ENDS, first=1)} AS text FROM documents)) WHERE label IS NOT NULL GROUP BY label")
 def q_taxonomy_counts(spark, d):
-    t = F.lower("text")
-    both = F.concat(T.labels(t, T.TOPICS), T.labels(t, {f"tech:{k}": v for k, v in T.TECHNOLOGIES.items()}))
-    return read(spark, d, "documents").select(F.explode(both).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    ended = F.expr(_ENDED.format(ends=f"array({str(_ENDS)[1:-1]})", first=0))
+    t = read(spark, d, "documents").select(ended.alias("text"))
+    both = F.concat(T.labels(F.col("text"), T.TOPICS), T.labels(F.col("text"), {f"tech:{k}": v for k, v in T.TECHNOLOGIES.items()}))
+    return t.select(F.explode(both).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -375,8 +381,55 @@ def q_frontier_budget(spark, d):
 # --- users --------------------------------------------------------------------------------------
 
 _W = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in users.INTERACTIONS.items()) + " ELSE 0 END"
+def _found(table: dict[str, str], low: str) -> str:
+    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({low}, '{re2(p)}') THEN '{n}' END" for n, p in table.items()) + "], lambda x: x IS NOT NULL)"
+
+
+def _stands_for(table: dict[str, list[str]], topics: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items())
+    return f"flatten(list_transform({topics}, lambda x: CASE x {cases} ELSE [] END))"
+
+
+def _named(n: str, xs: str) -> str:
+    return f"list_transform({xs}, lambda x: concat('{n}:', x))"
+
+
+def _first_by_slug(names: str) -> str:
+    return f"list_sort(list_transform({names}, lambda x: [trim(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '-'), x]))[1][2]"
+
+
+def _level(low: str) -> str:
+    bounded = lambda p: f"(^|{_WORDY})" + p.removeprefix(r"\b").removesuffix(r"\b") + f"($|{_WORDY})"
+    return f"CASE WHEN regexp_matches({low}, '{bounded(T.ADVANCED)}') THEN 'advanced' WHEN regexp_matches({low}, '{bounded(T.BEGINNER)}') THEN 'beginner' WHEN category IN ('workshop', 'hackathon') THEN 'beginner' ELSE 'intermediate' END"
+
+
+_ENRICHED = f"""low AS (SELECT *, lower(concat_ws(' ', title, coalesce(description, ''))) AS low FROM catalog),
+lab AS (SELECT *, {_found(T.TOPICS, "low")} AS topics, {_found(T.TECHNOLOGIES, "low")} AS technologies, {_level("low")} AS level FROM low),
+aud AS (SELECT *, list_concat({_stands_for(T.AUDIENCES, "topics")}, CASE WHEN category = 'hackathon' THEN ['Students', 'Developers'] ELSE [] END, CASE WHEN level = 'beginner' THEN ['Students'] ELSE [] END) AS a0,
+ list_concat({_stands_for(T.SKILLS, "topics")}, CASE WHEN category IN ('conference', 'meetup') THEN ['Networking'] WHEN category IN ('workshop', 'hackathon', 'webinar') THEN ['Hands-on Building'] ELSE [] END) AS skills FROM lab),
+enr AS (SELECT *, CASE WHEN len(a0) > 0 THEN a0 ELSE ['Developers'] END AS audiences,
+ {_first_by_slug(f"list_concat(CASE provider " + " ".join(f"WHEN '{k}' THEN ['{v}']" for k, v in T.PROVIDER_COMMUNITY.items()) + f" ELSE [] END, {_found(T.COMMUNITY_PATTERNS, 'low')})")} AS community,
+ {_first_by_slug("list_filter([" + ", ".join(f"CASE WHEN regexp_matches(low, '{re2(chr(92) + 'b' + k + chr(92) + 'b')}') THEN '{v}' END" for k, v in T.ORGANISATIONS.items()) + "], lambda x: x IS NOT NULL)")} AS organizer FROM aud)"""
 _FEAT = f"""list_filter([concat('category:', category), CASE WHEN coalesce({_CITY_SQL}, '') <> '' THEN concat('city:', {_CITY_SQL}) END, CASE WHEN is_online THEN 'format:online' ELSE 'format:offline' END, CASE WHEN is_free THEN 'budget:free' WHEN NOT is_free THEN 'budget:paid' END], lambda x: x IS NOT NULL)"""
-_PROFILE = f"{CATALOG_SQL}, {LOG_SQL}, feats AS (SELECT key, {_FEAT} AS features FROM catalog), prof AS (SELECT user_id, feature, sum(w) AS weight FROM (SELECT user_id, {_W} AS w, unnest(features) AS feature FROM log JOIN feats ON event_key = key) GROUP BY 1, 2)"
+_FULL_FEAT = f"""list_distinct(list_concat({_FEAT}, [concat('difficulty:', level)], CASE WHEN community IS NULL THEN [] ELSE [concat('community:', community)] END, CASE WHEN organizer IS NULL THEN [] ELSE [concat('organizer:', organizer)] END,
+ {_named("topic", "topics")}, {_named("tech", "technologies")}, {_named("audience", "audiences")}))"""
+_TRAITS = f"list_distinct(list_concat({_named('topic', 'topics')}, {_named('tech', 'technologies')}, {_named('skill', 'skills')}))"
+_PROFILE_OF = f"prof AS (SELECT user_id, feature, sum(w) AS weight FROM (SELECT user_id, {_W} AS w, unnest(features) AS feature FROM log JOIN feats ON event_key = key) GROUP BY 1, 2)"
+_PROFILE = f"{CATALOG_SQL}, {LOG_SQL}, feats AS (SELECT key, {_FEAT} AS features FROM catalog), {_PROFILE_OF}"
+_RECOMMEND = f"""{CATALOG_SQL}, {LOG_SQL}, {_ENRICHED}, feats AS (SELECT key, {_FULL_FEAT} AS features, {_TRAITS} AS traits FROM enr), {_PROFILE_OF},
+held AS (SELECT user_id, event_key AS key FROM log WHERE type IN ('save', 'unsave') GROUP BY 1, 2 HAVING arg_max(type, "at") = 'save' UNION SELECT user_id, event_key FROM log WHERE type IN ('register', 'attend') GROUP BY 1, 2 HAVING arg_max(type, "at") = 'attend'),
+cand AS (SELECT u.user_id, c.key, f.features, f.traits, 0.15::DOUBLE * CAST({_FRESH} AS DOUBLE) + 0.15::DOUBLE * CAST({_TREND} AS DOUBLE) AS base FROM (SELECT DISTINCT user_id FROM prof) u, catalog c JOIN feats f USING (key)
+ WHERE c.start_date >= date '{TODAY}' AND NOT EXISTS (SELECT 1 FROM held h WHERE h.user_id = u.user_id AND h.key = c.key)),
+raw AS (SELECT user_id, key, sum(coalesce(weight, 0)) AS raw FROM (SELECT user_id, key, unnest(features) AS feature FROM cand) LEFT JOIN prof USING (user_id, feature) GROUP BY 1, 2),
+sim AS (SELECT c.user_id, c.key, max(CASE WHEN len(list_distinct(list_concat(c.traits, f.traits))) > 0 THEN len(list_intersect(c.traits, f.traits)) / len(list_distinct(list_concat(c.traits, f.traits)))::DOUBLE ELSE 0 END) AS sim FROM cand c JOIN held h USING (user_id) JOIN feats f ON f.key = h.key GROUP BY 1, 2),
+own AS (SELECT *, coalesce(sim, 0) AS s, max(CASE WHEN raw > 0 THEN raw END) OVER (PARTITION BY user_id) AS best FROM cand JOIN raw USING (user_id, key) LEFT JOIN sim USING (user_id, key)),
+scored AS (SELECT user_id, key, s > 0 AS "similar", round_even((0.6::DOUBLE * CASE WHEN raw > 0 THEN (raw / best)::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE * s) + base, 4) AS score FROM own),
+top AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, key) AS rank FROM scored)"""
+
+
+@query(f"{CATALOG_SQL}, {_ENRICHED} SELECT key, community, organizer FROM enr WHERE community IS NOT NULL OR organizer IS NOT NULL")
+def q_entity_maps(spark, d):
+    return graph.entity_maps(*graph.build(catalog(spark, d), ("HOSTED_BY", "ORGANIZED_BY")))
 
 
 @query(f"{_PROFILE} SELECT user_id, feature, round(CAST(weight AS DOUBLE), 4) AS weight FROM prof")
@@ -392,21 +445,32 @@ def q_user_topk_namespace(spark, d):
     return paging.top_per(p, ["user_id", "ns"], [F.desc("weight"), F.col("feature")], 2).select("user_id", "feature")
 
 
-@query(f"""{_PROFILE}, raw AS (SELECT user_id, key, sum(weight) AS raw FROM (SELECT key, unnest(features) AS feature FROM feats) f JOIN prof USING (feature) GROUP BY 1, 2),
-u AS (SELECT user_id, key, raw, max(CASE WHEN raw > 0 THEN raw END) OVER (PARTITION BY user_id) AS best FROM raw JOIN catalog c USING (key) WHERE c.start_date >= date '{TODAY}'),
-s AS (SELECT user_id, key, round_even(0.6 * CASE WHEN raw > 0 THEN raw / best ELSE 0 END + 0.15 * {_FRESH} + 0.15 * {_TREND}, 4) AS score FROM u JOIN catalog USING (key) WHERE NOT EXISTS (SELECT 1 FROM log WHERE type = 'attend' AND log.user_id = u.user_id AND log.event_key = u.key))
-SELECT user_id, key, CAST(score AS DOUBLE) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, key) AS rank FROM s) WHERE rank <= 10""")
+def _recommended(spark, d, limit: int):
+    c = catalog(spark, d)
+    hosts = graph.entity_maps(*graph.build(c, ("HOSTED_BY", "ORGANIZED_BY")))
+    return users.recommend(c, log(spark, d), _now(), limit, hosts), hosts
+
+
+@query(f"{_RECOMMEND} SELECT user_id, key, CAST(score AS DOUBLE) AS score, rank FROM top WHERE rank <= 10")
 def q_recommend(spark, d):
-    return users.recommend(catalog(spark, d), log(spark, d), _now(), 10)
+    return _recommended(spark, d, 10)[0].drop("similar")
 
 
-@query()
+_PHRASE = """CASE split_part(feature, ':', 1) WHEN 'community' THEN concat('Recommended because you follow ', value, '.') WHEN 'organizer' THEN concat('Recommended because you follow ', value, '.')
+ WHEN 'topic' THEN CASE WHEN user_id IN (SELECT user_id FROM log WHERE type = 'attend') THEN concat('Recommended because you frequently attend ', value, ' events.') ELSE concat('Recommended because you''re interested in ', value, '.') END
+ WHEN 'tech' THEN concat('Recommended because you''re interested in ', value, '.') WHEN 'city' THEN concat('Recommended because you attend events in ', value, '.') WHEN 'category' THEN concat('Recommended because you like ', value, ' events.') END"""
+_PRIO = "CASE split_part(feature, ':', 1) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in users.PRIORITY.items()) + " ELSE 9 END"
+
+
+@query(f"""{_RECOMMEND}, t AS (SELECT user_id, key, "similar" FROM top WHERE rank <= 5), m AS (SELECT user_id, key, feature, weight, substr(feature, strpos(feature, ':') + 1) AS value FROM (SELECT user_id, key, unnest(features) AS feature FROM t JOIN feats USING (key)) JOIN prof USING (user_id, feature) WHERE weight > 0),
+o AS (SELECT user_id, key, {_PHRASE} AS phrase, row_number() OVER (PARTITION BY user_id, key ORDER BY {_PRIO}, weight DESC, feature) AS rn FROM m), d AS (SELECT user_id, key, phrase, min(rn) AS rn FROM o WHERE phrase IS NOT NULL GROUP BY 1, 2, 3),
+n AS (SELECT user_id, key, phrase, row_number() OVER (PARTITION BY user_id, key ORDER BY rn) AS k FROM d), l AS (SELECT user_id, key, string_agg(phrase, '|' ORDER BY k) AS said FROM n JOIN t USING (user_id, key) WHERE k <= CASE WHEN "similar" THEN 2 ELSE 3 END GROUP BY 1, 2)
+SELECT user_id, key, CASE WHEN "similar" THEN concat_ws('|', said, 'Recommended because it''s similar to events you''ve engaged with.') ELSE coalesce(said, 'Recommended based on freshness and trending signals.') END AS reasons FROM t LEFT JOIN l USING (user_id, key)""")
 def q_recommend_reasons(spark, d):
-    c = catalog(spark, d)
-    feats = c.select("key", users.features().alias("features"))
-    top = users.recommend(c, log(spark, d), _now(), 5)
-    matched = top.join(feats, "key").select("user_id", "key", F.explode("features").alias("feature")).join(users.profile(log(spark, d), feats), ["user_id", "feature"])
-    return users.reasons(matched)
+    top, hosts = _recommended(spark, d, 5)
+    feats = users.enriched(catalog(spark, d)).join(hosts, "key", "left").select("key", users.features(True, True).alias("features"))
+    got = users.reasons(top, feats, users.profile(log(spark, d), feats), log(spark, d))
+    return got.select("user_id", "key", F.array_join("reasons", "|").alias("reasons"))
 
 
 @query(f"WITH {LOG_SQL} SELECT user_id, count(*) FILTER (WHERE type = 'attend') AS attend, count(*) FILTER (WHERE type = 'click') AS click, count(*) FILTER (WHERE type = 'view') AS view FROM log GROUP BY user_id")
@@ -543,8 +607,8 @@ _CITYSLUG = f"concat('city:', replace(trim(regexp_replace(lower({_CITY_SQL}), '[
 
 @query(f"{CATALOG_SQL} SELECT {_CITYSLUG} AS id, count(*) AS events, min(start_date) AS first_seen, max(start_date) AS last_seen FROM catalog WHERE city IS NOT NULL GROUP BY 1")
 def q_city_ecosystem(spark, d):
-    v, _ = graph.build(catalog(spark, d))
-    return v.filter("type = 'city'").select("id", F.size("event_keys").cast("long").alias("events"), "first_seen", "last_seen")
+    v, _ = graph.build(catalog(spark, d), ("IN_CITY",))
+    return v.select("id", "events", "first_seen", "last_seen")
 
 
 @query(f"{CATALOG_SQL} SELECT concat('event:', key) AS id FROM catalog WHERE {_CITYSLUG} = 'city:pune'")
