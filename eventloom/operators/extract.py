@@ -8,6 +8,7 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +25,7 @@ _PROP = re.compile(r"<\w+[^>]*\bitemprop=[\"'](\w+)[\"']([^>]*)>([^<]*)", re.I)
 _ROW, _CELL = re.compile(r"<tr\b.*?</tr>", re.S | re.I), re.compile(r"<t[dh]\b[^>]*>(.*?)</t[dh]>", re.S | re.I)
 _TAG = re.compile(r"<[^>]+>")
 _DATE = re.compile(r"\b(\d{4}-\d{2}-\d{2})")
+# Words of table heads by role, and names of fields in structured data.
 ROLES = {"title": r"event|title|name|talk", "start_date": r"date|when|day", "location": r"venue|where|location|place", "url": r"link|url|register", "price": r"fee|price|cost"}
 FIELDS = {"name": "title", "title": "title", "startDate": "start_date", "start_date": "start_date", "start": "start_date", "startTime": "start_date", "endDate": "end_date", "end_date": "end_date", "url": "url", "description": "description", "location": "location", "venue": "location"}
 
@@ -48,17 +50,17 @@ def _fields(node: dict) -> dict[str, str]:
     return out
 
 
-def walk(obj, wanted, most: int = 200_000) -> Iterator[dict]:
-    todo = [obj]
-    while todo and most:
-        most -= 1
-        x = todo.pop(0)
+def walk(obj, wanted) -> Iterator[dict]:
+    """All wanted objects of a JSON value, level by level."""
+    todo = deque([obj])
+    while todo:
+        x = todo.popleft()
         if isinstance(x, dict):
             if wanted(x):
                 yield x
-            todo += x.values()
+            todo.extend(x.values())
         elif isinstance(x, list):
-            todo += x
+            todo.extend(x)
 
 
 def _is_ld(x: dict) -> bool:

@@ -834,3 +834,7 @@ def q_candidate_urls(spark, d):
     from eventloom.functions import discovery as D
 
     return read(spark, d, "supplier").select("s_suppkey", D.candidate_urls(F.lit("series_instance"), F.col("s_name"))[0].alias("url"))
+
+
+# Further queries register themselves here.
+from eventloom.plans import pages  # noqa: E402, F401
