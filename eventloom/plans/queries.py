@@ -837,4 +837,4 @@ def q_candidate_urls(spark, d):
 
 
 # Further queries register themselves here.
-from eventloom.plans import pages  # noqa: E402, F401
+from eventloom.plans import pages, upkeep  # noqa: E402, F401
