@@ -90,9 +90,8 @@ def cluster_exact(df: DataFrame, order: str) -> DataFrame:
 
 
 def pairs_blocked(df: DataFrame, order: str) -> DataFrame:
-    """Similar pairs through shared title words of one date: scales where all pairs of a date would not.
-
-    Two titles of similarity 0.85 or more share a word or are one word each; the latter share their first two letters."""
+    """Similar pairs through a shared long word, first two letters or url of one date: scales where all pairs of a date
+    would not, and misses pairs that share none of these."""
     k = keyed(df)
     token = F.explode(F.array_distinct(F.concat(F.filter(F.split("_title", " "), lambda w: F.length(w) > 3), F.array(F.substring("_title", 1, 2)), F.array("_url"))))
     cut = k.withColumn("_token", token)
@@ -108,11 +107,22 @@ def survivors(clustered: DataFrame, order: str) -> DataFrame:
     return clustered.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def _may_match(a: str, b: str) -> Column:
+    """False only for pairs that cannot reach SAME: an indel distance is at least the edit distance, which the JVM computes.
+
+    A title needs a similarity of SAME less a tenth for the url, whole or with its words sorted; a url needs URL_SAME."""
+    x, y = (lambda c: F.coalesce(F.col(f"{a}.{c}"), F.lit(""))), (lambda c: F.coalesce(F.col(f"{b}.{c}"), F.lit("")))
+    close = lambda p, q, s: F.levenshtein(p, q) <= (1 - s) * (F.length(p) + F.length(q))
+    by_word = lambda c: F.array_join(F.array_sort(F.filter(F.split(c, " "), lambda w: w != "")), " ")
+    t, u = x("_title"), y("_title")
+    return close(t, u, SAME - 0.1) | close(by_word(t), by_word(u), SAME - 0.1) | close(x("_url"), y("_url"), URL_SAME)
+
+
 def resolve(new: DataFrame, catalog: DataFrame, order: str) -> DataFrame:
     """New records that no active catalog record of the same date (and known city) repeats."""
     n, c = keyed(new).alias("n"), keyed(catalog.filter("status = 'active'")).alias("c")
     near = n.join(c, (F.col("n.start_date") == F.col("c.start_date")) & (F.col("n.key") != F.col("c.key")) & (F.col("c.city").isNull() | F.col("n.city").isNull() | (F.lower("c.city") == F.lower("n.city"))))
-    dropped = near.filter(pair_score("n", "c") >= SAME).select(F.col(f"n.{order}").alias(order)).distinct()
+    dropped = near.filter(_may_match("n", "c")).filter(pair_score("n", "c") >= SAME).select(F.col(f"n.{order}").alias(order)).distinct()
     return new.join(dropped, order, "left_anti")
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from eventloom.functions import confidence as C
 from eventloom.functions import text as T
 from eventloom.functions import urls as U
-from eventloom.operators import extract, graph, platform, users
+from eventloom.operators import dedup, extract, graph, search, users
 from eventloom.plans.adapters import CATALOG_SQL, DISCOVERY_SQL, TODAY, catalog, read
-from eventloom.plans.queries import _CITY_SQL, _COMPLETE, _END, _ENRICHED, _today, ORACLE, query
+from eventloom.plans.queries import _BM25, _BM_TERMS, _CITY_SQL, _COMPLETE, _END, _ENRICHED, _SOURCE, _today, ORACLE, query
+from eventloom.staging import shared_dir
 
 _A = r"^[a-zA-Z][a-zA-Z0-9+.-]*://"
 
@@ -145,7 +148,7 @@ _HTML = {
     6: """'<section class="event-card"><h3>', %(t)s, '</h3><p>on ', %(s)s, '</p></section>'""",
     7: """'<script type="application/ld+json">{"@type":"Event","name":"', %(t)s, '"}</script><script type="application/ld+json">{"@type":"Thing"</script><meta property="og:type" content="event"><meta property="og:title" content="', %(t)s, '">'""",
 }
-_SOURCE = {0: "jsonld", 1: "opengraph", 2: "microdata", 3: "ics", 4: "hydration", 5: "table", 6: "block", 7: "jsonld"}
+_TIER = {0: "jsonld", 1: "opengraph", 2: "microdata", 3: "ics", 4: "hydration", 5: "table", 6: "block", 7: "jsonld"}
 _SURE = {0: 0.95, 1: 0.6, 2: 0.9, 3: 0.9, 4: 0.8, 5: 0.7, 6: 0.5, 7: 0.95}
 
 
@@ -155,7 +158,7 @@ def _pages_html(text: str) -> str:
 
 @query(f"""SELECT concat('https://p.example.com/', doc_id) AS page, lower(concat({_T}, CASE WHEN doc_id % 8 = 1 THEN ' more' ELSE '' END)) AS cluster, concat({_T}, CASE WHEN doc_id % 8 = 1 THEN ' & more' ELSE '' END) AS title, CASE WHEN doc_id % 8 <> 7 THEN {_S.format(text='varchar')} END AS start_date,
  CASE WHEN doc_id % 8 NOT IN (1, 6, 7) THEN concat('Hall ', doc_id % 7) END AS location, CASE WHEN doc_id % 8 IN (0, 1) THEN concat('https://e.example.com/', doc_id) END AS url,
- CASE doc_id % 8 {' '.join(f"WHEN {k} THEN {v}" for k, v in _SURE.items())} END::DOUBLE AS confidence, CASE doc_id % 8 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _SOURCE.items())} END AS sources FROM documents""")
+ CASE doc_id % 8 {' '.join(f"WHEN {k} THEN {v}" for k, v in _SURE.items())} END::DOUBLE AS confidence, CASE doc_id % 8 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _TIER.items())} END AS sources FROM documents""")
 def q_page_extract(spark, d):
     pages = read(spark, d, "documents").select(F.expr("concat('https://p.example.com/', doc_id)").alias("url"), F.expr(_pages_html("string")).alias("html"))
     got = extract.merge_fields(extract.extract_fields(pages))
@@ -167,3 +170,28 @@ def q_iso_dates(spark, d):
     t = F.concat("text", F.expr("CASE WHEN doc_id % 3 = 0 THEN ' 2026-01-02, 2026-1-2, 12026-03-04' ELSE ' 26-01-02' END"))
     n = F.size(F.regexp_extract_all(t, F.lit("([0-9]{4}-[0-9]{2}-[0-9]{2})"))).cast("long")
     return read(spark, d, "documents").filter("text is not null").select("doc_id", (n > 0).alias("dated"), n.alias("n"))
+
+
+# --- the term index ---------------------------------------------------------------------------------
+
+
+@query(f"WITH {_BM25} SELECT key, score FROM bm ORDER BY score DESC, key LIMIT 20")
+def q_bm25_index(spark, d):
+    # Half of the documents come twice, the second time as they are, and some that are not there are deleted again.
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    ix = search.Index(spark, f"{shared_dir(spark)}/terms-{uuid.uuid4().hex}")
+    ix.upsert(docs.withColumn("text", F.when(F.col("key") % 2 == 0, F.concat("text", F.lit(" trash"))).otherwise(F.col("text"))), "key", F.col("text"))
+    ix.upsert(docs.filter("key % 2 = 0").union(docs.select(-F.col("key") - 1, "text")), "key", F.col("text"))
+    ix.delete(docs.select((-F.col("key") - 1).alias("key")))
+    return ix.bm25(_BM_TERMS).select("key", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "key").limit(20)
+
+
+@query(f"""{CATALOG_SQL}, r AS (SELECT *, sha1(title) AS t FROM catalog UNION ALL SELECT * REPLACE (doc_id + 1000000 AS doc_id, concat(description, ' more') AS description), sha1(title) FROM catalog),
+k AS (SELECT *, min(doc_id) OVER (PARTITION BY start_date, t) AS cluster FROM r) SELECT doc_id, cluster FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {_COMPLETE} DESC, CAST({_SOURCE} AS DOUBLE) DESC, length(description) DESC, doc_id) AS rn FROM k) WHERE rn = 1""")
+def q_dedup_clusters(spark, d):
+    # Titles that are alike or have nothing in common, each record twice in one city: clusters are equal titles of a date.
+    c = catalog(spark, d)
+    twice = c.unionByName(c.withColumns({"doc_id": F.col("doc_id") + 1_000_000, "description": F.concat("description", F.lit(" more"))}))
+    rows = twice.withColumns({"title": F.concat(F.sha1("title"), F.lit(" "), F.sha1(F.sha1("title"))), "url": F.concat(F.lit("https://e.example.com/"), F.sha1(F.col("doc_id").cast("string"))), "city": F.lit("Pune")})
+    kept = dedup.survivors(dedup.cluster_exact(rows, "doc_id"), "doc_id")
+    return kept.select("doc_id", "cluster")

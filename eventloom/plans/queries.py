@@ -223,10 +223,13 @@ def q_dedup_fuzzy(spark, d):
     return dedup.survivors(c, "doc_id").select("doc_id", "cluster")
 
 
-@query()
+@query(f"{CATALOG_SQL} SELECT doc_id FROM catalog WHERE status = 'active' AND doc_id % 2 = 1")
 def q_cross_source_resolve(spark, d):
+    # Every active record comes again from another source, half of them under another title and url.
     c = catalog(spark, d)
-    return dedup.resolve(c.filter("provider = 'luma'"), c.filter("provider <> 'luma'"), "doc_id").select("doc_id")
+    other = F.concat(F.sha1("title"), F.sha1("key"))
+    again = c.filter("status = 'active'").withColumns({"key": F.concat(F.lit("n"), "key"), "title": F.when(F.col("doc_id") % 2 == 0, F.concat(F.upper("title"), F.lit(" !"))).otherwise(other), "url": F.concat(F.lit("https://luma.example.org/"), other)})
+    return dedup.resolve(again, c, "doc_id").select("doc_id")
 
 
 # --- search ---------------------------------------------------------------------------------
