@@ -89,3 +89,13 @@ def transitions(history: DataFrame, legal: DataFrame) -> DataFrame:
     w = Window.partitionBy("key").orderBy("at", "state")
     steps = history.withColumn("before", F.lag("state").over(w)).filter("before is not null and before <> state")
     return steps.join(F.broadcast(legal.select(F.col("source").alias("before"), F.col("target").alias("state"))), ["before", "state"], "left_anti")
+
+
+def checkpoint(catalog: DataFrame, per: str) -> DataFrame:
+    """A fingerprint of each batch that does not depend on the order of its rows (M21): rows are hashed, the hashes of a key range
+    (4096 of them) are folded, and then the ranges', so that no task holds the lines of a whole batch."""
+    line = F.sha2(F.concat("key", F.lit(":"), "content_hash").cast("binary"), 256)
+    fold = lambda x: F.sha2(F.array_join(x, "").cast("binary"), 256)
+    rows = catalog.select(per, F.substring(F.sha2(F.col("key").cast("binary"), 256), 1, 3).alias("b"), line.alias("h"))
+    ranges = rows.groupBy(per, "b").agg(fold(F.array_sort(F.collect_list("h"))).alias("h"))
+    return ranges.groupBy(per).agg(fold(F.array_sort(F.collect_list(F.concat("b", "h")))).alias("checkpoint"))

@@ -189,19 +189,23 @@ def q_change_detection(spark, d):
     return merge.detect_changes(_previous(c), c)
 
 
-@query(f"""{CATALOG_SQL}, old AS (SELECT * FROM catalog WHERE doc_id % 2 = 0), batch AS (SELECT * REPLACE (CASE WHEN doc_id % 6 = 0 THEN 'new' ELSE content_hash END AS content_hash) FROM catalog WHERE doc_id % 3 = 0)
+# Old rows and batch overlap, and together they are the whole catalog.
+_OLD, _BATCH = "doc_id % 5 <> 0", "(doc_id % 7 <> 0 OR doc_id % 5 = 0)"
+
+
+@query(f"""{CATALOG_SQL}, old AS (SELECT * FROM catalog WHERE {_OLD}), batch AS (SELECT * REPLACE (CASE WHEN doc_id % 6 = 0 THEN 'new' ELSE content_hash END AS content_hash) FROM catalog WHERE {_BATCH})
 SELECT coalesce(o.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'kept' WHEN o.key IS NULL THEN 'inserted' WHEN o.content_hash = b.content_hash THEN 'touched' ELSE 'updated' END AS action,
  CASE WHEN o.key IS NULL THEN 1 WHEN b.key IS NOT NULL AND o.content_hash <> b.content_hash THEN o.version + 1 ELSE o.version END AS version FROM old o FULL JOIN batch b USING (key)""")
 def q_upsert_merge(spark, d):
     c = catalog(spark, d)
-    batch = c.filter("doc_id % 3 = 0").withColumn("content_hash", F.when(F.col("doc_id") % 6 == 0, "new").otherwise(F.col("content_hash")))
-    return merge.upsert(c.filter("doc_id % 2 = 0"), batch, F.col("doc_id")).select("key", "action", "version")
+    batch = c.filter(_BATCH).withColumn("content_hash", F.when(F.col("doc_id") % 6 == 0, "new").otherwise(F.col("content_hash")))
+    return merge.upsert(c.filter(_OLD), batch, F.col("doc_id")).select("key", "action", "version")
 
 
-@query(f"{CATALOG_SQL} SELECT sha256(string_agg(concat(key, ':', content_hash), chr(10) ORDER BY key)) AS checkpoint FROM (SELECT category, key, content_hash FROM catalog) GROUP BY category")
+@query(f"""{CATALOG_SQL}, l AS (SELECT category, substr(sha256(key), 1, 3) AS b, sha256(concat(key, ':', content_hash)) AS h FROM catalog), p AS (SELECT category, b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM l GROUP BY 1, 2)
+SELECT sha256(string_agg(concat(b, h), '' ORDER BY b)) AS checkpoint FROM p GROUP BY category""")
 def q_batch_checkpoint(spark, d):
-    line = F.concat("key", F.lit(":"), "content_hash")
-    return catalog(spark, d).groupBy("category").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary"), 256).alias("checkpoint")).select("checkpoint")
+    return merge.checkpoint(catalog(spark, d), "category").select("checkpoint")
 
 
 @query("SELECT url, rank, ord FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY CASE WHEN rank > 0 THEN rank END NULLS LAST, ord) AS rn FROM (SELECT concat('u', cast(doc_id % 200 AS varchar)) AS url, doc_id % 7 AS rank, doc_id AS ord FROM documents)) WHERE rn = 1")
@@ -759,8 +763,10 @@ def _enrichment(c: DataFrame) -> DataFrame:
 
 
 _SECTION_SQL = " UNION ALL ".join(
-    f"SELECT '{n}' AS section, key, row_number() OVER (ORDER BY {o}) AS rank FROM catalog WHERE {c}"
+    f"SELECT '{n}' AS section, key, row_number() OVER (ORDER BY {o}) AS rank FROM hp WHERE {c}"
     for n, c, o in (
+        *((n, f"{_END} >= date '{TODAY}' AND category = '{k}'", "start_date, key") for n, k in (("ai_events", "ai"), ("startup_events", "startup"))),
+        *((n, f"{_END} >= date '{TODAY}' AND regexp_matches(title, '{p}')", "start_date, key") for n, p in (("developer_festivals", "(?i)dev ?fest|developer festival"), ("government_tech", "(?i)\\b(government|goverment|govt|gov)\\b"), ("university_events", "(?i)university|college|campus|student"))),
         ("upcoming", f"{_END} >= date '{TODAY}'", "start_date, key"), ("hackathons", f"{_END} >= date '{TODAY}' AND category = 'hackathon'", "start_date, key"), ("conferences", f"{_END} >= date '{TODAY}' AND category = 'conference'", "start_date, key"),
         ("meetups", f"{_END} >= date '{TODAY}' AND category = 'meetup'", "start_date, key"), ("workshops", f"{_END} >= date '{TODAY}' AND category = 'workshop'", "start_date, key"),
         ("recently_added", f"epoch_us(first_seen_at) >= epoch_us(timestamp '{NOW}' - INTERVAL 7 DAY)", "first_seen_at DESC, start_date, key"), ("registration_closing", f"start_date > date '{TODAY}' AND start_date <= date '{TODAY}' + 7", "start_date, key"),
@@ -769,12 +775,19 @@ _SECTION_SQL = " UNION ALL ".join(
 )
 
 
-@query(f"{CATALOG_SQL}, s AS ({_SECTION_SQL}) SELECT section, rank, key FROM s WHERE rank <= 8")
+# Some records are of the categories and titles that a few sections look for.
+_STAGED = {
+    "category": "CASE WHEN doc_id % 11 = 0 THEN 'ai' WHEN doc_id % 13 = 0 THEN 'startup' ELSE category END",
+    "title": "CASE WHEN doc_id % 17 = 0 THEN concat('DevFest ', title) WHEN doc_id % 19 = 0 THEN concat('Govt day: ', title) WHEN doc_id % 23 = 0 THEN concat('Campus ', title) ELSE title END",
+}
+
+
+@query(f"{CATALOG_SQL}, hp AS (SELECT * REPLACE ({', '.join(f'{e} AS {n}' for n, e in _STAGED.items())}) FROM catalog), s AS ({_SECTION_SQL}) SELECT section, rank, key FROM s WHERE rank <= 8")
 def q_homepage(spark, d):
     from eventloom.operators import platform
 
-    h = platform.homepage(catalog(spark, d), _now(), 8, "Pune")
-    return h.filter(~F.col("section").isin("ai_events", "startup_events", *platform.TITLES))
+    c = catalog(spark, d).withColumns({n: F.expr(e) for n, e in _STAGED.items()})
+    return platform.homepage(c, _now(), 8, "Pune")
 
 
 @query(f"{CATALOG_SQL} SELECT key FROM catalog WHERE {_END} >= date '{TODAY}' ORDER BY -(CAST({_SOURCE} AS DOUBLE) + ({_COMPLETE}) / 6.0::DOUBLE), key LIMIT 20")
