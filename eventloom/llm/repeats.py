@@ -12,7 +12,10 @@ window's content alone, so two equal windows have equal anchors at equal places.
 3. Contexts that occur more than once recur as a whole. Distinct contexts of one anchor meet in
    one shard, where the operator's own method (automata, suffix sorting) finds the windows that
    different contexts share. An anchor with more than HOT_CONTEXTS distinct contexts (a very common line in ever
-   new surroundings) is not gathered: its windows are counted one by one by a 128-bit digest.
+   new surroundings) is split by further anchors: the windows of its contexts are dealt out anew by
+   the smallest of their runs under another hash, which is mostly outside the common line, and the parts of
+   contexts go through step 3 in their turn. Windows that stay in a crowd after LEVELS such
+   splits are counted one by one, by their content.
 4. The spans found go back to the texts that hold the contexts, and each text is cut once.
 
 All of it is linear in the texts; nothing is capped, sampled or sent to the driver.
@@ -32,9 +35,9 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import U64, blocks, flat, gram_hash, mix, prepare, sliding_min, span_hash, stage, unstage, words
 
-HOT_CONTEXTS = 20_000
-#: Bits of the position within a block that ride along with a hash in one number.
-POS_BITS = 28
+HOT_CONTEXTS, LEVELS = 2_000, 3
+#: Bits of a position that ride along with a hash in one number, and so many windows are looked at together.
+POS_BITS = 26
 
 _rng = np.random.default_rng(20)
 BYTE_UNITS = _rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(U64)
@@ -57,15 +60,27 @@ def units(data: np.ndarray, offs: np.ndarray, kind: Kind):
     return span_hash(data, s, e)[0], first, s, e
 
 
-def anchors(values: np.ndarray, first: np.ndarray, kind: Kind):
+def smallest(g: np.ndarray, starts: int, width: int) -> np.ndarray:
+    """For each of the first starts, the place of the smallest of the width hashes from there on (leftmost on ties)."""
+    out, most = np.empty(starts, np.int64), 1 << POS_BITS
+    part = max(1, most - width)
+    for a in range(0, starts, part):
+        own = g[a : min(a + part, starts) + width - 1]
+        key = (own >> U64(POS_BITS) << U64(POS_BITS)) | np.arange(len(own), dtype=U64)
+        out[a : a + part] = (sliding_min(key, width) & U64(most - 1)).astype(np.int64) + a
+    return out
+
+
+def anchors(values: np.ndarray, first: np.ndarray, kind: Kind, level: int = 0):
     """Rows, hashes, anchor positions and window ranges (first start, last start) of the contexts of all rows, in text order."""
     starts = len(values) - kind.length + 1
     if starts <= 0:
         z = np.zeros(0, np.int64)
         return z, np.zeros(0, U64), z, z, z
     g = gram_hash(values, kind.gram)
-    key = (g >> U64(POS_BITS) << U64(POS_BITS)) | np.arange(len(g), dtype=U64)
-    at = (sliding_min(key, kind.length - kind.gram + 1) & U64((1 << POS_BITS) - 1)).astype(np.int64)
+    if level:
+        g = mix(g ^ mix(np.full(1, level, U64)))
+    at = smallest(g, starts, kind.length - kind.gram + 1)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))[:starts]
     left = first[row + 1] - np.arange(starts)
     ok = np.flatnonzero(left >= kind.length)
@@ -160,16 +175,62 @@ def context_units(ctx: bytes, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], gap + 1]), np.append(gap, len(ctx))
 
 
+def _split(batches: Iterator[pa.RecordBatch], kind: Kind, level: int) -> Iterator[pa.RecordBatch]:
+    """Parts of crowded contexts by another anchor: h (of both anchors), pk, part, where it begins in its context ck, and its size."""
+    for b in batches:
+        out: list[tuple] = []
+        for h, ck, ctx, n in zip(*(b.column(c).to_pylist() for c in ("h", "ck", "ctx", "n")), strict=True):
+            s, e = context_units(ctx, kind)
+            raw = np.frombuffer(ctx, np.uint8)
+            values = BYTE_UNITS[raw] if kind.unit == "byte" else span_hash(raw, s, e)[0]
+            _, other, _, lo, hi = anchors(values, np.array([0, len(values)]), kind, level)
+            both = mix(other ^ np.array(h, np.int64).view(U64)).view(np.int64).tolist()
+            for x, a, z in zip(both, lo.tolist(), (hi + kind.length).tolist(), strict=True):
+                part = ctx[s[a] : e[z - 1]]
+                out.append((x, hashlib.md5(part).digest(), part, z - a, n, ck, a))
+        cols = list(zip(*out, strict=True)) or [()] * 7
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], names=["h", "pk", "part", "size", "n", "ck", "a"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    """Digest of every window of crowded contexts."""
+    """Every window of crowded contexts."""
     for b in batches:
         for ck, ctx, n in zip(*(b.column(c).to_pylist() for c in ("ck", "ctx", "n")), strict=True):
             s, e = context_units(ctx, kind)
-            raw = np.frombuffer(ctx, np.uint8)
-            lo, hi = s[: len(s) - kind.length + 1], e[kind.length - 1 :]
-            one, two = span_hash(raw, lo, hi), span_hash(raw, lo, hi, 0xA0761D6478BD642F)
-            m = len(lo)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(mix(two ^ U64(5)).view(np.int64)), pa.array([ck] * m, pa.binary()), pa.array(np.arange(m), pa.int32()), pa.array([n] * m, pa.int64())], names=["w1", "w2", "ck", "at", "n"])
+            wins = [ctx[a:z] for a, z in zip(s[: len(s) - kind.length + 1].tolist(), e[kind.length - 1 :].tolist(), strict=True)]
+            m = len(wins)
+            yield pa.RecordBatch.from_arrays([pa.array(wins, pa.binary()), pa.array([ck] * m, pa.binary()), pa.array(np.arange(m), pa.int32()), pa.array([n] * m, pa.int64())], names=["win", "ck", "at", "n"])
+
+
+_SPANS = "ck binary, spans array<struct<s:int,e:int>>"
+
+
+def _moved(spans, by):
+    return F.transform(spans, lambda x: F.struct((x["s"] + by).alias("s"), (x["e"] + by).alias("e")))
+
+
+def recurring_spans(distinct: DataFrame, kind: Kind, shard: Callable, level: int = 1) -> DataFrame:
+    """ck, spans (several rows a context at times) of the windows that recur, from distinct contexts h, ck, ctx, n, size."""
+    spark = distinct.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    crowd = stage(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_CONTEXTS).select("h"), "repeat-crowds")
+    crowded = bool(crowd.limit(1).count())
+    usual = distinct.join(crowd, "h", "left_anti") if crowded else distinct
+    shards = usual.select("h", "ck", "ctx", "n").repartition(n_parts, "h").sortWithinPartitions("h", "ck")
+    found = shards.mapInArrow(partial(shard, kind=kind), _SPANS)
+    if not crowded:
+        return found
+    tight = distinct.join(crowd, "h", "left_semi").select("h", "ck", "ctx", "n")
+    if level <= LEVELS:
+        parts = stage(tight.mapInArrow(partial(_split, kind=kind, level=level), "h long, pk binary, part binary, size int, n long, ck binary, a int"), "repeat-parts")
+        own = stage(parts.groupBy("h", F.col("pk").alias("ck"), F.col("part").alias("ctx")).agg(F.sum("n").alias("n"), F.any_value("size").alias("size")), "repeat-contexts")
+        inner = stage(recurring_spans(own, kind, shard, level + 1).filter(F.size("spans") > 0).withColumnRenamed("ck", "pk"), "repeat-spans")
+        return found.union(parts.select("ck", "pk", "a").join(inner, "pk").select("ck", _moved("spans", F.col("a")).alias("spans")))
+    wins = stage(tight.select("ck", "ctx", "n").mapInArrow(partial(_windows, kind=kind), "win binary, ck binary, at int, n long"), "repeat-windows")
+    twice = wins.groupBy("win").agg(F.sum("n").alias("k")).filter("k > 1").select("win")
+    each = F.array(F.struct(F.col("at").alias("s"), (F.col("at") + kind.length).cast("int").alias("e")))
+    return found.union(wins.join(twice, "win").select("ck", each.alias("spans")))
 
 
 def runs(at: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -220,8 +281,8 @@ def _apply(batches: Iterator[pa.RecordBatch], kind: Kind, text: bool) -> Iterato
 def remove_repeats(docs: DataFrame, kind: Kind, shard: Callable, text: bool = False) -> DataFrame:
     """doc_id, n, n_removed, n_spans, kept_sha256 (and kept, the text that is left, if asked for).
 
-    shard(batches): rows h, ck, ctx, n of distinct contexts, all of an anchor in a row, to rows
-    ck, spans (array of struct s, e: units covered)."""
+    shard(batches): rows h, ck, ctx, n (n occurrences) of distinct contexts, all of an anchor in a row, to rows
+    ck, spans (array of struct s, e: units covered) by windows that occur twice or more."""
     spark = docs.sparkSession
     prepare(spark)
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("mark"), docs["text"])
@@ -237,23 +298,10 @@ def remove_repeats(docs: DataFrame, kind: Kind, shard: Callable, text: bool = Fa
     held = cut.filter("body is not null")
     each = held.select("body", "ctxs").mapInArrow(partial(_contexts, kind=kind), "h long, ck binary, ctx binary, size int")
     distinct = stage(each.groupBy("h", "ck", "ctx").agg(F.count(F.lit(1)).alias("n"), F.any_value("size").alias("size")), "repeat-contexts")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    crowd = stage(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_CONTEXTS).select("h"), "repeat-crowds")
-    crowded = bool(crowd.limit(1).count())
-    usual = distinct.join(crowd, "h", "left_anti") if crowded else distinct
-    shards = usual.select("h", "ck", "ctx", "n").repartition(n_parts, "h").sortWithinPartitions("h", "ck")
-    found = shards.mapInArrow(partial(shard, kind=kind), "ck binary, spans array<struct<s:int,e:int>>")
-    if crowded:
-        wins = distinct.join(crowd, "h", "left_semi").select("ck", "ctx", "n").mapInArrow(partial(_windows, kind=kind), "w1 long, w2 long, ck binary, at int, n long")
-        wins = stage(wins, "repeat-windows")
-        twice = wins.groupBy("w1", "w2").agg(F.sum("n").alias("k")).filter("k > 1").select("w1", "w2")
-        one = wins.join(twice, ["w1", "w2"]).groupBy("ck").agg(F.collect_list(F.struct(F.col("at").alias("s"), (F.col("at") + kind.length).cast("int").alias("e"))).alias("spans"))
-        found = found.union(one)
-    whole = distinct.filter("n > 1").select("ck", F.array(F.struct(F.lit(0).alias("s"), F.col("size").alias("e"))).alias("spans"))
-    spans = stage(found.filter(F.size("spans") > 0).union(whole), "repeat-spans")
-    unstage(distinct, crowd)
-
-    hits = held.select("doc_id", "mark", F.explode("ctxs").alias("c")).select("doc_id", "mark", "c.a", "c.ck").join(spans, "ck").select("doc_id", "mark", F.transform("spans", lambda x: F.struct((x["s"] + F.col("a")).alias("s"), (x["e"] + F.col("a")).alias("e"))).alias("x"))
+    spans = stage(recurring_spans(distinct, kind, shard).filter(F.size("spans") > 0), "repeat-spans")
+    unstage(distinct)
+
+    hits = held.select("doc_id", "mark", F.explode("ctxs").alias("c")).select("doc_id", "mark", "c.a", "c.ck").join(spans, "ck").select("doc_id", "mark", _moved("spans", F.col("a")).alias("x"))
     cover = hits.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("x")).alias("cover")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "cover").hint("shuffle_hash")
     held = held.select("doc_id", "mark", "n", "body")
     done = held.join(cover, held["doc_id"].eqNullSafe(cover["d"]) & held["mark"].eqNullSafe(cover["m"]), "left").select("doc_id", "n", "body", "cover")
@@ -265,28 +313,38 @@ def remove_repeats(docs: DataFrame, kind: Kind, shard: Callable, text: bool = Fa
     return out.union(rest)
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[tuple[bytes, bytes, int]]]:
-    """(ck, ctx, n) of whole anchors with two contexts or more, so many at a time that their contexts have about limit bytes.
+Rows = list[tuple[bytes, bytes, int]]
 
-    An anchor with one context recurs as that context or not at all."""
-    done: list[tuple[bytes, bytes, int]] = []
-    own: list[tuple[bytes, bytes, int]] = []
+
+def groups_of(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[Rows, Rows]]:
+    """(ck, ctx, n) of whole anchors with two contexts or more, and of those with one that occurs twice or
+    more; so many at a time that their contexts have about limit bytes."""
+    several: Rows = []
+    single: Rows = []
+    own: Rows = []
     size, last = 0, None
+
+    def close() -> int:
+        if len(own) > 1:
+            several.extend(own)
+        elif own and own[0][2] > 1:
+            single.extend(own)
+        else:
+            return 0
+        return sum(len(r[1]) for r in own)
+
     for b in batches:
         for h, *row in zip(*(b.column(c).to_pylist() for c in ("h", "ck", "ctx", "n")), strict=True):
             if h != last:
-                if len(own) > 1:
-                    done += own
-                    size += sum(len(r[1]) for r in own)
+                size += close()
                 own, last = [], h
                 if size >= limit:
-                    yield done
-                    done, size = [], 0
+                    yield several, single
+                    several, single, size = [], [], 0
             own.append(tuple(row))
-    if len(own) > 1:
-        done += own
-    if done:
-        yield done
+    close()
+    if several or single:
+        yield several, single
 
 
 def spans_batch(rows: list[tuple[bytes, list[tuple[int, int]]]]) -> pa.RecordBatch:

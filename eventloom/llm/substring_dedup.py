@@ -6,7 +6,8 @@ words counts once for every occurrence of its context, and runs of windows with
 one are passages. The passages of a shard are compiled into an Aho-Corasick automaton
 (pyahocorasick), as many at a time as AUTOMATON_BYTES allows, and all contexts of the shard are
 streamed through it; every occurrence that the automaton locates is covered. Every document
-goes through both passes of the frame, so all of its occurrences are located.
+goes through both passes of the frame: what of it can hold a recurring passage is in some context, and
+every context passes an automaton (equal contexts together, once), so all occurrences are located.
 
 Defined results: null texts have no words; windows do not cross documents; repeated rows are
 occurrences of their own, so a row that is there twice loses every word that a window covers;
@@ -23,7 +24,6 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from eventloom.llm.repeats import Kind, context_units, groups_of, remove_repeats, runs, spans_batch
 
@@ -33,7 +33,8 @@ AUTOMATON_BYTES = 1 << 20
 
 
 def _automata(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    for rows in groups_of(batches, AUTOMATON_BYTES):
+    for several, single in groups_of(batches, AUTOMATON_BYTES):
+        rows = several + single
         count: Counter[bytes] = Counter()
         cut = []
         for _, ctx, n in rows:
@@ -64,5 +65,4 @@ def _automata(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.Reco
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, n_spans, kept_sha256 (and kept, the words that are left, if asked for)."""
-    out = remove_repeats(docs, Kind("word", window, gram), _automata, text)
-    return out.withColumn("n_words", F.col("n")).drop("n")
+    return remove_repeats(docs, Kind("word", window, gram), _automata, text).withColumnRenamed("n", "n_words")

@@ -33,7 +33,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from eventloom.llm.repeats import Kind, groups_of, remove_repeats, runs, spans_batch
 
@@ -45,9 +44,9 @@ SORT_BYTES, QUEUE_BYTES = 4 << 20, 64 << 20
 class SymbolQueue:
     """First in, first out for each symbol, in memory up to a limit and in files beyond it."""
 
-    def __init__(self, symbols: int, limit: int = QUEUE_BYTES):
+    def __init__(self, symbols: int, limit: int | None = None):
         self.parts: list[deque] = [deque() for _ in range(symbols)]
-        self.limit, self.held, self.dir, self.files = limit, 0, None, 0
+        self.limit, self.held, self.dir, self.files = QUEUE_BYTES if limit is None else limit, 0, None, 0
 
     def put(self, symbol: int, at: np.ndarray) -> None:
         if not len(at):
@@ -232,15 +231,16 @@ def recurring(contexts: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def _sorted(batches: Iterator[pa.RecordBatch], kind: Kind) -> Iterator[pa.RecordBatch]:
-    for rows in groups_of(batches, SORT_BYTES):
-        out = []
-        for row, at in zip(rows, recurring([r[1] for r in rows], kind.length), strict=True):
-            if len(at):
-                out.append((row[0], runs(at, kind.length)))
+    for rows, single in groups_of(batches, SORT_BYTES):
+        # A context that occurs more than once recurs as a whole; others may share windows with it.
+        out = [(ck, [(0, len(ctx))]) for ck, ctx, n in rows + single if n > 1]
+        if rows:
+            for (ck, _, n), at in zip(rows, recurring([r[1] for r in rows], kind.length), strict=True):
+                if n == 1 and len(at):
+                    out.append((ck, runs(at, kind.length)))
         yield spans_batch(out)
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the text that is left, if asked for)."""
-    out = remove_repeats(docs, Kind("byte", window, gram), _sorted, text)
-    return out.withColumn("n_bytes", F.col("n")).drop("n")
+    return remove_repeats(docs, Kind("byte", window, gram), _sorted, text).withColumnRenamed("n", "n_bytes")
