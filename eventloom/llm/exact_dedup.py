@@ -65,8 +65,9 @@ def _ordered(docs: DataFrame, *more: Column) -> DataFrame:
     """Rows dealt by content and sorted: equal texts are neighbours, by rising doc_id."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     norm = docs.select(*more, docs["doc_id"].cast("long").alias("doc_id"), F.translate(F.coalesce(docs["text"], F.lit("")), UPPER, LOWER).alias("norm"))
-    keyed = norm.withColumns({"lead": F.substring("norm", 1, PREFIX), "mark": F.xxhash64("norm")})
-    return keyed.repartitionByRange(n, "lead", "mark", "doc_id").sortWithinPartitions("lead", "mark", "norm", "doc_id")
+    # Two hashes, so that different texts of one beginning do not alternate in the order of doc_id.
+    keyed = norm.withColumns({"lead": F.substring("norm", 1, PREFIX), "mark": F.xxhash64("norm"), "other": F.xxhash64(F.lit(PREFIX), "norm")})
+    return keyed.repartitionByRange(n, "lead", "mark", "other", "doc_id").sortWithinPartitions("lead", "mark", "other", "norm", "doc_id")
 
 
 def _followed(spark, parts: list[int], edges: DataFrame) -> set[int]:

@@ -29,6 +29,8 @@ from eventloom.llm.common import blocks, crc_mod, flat, lower_az, prepare
 
 TRAIN_ROWS, LANDMARKS, RIDGE, SHARPNESS = 3000, 160, 0.1, 4.0
 ORDERS, WIDTH = (1, 2, 3), 4096
+#: Texts of more bytes are not learned from, so that the sample's size in bytes is bounded too.
+TRAIN_BYTES = 1 << 15
 ROWS = 64
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -115,10 +117,11 @@ def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatc
 def language_model(docs: DataFrame, fold: int = 4, left_out: int = 2, rows: int = TRAIN_ROWS) -> dict | None:
     spark = docs.sparkSession
     prepare(spark)
-    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], docs["lang"].alias("lang")).filter("doc_id is not null and text is not null and lang is not null")
+    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], docs["lang"].alias("lang")).filter(f"doc_id is not null and text is not null and lang is not null and octet_length(text) <= {TRAIN_BYTES}")
     # The hash order picks ids first, so the texts of the sample alone come to the driver.
     picked = ids.select("doc_id").filter(crc_mod("doc_id", fold) != left_out).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = ids.join(F.broadcast(picked), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")])
+    one = F.min(F.struct("text", "lang")).alias("x")  # of several rows of one doc_id, the first in order
+    got = ids.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "x.text", "x.lang").toArrow().sort_by("doc_id")
     texts = pa.array(got.column("text").to_pylist(), pa.string())
     return fit(texts, got.column("lang").to_pylist())
 

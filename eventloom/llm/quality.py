@@ -31,6 +31,8 @@ from eventloom.llm.common import U64, blocks, crc_mod, flat, lower_az, prepare,
 
 #: Labelled rows that the model is fitted on: the first by a hash of doc_id. A documented bound.
 TRAIN_ROWS = 4000
+#: Texts of more bytes are not learned from, so that the sample's size in bytes is bounded too.
+TRAIN_BYTES = 1 << 15
 #: Labelled texts below which no model is fitted.
 MIN_LABELS = 20
 BUCKETS, SHAPES, DIM, HIDDEN, SEED = 4096, 288, 64, 32, 7
@@ -147,12 +149,14 @@ def score(data: np.ndarray, offs: np.ndarray, model: dict) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, left_out: int, rows: int) -> tuple[pa.Array, np.ndarray]:
-    """Texts and labels of the first `rows` labelled rows outside the fold, by a hash of doc_id. Only those come to the driver."""
+    """Texts and labels of the first `rows` labelled rows outside the fold, by a hash of doc_id. Only those come
+    to the driver, one text of at most TRAIN_BYTES for each doc_id (of several, the first in order)."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
     known = known.filter(crc_mod("doc_id", fold) != left_out).groupBy("doc_id").agg(F.min("y").alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).join(F.broadcast(picked), "doc_id").toArrow()
-    got = got.take(pa.compute.sort_indices(got, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])) if got.num_rows else got
+    short = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    got = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).toArrow()
+    got = got.take(pa.compute.sort_indices(got, sort_keys=[("doc_id", "ascending")])) if got.num_rows else got
     texts = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
     if isinstance(texts, pa.ChunkedArray):
         texts = pa.concat_arrays(texts.chunks)

@@ -1,11 +1,11 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 A logistic model over the presence of words and word beginnings. While it is fitted, identity
-terms in labelled sentences are swapped for other terms of the same kind, and the squared
-change of the document's score is added to the loss, so that naming a group does not move a
-score by itself.
+terms in all labelled sentences of the sample are swapped for other terms of the same kind, and the
+squared change of the sentence's logit is added to the loss, so that naming a group does not
+move a score by itself.
 
-Fitted on a bounded, hash-ordered sample of labelled rows (TRAIN_ROWS); features are the
+Fitted on a bounded, hash-ordered sample of labelled rows (TRAIN_ROWS, of at most quality.TRAIN_BYTES); features are the
 at most KEPT words and beginnings that stand out in the sample's toxic texts.
 Scoring reads every whole text.
 
@@ -27,8 +27,8 @@ from eventloom.llm.quality import MIN_LABELS, sample
 
 TRAIN_ROWS, KEPT, LEAST, THRESHOLD = 6000, 3000, 4, 0.5
 #: Weight of the squared score change of a swapped sentence.
-PENALTY, SWAPS = 1.0, 2000
-#: A feature must be RATIO times as common in toxic texts as in all, by SURE standard deviations.
+PENALTY = 1.0
+#: A feature's texts must be toxic RATIO times as often as all (or half as often innocent, where many are toxic), by SURE standard deviations.
 RATIO, SURE = 3.0, 4.0
 #: Lengths of word beginnings that are features besides the whole word.
 HEADS = (4, 5, 6, 7)
@@ -80,18 +80,15 @@ def _sieve(vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def swapped(texts: list[str], most: int) -> tuple[list[int], list[str]]:
-    """Rows and texts in which the identity terms of one sentence are swapped."""
-    rows, out = [], []
-    for i, t in enumerate(texts):
+def swapped(texts: list[str]) -> tuple[list[str], list[str]]:
+    """The distinct sentences with identity terms, in lower case, and the same with each term swapped for the next."""
+    found: dict[str, None] = {}
+    for t in texts:
         for m in _SENTENCE.finditer(t):
             low = m[0].lower()
             if _TERM.search(low):
-                if len(out) >= most:
-                    return rows, out
-                rows.append(i)
-                out.append(t[: m.start()] + _TERM.sub(lambda x: _NEXT[x[0]], low) + t[m.end() :])
-    return rows, out
+                found[low] = None
+    return list(found), [_TERM.sub(lambda x: _NEXT[x[0]], s) for s in found]
 
 
 def fit(texts: pa.Array, label: np.ndarray) -> dict:
@@ -116,18 +113,17 @@ def fit(texts: pa.Array, label: np.ndarray) -> dict:
     # How far above its share each feature stands in toxic texts, in standard deviations. Weights
     # stay at or above 0: ordinary words are no evidence against, else long texts outvote one insult.
     gain = (pos - df * share) / np.sqrt(np.maximum(df * share * (1 - share), 1e-9))
-    gain[(df < LEAST) | (pos < RATIO * share * df)] = 0
+    gain[(df < LEAST) | (pos < min(RATIO * share, (1 + share) / 2) * df)] = 0
     terms = pa.array(sorted(_NEXT))
     _, own = features(*flat(terms))  # identity terms are always features, so that the penalty reaches them
     chosen = np.unique(np.concatenate([uniq[[i for i in np.argsort(-gain, kind="stable")[:KEPT] if gain[i] >= SURE]], own]))
     sieve = _sieve(chosen)
     r, c = presence(r, keys, chosen, sieve)
-    swap_rows, swap_texts = swapped(texts.to_pylist(), SWAPS)
-    base = len(swap_rows)
-    swap_texts += [_NEXT[t] for t in terms.to_pylist()]  # and each term alone against the next
-    sr, sc = presence(*features(*flat(pa.array(swap_texts, pa.string()))), chosen, sieve)
-    ar, ac = presence(*features(*flat(terms)), chosen, sieve)
-    source = np.array(swap_rows, np.int64)
+    sentences, others = swapped(texts.to_pylist())
+    sentences += terms.to_pylist()  # and each term alone against the next
+    others += [_NEXT[x] for x in terms.to_pylist()]
+    ar, ac = presence(*features(*flat(pa.array(sentences, pa.string()))), chosen, sieve)
+    sr, sc = presence(*features(*flat(pa.array(others, pa.string()))), chosen, sieve)
     w, bias = np.zeros(len(chosen)), float(np.log(share / (1 - share)))
     m, v, gb = np.zeros(len(chosen)), np.zeros(len(chosen)), 0.0
     weight = np.where(label > 0, 0.5 / share, 0.5 / (1 - share))
@@ -136,13 +132,9 @@ def fit(texts: pa.Array, label: np.ndarray) -> dict:
         g = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - label) / n
         grad = np.bincount(c, g[r], minlength=len(w)) + 1e-4 * w
         gb = g.sum()
-        there = np.bincount(sr, w[sc], minlength=len(swap_texts))
-        here = np.concatenate([(z - bias)[source], np.bincount(ar, w[ac], minlength=len(terms))])
-        d = 2 * PENALTY * (there - here) / len(swap_texts)
-        grad += np.bincount(sc, d[sr], minlength=len(w)) - np.bincount(ac, d[base:][ar], minlength=len(w))
-        if base:
-            back = np.bincount(source, d[:base], minlength=n)
-            grad -= np.bincount(c, back[r], minlength=len(w))
+        change = np.bincount(sr, w[sc], minlength=len(others)) - np.bincount(ar, w[ac], minlength=len(others))
+        d = 2 * PENALTY * change / len(others)
+        grad += np.bincount(sc, d[sr], minlength=len(w)) - np.bincount(ac, d[ar], minlength=len(w))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w = np.maximum(w, 0)
