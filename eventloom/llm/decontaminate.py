@@ -7,14 +7,15 @@ diagonals (text position less item position) no more than e apart. The shared q-
 counted in bands of 2 * (e + 1) diagonals that overlap by half; bands that reach the bound are verified by a
 banded alignment of the item with the region.
 
-The items are taken in parts of at most PART_BYTES; each part is sent to the executors and all
-documents pass by it, so a benchmark of any size is compared in full.
+The items are taken in parts of at most PART_BYTES; each part is sent to the executors, all
+documents pass by it, and it is let go of, so a benchmark of any size is compared in full.
 
 An item is found as a whole: a text that quotes only a part of it, however long and true to the word,
 does not contain it.
 
-Defined results: items of both fewer than MIN_WORDS words and fewer than MIN_BYTES bytes (or of
-fewer than Q bytes, or null) are too short to be evidence and match nothing; null texts are empty and contain nothing; repeated items are reported by each of
+Defined results: items of both fewer than MIN_WORDS words and fewer than MIN_BYTES bytes (or of fewer
+than Q bytes) are too short to be evidence inside a text, and are found where they are the whole text; null and
+empty items match nothing; null texts are empty and contain nothing; repeated items are reported by each of
 their ids, each once; repeated rows are judged alike; a null item_id is reported as -1; an empty table gives no rows; columns
 other than doc_id, text and item_id, text are ignored.
 """
@@ -31,10 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import U64, blocks, flat, prepare
+from eventloom.llm.common import U64, blocks, flat, prepare, stage
 
 Q, EDIT_SHARE, MIN_WORDS, MIN_BYTES, PART_BYTES = 8, 0.1, 5, 24, 4 << 20
 _SIEVE_BITS = 22
+#: Shared q-grams (a place in a text and one in an item) that are counted together.
+POSTINGS = 1 << 21
 
 
 def lowered(col: pa.Array) -> pa.Array:
@@ -76,12 +79,15 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.ids, self.texts = [], []
+        self.whole: dict[bytes, list[int]] = {}
         for i, t in rows:
             x = squeezed(*flat(lowered(pa.array([t]))))[0].tobytes().strip()
             # Scripts without spaces have few words: their items are evidence by their bytes.
             if (x.count(b" ") + 1 >= MIN_WORDS or len(x) >= MIN_BYTES) and len(x) >= Q:
                 self.ids.append(i)
                 self.texts.append(np.frombuffer(x, np.uint8))
+            elif x:
+                self.whole.setdefault(x, []).append(i)
         self.size = np.array([len(t) for t in self.texts], np.int64)
         # The budget leaves the lemma at least one shared q-gram.
         self.edits = np.minimum((self.size * EDIT_SHARE).astype(np.int64), (self.size - Q) // Q)
@@ -98,9 +104,17 @@ class Items:
         self.sieve[_slot(self.grams)] = True
         self.least = int(self.bound.min()) if len(self.ids) else 0
         self.reach = int((self.size + self.edits).max()) if len(self.ids) else 0
+        self.longest = max(map(len, self.whole), default=0)
+
+    def found(self, data: np.ndarray, offs: np.ndarray) -> list[list[int]]:
+        """The ids of the items that each row contains."""
+        out = [[self.ids[k] for k in f] for f in self.search(data, offs)]
+        for r in np.flatnonzero(np.diff(offs) <= self.longest + 2).tolist() if self.whole else ():
+            out[r] += self.whole.get(data[offs[r] : offs[r + 1]].tobytes().strip(), [])
+        return [sorted(set(f)) for f in out]
 
     def search(self, data: np.ndarray, offs: np.ndarray) -> list[list[int]]:
-        """The items that each row contains."""
+        """The items, by their number in this part, that each row has inside it."""
         out: list[list[int]] = [[] for _ in range(len(offs) - 1)]
         if not self.ids or len(data) < Q:
             return out
@@ -123,14 +137,22 @@ class Items:
         ok = np.cumsum(near[:-1]) > 0
         at, x, row = at[ok], x[ok], row[ok]
         n = self.last[x] - self.first[x]
-        hit = np.repeat(np.arange(len(at)), n)
-        post = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + self.first[x][hit]
-        item = self.item[post]
-        diagonal = at[hit] - offs[row[hit]] - self.at[post] + self.size[item]
-        half = diagonal // (self.edits[item] + 1)
-        bands = int(half.max(initial=0)) + 2
-        key = np.concatenate([((row[hit] * len(self.ids) + item) * bands + half + d) for d in (0, 1)])  # band b holds halves b-1 and b
-        key, count = np.unique(key, return_counts=True)
+        bands = int(((np.diff(offs).max() + self.size) // (self.edits + 1)).max()) + 3
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        edge = np.concatenate([[0], np.cumsum(n)])
+        a = 0
+        while a < len(at):  # so many places of texts that they have about POSTINGS q-grams in common with items
+            z = max(a + 1, int(np.searchsorted(edge, edge[a] + POSTINGS, "right")) - 1)
+            hit = np.repeat(np.arange(a, z), n[a:z])
+            post = np.arange(len(hit)) - (edge[hit] - edge[a]) + self.first[x][hit]
+            item = self.item[post]
+            diagonal = at[hit] - offs[row[hit]] - self.at[post] + self.size[item]
+            half = diagonal // (self.edits[item] + 1)
+            own, c = np.unique(np.concatenate([((row[hit] * len(self.ids) + item) * bands + half + d) for d in (0, 1)]), return_counts=True)  # band b holds halves b-1 and b
+            keys, at_ = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            counts = np.bincount(at_, np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
+            a = z
+        key, count = keys, counts
         item = key // bands % len(self.ids)
         ok = count >= self.bound[item]
         for k, i in zip(key[ok].tolist(), item[ok].tolist(), strict=True):
@@ -178,8 +200,8 @@ def _search(batches: Iterator[pa.RecordBatch], part, at: int) -> Iterator[list[l
         data, offs = flat(lowered(b.column(at)))
         found: list[list[int]] = []
         for i, j in blocks(offs, 1 << 20):
-            found += index.search(*squeezed(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
-        yield b, [sorted({index.ids[k] for k in f}) for f in found]
+            found += index.found(*squeezed(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+        yield b, found
 
 
 def _report(batches: Iterator[pa.RecordBatch], part) -> Iterator[pa.RecordBatch]:
@@ -193,33 +215,36 @@ def _clean(batches: Iterator[pa.RecordBatch], part, at: int) -> Iterator[pa.Reco
         yield b.filter(pa.array([not f for f in found], pa.bool_()))
 
 
-def parts(benchmark: DataFrame) -> list:
-    """The benchmark on the executors, PART_BYTES at a time; one part passes through the driver at once."""
+def parts(benchmark: DataFrame) -> Iterator[tuple[tuple, bool]]:
+    """The benchmark on the executors, PART_BYTES at a time: (name, broadcast) and whether it is the only part. A part is let
+    go of when the next one is asked for, so what has used it must be written by then."""
     sc = benchmark.sparkSession.sparkContext
-    out, held, size = [], [], 0
+    held, size, sent = [], 0, None
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("i"), F.col("text").alias("t")).filter("t is not null")
     for r in rows.toLocalIterator():
         if held and size + len(r.t) > PART_BYTES:
-            out.append((uuid.uuid4().hex, sc.broadcast(held)))
+            sent = sc.broadcast(held)
+            yield (uuid.uuid4().hex, sent), False
+            sent.destroy()
             held, size = [], 0
         held.append((r.i, r.t))
         size += len(r.t)
-    return [*out, (uuid.uuid4().hex, sc.broadcast(held))]
+    yield (uuid.uuid4().hex, sc.broadcast(held)), sent is None
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, items (sorted ids of the items found) of every row."""
     prepare(docs.sparkSession)
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    every = parts(benchmark)
-    if len(every) == 1:
-        found = src.mapInArrow(partial(_report, part=every[0]), "doc_id long, items array<long>")
-    else:  # rows are told apart by doc_id and their text's hash when the parts' answers meet
-        keyed = src.withColumn("mark", F.xxhash64("text"))
-        out = None
-        for p in every:
-            one = keyed.mapInArrow(partial(_report, part=p), "doc_id long, mark long, items array<long>").filter(F.size("items") > 0)
-            out = one if out is None else out.union(one)
+    keyed = src.withColumn("mark", F.xxhash64("text"))  # rows are told apart by doc_id and their text's hash when the parts' answers meet
+    out = None
+    for part, only in parts(benchmark):
+        if only:
+            found = src.mapInArrow(partial(_report, part=part), "doc_id long, items array<long>")
+            break
+        one = stage(keyed.mapInArrow(partial(_report, part=part), "doc_id long, mark long, items array<long>").filter(F.size("items") > 0), "benchmark-part")
+        out = one if out is None else out.union(one)
+    else:
         merged = out.groupBy("doc_id", "mark").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), "items")
         found = keyed.select("doc_id", "mark").join(merged, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")), "left").select("doc_id", F.coalesce("items", F.array().cast("array<long>")).alias("items"))
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items")
@@ -228,6 +253,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that contain no item, with all their columns."""
     prepare(docs.sparkSession)
-    for p in parts(benchmark):
-        docs = docs.mapInArrow(partial(_clean, part=p, at=docs.columns.index("text")), docs.schema)
+    for part, only in parts(benchmark):
+        docs = docs.mapInArrow(partial(_clean, part=part, at=docs.columns.index("text")), docs.schema)
+        if not only:
+            docs = stage(docs, "benchmark-part")
     return docs
