@@ -5,7 +5,9 @@ non-spaces, a few English suffixes) go through a transducer that keeps, for each
 `width` symbols read, the one token that ends the encoding of the text up to there. `width`
 is the length of the longest token, the merge list's sufficient lookahead: whatever follows,
 the next token starts at one of those last positions, so a token that all of them share as
-an ancestor is stable and is emitted. The state does not grow with the text.
+an ancestor is stable and is emitted. The state does not grow with the text. A pre-token of up to
+`width` symbols lies within the lookahead, so that none of its tokens is sure to be stable before its end; its
+tokens are found then, by the same test of neighbours.
 
 That each prefix has one encoding, and that it can be told from neighbouring pairs alone,
 follows from the merge list: a sequence is the encoding if and only if each token encodes to
@@ -16,6 +18,8 @@ Decoding is a state machine over ids. A vocabulary file without a decoder, as wo
 decodes to the tokens' own strings with one space between them; one with a byte-level decoder
 goes through an incremental UTF-8 decoder, which holds back at most an unfinished character.
 
+Texts are read SLICE characters at a time, and ids go to the decoder and to the digests slice by slice.
+
 Defined results: a null text is the empty text (no tokens); the strings of special tokens in
 a text are those tokens, as in the tokenizers library; an empty table gives no rows; columns
 other than doc_id and text are ignored, whatever their names.
@@ -38,12 +42,14 @@ from eventloom.llm.common import prepare, strings
 
 #: Bounds of a worker's memories, in entries: words and chunks already encoded, pairs already judged.
 KEPT = 120_000
-#: Pre-tokens of up to so many symbols are encoded in one go, without emitting in between.
-SHORT = 64
+#: Characters of a text that are read at a time (more where no space follows), and chunks that are decoded together.
+SLICE, RUN = 1 << 16, 4096
 
 END = "</w>"
 # Unicode's White_Space property, and the file's pre-token pattern.
 SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: A space after which a text may be cut: no letter is composed with it, and no token holds it.
+ASCII_SPACE = regex.compile(r"[\t-\r ]")
 #: Spaces to str.split, but not to the file.
 PY_SPACES = "\x1c\x1d\x1e\x1f"
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -132,7 +138,7 @@ class Transducer:
         self.m = merges
 
     def word(self, w: str) -> list[str]:
-        """Tokens of a short pre-token (a string over the byte alphabet): the longest token that fits
+        """Tokens of a pre-token within the lookahead (a string over the byte alphabet): the longest token that fits
         each time, stepping back where none does. Since every prefix has one encoding, a position
         that has failed once need not be tried again."""
         valid, fits, n = self.m.valid, self.m.fits, len(w)
@@ -156,6 +162,8 @@ class Transducer:
                     continue
             j -= 1
             while j == i:
+                if not out:
+                    raise ValueError(f"no token for {w!r}: the vocabulary lacks a symbol")
                 dead.add(i)
                 out.pop()
                 j = i - 1
@@ -209,27 +217,37 @@ class Transducer:
 
 
 class Decoder:
-    """Ids in, text out, one id at a time."""
+    """Ids in, text out, some ids at a time. What it keeps in between is whether a token came before, or the
+    bytes of an unfinished character."""
 
     def __init__(self, spec: dict):
-        self.token = {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
+        token = {i: t for t, i in spec["model"]["vocab"].items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
         self.bytes = (spec.get("decoder") or {}).get("type") == "ByteLevel"
-        self.of = {c: b for b, c in enumerate(byte_alphabet())}
-
-    def stream(self, ids: Iterable[int]) -> Iterator[str]:
-        if not self.bytes:
-            first = True
-            for i in ids:
-                t = self.token.get(i)
-                if t is not None:
-                    yield t if first else " " + t
-                    first = False
-            return
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            t = self.token.get(i, "")
-            yield state.decode(bytes(self.of[c] for c in t) if all(c in self.of for c in t) else t.encode())
-        yield state.decode(b"", True)
+        of = {c: b for b, c in enumerate(byte_alphabet())}
+        #: What each id, written in decimals, stands for.
+        self.token = {str(i): (bytes(of[c] for c in t) if all(c in of for c in t) else t.encode()) if self.bytes else t for i, t in token.items()}
+        self.reset()
+
+    def reset(self) -> None:
+        self.started = False
+        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: Iterable[str]) -> str:
+        """The text that these ids add. Ids without a token add none."""
+        got = [t for t in map(self.token.get, ids) if t is not None]
+        if self.bytes:
+            return self.state.decode(b"".join(got))
+        out = " ".join(got)
+        if got and self.started:
+            out = " " + out
+        self.started |= bool(got)
+        return out
+
+    def finish(self) -> str:
+        """What was held back; the decoder is new after it."""
+        out = self.state.decode(b"", True) if self.bytes else ""
+        self.reset()
+        return out
 
 
 class Codec:
@@ -244,24 +262,24 @@ class Codec:
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.number = {t: str(i) for t, i in self.merges.ids.items()}
         self.words: dict[str, list[str]] = {}
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}  # the generation of chunks before
+        self.chunks: dict[str, tuple[int, str]] = {}
+        self.older: dict[str, tuple[int, str]] = {}  # the generation of chunks before
 
     def piece(self, p: str) -> list[str]:
         """Tokens of a pre-token."""
         w = p if p.isascii() and p.isprintable() else "".join([self.alphabet[b] for b in p.encode()])
-        if len(w) > SHORT:
+        if len(w) > self.merges.width:
             return list(self.transducer.stream([*w[:-1], w[-1] + END]))
         return self.transducer.word(w)
 
-    def chunk(self, c: str) -> tuple[int, str, str]:
-        """Count, ids and decoded text of a lower-cased run of non-spaces. Pre-tokens have no spaces, so chunks are independent."""
+    def chunk(self, c: str) -> tuple[int, str]:
+        """Count and ids of a lower-cased run of non-spaces. Pre-tokens have no spaces, so chunks are independent."""
         got = self.older.get(c)
-        if got is None and not self.decoder.bytes and len(c) > 1 and not c[-1].isalpha() and c[:-1].isalpha():
+        if got is None and len(c) > 1 and not c[-1].isalpha() and c[:-1].isalpha():
             # A word and one mark are two pre-tokens: the word may be known without the mark.
             a, b = (self.chunks.get(x) or self.chunk(x) for x in (c[:-1], c[-1]))
             if a[0] and b[0]:
-                got = a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}"
+                got = a[0] + b[0], f"{a[1]} {b[1]}"
         if got is None:
             if c.isalpha():
                 tokens = self.piece(c)
@@ -273,27 +291,37 @@ class Codec:
                         t = self.piece(p)
                         if len(self.words) >= KEPT:
                             self.words.clear()
-                        if len(p) <= SHORT:
+                        if len(p) <= self.merges.width:
                             self.words[p] = t
                     tokens += t
             number = self.number
-            ids = [number[t] for t in tokens]
-            got = len(ids), " ".join(ids), "".join(self.decoder.stream(map(int, ids))) if self.decoder.bytes else " ".join(tokens)
-        if len(c) <= SHORT:
+            got = len(tokens), " ".join([number[t] for t in tokens])
+        if len(c) <= 2 * self.merges.width:
             if len(self.chunks) >= KEPT // 2:
                 self.older, self.chunks = self.chunks, {}
             self.chunks[c] = got
         return got
 
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
+    def parts(self, text: str) -> Iterator[list[tuple[int, str]]]:
+        """Count and ids of the chunks, some chunks at a time."""
+        at = 0
         if self.split and any(s in text for s in self.special):
-            out = []
-            for t in self.split.split(text):
-                out += [(1, str(self.special[t]), t)] if t in self.special else self.parts_of(t)
-            return out
-        return self.parts_of(text)
-
-    def parts_of(self, text: str) -> list[tuple[int, str, str]]:
+            for m in self.split.finditer(text):
+                yield from self.parts_of(text, at, m.start())
+                yield [(1, str(self.special[m.group()]))]
+                at = m.end()
+        yield from self.parts_of(text, at, len(text))
+
+    def parts_of(self, text: str, begin: int, end: int) -> Iterator[list[tuple[int, str]]]:
+        while begin < end:
+            cut = end
+            if end - begin > SLICE:
+                space = ASCII_SPACE.search(text, begin + SLICE, end)
+                cut = space.end() if space else end
+            yield self.slice(text[begin:cut])
+            begin = cut
+
+    def slice(self, text: str) -> list[tuple[int, str]]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
         # Letter by letter, as the file's normaliser; only a final sigma depends on what is around it.
@@ -303,10 +331,24 @@ class Codec:
         return [g for c in (text.split() if plain else SPACES.split(text)) if c for g in (seen(c) or chunk(c),) if g[0]]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.parts(text) for i in p[1].split(" ")]
+        return [int(i) for part in self.parts(text) for p in part for i in p[1].split(" ")]
 
     def decode(self, ids: Iterable[int]) -> str:
-        return "".join(self.decoder.stream(ids))
+        return self.decoder.feed(map(str, ids)) + self.decoder.finish()
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """Count of tokens, and SHA-256 of the ids and of what the ids decode to."""
+        n, ids, texts, between = 0, hashlib.sha256(), hashlib.sha256(), ""
+        for part in self.parts(text):
+            for k in range(0, len(part), RUN):
+                run = part[k : k + RUN]
+                n += sum([p[0] for p in run])
+                said = " ".join([p[1] for p in run])
+                ids.update((between + said).encode())
+                texts.update(self.decoder.feed(said.split(" ")).encode("utf-8", "surrogatepass"))
+                between = " "
+        texts.update(self.decoder.finish().encode())
+        return n, ids.hexdigest(), texts.hexdigest()
 
 
 _codecs: dict[int, Codec] = {}
@@ -322,16 +364,9 @@ def codec(blob: str) -> Codec:
 
 
 def _digest(batches: Iterator[pa.RecordBatch], blob) -> Iterator[pa.RecordBatch]:
-    """Decoding here takes what each chunk's ids decode to: the plain decoder has no state but the space between tokens."""
     c = codec(blob.value)
-    sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
     for b in batches:
-        n, ids, texts = [], [], []
-        for t in strings(b.column(1)):
-            p = c.parts(t)
-            n.append(sum([x[0] for x in p]))
-            ids.append(sha(" ".join([x[1] for x in p])))
-            texts.append(sha(" ".join([x[2] for x in p])))
+        n, ids, texts = zip(*map(c.digest, strings(b.column(1))), strict=True) if b.num_rows else ((),) * 3
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
