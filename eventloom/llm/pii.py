@@ -4,8 +4,9 @@ Base patterns find e-mail addresses, IP addresses, payment cards and phone numbe
 seeds of a bootstrap: every word with a numeral or an @ is an instance; its shape, the word on
 its left and the word on its right are lexical patterns. Spark scores the graph of patterns and
 instances in turns: a pattern's confidence for a kind is the mean confidence of its instances
-(seeds have 1), an instance's is what its shape and its better context agree on. After ROUNDS
-turns, instances of at least ACCEPT confidence that no base span touches are added as spans of that kind.
+(seeds have 1), an instance's is what its shape and its better context agree on; a shape that no seed
+has is judged by the better context alone. After ROUNDS turns, instances of at least ACCEPT confidence that no
+base span touches are added as spans of that kind; those with one space between them make one span.
 
 Positions are code points: matches are put between two marker characters (noncharacters, which
 a text that holds them loses to a third, of the same length) and the pieces' lengths are summed.
@@ -16,7 +17,7 @@ as any other; an empty table gives no rows; columns other than doc_id and text a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import stage
@@ -35,20 +36,44 @@ OPEN, CLOSE, SPARE = "\ufdd0", "\ufdd1", "\ufdd2"
 #: A word with a numeral or an @, without punctuation at its end.
 INSTANCE = r"(?<!\S)(?=\S*[0-9@])\S*[\p{L}0-9)]"
 ROUNDS, SUPPORT, ACCEPT = 3, 10, 0.9
+#: Characters around an instance in which its neighbouring words are looked for (a longer word counts as its part), and matches numbered together.
+CONTEXT, GROUP = 40, 256
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once, however often a lambda in body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Array of struct(start, end, hit, before, after) of the matches of a pattern; before and after hold up to 40 characters."""
-    pieces = F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN)
-    zero = F.struct(F.length(pieces[0]).alias("at"), F.right(pieces[0], F.lit(40)).alias("before"), F.array().cast("array<struct<start:int,end:int,hit:string,before:string,after:string>>").alias("out"))
+    """Array of struct(start, end, hit, before, after) of the matches of a pattern; before and after hold up to CONTEXT characters.
+
+    Matches are numbered off in groups of GROUP, so that the work grows little faster than their number."""
+    kind = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
 
     def step(acc: Column, piece: Column) -> Column:
         hit, rest = F.substring_index(piece, CLOSE, 1), F.substring_index(piece, CLOSE, -1)
-        one = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(hit)).alias("end"), hit.alias("hit"), acc["before"].alias("before"), F.left(rest, F.lit(40)).alias("after"))
-        before = F.right(F.concat(F.right(hit, F.lit(40)), rest), F.lit(40))
+        one = F.struct(acc["at"].alias("start"), (acc["at"] + F.length(hit)).alias("end"), hit.alias("hit"), acc["before"].alias("before"), F.left(rest, F.lit(CONTEXT)).alias("after"))
+        before = F.right(F.concat(F.right(hit, F.lit(CONTEXT)), rest), F.lit(CONTEXT))
         return F.struct((acc["at"] + F.length(piece) - 1).alias("at"), before.alias("before"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), zero, step, lambda acc: acc["out"])
+    def grouped(p: Column) -> Column:
+        last = F.right(F.element_at(p, 1), F.lit(CONTEXT))
+
+        def group(g: Column) -> Column:
+            before = F.when(g == 0, last).otherwise(F.right(F.translate(F.element_at(p, g * GROUP + 1), CLOSE, ""), F.lit(CONTEXT)))
+            zero = F.struct(F.lit(0).alias("at"), before.alias("before"), F.array().cast(kind).alias("out"))
+            return F.aggregate(F.slice(p, g * GROUP + 2, F.lit(GROUP)), zero, step)
+
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 2) / GROUP).cast("int")), group)
+
+    def placed(p: Column) -> Column:
+        zero = F.struct(F.length(F.element_at(p, 1)).alias("at"), F.array().cast("array<int>").alias("from"))
+        begins = lambda r: F.aggregate(r, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["from"], F.array(acc["at"])).alias("from")), lambda acc: acc["from"])
+        moved = lambda x, by: F.transform(x["out"], lambda m: F.struct((m["start"] + by).alias("start"), (m["end"] + by).alias("end"), m["hit"].alias("hit"), m["before"].alias("before"), m["after"].alias("after")))
+        return F.when(F.size(p) > 1, let(grouped(p), lambda r: F.flatten(F.zip_with(r, begins(r), moved)))).otherwise(F.array().cast(kind))
+
+    return let(F.split(F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}"), OPEN), placed)
 
 
 def _luhn(digits: Column) -> Column:
@@ -106,17 +131,27 @@ def base_table(docs: DataFrame) -> DataFrame:
     seeds = src.select("doc_id", "mark", "t", (at | digit).alias("any"), *[_base(t, k, worth[k]).alias(k) for k in KINDS])
     base = F.concat(*KINDS)
     words = F.when(F.col("any"), located(t, INSTANCE)).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string,before:string,after:string>>"))
-    insts = F.transform(
-        words,
-        lambda m: F.struct(
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            _shape(m["hit"]).alias("shape"),
-            _context(m["before"], True).alias("left"),
-            _context(m["after"], False).alias("right"),
-            F.coalesce(F.try_element_at(F.filter(F.col("base"), lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])), F.lit(1))["ord"], F.lit(-1)).alias("seed"),
-        ),
-    )
+
+    def judged(group: Column, near: Column) -> Column:
+        return F.transform(
+            group,
+            lambda m: F.struct(
+                m["start"].alias("start"),
+                m["end"].alias("end"),
+                _shape(m["hit"]).alias("shape"),
+                _context(m["before"], True).alias("left"),
+                _context(m["after"], False).alias("right"),
+                F.coalesce(F.try_element_at(F.filter(near, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])), F.lit(1))["ord"], F.lit(-1)).alias("seed"),
+            ),
+        )
+
+    def grouped(w: Column) -> Column:
+        # A group of instances is held against the spans that touch the group.
+        touching = lambda g: F.filter(F.col("base"), lambda b: (b["start"] < F.element_at(g, -1)["end"]) & (b["end"] > F.element_at(g, 1)["start"]))
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / GROUP).cast("int")), lambda k: F.slice(w, k * GROUP + 1, F.lit(GROUP)))
+        return F.when(F.size(w) > 0, F.flatten(F.transform(groups, lambda g: let(touching(g), lambda near: judged(g, near))))).otherwise(judged(w, F.col("base")))
+
+    insts = let(words, grouped)
     return seeds.withColumn("base", base).select("doc_id", "mark", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], "base", insts.alias("insts"))
 
 
@@ -126,7 +161,8 @@ def discovered(table: DataFrame) -> DataFrame:
     # The graph is between kinds of instances, not instances: equal (shape, left, right) are one node with a weight.
     nodes = stage(inst.groupBy("shape", "left", "right").agg(F.count(F.lit(1)).alias("w"), *[F.sum((F.col("seed") == k).cast("int")).alias(f"s{k}") for k in range(len(KINDS))]), "pii-nodes")
     kinds = F.array(*[F.struct(F.lit(k).alias("ord"), F.col(f"s{k}").alias("s")) for k in range(len(KINDS))])
-    node = nodes.withColumn("k", F.explode(kinds)).select("shape", "left", "right", "w", "k.ord", "k.s", (F.col("k.s") / F.col("w")).alias("conf"))
+    known = nodes.groupBy("shape").agg((F.sum(sum(F.col(f"s{k}") for k in range(len(KINDS)))) > 0).alias("known"))
+    node = nodes.join(known, "shape").withColumn("k", F.explode(kinds)).select("shape", "left", "right", "w", "known", "k.ord", "k.s", (F.col("k.s") / F.col("w")).alias("conf"))
     # A pattern can only tell of a kind of which it has seeds.
     for _ in range(ROUNDS):
         score = F.sum(F.col("w") * F.col("conf")) / F.sum("w")
@@ -135,13 +171,18 @@ def discovered(table: DataFrame) -> DataFrame:
         lefts = node.filter("left is not null").groupBy("left", "ord").agg(score.alias("cl"), some.alias("ok")).filter("ok").drop("ok")
         rights = node.filter("right is not null").groupBy("right", "ord").agg(score.alias("cr"), some.alias("ok")).filter("ok").drop("ok")
         both = node.join(shapes, ["shape", "ord"], "left").join(lefts, ["left", "ord"], "left").join(rights, ["right", "ord"], "left")
-        agreed = F.least(F.coalesce("cs", F.lit(0.0)), F.greatest(F.coalesce("cl", F.lit(0.0)), F.coalesce("cr", F.lit(0.0))))
+        context = F.greatest(F.coalesce("cl", F.lit(0.0)), F.coalesce("cr", F.lit(0.0)))
+        agreed = F.when(F.col("known"), F.least(F.coalesce("cs", F.lit(0.0)), context)).otherwise(context)
         seeded = F.col("s") / F.col("w")
-        node = stage(both.select("shape", "left", "right", "w", "ord", "s", (seeded + (1 - seeded) * agreed).alias("conf"), agreed.alias("agreed")), "pii-scores")
+        node = stage(both.select("shape", "left", "right", "w", "known", "ord", "s", (seeded + (1 - seeded) * agreed).alias("conf"), agreed.alias("agreed")), "pii-scores")
     best = node.filter(F.col("agreed") >= ACCEPT).groupBy("shape", "left", "right").agg(F.max_by("ord", F.struct("agreed", -F.col("ord"))).alias("ord"))
     x, y = inst.filter("seed = -1").alias("x"), best.alias("y")
     same = (F.col("x.shape") == F.col("y.shape")) & F.col("x.left").eqNullSafe(F.col("y.left")) & F.col("x.right").eqNullSafe(F.col("y.right"))
-    return x.join(y, same).select("x.doc_id", "x.mark", "x.start", "x.end", "y.ord")
+    found = x.join(y, same).select("x.doc_id", "x.mark", "x.start", "x.end", "y.ord").distinct()
+    row = Window.partitionBy("doc_id", "mark", "ord").orderBy("start")
+    apart = F.coalesce((F.col("start") > F.lag("end").over(row) + 1).cast("int"), F.lit(0))
+    runs = found.withColumn("apart", apart).withColumn("run", F.sum("apart").over(row))
+    return runs.groupBy("doc_id", "mark", "ord", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
