@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial, reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.scoring import freshness, jaccard, trending
 from eventloom.functions.text import TECHNOLOGIES, TOPICS, audiences, detect_city, difficulty, labels, literal_map, normalize_city, skills
+from eventloom.session import ship
 from eventloom.staging import staged
 
 # Strength of each kind of interaction, recommendation weights, order of reasons.
@@ -15,7 +21,7 @@ RECOMMEND = {"interest": 0.6, "freshness": 0.15, "trending": 0.15, "similarity":
 PRIORITY = {"community": 0, "organizer": 0, "topic": 1, "tech": 2, "city": 3, "category": 4}
 
 
-#: Kinds of records (distinct features) that are sent to the users' tasks; beyond, Spark pairs them by blocks.
+#: Kinds of records (distinct features) that are sent to the users' tasks at a time.
 MOST_KINDS = 50_000
 
 
@@ -112,17 +118,7 @@ def recommend(catalog: DataFrame, log: DataFrame, now: Column, limit: int, hosts
 
     people = _by_user(profile(log, rec.select("key", "features")), "prof", "feature", "weight")
     people = people.join(_by_user(sims, "sims", "alike", "sim"), "user_id", "left").join(_by_user(took, "taken", "kind", "took"), "user_id", "left")
-    small = kinds.limit(MOST_KINDS + 1).count() <= MOST_KINDS
-    each = people.crossJoin(F.broadcast(kinds) if small else kinds)
-    weight = F.aggregate("features", F.lit(0.0), lambda s, f: s + F.coalesce(F.try_element_at("prof", f), F.lit(0.0)))
-    each = each.select("user_id", "kind", "top", weight.alias("raw"), F.coalesce(F.try_element_at("sims", F.col("alike")), F.lit(0.0)).alias("sim"), F.coalesce(F.try_element_at("taken", F.col("kind")), F.lit(0)).alias("took"), F.coalesce(F.size("taken"), F.lit(0)).alias("kinds_taken"), "n").filter("n > took")
-    user = Window.partitionBy("user_id")
-    best = F.max(F.when(F.col("raw") > 0, F.col("raw"))).over(user)
-    each = each.withColumn("own", RECOMMEND["interest"] * F.when((F.col("raw") > 0) & best.isNotNull(), F.col("raw") / best).otherwise(0.0) + RECOMMEND["similarity"] * F.col("sim"))
-    each = each.withColumn("bound", F.col("own") + F.col("top")).withColumn("rn", F.row_number().over(user.orderBy(F.desc("bound"))))
-    # A kind whose best record the user has taken may fall behind, so as many more are kept.
-    cut = F.min(F.when(F.col("rn") <= limit + F.greatest("kinds_taken", F.lit(0)), F.col("bound"))).over(user)
-    chosen = each.withColumn("cut", cut).filter(F.col("bound") >= F.col("cut") - 2e-4).select("user_id", "kind", "own", "took", (F.col("sim") > 0).alias("similar"))
+    chosen = _chosen(people, kinds.select("kind", "features", "alike", "n", "top"), limit)
 
     # Records of a kind by steps of one place of the score: `above` counts those that are ahead whatever the rounding.
     most = limit + (took.agg(F.max("took")).first()[0] or 0)
@@ -133,10 +129,87 @@ def recommend(catalog: DataFrame, log: DataFrame, now: Column, limit: int, hosts
     cand = chosen.join(lists, "kind").filter((F.col("above") < limit + F.col("took")) & (F.col("kr") <= limit + F.col("took")))
     cand = cand.join(held.filter("ahead").select("user_id", "key"), ["user_id", "key"], "left_anti")
     scored = cand.withColumn("score", F.bround(F.col("own") + F.col("base"), 4))
-    w = user.orderBy(F.desc("score"), "key")
+    w = Window.partitionBy("user_id").orderBy(F.desc("score"), "key")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).select("user_id", "key", "score", "rank", "similar")
 
 
+_CHOSEN = "user_id string, kind string, own double, took int, similar boolean"
+
+
+def _chosen(people: DataFrame, kinds: DataFrame, limit: int) -> DataFrame:
+    """user_id, kind, own, took, similar: the kinds that can hold one of a user's best `limit` records.
+
+    Kinds go to the users' tasks in blocks of MOST_KINDS, where a user's weights are summed over the features of all
+    kinds of a block at once. With several blocks, a first pass finds the user's best interest over all of them."""
+    spark = people.sparkSession
+    ship(spark)
+    blocks, held = [], []
+    for r in kinds.toLocalIterator():
+        held.append((r.kind, r.features, r.alike, r.n, r.top))
+        if len(held) >= MOST_KINDS:
+            blocks.append(spark.sparkContext.broadcast(held))
+            held = []
+    if held or not blocks:
+        blocks.append(spark.sparkContext.broadcast(held))
+    people = people.select("user_id", *[F.map_entries(c).alias(c) for c in ("prof", "sims", "taken")])
+    if len(blocks) == 1:
+        return people.withColumn("best", F.lit(None).cast("double")).mapInArrow(partial(_own_kinds, block=blocks[0], limit=limit), _CHOSEN)
+    each = reduce(DataFrame.unionByName, [people.withColumn("best", F.lit(None).cast("double")).mapInArrow(partial(_best_raw, block=b), "user_id string, best double") for b in blocks])
+    known = people.join(each.groupBy("user_id").agg(F.max("best").alias("best")), "user_id")
+    return reduce(DataFrame.unionByName, [known.mapInArrow(partial(_own_kinds, block=b, limit=limit), _CHOSEN) for b in blocks])
+
+
+def _judged(batches: Iterator[pa.RecordBatch], block) -> Iterator[tuple]:
+    """user_id, best, raw interest, similarity and records taken by kind, of each user."""
+    rows = block.value
+    names = {f: i for i, f in enumerate(sorted({f for r in rows for f in r[1]}))}
+    flat = np.array([names[f] for r in rows for f in r[1]], np.int64)
+    start = np.concatenate([[0], np.cumsum([len(r[1]) for r in rows])[:-1]]).astype(np.int64) if rows else np.zeros(0, np.int64)
+    place = {r[0]: i for i, r in enumerate(rows)}
+    alikes: dict[str, list[int]] = {}
+    for i, r in enumerate(rows):
+        alikes.setdefault(r[2], []).append(i)
+    for b in batches:
+        for user, prof, sims, taken, best in zip(*(b.column(c).to_pylist() for c in ("user_id", "prof", "sims", "taken", "best")), strict=True):
+            w = np.zeros(len(names))
+            for e in prof or ():
+                if e["key"] in names:
+                    w[names[e["key"]]] = e["value"]
+            raw = np.add.reduceat(w[flat], start) if len(rows) else np.zeros(0)
+            sim, took = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+            for e in sims or ():
+                sim[alikes.get(e["key"], [])] = e["value"]
+            for e in taken or ():
+                if e["key"] in place:
+                    took[place[e["key"]]] = e["value"]
+            yield user, best, raw, sim, took, len(taken or ())
+
+
+def _best_raw(batches: Iterator[pa.RecordBatch], block) -> Iterator[pa.RecordBatch]:
+    n = np.array([r[3] for r in block.value], np.int64)
+    got = [(user, float(raw[n > took].max(initial=0.0))) for user, _, raw, _, took, _ in _judged(batches, block)]
+    yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["user_id", "best"])
+
+
+def _own_kinds(batches: Iterator[pa.RecordBatch], block, limit: int) -> Iterator[pa.RecordBatch]:
+    rows = block.value
+    n, top = np.array([r[3] for r in rows], np.int64), np.array([r[4] for r in rows], np.float64)
+    for user, best, raw, sim, took, kinds_taken in _judged(batches, block):
+        open_ = np.flatnonzero(n > took)
+        if not len(open_):
+            continue
+        best = raw[open_].max() if best is None else best
+        own = RECOMMEND["interest"] * (np.maximum(raw[open_], 0) / best if best > 0 else np.zeros(len(open_))) + RECOMMEND["similarity"] * sim[open_]
+        bound = own + top[open_]
+        # A kind whose best record the user has taken may fall behind, so as many more are kept; 2e-4 is more than rounding can turn.
+        few = min(len(bound), limit + kinds_taken)
+        at = np.flatnonzero(bound >= np.partition(bound, -few)[-few] - 2e-4)
+        k = open_[at]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([user] * len(at), pa.string()), pa.array([rows[i][0] for i in k], pa.string()), pa.array(own[at]), pa.array(took[k], pa.int32()), pa.array(sim[k] > 0)], names=["user_id", "kind", "own", "took", "similar"]
+        )
+
+
 def reasons(top: DataFrame, feats: DataFrame, prof: DataFrame, log: DataFrame, most: int = 3) -> DataFrame:
     """user_id, key, reasons of recommended records (user_id, key, similar): phrases of the features of positive weight, by
     namespace, weight, name; then the similarity to records that the user has engaged with (R14)."""

@@ -292,7 +292,7 @@ _RUNS = "r AS (SELECT user_id % 20 AS provider, event_id AS run, event_type <> '
 
 @query(f"""WITH {_RUNS}, h AS (SELECT *, ntile(2) OVER (PARTITION BY provider ORDER BY run) = 2 AS later FROM r),
 g AS (SELECT provider, count(*) AS n, count(*) FILTER (WHERE ok) AS s, avg(latency_ms) AS l, max(CASE WHEN ok THEN ts END) AS t, avg(quality) AS q, avg(duplicates) AS d, avg(CASE WHEN later THEN CAST(ok AS INT) END) AS b, avg(CASE WHEN NOT later THEN CAST(ok AS INT) END) AS a FROM h GROUP BY 1)
-SELECT provider, round_even(s / n, 4) AS uptime, floor(l) AS latency_ms, floor((epoch_us(timestamp '{NOW}') // 1000000 - epoch_us(t) // 1000000) / 3600.0) AS freshness_hours, round_even(q, 4) AS event_quality, round_even(d, 4) AS duplicate_pct, CASE WHEN a IS NULL OR b IS NULL OR a = b THEN 'stable' WHEN b > a THEN 'improving' ELSE 'declining' END AS trend, n AS total_runs FROM g""")
+SELECT provider, round_even(s / n, 4) AS uptime, floor(round(l, 2)) AS latency_ms, floor((epoch_us(timestamp '{NOW}') // 1000000 - epoch_us(t) // 1000000) / 3600.0) AS freshness_hours, round_even(q, 4) AS event_quality, round_even(d, 4) AS duplicate_pct, CASE WHEN a IS NULL OR b IS NULL OR a = b THEN 'stable' WHEN b > a THEN 'improving' ELSE 'declining' END AS trend, n AS total_runs FROM g""")
 def q_provider_health(spark, d):
     e = read(spark, d, "events")
     r = e.select((F.col("user_id") % 20).alias("provider"), F.col("event_id").alias("run"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency_ms"), (F.col("event_id") % 10 / 10).alias("quality"), (F.col("event_id") % 4 / 8).alias("duplicates"), F.col("ts").alias("at"))

@@ -125,8 +125,16 @@ def test_profile_signs(spark):
     feats = spark.createDataFrame([("a", ["city:Pune"]), ("b", ["topic:LLMs"])], "key string, features array<string>")
     p = users.profile(log, feats)
     assert {r.feature: r.weight for r in p.collect()} == {"city:Pune": -1.0, "topic:LLMs": 6.0}
-    r = users.reasons(p.withColumn("key", F.lit("x"))).first()
-    assert r.reasons == ["Recommended because you're interested in LLMs."]
+
+
+def test_reasons(spark):
+    log = spark.createDataFrame([("went", "attend", T0, "b"), ("clicked", "click", T0, "b"), ("other", "view", T0, "c")], "user_id string, type string, at timestamp, event_key string")
+    feats = spark.createDataFrame([("b", ["topic:LLMs", "city:Pune", "tech:Rust", "category:meetup", "format:online"]), ("c", ["budget:free"]), ("x", ["topic:LLMs", "city:Pune", "tech:Rust", "category:meetup"])], "key string, features array<string>")
+    top = spark.createDataFrame([("went", "x", False), ("clicked", "x", True), ("other", "x", False)], "user_id string, key string, similar boolean")
+    got = {r.user_id: r.reasons for r in users.reasons(top, feats, users.profile(log, feats), log).collect()}
+    assert got["went"] == ["Recommended because you frequently attend LLMs events.", "Recommended because you're interested in Rust.", "Recommended because you attend events in Pune."]
+    assert got["clicked"] == ["Recommended because you're interested in LLMs.", "Recommended because you're interested in Rust.", "Recommended because it's similar to events you've engaged with."]
+    assert got["other"] == ["Recommended based on freshness and trending signals."]
 
 
 def test_streaks(spark):
