@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import U64, blocks, flat, gram_hash, lower_az, mix, prepare, span_hash, stage, words
+from eventloom.llm.common import U64, blocks, flat, gram_hash, lower_az, mix, prepare, span_hash, stage, unstage, words
 from eventloom.llm.components import components
 
 #: Words of a shingle and least similarity in per cent, by default.
@@ -318,6 +318,8 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int) -> tuple
     per = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").alias("d"), F.col("mark").alias("m"))).alias("row"), F.first(F.struct("n", "entered", "tokens", "hist")).alias("x"))
     # Once written, a class keeps the number that it got.
     classes = stage(per.select("class", "rep", "row", "x.*", F.monotonically_increasing_id().alias("cid")), "jaccard-classes")
+    full, rows = rows, stage(rows.select("doc_id", "mark", "n", "class"), "jaccard-members")
+    unstage(full)
 
     more, less = 100 + percent, 100 - percent
 
@@ -371,7 +373,9 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int) -> tuple
         centres = salted(whole.withColumnRenamed("set", "centre").join(groups, "cid").withColumnRenamed("cid", "g"))
         apart = stage(dealt(members.join(whole, "cid")).join(centres, ["g", "salt"]).select("g", "cid", "set", "centre").mapInArrow(partial(_differences, percent=percent), _DIFFERENCE), "jaccard-differences")
         lacking = apart.select("g", F.explode("gone").alias("tok")).groupBy("g", "tok").agg(F.count(F.lit(1)).alias("count")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("tok", "count"))).alias("lacking"))
+        sides = apart
         apart = stage(dealt(apart).join(salted(lacking), ["g", "salt"], "left").sortWithinPartitions("g").drop("salt").mapInArrow(partial(_prefixes, order=order, percent=percent), _PREFIX), "jaccard-prefixes")
+        unstage(sides, members, lists)
         links = links.union(apart.filter("not far").select(F.col("g").alias("u"), F.col("cid").alias("v")))
         differing = differing.union(apart.select("g", "cid", "n", "set"))
         lists = lists_of(apart)
@@ -392,10 +396,11 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int) -> tuple
     pairs = open_.join(side(differing, "v").withColumnRenamed("g_v", "g"), ["g", "v"]).join(side(differing, "u").withColumnRenamed("g_u", "g"), ["g", "u"])
     links = links.union(stage(pairs.select("u", "v", "set_u", "set_v", "n_u", "n_v").mapInArrow(partial(_verify, percent=percent), "u long, v long"), "jaccard-links"))
     comps = stage(components(links), "jaccard-comps")
+    unstage(whole, lists)
 
     rooted = classes.select("class", "cid", "rep").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = rooted.groupBy("root").agg(F.min("rep").alias("comp"))
-    return rows.select("doc_id", "mark", "n", "class"), rooted.join(smallest, "root").select("class", "root", "comp")
+    return rows, rooted.join(smallest, "root").select("class", "root", "comp")
 
 
 _DIFFERENCE = "g long, cid long, n long, size long, d long, need long, far boolean, own array<long>, gone array<long>"
