@@ -149,8 +149,11 @@ class Items:
             diagonal = at[hit] - offs[row[hit]] - self.at[post] + self.size[item]
             half = diagonal // (self.edits[item] + 1)
             own, c = np.unique(np.concatenate([((row[hit] * len(self.ids) + item) * bands + half + d) for d in (0, 1)]), return_counts=True)  # band b holds halves b-1 and b
-            keys, at_ = np.unique(np.concatenate([keys, own]), return_inverse=True)
-            counts = np.bincount(at_, np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
+            if len(keys):
+                keys, same = np.unique(np.concatenate([keys, own]), return_inverse=True)
+                counts = np.bincount(same, np.concatenate([counts, c]), minlength=len(keys)).astype(np.int64)
+            else:
+                keys, counts = own, c
             a = z
         key, count = keys, counts
         item = key // bands % len(self.ids)
