@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from eventloom.llm.common import prepare, strings
 
 #: Bounds of a worker's memories, in entries: words and chunks already encoded, pairs already judged.
-KEPT = 120_000
+KEPT = 240_000
 #: Characters of a text that are read at a time (more where no space follows), and chunks that are decoded together.
 SLICE, RUN = 1 << 16, 4096
 
