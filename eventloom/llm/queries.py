@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe, decontaminate, exact_dedup, jaccard_join, langid, pii, quality, substring_dedup, suffix_dedup, toxicity
+from eventloom.llm import bpe, decontaminate, divergence, exact_dedup, jaccard_join, langid, pii, quality, substring_dedup, suffix_dedup, toxicity
 from eventloom.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(docs, langid.language_model(docs))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality": op2_quality,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array": op8_suffix_array,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language": op10_language,
+    "op13_divergence": op13_divergence,
 }
 
-ORACLE: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE, "op13_divergence": divergence.ORACLE}
