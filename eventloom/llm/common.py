@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Bytes of text that the numpy kernels look at together (one longer text is taken alone).
 BLOCK_BYTES = 1 << 19
+#: Bytes of a text that are cut into words at a time.
+PIECE = 1 << 20
 
 U64 = np.uint64
 
@@ -105,6 +108,20 @@ def blocks(offs: np.ndarray, limit: int = BLOCK_BYTES):
         i = min(j, n)
 
 
+def pieces(data: bytes, separated: bytes) -> Iterator[list[bytes]]:
+    """The words of data by the 256 letters of separated (32 between words), about PIECE bytes at a time."""
+    at = 0
+    while at < len(data):
+        end = at + PIECE
+        part = data[at:end].translate(separated)
+        while end < len(data) and not part.endswith(b" "):  # on to the end of the last word
+            more = data[end : end + PIECE].translate(separated)
+            cut = more.find(b" ") + 1 or len(more)
+            part, end = part + more[:cut], end + cut
+        yield part.split()
+        at = end
+
+
 def lower_az(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data | 32, data)
 

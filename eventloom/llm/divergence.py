@@ -37,12 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from eventloom.llm.common import prepare, stage, unstage
+from eventloom.llm.common import pieces, prepare, stage, unstage
 
 #: Documents of the lang that a kept term occurs in at least; added to each count; what probabilities are given in; ranks of terms.
 MIN_DOCS, PRIOR, SCALE, TOP = 30, 5, 1_000_000_000, 50
-#: Distinct terms that a task counts before it passes them on, and bytes of a text that are cut into words at a time.
-HELD_TERMS, PIECE = 200_000, 1 << 20
+#: Distinct terms that a task counts before it passes them on.
+HELD_TERMS = 200_000
 #: Sources of a tile, and postings of a task of two tiles, about.
 TILE, TASK_ROWS = 256, 4096
 #: Pairs of postings that a task forms at a time.
@@ -53,20 +53,6 @@ FIRST, GROWTH = TOP, 16
 _LETTERS = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def pieces(data: bytes, separated: bytes) -> Iterator[list[bytes]]:
-    """The words of data by the 256 letters of separated (32 between words), about PIECE bytes at a time."""
-    at = 0
-    while at < len(data):
-        end = at + PIECE
-        part = data[at:end].translate(separated)
-        while end < len(data) and not part.endswith(b" "):  # on to the end of the last word
-            more = data[end : end + PIECE].translate(separated)
-            cut = more.find(b" ") + 1 or len(more)
-            part, end = part + more[:cut], end + cut
-        yield part.split()
-        at = end
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences of each term, and documents that have it, by lang and source."""
     held: dict = defaultdict(lambda: (Counter(), Counter()))
