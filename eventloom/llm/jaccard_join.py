@@ -24,7 +24,7 @@ pair must share tokens of D, so the differences are indexed in their turn (the s
 centre: D = all tokens), and lists of differences with many entries name centres again. The tokens of D
 are ordered by how many members of the group have them in D, so that what sets the centre apart
 from all others, which every member has, comes last. Lists with many entries after ROUNDS
-rounds are paired in full, less the pairs of one component. No link between different sets is lost.
+rounds are paired in full, by tasks of LOOKUPS members. No link between different sets is lost.
 
 Candidates from the first lists are held against histograms of the two sets, which bound their
 overlap from above, before the sets are fetched.
@@ -41,7 +41,7 @@ than doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial, reduce
 
 import numpy as np
@@ -56,12 +56,18 @@ from eventloom.llm.components import components
 SHINGLE, PERCENT = 3, 90
 #: Counters of the sketch that orders tokens (fixed size, filled from all documents).
 SKETCH_BITS, SLICE = 20, 4096
+#: Groups of tasks whose counts are summed first.
+SUMS = 64
+#: Pairs that a task forms at a time.
+PAIRS = 1 << 20
 #: With more entries, the members of a list go by their differences to a centre.
 SHORT_LIST = 64
 #: Look-ups of one list that share a task: with more, the list's entries are copied to further tasks.
 LOOKUPS = 2048
 #: Rounds of centres, and copies of a centre's set that its members are dealt to.
 ROUNDS, SALT = 3, 16
+#: Stands for a difference that no position bounds.
+UNBOUNDED = 1 << 40
 #: Keys of the two hashes of a word, and bases of those of a run of words.
 KEYS = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
@@ -119,8 +125,9 @@ def _sum(t: pa.Table) -> pa.Table:
 
 
 def sketch(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Counts of hashed shingles over all documents; its size is fixed."""
-    parts = docs.select("text").mapInArrow(partial(_sketch, shingle=shingle), "at int, counts binary").groupBy("at").applyInArrow(_sum, "at int, counts binary")
+    """Counts of hashed shingles over all documents; its size is fixed. What the tasks have counted is summed in two levels."""
+    each = docs.select("text").mapInArrow(partial(_sketch, shingle=shingle), "at int, counts binary").withColumn("part", F.spark_partition_id() % SUMS)
+    parts = each.groupBy("at", "part").applyInArrow(_sum, "at int, counts binary").groupBy("at").applyInArrow(_sum, "at int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, np.uint32)
     for r in parts.collect():
         out[r.at : r.at + SLICE] = np.frombuffer(r.counts, np.uint32)
@@ -142,7 +149,7 @@ def _index(batches: Iterator[pa.RecordBatch], order, shingle: int, percent: int)
             tok = h[o][first].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.where(size > 0, prefix, 0))]).astype(np.int32)
             hist = [histogram(h[x:y]) for x, y in zip(begin[:-1], begin[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(digests(h, g, begin), pa.string()), pa.array(size, pa.int64()), pa.array(entered, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tok, pa.int64())), pa.array(hist, pa.binary())], names=["doc_id", "mark", "class", "n", "entered", "tokens", "hist"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(digests(h, g, begin), pa.string()), pa.array(size, pa.int64()), pa.array(entered, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tok, pa.int64())), pa.array(hist, pa.binary())], names=["doc_id", "mark", "class", "n", "entered", "tokens", "outline"])
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -165,7 +172,7 @@ def _reachable(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
     """Pairs that may be linked: two sets share no more tokens of a bin than the one with fewer has in it."""
     for b in batches:
         keep = []
-        for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("hist_u", "hist_v", "n_u", "n_v")), strict=True):
+        for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("outline_u", "outline_v", "n_u", "n_v")), strict=True):
             ok = True
             if x is not None and y is not None:
                 x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
@@ -242,12 +249,18 @@ def _paired(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
             break
         front = np.searchsorted(key, k * width + np.clip(-need[probe] - low, -1, width - 1), "right")
         count = np.maximum(np.minimum(front, last_entry[k]) - first_entry[k], 0)
-        b = np.repeat(probe, count)
-        a = entries[np.arange(len(b)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first_entry[k], count)]
-        closer = (need[a] < need[b]) | ((need[a] == need[b]) & (cid[a] < cid[b]))
-        ok = closer & (need[a] <= -late[b])
-        x, y = cid[a[ok]], cid[b[ok]]
-        yield pa.RecordBatch.from_arrays([pa.array(g[a[ok]]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["g", "u", "v"])
+        edge = np.concatenate([[0], np.cumsum(count)])
+        i = 0
+        while i < len(probe):
+            j = max(i + 1, int(np.searchsorted(edge, edge[i] + PAIRS, "right")) - 1)
+            own = count[i:j]
+            b = np.repeat(probe[i:j], own)
+            a = entries[np.arange(len(b)) - np.repeat(edge[i:j] - edge[i], own) + np.repeat(first_entry[k[i:j]], own)]
+            closer = (need[a] < need[b]) | ((need[a] == need[b]) & (cid[a] < cid[b]))
+            ok = closer & (need[a] <= -late[b])
+            x, y = cid[a[ok]], cid[b[ok]]
+            yield pa.RecordBatch.from_arrays([pa.array(g[a[ok]]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["g", "u", "v"])
+            i = j
         k = k + 1
 
 
@@ -306,16 +319,19 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
-def classes_and_components(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def classes_and_components(docs: DataFrame, shingle: int, percent: int, index: Callable = _index, possible: Callable = _reachable, positions: bool = True) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n, class) and (class, comp: smallest doc_id reachable, for classes with a set), by
-    shingles of so many words and links of so many per cent (below 100) or more."""
+    shingles of so many words and links of so many per cent (below 100) or more.
+
+    index gives the first lists' tokens and an outline of each set, possible drops pairs by their outlines; positions: the
+    tokens are the first of the whole set, so that what is left behind a position bounds the overlap."""
     spark = docs.sparkSession
     prepare(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.xxhash64(docs["text"]).alias("mark"))
     order = spark.sparkContext.broadcast(sketch(src, shingle))
-    rows = stage(src.mapInArrow(partial(_index, order=order, shingle=shingle, percent=percent), "doc_id long, mark long, class string, n long, entered long, tokens array<long>, hist binary"), "jaccard-rows")
-    per = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").alias("d"), F.col("mark").alias("m"))).alias("row"), F.first(F.struct("n", "entered", "tokens", "hist")).alias("x"))
+    rows = stage(src.mapInArrow(partial(index, order=order, shingle=shingle, percent=percent), "doc_id long, mark long, class string, n long, entered long, tokens array<long>, outline binary"), "jaccard-rows")
+    per = rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min(F.struct(F.col("doc_id").alias("d"), F.col("mark").alias("m"))).alias("row"), F.first(F.struct("n", "entered", "tokens", "outline")).alias("x"))
     # Once written, a class keeps the number that it got.
     classes = stage(per.select("class", "rep", "row", "x.*", F.monotonically_increasing_id().alias("cid")), "jaccard-classes")
     full, rows = rows, stage(rows.select("doc_id", "mark", "n", "class"), "jaccard-members")
@@ -337,20 +353,21 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int) -> tuple
         return stage(each.join(open_, ["g", "tok"]).select("g", "tok", "n", "pos", late.alias("late"), "need", "cid", "far", "close", "length", "lookups"), "jaccard-lists")
 
     def merged(lists: DataFrame) -> DataFrame:
-        """Pairs of the short lists."""
+        """Pairs of the lists' members."""
         by = ("g", "tok", "salt", "looks", "n", "late", "need", "cid")
-        short = lists.filter(F.col("length") <= SHORT_LIST).withColumn("salts", F.ceil(F.col("lookups") / LOOKUPS).cast("int"))
+        short = lists.withColumn("salts", F.ceil(F.col("lookups") / LOOKUPS).cast("int"))
         entered = short.filter("close").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("looks", F.lit(0))
         looked = short.filter("far").withColumn("salt", F.pmod(F.xxhash64("cid"), "salts").cast("int")).withColumn("looks", F.lit(1))
         return entered.select(*by).union(looked.select(*by)).repartition(n_parts, "g", "tok", "salt").sortWithinPartitions(*by).mapInArrow(partial(_pairs, percent=percent), "g long, u long, v long").distinct()
 
     none = F.lit(-1).cast("long")  # the group without a centre
-    plain = classes.select(none.alias("g"), "cid", "n", F.col("n").alias("d"), (F.col("n") * (more - less)).alias("need"), F.lit(True).alias("far"), "tokens", "entered")
+    plain = classes.select(none.alias("g"), "cid", "n", (F.col("n") if positions else F.lit(UNBOUNDED)).alias("d"), (F.col("n") * (more - less)).alias("need"), F.lit(True).alias("far"), "tokens", "entered")
     lists = lists_of(plain)
-    small = classes.select("cid", "n", "hist")
-    both = merged(lists).join(side(small, "v"), "v").join(side(small, "u"), "u").select("u", "v", "hist_u", "hist_v", "n_u", "n_v")
-    near = stage(both.mapInArrow(partial(_reachable, percent=percent), "u long, v long"), "jaccard-near").select(none.alias("g"), "u", "v")
-    long = lists.filter(F.col("length") > SHORT_LIST)
+    small = classes.select("cid", "n", "outline")
+    is_short = F.col("length") <= SHORT_LIST
+    both = merged(lists.filter(is_short)).join(side(small, "v"), "v").join(side(small, "u"), "u").select("u", "v", "outline_u", "outline_v", "n_u", "n_v")
+    near = stage(both.mapInArrow(partial(possible, percent=percent), "u long, v long"), "jaccard-near").select(none.alias("g"), "u", "v")
+    long = lists.filter(~is_short)
     listed = near.select(F.col("u").alias("cid")).union(near.select("v")).union(long.select("cid")).distinct()
     wanted = classes.join(listed, "cid", "left_semi").select("cid", F.col("row.d").alias("d"), F.col("row.m").alias("m"))
     texts = src.join(wanted.hint("shuffle_hash"), src["doc_id"].eqNullSafe(wanted["d"]) & src["mark"].eqNullSafe(wanted["m"])).dropDuplicates(["cid"]).select("cid", "text")
@@ -363,7 +380,7 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int) -> tuple
         return df.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALT)).cast("int"))
 
     links = spark.createDataFrame([], "u long, v long")
-    differing = whole.join(small.drop("hist"), "cid").select(none.alias("g"), "cid", "n", "set")
+    differing = whole.join(small.drop("outline"), "cid").select(none.alias("g"), "cid", "n", "set")
     for at in range(ROUNDS):
         if not long.limit(1).count():
             long = None
@@ -379,18 +396,15 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int) -> tuple
         links = links.union(apart.filter("not far").select(F.col("g").alias("u"), F.col("cid").alias("v")))
         differing = differing.union(apart.select("g", "cid", "n", "set"))
         lists = lists_of(apart)
-        near = near.union(stage(merged(lists), "jaccard-near"))
-        long = lists.filter(F.col("length") > SHORT_LIST)
+        near = near.union(stage(merged(lists.filter(is_short)), "jaccard-near"))
+        long = lists.filter(~is_short)
 
     def with_comp(df: DataFrame, key: str, name: str) -> DataFrame:
         return df.join(comps.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
     comps = stage(components(links), "jaccard-comps")
     if long is not None and long.limit(1).count():  # lists that no centre has broken up
-        blocks_ = with_comp(long, "cid", "comp").withColumn("block", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
-        wide = blocks_.withColumn("block", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)))
-        rule = f"a.g = b.g and a.tok = b.tok and a.block = b.block and a.cid < b.cid and a.comp <> b.comp and (a.far and b.close or b.far and a.close) and a.need <= -b.late and b.need <= -a.late and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)"
-        near = near.union(stage(wide.alias("a").join(blocks_.alias("b"), F.expr(rule)).select("a.g", F.col("a.cid").alias("u"), F.col("b.cid").alias("v")).distinct(), "jaccard-near"))
+        near = near.union(stage(merged(long), "jaccard-near"))
     # Pairs whose components still differ are compared.
     open_ = with_comp(with_comp(near, "u", "comp_u"), "v", "comp_v").filter("comp_u <> comp_v").select("g", "u", "v")
     pairs = open_.join(side(differing, "v").withColumnRenamed("g_v", "g"), ["g", "v"]).join(side(differing, "u").withColumnRenamed("g_u", "g"), ["g", "u"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import bpe, decontaminate, divergence, exact_dedup, jaccard_join, langid, pii, quality, spelling, substring_dedup, suffix_dedup, toxicity
+from eventloom.llm import bottomk, bpe, decontaminate, divergence, exact_dedup, jaccard_join, langid, pii, quality, spelling, substring_dedup, suffix_dedup, toxicity
 from eventloom.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(docs, langid.language_model(docs))
 
 
+def op11_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -78,8 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array": op8_suffix_array,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language": op10_language,
+    "op11_near_dedup": op11_near_dedup,
     "op12_spelling": op12_spelling,
     "op13_divergence": op13_divergence,
 }
 
-ORACLE: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE, "op12_spelling": spelling.ORACLE, "op13_divergence": divergence.ORACLE}
+ORACLE: dict[str, str] = {"op9_exact_dedup": exact_dedup.ORACLE, "op11_near_dedup": bottomk.ORACLE, "op12_spelling": spelling.ORACLE, "op13_divergence": divergence.ORACLE}
