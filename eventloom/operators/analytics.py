@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.operators import scans
+
 # Target universes, trust weights, crawl intervals by tier.
 TARGET_CITIES = "Bangalore,Delhi,Mumbai,Hyderabad,Pune,Chennai,Kolkata,Ahmedabad,Jaipur,Chandigarh,Kochi,Goa,Noida,Gurgaon,Thiruvananthapuram".split(",")
 TRUST = {"approval": 0.20, "sandbox": 0.15, "production": 0.20, "duplicate": 0.10, "freshness": 0.10, "richness": 0.15, "stability": 0.10}
@@ -130,25 +132,10 @@ def health_rollup(states: DataFrame) -> DataFrame:
     return states.groupingSets([["health"], ["circuit"], []], "health", "circuit").agg(F.count(F.lit(1)).alias("n"), F.sum("runs").alias("runs"), ratio(F.sum("successes"), F.sum("runs")).alias("success_rate"))
 
 
-def percentiles(df: DataFrame, by: str, value: str, points: list[float]) -> DataFrame:
-    """Nearest-rank percentiles at round-half-even(p * (n - 1)) (A29): the ranks come from a window by group, so values stay distributed by sort."""
-    w = Window.partitionBy(by).orderBy(value)
-    r = df.select(by, value, (F.row_number().over(w) - 1).alias("i"))
-    n = r.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    j = r.join(n, by)
-    at = lambda p: F.bround(F.lit(p) * (F.col("n") - 1), 0).cast("long")
-    return j.groupBy(by).agg(*[F.max(F.when(F.col("i") == at(p), F.col(value))).alias(f"p{int(p * 100)}") for p in points])
-
-
 def provider_state(runs: DataFrame) -> DataFrame:
-    """Streaks, running means and circuit state of every source from its ordered run log.
-
-    A streak is the number of failures since the last success (gaps and islands)."""
-    w = Window.partitionBy("provider").orderBy("at", "run_id")
-    island = runs.withColumn("_ok", F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    streak = F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy("provider", "_ok").orderBy("at", "run_id").rowsBetween(Window.unboundedPreceding, 0))
-    s = island.withColumn("streak", streak)
-    return s.groupBy("provider").agg(
-        F.count(F.lit(1)).alias("runs"), F.count_if("ok").alias("successes"), F.max_by("streak", F.struct("at", "run_id")).alias("streak"), F.max("streak").alias("worst"),
-        F.round(F.avg(F.when(F.col("ok"), F.col("found"))), 6).alias("avg_found"),
-    ).withColumn("circuit", F.when(F.col("streak") >= 3, "open").otherwise("closed"))
+    """Streaks, means and circuit state of every source from its ordered run log."""
+    log = scans.ranged(runs.select("provider", "at", "run_id", "ok", "found"), ["provider"], ["at", "run_id"])
+    sums = log.groupBy("provider").agg(F.count(F.lit(1)).alias("runs"), F.count_if("ok").alias("successes"), F.round(F.avg(F.when(F.col("ok"), F.col("found"))), 6).alias("avg_found"))
+    streak = scans.streaks(log, ["provider"], ["at", "run_id"], "ok").withColumnRenamed("provider", "_of")
+    both = sums.join(streak, F.col("provider").eqNullSafe(F.col("_of")))
+    return both.select("provider", "runs", "successes", "streak", "worst", "avg_found", F.when(F.col("streak") >= 3, "open").otherwise("closed").alias("circuit"))

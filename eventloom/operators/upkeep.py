@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators import scans
 from eventloom.staging import staged
 
 
@@ -67,17 +68,36 @@ def prioritized(queries: DataFrame, retired: DataFrame, terms: list[str]) -> Dat
     return queries.join(retired.select("query").distinct(), "query", "left_anti").withColumn("later", (~gap).cast("int")).orderBy("later", "ord").drop("later")
 
 
-def plan_stage(stages: DataFrame, now: Column) -> DataFrame:
-    """Of each cycle, the eligible stage of the highest score, the first on ties (T14): priority, backlog, starvation, less
-    what depleted budgets and a degraded state cost."""
-    late = F.least(F.lit(2.0), (F.unix_timestamp(now) - F.unix_timestamp("next_run")) / 3600)
-    score = (
-        F.col("priority") + F.least(F.lit(3.0), F.col("backlog") * 0.5) + F.when(F.col("next_run") < now, late).otherwise(0.0)
-        - F.when(F.col("budget_left") < 0.5, (0.5 - F.col("budget_left")) * 2.0).otherwise(0.0) - F.when(F.col("degraded"), 1.5).otherwise(0.0)
+def plan_stage(stages: DataFrame, pool: DataFrame, now: Column) -> DataFrame:
+    """Of each cycle, the stage to run next, with its score and what it is granted (T14): of the eligible and affordable ones
+    that of the highest score, the first on ties.
+
+    stages: cycle, ord, stage, enabled, paused, cooldown_until, status, trigger (schedule, backlog, both), manual,
+    last_run, next_run, retries, retry_max, priority, backlog, degraded, budgets (map of kind to what a run asks for).
+    pool: cycle, kind, limit, consumed. A kind that the pool lacks has nothing left, but costs no score.
+
+    A stage is affordable if all its kinds have something left; each kind of which less than half is left costs up to
+    one point. Of a kind with less than a quarter left, half is granted; never more than is left."""
+    asked = stages.select("cycle", "ord", F.explode_outer("budgets").alias("kind", "ask"))
+    left = pool.select("cycle", "kind", F.greatest(F.lit(0), F.col("limit") - F.col("consumed")).alias("left"), F.col("limit"))
+    part = F.coalesce(F.when(F.col("limit") != 0, F.col("left") / F.col("limit")), F.lit(1.0))
+    has = asked.join(left, ["cycle", "kind"], "left").withColumn("left", F.coalesce("left", F.lit(0))).withColumn("part", part)
+    ask = F.when(F.col("part") < 0.25, F.greatest(F.lit(1), F.ceil(F.col("ask") * 0.5))).otherwise(F.col("ask"))
+    granted = F.when(F.col("kind").isNotNull(), F.struct("kind", F.least(ask, "left").cast("long").alias("n")))
+    money = has.groupBy("cycle", "ord").agg(
+        F.bool_and(F.col("kind").isNull() | (F.col("left") > 0)).alias("affordable"),
+        F.sum(F.when(F.col("kind").isNotNull() & (F.col("part") < 0.5), (0.5 - F.col("part")) * 2.0).otherwise(0.0)).alias("penalty"),
+        F.map_from_entries(F.array_compact(F.array_sort(F.collect_list(granted)))).alias("granted"),
     )
-    eligible = stages.filter(F.col("enabled") & (F.col("budget_left") > 0) & ((F.col("backlog") > 0) | F.col("next_run").isNull() | (F.col("next_run") <= now)))
-    best = eligible.withColumn("score", F.bround(score, 3)).groupBy("cycle").agg(F.max_by(F.struct("stage", "score"), F.struct(score, -F.col("ord"))).alias("x"))
-    return best.select("cycle", "x.stage", "x.score")
+    resting = F.coalesce(F.col("cooldown_until") > now, F.lit(False)) | (F.col("status") == "dead_letter")
+    waited = F.col("next_run").isNull() | (F.col("next_run") <= now)
+    due = F.when(F.col("status") == "failed", (F.col("retries") < F.col("retry_max")) & waited).otherwise(~F.col("manual") & (waited | F.col("last_run").isNull()))
+    wanted = F.when(F.col("trigger") == "schedule", due).when(F.col("trigger") == "backlog", F.col("backlog") > 0).otherwise(due | (F.col("backlog") > 0))
+    overdue = F.when(F.col("next_run") < now, F.least(F.lit(2.0), (F.unix_timestamp(now) - F.unix_timestamp("next_run")) / 3600)).otherwise(0.0)
+    score = F.col("priority") + F.least(F.lit(3.0), F.col("backlog") * 0.5) + overdue - F.col("penalty") - F.when(F.col("degraded"), 1.5).otherwise(0.0)
+    ready = stages.join(money, ["cycle", "ord"]).filter(F.col("enabled") & ~F.col("paused") & ~resting & wanted & F.col("affordable"))
+    best = ready.withColumn("score", score).groupBy("cycle").agg(F.max_by(F.struct("stage", "score", "granted"), F.struct("score", -F.col("ord"))).alias("x"))
+    return best.select("cycle", "x.stage", F.bround("x.score", 3).alias("score"), "x.granted")
 
 
 def reciprocal_ranks(hits: DataFrame, per: str, *order) -> DataFrame:
@@ -88,8 +108,7 @@ def reciprocal_ranks(hits: DataFrame, per: str, *order) -> DataFrame:
 
 def sliding_latency(runs: DataFrame, per: str, order: str, value: str, last: int = 1000) -> DataFrame:
     """Mean and largest of the last so many values at every run."""
-    w = Window.partitionBy(per).orderBy(order).rowsBetween(1 - last, 0)
-    return runs.select(per, order, F.avg(value).over(w).alias("mean"), F.max(value).over(w).alias("most"))
+    return scans.sliding(runs.select(per, order, value), [per], [order], last, mean=F.avg(value), most=F.max(value)).drop(value)
 
 
 def shares(counts: DataFrame, value: str, per: str | None = None) -> DataFrame:
@@ -116,18 +135,36 @@ def page_of(df: DataFrame, size: int, offset: int, *order: str) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(size)
 
 
-def health_snapshot(runs: DataFrame, now: Column) -> DataFrame:
-    """Per provider: uptime, mean latency, hours since success, mean quality and duplicates, trend of the later half (P20)."""
-    w = Window.partitionBy("provider")
-    halved = runs.withColumn("later", F.ntile(2).over(w.orderBy("run")) == 2)
-    g = halved.groupBy("provider").agg(
-        F.count(F.lit(1)).alias("total_runs"), F.count_if("ok").alias("total_successes"), F.bround(F.avg("latency_ms"), 2).alias("latency_ms"), F.max(F.when(F.col("ok"), F.col("at"))).alias("last"),
+def health_snapshot(runs: DataFrame, now: Column, threshold: int = 5) -> DataFrame:
+    """Per provider, its health from its run log (P20). runs: provider, run (order), ok, latency_ms, at, quality, duplicates.
+
+    The trend compares the later half of the runs with the earlier one, which is the shorter of an odd number. A failed run without a
+    latency counts as a run, but leaves the running mean of latencies as it is: earlier values then weigh more."""
+    per, order = ["provider"], ["run"]
+    log = scans.ranged(runs, per, order)
+    n = log.groupBy(F.col("provider").alias("_of")).agg(F.count(F.lit(1)).alias("total_runs"))
+    timed = F.col("ok") | (F.coalesce("latency_ms", F.lit(0.0)) != 0)
+    at = scans.numbered(log, per, order).withColumn("stretch", F.when(~timed & (F.col("position") > 1), F.ln(F.col("position") / (F.col("position") - 1))).otherwise(0.0))
+    log = scans.running(at, per, order, stretched=F.col("stretch")).join(n, F.col("provider").eqNullSafe(F.col("_of")))
+    later = F.col("position") > F.floor(F.col("total_runs") / 2)
+    good = F.col("ok").cast("int")
+    last_stretch = F.max("stretched").alias("all_stretch")
+    g = log.groupBy("provider", "total_runs").agg(
+        F.count_if("ok").alias("total_successes"), F.count_if(~F.col("ok")).alias("failures"), F.max(F.when(F.col("ok"), F.col("at"))).alias("last"),
         F.bround(F.avg("quality"), 4).alias("event_quality"), F.bround(F.avg("duplicates"), 4).alias("duplicate_pct"),
-        F.avg(F.when(F.col("later"), F.col("ok").cast("int"))).alias("b"), F.avg(F.when(~F.col("later"), F.col("ok").cast("int"))).alias("a"),
+        F.avg(F.when(later, good)).alias("b"), F.avg(F.when(~later, good)).alias("a"), last_stretch,
+        F.sum(F.when(timed, F.col("latency_ms") * F.exp(-F.col("stretched"))).otherwise(0.0)).alias("weighed"),
+    )
+    s = scans.streaks(scans.ranged(runs, per, order), per, order, "ok").select(F.col("provider").alias("_of"), F.col("streak").alias("retries"), "worst")
+    j = g.join(s, F.col("provider").eqNullSafe(F.col("_of")))
+    circuit = F.when(F.col("retries") >= threshold, "open").otherwise("closed")
+    health = F.when(F.col("retries") == 0, "healthy").when(F.col("retries") >= threshold, "failing").otherwise("degraded")
+    trend = F.when(F.col("b") > F.col("a") + 1e-9, "up").when(F.col("b") < F.col("a") - 1e-9, "down").otherwise("flat")
+    hours = F.bround((F.unix_micros(now) - F.unix_micros(F.col("last").cast("timestamp"))) / 3_600_000_000, 3)
+    return j.select(
+        "provider", health.alias("health_status"), circuit.alias("circuit_state"), F.bround(F.col("total_successes") / F.col("total_runs"), 4).alias("uptime"),
+        F.bround(F.col("weighed") * F.exp("all_stretch") / F.col("total_runs"), 2).alias("latency_ms"), hours.alias("freshness_hours"), "event_quality", "duplicate_pct", "failures", "retries", trend.alias("success_trend"), "total_runs", "total_successes",
     )
-    trend = F.when(F.col("a").isNull() | F.col("b").isNull() | (F.col("a") == F.col("b")), "stable").when(F.col("b") > F.col("a"), "improving").otherwise("declining")
-    hours = F.bround((F.unix_timestamp(now) - F.unix_timestamp("last")) / 3600, 3)
-    return g.select("provider", F.bround(F.col("total_successes") / F.col("total_runs"), 4).alias("uptime"), "latency_ms", hours.alias("freshness_hours"), "event_quality", "duplicate_pct", trend.alias("trend"), "total_runs")
 
 
 def rates(df: DataFrame, per: list[str], **parts: tuple[Column, Column]) -> DataFrame:
@@ -157,12 +194,6 @@ def headlines(parts: list[tuple[str, DataFrame, int]]) -> DataFrame:
     return out.orderBy("part", "ord")
 
 
-def admitted(requests: DataFrame, per: str, at: str, most: int, seconds: int) -> DataFrame:
-    """Requests with whether a limiter of `most` in any window of `seconds` lets them through, counting all that came."""
-    w = Window.partitionBy(per).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return requests.withColumn("admitted", F.count(F.lit(1)).over(w) <= most)
-
-
 def leased(tasks: DataFrame, now: Column, workers: int, attempts: int = 3) -> DataFrame:
     """Tasks with their state: dead after so many attempts, leased while a lease runs, cooling, else ready; of the ready
     ones the first `workers` by priority are taken (Z07)."""
@@ -184,11 +215,13 @@ def strategy_score(expected: Column, present: Column) -> tuple[Column, Column]:
     return F.when(F.size(expected) > 0, F.bround(F.size(F.array_intersect(expected, present)) / F.size(expected), 4)).otherwise(0.0), F.array_except(expected, present)
 
 
-def retry_eligible(seeds: DataFrame, verdicts: DataFrame, run: int, most: int = 3) -> DataFrame:
-    """Seeds to validate in a run: new ones, and undecided ones whose pause of 2^attempts runs is over."""
-    last = verdicts.groupBy("seed").agg(F.max_by("decision", "run").alias("decision"), F.max("run").alias("last"), F.count(F.lit(1)).alias("attempts"))
-    open_ = (F.col("decision") == "insufficient") & (F.col("attempts") < most) & (F.lit(run) >= F.col("last") + F.pow(F.lit(2), F.col("attempts")))
-    return seeds.join(last, "seed", "left").filter(F.col("decision").isNull() | open_).select("seed", F.coalesce("attempts", F.lit(0)).alias("attempts"))
+def retry_eligible(seeds: DataFrame, verdicts: DataFrame, run: int, most: int = 3, cooldown: int = 1) -> DataFrame:
+    """Seeds to validate in a run, with what is known of them (P30): new ones, and those that are not given up and whose pause of
+    `cooldown` runs since the last undecided verdict is over. After `most` undecided verdicts a seed is given up."""
+    undecided = F.col("decision") == "insufficient"
+    known = verdicts.groupBy("seed").agg(F.count_if(undecided).alias("attempts"), (F.max(F.when(undecided, F.col("run"))) + cooldown).alias("next_run"), F.max_by("decision", "run").alias("last_decision"))
+    due = seeds.join(known, "seed", "left").withColumn("attempts", F.coalesce("attempts", F.lit(0)))
+    return due.filter((F.col("attempts") < most) & (F.coalesce("next_run", F.lit(0)) <= run)).select("seed", "attempts", "last_decision")
 
 
 def sandbox_preview(fetched: DataFrame, valid: Column, quality: Column, samples: int = 3) -> DataFrame:

@@ -12,7 +12,7 @@ from eventloom.functions import scoring as S
 from eventloom.functions import text as T
 from eventloom.functions import urls as U
 from eventloom.operators import analytics as A
-from eventloom.operators import control, crawl, dedup, extract, graph, merge, paging, search, users
+from eventloom.operators import control, crawl, dedup, extract, graph, merge, paging, scans, search, users
 from eventloom.operators.predicates import Query, by_free, end, overlaps, quality_gate, recently_added, this_month, this_weekend, where
 from eventloom.plans.adapters import CATALOG_SQL, DISCOVERY_SQL, LOG_SQL, NOW, RUNS_SQL, TODAY, catalog, discovery, log, read, runs
 
@@ -578,7 +578,7 @@ def q_health_rollup(spark, d):
 @query("""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, max(value) FILTER (WHERE i = round_even(0.5 * (n - 1), 0)) AS p50, max(value) FILTER (WHERE i = round_even(0.95 * (n - 1), 0)) AS p95, max(value) FILTER (WHERE i = round_even(0.99 * (n - 1), 0)) AS p99 FROM r GROUP BY event_type""")
 def q_latency_percentiles(spark, d):
-    return A.percentiles(read(spark, d, "events"), "event_type", "value", [0.5, 0.95, 0.99])
+    return scans.percentiles(read(spark, d, "events"), "event_type", "value", [0.5, 0.95, 0.99])
 
 
 @query(f"""{RUNS_SQL}, i AS (SELECT *, sum(CAST(ok AS INT)) OVER (PARTITION BY provider ORDER BY tm, run_id ROWS UNBOUNDED PRECEDING) AS g FROM runs), s AS (SELECT *, sum(CAST(NOT ok AS INT)) OVER (PARTITION BY provider, g ORDER BY tm, run_id ROWS UNBOUNDED PRECEDING) AS streak FROM i)
@@ -589,9 +589,10 @@ def q_failure_streak(spark, d):
 
 @query(f"{RUNS_SQL} SELECT run_id, CAST(floor(sum(CAST(round(found * 100) AS BIGINT)) OVER w * 10 / count(*) OVER w) AS BIGINT) AS mean_milli FROM runs WINDOW w AS (PARTITION BY provider ORDER BY tm, run_id ROWS UNBOUNDED PRECEDING)")
 def q_running_mean(spark, d):
-    w = Window.partitionBy("provider").orderBy("at", "run_id").rowsBetween(Window.unboundedPreceding, 0)
     cents = F.round(F.col("found") * 100).cast("long")  # whole numbers: a mean's last digit would depend on the order of additions
-    return runs(spark, d).select("run_id", F.floor(F.sum(cents).over(w) * 10 / F.count(F.lit(1)).over(w)).alias("mean_milli"))
+    log = scans.ranged(runs(spark, d).select("provider", "at", "run_id", "found"), ["provider"], ["at", "run_id"])
+    r = scans.running(log, ["provider"], ["at", "run_id"], total=cents, n=F.lit(1).cast("long"))
+    return r.select("run_id", F.floor(F.col("total") * 10 / F.col("n")).alias("mean_milli"))
 
 
 @query("WITH g AS (SELECT o_custkey AS id, date_diff('day', lag(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE)), CAST(o_orderdate AS DATE)) AS gap FROM orders) SELECT id, median(gap) FILTER (WHERE gap > 0) AS period FROM g GROUP BY id")
@@ -601,9 +602,9 @@ def q_median_gap(spark, d):
 
 @query(f"{RUNS_SQL}, r AS (SELECT provider, found, row_number() OVER (PARTITION BY provider ORDER BY tm, run_id) AS i, count(*) OVER (PARTITION BY provider) AS n FROM runs) SELECT provider, round(avg(found) FILTER (WHERE i > n // 2) - avg(found) FILTER (WHERE i <= n // 2), 6) AS trend FROM r GROUP BY provider")
 def q_half_trend(spark, d):
-    w = Window.partitionBy("provider")
-    r = runs(spark, d).select("provider", "found", F.row_number().over(w.orderBy("at", "run_id")).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    late = F.col("i") > F.floor(F.col("n") / 2)
+    log = scans.ranged(runs(spark, d).select("provider", "at", "run_id", "found"), ["provider"], ["at", "run_id"])
+    r = scans.numbered(log, ["provider"], ["at", "run_id"]).join(log.groupBy(F.col("provider").alias("of")).agg(F.count(F.lit(1)).alias("n")), F.col("provider").eqNullSafe(F.col("of")))
+    late = F.col("position") > F.floor(F.col("n") / 2)
     return r.groupBy("provider").agg(F.round(F.avg(F.when(late, F.col("found"))) - F.avg(F.when(~late, F.col("found"))), 6).alias("trend"))
 
 
@@ -784,7 +785,7 @@ _STAGED = {
 
 @query(f"{CATALOG_SQL}, hp AS (SELECT * REPLACE ({', '.join(f'{e} AS {n}' for n, e in _STAGED.items())}) FROM catalog), s AS ({_SECTION_SQL}) SELECT section, rank, key FROM s WHERE rank <= 8")
 def q_homepage(spark, d):
-    from eventloom.operators import platform
+    from eventloom.operators import platform, scans
 
     c = catalog(spark, d).withColumns({n: F.expr(e) for n, e in _STAGED.items()})
     return platform.homepage(c, _now(), 8, "Pune")
@@ -792,28 +793,28 @@ def q_homepage(spark, d):
 
 @query(f"{CATALOG_SQL} SELECT key FROM catalog WHERE {_END} >= date '{TODAY}' ORDER BY -(CAST({_SOURCE} AS DOUBLE) + ({_COMPLETE}) / 6.0::DOUBLE), key LIMIT 20")
 def q_feed_popular(spark, d):
-    from eventloom.operators import platform
+    from eventloom.operators import platform, scans
 
     return platform.feed(catalog(spark, d), "popular", _now(), 20).select("key")
 
 
 @query(f"{CATALOG_SQL} SELECT provider, count(*) AS fetched, count(*) FILTER (WHERE {_END} >= date '{TODAY}') AS upcoming, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, round(avg(({_COMPLETE}) / 6.0::DOUBLE), 4) AS completeness FROM catalog GROUP BY provider")
 def q_source_report(spark, d):
-    from eventloom.operators import platform
+    from eventloom.operators import platform, scans
 
     return platform.source_report(catalog(spark, d), _today())
 
 
 @query(f"{CATALOG_SQL} SELECT key, CAST(start_date AS varchar) AS start_date, CAST(end_date AS varchar) AS end_date FROM catalog WHERE provider = 'gdg'")
 def q_event_dto(spark, d):
-    from eventloom.operators import platform
+    from eventloom.operators import platform, scans
 
     return platform.event_dto(platform.browse(catalog(spark, d), "provider", "gdg")).select("key", "start_date", "end_date")
 
 
 @query()
 def q_browse_difficulty(spark, d):
-    from eventloom.operators import platform
+    from eventloom.operators import platform, scans
 
     c = catalog(spark, d)
     return platform.browse(c, "difficulty", "beginner", _enrichment(c)).select("key")
@@ -821,7 +822,7 @@ def q_browse_difficulty(spark, d):
 
 @query()
 def q_community_insights(spark, d):
-    from eventloom.operators import platform
+    from eventloom.operators import platform, scans
 
     c = catalog(spark, d)
     v, e = graph.build(c)

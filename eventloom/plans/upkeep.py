@@ -8,7 +8,7 @@ from eventloom.functions import confidence as C
 from eventloom.functions import parse as P
 from eventloom.functions import scoring as S
 from eventloom.functions import text as T
-from eventloom.operators import graph, upkeep
+from eventloom.operators import admission, graph, upkeep
 from eventloom.operators.predicates import Query, where
 from eventloom.plans.adapters import CATALOG_SQL, LOG_SQL, NOW, TODAY, catalog, log, read
 from eventloom.plans.pages import _GRAPH, _joined, _uniq
@@ -240,18 +240,35 @@ def q_engaged(spark, d):
 
 # --- the control plane ----------------------------------------------------------------------------------
 
-_CYCLES = f"""st AS (SELECT o_custkey AS cycle, o_orderkey AS ord, concat('s', o_orderkey % 10) AS stage, o_orderkey % 10 / 2.0::DOUBLE AS priority, o_orderkey % 8 AS backlog, CASE WHEN o_orderkey % 4 > 0 THEN timestamp '{NOW}' - to_minutes(CAST(o_orderkey % 300 - 150 AS BIGINT)) END AS next_run, o_orderkey % 9 / 8.0::DOUBLE AS budget_left, o_orderkey % 6 = 0 AS degraded, o_orderkey % 7 > 0 AS enabled FROM orders)"""
-
-
-@query(f"""WITH {_CYCLES}, sc AS (SELECT *, priority + least(3.0::DOUBLE, backlog * 0.5::DOUBLE) + CASE WHEN next_run < timestamp '{NOW}' THEN least(2.0::DOUBLE, (epoch(timestamp '{NOW}') - epoch(next_run)) / 3600.0::DOUBLE) ELSE 0.0 END - CASE WHEN budget_left < 0.5 THEN (0.5::DOUBLE - budget_left) * 2.0::DOUBLE ELSE 0.0 END - CASE WHEN degraded THEN 1.5::DOUBLE ELSE 0.0 END AS score
- FROM st WHERE enabled AND budget_left > 0 AND (backlog > 0 OR next_run IS NULL OR next_run <= timestamp '{NOW}')) SELECT cycle, stage, round_even(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY score DESC, ord) AS rn FROM sc) WHERE rn = 1""")
+# Stages are orders, their cycles customers with budgets of their own; the clock stands amid the orders' dates.
+_CLOCK = "timestamp '1998-07-01 00:00:00'"
+_STAGES = """SELECT o_custkey AS cycle, o_orderkey AS ord, concat('s', cast(o_orderkey % 10 as {text})) AS stage, o_orderkey % 7 > 0 AS enabled, o_orderkey % 29 = 0 AS paused,
+ CASE WHEN o_orderkey % 6 = 0 THEN o_orderdate END AS cooldown_until, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'failed' ELSE CASE WHEN o_orderkey % 23 = 0 THEN 'dead_letter' ELSE 'success' END END AS status,
+ CASE o_orderkey % 3 WHEN 0 THEN 'schedule' WHEN 1 THEN 'backlog' ELSE 'both' END AS trigger, o_orderkey % 17 = 0 AS manual, CASE WHEN o_orderkey % 5 > 0 THEN o_orderdate END AS last_run, CASE WHEN o_orderkey % 11 > 0 THEN o_orderdate END AS next_run,
+ o_orderkey % 4 AS retries, 3 AS retry_max, cast(substr(o_orderpriority, 1, 1) as double) AS priority, cast(floor(o_totalprice) as bigint) % 8 AS backlog, o_orderstatus = 'P' AS degraded"""
+_KINDS = ["crawl", "search", "ai", "page"]
+_PLANNED = f"""st AS ({_STAGES.format(text="varchar")}, [{", ".join(map(repr, _KINDS))}][o_orderkey % 4 + 1] AS k1, CASE WHEN o_orderkey % 3 = 0 THEN [{", ".join(map(repr, _KINDS))}][(o_orderkey + 1) % 4 + 1] END AS k2, o_orderkey % 9 + 1 AS ask FROM orders),
+pool AS (SELECT c_custkey AS cycle, unnest(['crawl', 'search', 'ai']) AS kind, unnest([20, 10, c_custkey % 3 * 10]) AS lim, unnest([c_custkey % 21, c_custkey % 8, c_custkey % 12]) AS consumed FROM customer),
+asked AS (SELECT cycle, ord, ask, unnest(list_filter([k1, k2], lambda x: x IS NOT NULL)) AS kind FROM st),
+has AS (SELECT a.*, greatest(0, coalesce(lim - consumed, 0)) AS lft, CASE WHEN lim <> 0 THEN greatest(0, lim - consumed) / lim::DOUBLE ELSE 1.0::DOUBLE END AS part FROM asked a LEFT JOIN pool p ON p.cycle = a.cycle AND p.kind = a.kind),
+money AS (SELECT cycle, ord, bool_and(lft > 0) AS affordable, sum(CASE WHEN part < 0.5 THEN (0.5::DOUBLE - part) * 2.0::DOUBLE ELSE 0.0::DOUBLE END) AS penalty,
+ string_agg(concat(kind, '=', least(CASE WHEN part < 0.25 THEN greatest(1, ceil(ask * 0.5))::BIGINT ELSE ask END, lft)), ',' ORDER BY kind) AS granted FROM has GROUP BY ALL),
+due AS (SELECT *, CASE WHEN status = 'failed' THEN retries < retry_max AND (next_run IS NULL OR next_run <= {_CLOCK}) ELSE NOT manual AND (next_run IS NULL OR last_run IS NULL OR next_run <= {_CLOCK}) END AS due FROM st JOIN money USING (cycle, ord)),
+sc AS (SELECT *, priority + least(3.0::DOUBLE, backlog * 0.5::DOUBLE) + CASE WHEN next_run < {_CLOCK} THEN least(2.0::DOUBLE, (epoch({_CLOCK}) - epoch(next_run)) / 3600.0::DOUBLE) ELSE 0.0 END - penalty - CASE WHEN degraded THEN 1.5::DOUBLE ELSE 0.0 END AS score FROM due
+ WHERE enabled AND NOT paused AND status <> 'dead_letter' AND coalesce(cooldown_until <= {_CLOCK}, true) AND affordable AND CASE trigger WHEN 'schedule' THEN due WHEN 'backlog' THEN backlog > 0 ELSE due OR backlog > 0 END)"""
+
+
+@query(f"WITH {_PLANNED} SELECT cycle, stage, round_even(score, 3) AS score, granted FROM (SELECT *, row_number() OVER (PARTITION BY cycle ORDER BY score DESC, ord) AS rn FROM sc) WHERE rn = 1")
 def q_plan_stage(spark, d):
-    k = F.col("o_orderkey")
-    st = read(spark, d, "orders").select(
-        F.col("o_custkey").alias("cycle"), k.alias("ord"), F.concat(F.lit("s"), (k % 10).cast("string")).alias("stage"), (k % 10 / 2).alias("priority"), (k % 8).alias("backlog"),
-        F.when(k % 4 > 0, F.expr(f"timestamp '{NOW}' - make_dt_interval(0, 0, int(o_orderkey % 300 - 150))")).alias("next_run"), (k % 9 / 8).alias("budget_left"), (k % 6 == 0).alias("degraded"), (k % 7 > 0).alias("enabled"),
-    )
-    return upkeep.plan_stage(st, _now())
+    k, kinds = F.col("o_orderkey"), F.array(*[F.lit(x) for x in _KINDS])
+    asked = F.map_from_entries(F.filter(F.array(F.struct(F.get(kinds, (k % 4).cast("int")).alias("kind"), (k % 9 + 1).alias("ask")), F.when(k % 3 == 0, F.struct(F.get(kinds, ((k + 1) % 4).cast("int")).alias("kind"), (k % 9 + 1).alias("ask")))), lambda x: x.isNotNull()))
+    o = read(spark, d, "orders")
+    st = spark.sql(_STAGES.format(text="string") + ", budgets FROM {o}", o=o.withColumn("budgets", asked))
+    c = F.col("c_custkey")
+    rows = F.explode(F.array(*[F.struct(F.lit(x).alias("kind"), lim.cast("long").alias("limit"), used.alias("consumed")) for x, lim, used in (("crawl", F.lit(20), c % 21), ("search", F.lit(10), c % 8), ("ai", c % 3 * 10, c % 12))]))
+    pool = read(spark, d, "customer").select(c.alias("cycle"), rows.alias("x")).select("cycle", "x.*")
+    best = upkeep.plan_stage(st, pool, F.expr(_CLOCK))
+    return best.select("cycle", "stage", "score", F.array_join(F.transform(F.array_sort(F.map_entries("granted")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("granted"))
 
 
 @query("SELECT o_custkey, o_orderkey, rank, round(1.0 / (rank + 1), 9)::DOUBLE AS score FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS rank FROM orders)")
@@ -290,9 +307,13 @@ def q_inbox_page(spark, d):
 _RUNS = "r AS (SELECT user_id % 20 AS provider, event_id AS run, event_type <> 'error' AS ok, value AS latency_ms, event_id % 10 / 10.0::DOUBLE AS quality, event_id % 4 / 8.0::DOUBLE AS duplicates, ts FROM events)"
 
 
-@query(f"""WITH {_RUNS}, h AS (SELECT *, ntile(2) OVER (PARTITION BY provider ORDER BY run) = 2 AS later FROM r),
-g AS (SELECT provider, count(*) AS n, count(*) FILTER (WHERE ok) AS s, avg(latency_ms) AS l, max(CASE WHEN ok THEN ts END) AS t, avg(quality) AS q, avg(duplicates) AS d, avg(CASE WHEN later THEN CAST(ok AS INT) END) AS b, avg(CASE WHEN NOT later THEN CAST(ok AS INT) END) AS a FROM h GROUP BY 1)
-SELECT provider, round_even(s / n, 4) AS uptime, floor(round(l, 2)) AS latency_ms, floor((epoch_us(timestamp '{NOW}') // 1000000 - epoch_us(t) // 1000000) / 3600.0) AS freshness_hours, round_even(q, 4) AS event_quality, round_even(d, 4) AS duplicate_pct, CASE WHEN a IS NULL OR b IS NULL OR a = b THEN 'stable' WHEN b > a THEN 'improving' ELSE 'declining' END AS trend, n AS total_runs FROM g""")
+@query(f"""WITH RECURSIVE {_RUNS}, h AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY run) AS i, count(*) OVER (PARTITION BY provider) AS n FROM r),
+walk AS (SELECT provider, i, n, CASE WHEN ok THEN 0 ELSE 1 END AS streak, CASE WHEN ok OR latency_ms <> 0 THEN latency_ms ELSE 0.0 END::DOUBLE AS mean FROM h WHERE i = 1
+ UNION ALL SELECT h.provider, h.i, h.n, CASE WHEN h.ok THEN 0 ELSE w.streak + 1 END, CASE WHEN h.ok OR h.latency_ms <> 0 THEN w.mean + (h.latency_ms - w.mean) / h.i ELSE w.mean END FROM walk w JOIN h ON h.provider = w.provider AND h.i = w.i + 1),
+g AS (SELECT provider, n, count(*) FILTER (WHERE ok) AS s, max(CASE WHEN ok THEN ts END) AS t, avg(quality) AS q, avg(duplicates) AS d, avg(CASE WHEN i > n // 2 THEN CAST(ok AS INT) END) AS b, avg(CASE WHEN i <= n // 2 THEN CAST(ok AS INT) END) AS a FROM h GROUP BY ALL)
+SELECT provider, CASE WHEN streak = 0 THEN 'healthy' WHEN streak >= 5 THEN 'failing' ELSE 'degraded' END AS health_status, CASE WHEN streak >= 5 THEN 'open' ELSE 'closed' END AS circuit_state, round_even(s / g.n, 4) AS uptime, floor(round(mean, 2)) AS latency_ms,
+ floor((epoch_us(timestamp '{NOW}') - epoch_us(t)) / 3600000000.0) AS freshness_hours, round_even(q, 4) AS event_quality, round_even(d, 4) AS duplicate_pct, g.n - s AS failures, streak::BIGINT AS retries, CASE WHEN b > a + 1e-9 THEN 'up' WHEN b < a - 1e-9 THEN 'down' ELSE 'flat' END AS success_trend, g.n AS total_runs, s AS total_successes
+FROM g JOIN walk USING (provider) WHERE walk.i = walk.n""")
 def q_provider_health(spark, d):
     e = read(spark, d, "events")
     r = e.select((F.col("user_id") % 20).alias("provider"), F.col("event_id").alias("run"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency_ms"), (F.col("event_id") % 10 / 10).alias("quality"), (F.col("event_id") % 4 / 8).alias("duplicates"), F.col("ts").alias("at"))
@@ -331,9 +352,40 @@ def q_headlines(spark, d):
     return upkeep.headlines(lists).select("line")
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) <= 1 AS admitted FROM events")
+def _greedy(log: str, seconds: int) -> str:
+    """The rule of admission, row by row: log has key, t (microseconds), event_id."""
+    gap = seconds * 1_000_000
+    return f"""{log}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, event_id) AS i FROM log),
+w AS (SELECT key, event_id, i, true AS admitted, t AS since FROM r WHERE i = 1 UNION ALL
+ SELECT r.key, r.event_id, r.i, r.t - w.since >= {gap}, CASE WHEN r.t - w.since >= {gap} THEN r.t ELSE w.since END FROM w JOIN r ON r.key = w.key AND r.i = w.i + 1)"""
+
+
+@query(f"WITH RECURSIVE {_greedy('log AS (SELECT user_id AS key, epoch_us(ts) AS t, event_id FROM events)', 21600)} SELECT event_id, admitted, since // 1000000 AS since FROM w")
 def q_rate_limit(spark, d):
-    return upkeep.admitted(read(spark, d, "events"), "user_id", "ts", 1, 3600).select("event_id", "admitted")
+    return admission.admitted(read(spark, d, "events"), ["user_id"], F.col("ts"), 21600, "event_id").select("event_id", "admitted", F.unix_seconds("since").alias("since"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT user_id AS key, epoch_us(ts) AS t, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), w AS (SELECT key, event_id, i, t, t AS goes FROM r WHERE i = 1
+ UNION ALL SELECT r.key, r.event_id, r.i, r.t, greatest(r.t, w.goes + 21600000000) FROM w JOIN r ON r.key = w.key AND r.i = w.i + 1) SELECT event_id, goes - t AS waited_us FROM w""")
+def q_rate_spacing(spark, d):
+    return admission.spaced(read(spark, d, "events"), ["user_id"], F.col("ts"), 21600, "event_id").select("event_id", F.round(F.col("waited") * 1_000_000).cast("long").alias("waited_us"))
+
+
+_ASKED = """log AS (SELECT concat('{"categories":["', CASE WHEN user_id % 2 = 0 THEN 'ai","' ELSE '' END, 'meetup"],"city":"', CASE user_id % 3 WHEN 0 THEN 'Pune' WHEN 1 THEN 'Delhi' ELSE '' END, '","free_only":', event_type = 'view', ',"keywords":[', CASE WHEN 'k' || j < event_type THEN '"k' || j || '","' || event_type || '"' ELSE '"' || event_type || '","k' || j || '"' END, ']}') AS key,
+ epoch_us(ts) AS t, event_id FROM (SELECT *, json_extract_string(props, '$.k')::BIGINT % 5 AS j FROM events))"""
+
+
+@query(f"WITH RECURSIVE {_greedy(_ASKED, 21600)} SELECT event_id, key, NOT admitted AS hit, since // 1000000 AS stored_at, admitted AND i > 1 AS evicts FROM w")
+def q_query_cache(spark, d):
+    """Requests name the same query in different orders; a result is good for six hours."""
+    k = F.concat(F.lit("k"), (F.get_json_object("props", "$.k").cast("long") % 5).cast("string"))
+    ab = lambda x, y, c: F.when(c, F.array(x, y)).otherwise(F.array(y, x))
+    odd = F.col("event_id") % 2 == 1
+    categories = F.when(F.col("user_id") % 2 == 0, ab(F.lit("meetup"), F.lit("ai"), odd)).otherwise(F.array(F.lit("meetup")))
+    city = F.expr("case user_id % 3 when 0 then 'Pune' when 1 then 'Delhi' end")
+    asked = F.struct(ab(F.col("event_type"), k, odd).alias("keywords"), city.alias("city"), categories.alias("categories"), (F.col("event_type") == "view").alias("free_only"))
+    log = read(spark, d, "events").withColumn("q", asked).withColumn("key", P.cache_key(F.col("q")))
+    return admission.cached(log, ["key"], F.col("ts"), 21600, "event_id").select("event_id", "key", "hit", F.unix_seconds("stored_at").alias("stored_at"), "evicts")
 
 
 _TASKS = f"SELECT c_custkey AS id, c_custkey % 13 AS priority, c_custkey % 5 AS attempts, CASE WHEN c_custkey % 7 = 0 THEN timestamp '2030-01-01 00:00:00' END AS lease_until, CASE WHEN c_custkey % 11 = 0 THEN timestamp '2030-01-01 00:00:00' END AS cool_until"
@@ -360,13 +412,16 @@ def q_strategy_score(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", score.alias("score"), F.array_join(missing, "|").alias("missing"))
 
 
-@query("""WITH v AS (SELECT o_custkey AS seed, o_orderkey % 6 AS run, CASE WHEN o_orderkey % 3 = 0 THEN 'verified' ELSE 'insufficient' END AS decision, o_orderkey FROM orders WHERE o_custkey % 3 = 1), u AS (SELECT seed, run, min(decision) AS decision FROM v GROUP BY 1, 2),
-l AS (SELECT seed, arg_max(decision, run) AS decision, max(run) AS last, count(*) AS attempts FROM u GROUP BY 1)
-SELECT c_custkey AS seed, coalesce(attempts, 0) AS attempts FROM customer LEFT JOIN l ON seed = c_custkey WHERE decision IS NULL OR (decision = 'insufficient' AND attempts < 3 AND 8 >= last + pow(2, attempts))""")
+_VERDICTS = "SELECT o_custkey AS seed, o_orderkey AS run, CASE o_orderpriority WHEN '1-URGENT' THEN 'verified' WHEN '2-HIGH' THEN 'rejected' ELSE 'insufficient' END AS decision FROM"
+
+
+@query(f"""WITH v AS ({_VERDICTS} orders), l AS (SELECT seed, count(*) FILTER (WHERE decision = 'insufficient') AS attempts, max(run) FILTER (WHERE decision = 'insufficient') + 1000 AS next_run, arg_max(decision, run) AS last_decision FROM v GROUP BY 1)
+SELECT c_custkey AS seed, coalesce(attempts, 0) AS attempts, last_decision FROM customer LEFT JOIN l ON seed = c_custkey WHERE coalesce(attempts, 0) < 6 AND coalesce(next_run, 0) <= (SELECT max(o_orderkey) FROM orders)""")
 def q_retry_seeds(spark, d):
-    v = read(spark, d, "orders").filter("o_custkey % 3 = 1").selectExpr("o_custkey AS seed", "o_orderkey % 6 AS run", "CASE WHEN o_orderkey % 3 = 0 THEN 'verified' ELSE 'insufficient' END AS decision")
-    once = v.groupBy("seed", "run").agg(F.min("decision").alias("decision"))  # one verdict a run
-    return upkeep.retry_eligible(read(spark, d, "customer").select(F.col("c_custkey").alias("seed")), once, 8)
+    """Every order is a verdict on its customer, its key the run; pauses are of 1000 runs."""
+    o = read(spark, d, "orders")
+    run = o.agg(F.max("o_orderkey")).first()[0]
+    return upkeep.retry_eligible(read(spark, d, "customer").select(F.col("c_custkey").alias("seed")), spark.sql(_VERDICTS + " {o}", o=o), run, 6, 1000)
 
 
 @query(f"""{CATALOG_SQL}, j AS (SELECT provider, key, title <> '' AND start_date IS NOT NULL AS ok, ({_COMPLETE}) / 6.0::DOUBLE AS q FROM catalog), r AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY ok DESC, key) AS rn FROM j)

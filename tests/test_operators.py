@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom import schema
 from eventloom.functions import scoring, text, urls
-from eventloom.operators import analytics, crawl, dedup, extract, graph, merge, search, users
+from eventloom.operators import analytics, crawl, dedup, extract, graph, merge, scans, search, users
 from eventloom.operators.predicates import Query
 from eventloom.sources import connectors
 
@@ -196,4 +196,4 @@ def test_entry_survives_without_text_operators(tmp_path):
 
 def test_percentiles_round_half_even(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(6)], "g string, v double")
-    assert analytics.percentiles(df, "g", "v", [0.5]).first().p50 == 2.0
+    assert scans.percentiles(df, "g", "v", [0.5]).first().p50 == 2.0
