@@ -5,9 +5,9 @@ hash function gives them; of a set with at most K shingles, that is the whole se
 
 Inverted lists. If two sets link (100 * intersection >= PERCENT * union), the K smallest values of their union
 are a sample without replacement of it, of which a share of at least PERCENT / 100 is in both sets. By Hoeffding's bound, fewer
-than `shared(K, percent)` of them are so with a probability below 2^-RISK a pair. Two sketches with so many
-common values share one among the first K - shared + 1 of each, in an order by rarity, so
-only these values are entered into inverted lists. For sets with few shingles the count is exact.
+than `shared(K, percent)` of them are so with a probability below 2^-RISK a pair. Values that only one
+distinct set retains are left out, since no two share them; a sketch that has fewer values left meets nobody. Two sketches with so many common values share one among all but the last shared - 1 of
+each, in an order by rarity, so only these are entered into inverted lists. For sets with few shingles the count is exact.
 
 Union sketches. The candidates of the lists are estimated: of the K smallest values of both sketches
 together, so many are in both. Where that is less than the bound, the pair is dropped.
@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import U64, blocks, flat, mix
-from eventloom.llm.jaccard_join import SKETCH_BITS, classes_and_components, digests, linked, sets
+from eventloom.llm.jaccard_join import classes_and_components, digests, linked, sets
 
 #: Words of a shingle and least similarity in per cent, by default.
 SHINGLE, PERCENT = 2, 80
 #: Retained values of a sketch. A pair that links is missed with a probability below 2^-RISK.
-K, RISK = 64, 40
+K, RISK = 64, 24
 #: Makes the one hash function of sketches independent of the shingles' own hashes.
 _KEY = 0x5851F42D4C957F2D
 
@@ -55,8 +55,8 @@ def shared(k: int, percent: int) -> int:
 
 
 def _index(batches: Iterator[pa.RecordBatch], order, shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Set, sketch (outline) and listed values (tokens, rare ones first) of each text."""
-    freq, least = order.value, shared(K, percent)
+    """Set and sketch (tokens) of each text; entered: so many common values with any partner, at least."""
+    least = shared(K, percent)
     for b in batches:
         data, offs = flat(b.column(1))
         for i, j in blocks(offs):
@@ -64,17 +64,21 @@ def _index(batches: Iterator[pa.RecordBatch], order, shingle: int, percent: int)
             r = np.repeat(np.arange(j - i), size)
             value = mix(h ^ U64(_KEY))
             o = np.lexsort((value, r))
-            keep = o[np.arange(len(o)) - begin[r] < K]  # r[o] is r
-            row, value, seen = r[keep], value[keep], freq[(h[keep] >> U64(64 - SKETCH_BITS)).astype(np.int64)]
-            held = np.minimum(size, K)
-            at = np.concatenate([[0], np.cumsum(held)])
-            outline = [value[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+            value = value[o[np.arange(len(o)) - begin[r] < K]]  # r[o] is r
+            at = np.concatenate([[0], np.cumsum(np.minimum(size, K))])
             common = np.where(size * 100 <= percent * K, -(-percent * size // 100), least)  # partners of the smaller ones are whole in their sketches, too
-            listed = np.where(size > 0, held - common + 1, 0)
-            o = np.lexsort((value, seen, row))
-            tok = value[o][np.arange(len(o)) - at[row] < listed[row]].view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(listed)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(digests(h, g, begin), pa.string()), pa.array(size, pa.int64()), pa.array(listed, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tok, pa.int64())), pa.array(outline, pa.binary())], names=["doc_id", "mark", "class", "n", "entered", "tokens", "outline"])
+            tokens = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(value.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(digests(h, g, begin), pa.string()), pa.array(size, pa.int64()), pa.array(common, pa.int64()), tokens, pa.nulls(j - i, pa.binary())], names=["doc_id", "mark", "class", "n", "entered", "tokens", "outline"])
+
+
+def _listed(classes: DataFrame) -> DataFrame:
+    """cid, n, tokens, entered: the values that each class enters into lists, rare ones first."""
+    each = classes.select("cid", "n", "entered", F.explode("tokens").alias("tok"))
+    often = each.groupBy("tok").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    held = each.join(often, "tok").groupBy("cid", "n", "entered").agg(F.array_sort(F.collect_list(F.struct("often", "tok"))).alias("held"))
+    first = F.slice("held", F.lit(1), F.greatest(F.lit(0), F.size("held") - F.col("entered") + 1).cast("int"))
+    out = held.filter(F.size("held") >= F.col("entered")).select("cid", "n", F.transform(first, lambda x: x["tok"]).alias("tokens"))
+    return out.withColumn("entered", F.size("tokens").cast("long"))
 
 
 def estimate(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
@@ -89,18 +93,19 @@ def _estimated(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
     least = shared(K, percent)
     for b in batches:
         keep = []
-        for x, y, n, m in zip(*(b.column(c).to_pylist() for c in ("outline_u", "outline_v", "n_u", "n_v")), strict=True):
-            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+        (x, i), (y, j) = ((c.flatten().to_numpy().view(U64), np.asarray(c.offsets) - c.offsets[0].as_py()) for c in (b.column("outline_u"), b.column("outline_v")))
+        for k, (n, m) in enumerate(zip(b.column("n_u").to_pylist(), b.column("n_v").to_pylist(), strict=True)):
+            p, q = x[i[k] : i[k + 1]], y[j[k] : j[k + 1]]
             if max(n, m) <= K:  # both are whole
-                keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), n, m, percent))
+                keep.append(linked(len(np.intersect1d(p, q, assume_unique=True)), n, m, percent))
             else:
-                keep.append(estimate(x, y)[0] >= least)
+                keep.append(estimate(p, q)[0] >= least)
         yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    rows, comp = classes_and_components(docs, shingle, percent, _index, _estimated, positions=False)
+    rows, comp = classes_and_components(docs, shingle, percent, _index, _estimated, _listed)
     full = rows.filter("class is not null").select("doc_id", "n", "class").join(comp, "class").select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
     out = full.union(rows.filter("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -319,12 +319,12 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
-def classes_and_components(docs: DataFrame, shingle: int, percent: int, index: Callable = _index, possible: Callable = _reachable, positions: bool = True) -> tuple[DataFrame, DataFrame]:
+def classes_and_components(docs: DataFrame, shingle: int, percent: int, index: Callable = _index, possible: Callable = _reachable, listed: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n, class) and (class, comp: smallest doc_id reachable, for classes with a set), by
     shingles of so many words and links of so many per cent (below 100) or more.
 
-    index gives the first lists' tokens and an outline of each set, possible drops pairs by their outlines; positions: the
-    tokens are the first of the whole set, so that what is left behind a position bounds the overlap."""
+    index gives an outline of each set and its tokens for the first lists, possible drops pairs by their outlines. listed picks
+    of tokens itself, which are no beginnings of whole sets then: no position bounds an overlap, and they are the outlines."""
     spark = docs.sparkSession
     prepare(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -361,9 +361,9 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int, index: C
         return entered.select(*by).union(looked.select(*by)).repartition(n_parts, "g", "tok", "salt").sortWithinPartitions(*by).mapInArrow(partial(_pairs, percent=percent), "g long, u long, v long").distinct()
 
     none = F.lit(-1).cast("long")  # the group without a centre
-    plain = classes.select(none.alias("g"), "cid", "n", (F.col("n") if positions else F.lit(UNBOUNDED)).alias("d"), (F.col("n") * (more - less)).alias("need"), F.lit(True).alias("far"), "tokens", "entered")
+    plain = (listed(classes) if listed else classes).select(none.alias("g"), "cid", "n", (F.lit(UNBOUNDED) if listed else F.col("n")).alias("d"), (F.col("n") * (more - less)).alias("need"), F.lit(True).alias("far"), "tokens", "entered")
     lists = lists_of(plain)
-    small = classes.select("cid", "n", "outline")
+    small = classes.select("cid", "n", (F.col("tokens") if listed else F.col("outline")).alias("outline"))
     is_short = F.col("length") <= SHORT_LIST
     both = merged(lists.filter(is_short)).join(side(small, "v"), "v").join(side(small, "u"), "u").select("u", "v", "outline_u", "outline_v", "n_u", "n_v")
     near = stage(both.mapInArrow(partial(possible, percent=percent), "u long, v long"), "jaccard-near").select(none.alias("g"), "u", "v")
@@ -379,7 +379,10 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int, index: C
     def dealt(df: DataFrame) -> DataFrame:
         return df.withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALT)).cast("int"))
 
-    links = spark.createDataFrame([], "u long, v long")
+    def with_comp(df: DataFrame, key: str, name: str) -> DataFrame:
+        return df.join(comps.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+
+    links, comps = spark.createDataFrame([], "u long, v long"), None
     differing = whole.join(small.drop("outline"), "cid").select(none.alias("g"), "cid", "n", "set")
     for at in range(ROUNDS):
         if not long.limit(1).count():
@@ -389,20 +392,21 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int, index: C
         groups = members.select(F.col("g").alias("cid")).distinct()
         centres = salted(whole.withColumnRenamed("set", "centre").join(groups, "cid").withColumnRenamed("cid", "g"))
         apart = stage(dealt(members.join(whole, "cid")).join(centres, ["g", "salt"]).select("g", "cid", "set", "centre").mapInArrow(partial(_differences, percent=percent), _DIFFERENCE), "jaccard-differences")
-        lacking = apart.select("g", F.explode("gone").alias("tok")).groupBy("g", "tok").agg(F.count(F.lit(1)).alias("count")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("tok", "count"))).alias("lacking"))
+        links = links.union(stage(apart.filter("not far").select(F.col("g").alias("u"), F.col("cid").alias("v")), "jaccard-links"))
         sides = apart
+        # Where the links so far have joined all members of a centre, no pair is open.
+        comps = stage(components(links), "jaccard-comps")
+        one = with_comp(apart.select("g", "cid").union(groups.select(F.col("cid").alias("g"), "cid")), "cid", "comp").groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+        apart = apart.join(one.filter("x <> y").select("g"), "g", "left_semi")
+        lacking = apart.select("g", F.explode("gone").alias("tok")).groupBy("g", "tok").agg(F.count(F.lit(1)).alias("count")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("tok", "count"))).alias("lacking"))
         apart = stage(dealt(apart).join(salted(lacking), ["g", "salt"], "left").sortWithinPartitions("g").drop("salt").mapInArrow(partial(_prefixes, order=order, percent=percent), _PREFIX), "jaccard-prefixes")
         unstage(sides, members, lists)
-        links = links.union(apart.filter("not far").select(F.col("g").alias("u"), F.col("cid").alias("v")))
         differing = differing.union(apart.select("g", "cid", "n", "set"))
         lists = lists_of(apart)
         near = near.union(stage(merged(lists.filter(is_short)), "jaccard-near"))
         long = lists.filter(~is_short)
 
-    def with_comp(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.join(comps.select(F.col("node").alias(key), F.col("root").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
-
-    comps = stage(components(links), "jaccard-comps")
+    comps = stage(components(links), "jaccard-comps") if comps is None else comps
     if long is not None and long.limit(1).count():  # lists that no centre has broken up
         near = near.union(stage(merged(long), "jaccard-near"))
     # Pairs whose components still differ are compared.

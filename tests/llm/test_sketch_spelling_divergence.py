@@ -84,7 +84,7 @@ def brute_components(rows, size, percent):
 def test_near_duplicates(spark, corpus, monkeypatch, k, short, rounds):
     """Small sketches, and lists that all go by centres or are all paired, give the same."""
     monkeypatch.setattr(bottomk, "K", k)
-    monkeypatch.setattr(bottomk, "RISK", 40 if k == 64 else 12)
+    monkeypatch.setattr(bottomk, "RISK", 24 if k == 64 else 12)
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)
     monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard_join, "LOOKUPS", 5)
