@@ -10,26 +10,14 @@ from pyspark.sql.types import DoubleType
 from eventloom.functions.scoring import OPTIONAL, completeness, source_score
 from eventloom.functions.text import normalize_city, normalize_title
 from eventloom.functions.urls import dedup_url
+from eventloom.operators import matching
+from eventloom.operators.matching import indel
 from eventloom.session import ship
+from eventloom.staging import staged
 
 SAME, URL_SAME = 0.85, 0.95
 
 
-def indel(a: str, b: str) -> float:
-    """2 * LCS / (m + n), the longest common subsequence by bit-parallel rows."""
-    if not a and not b:
-        return 1.0
-    at: dict[str, int] = {}
-    for i, c in enumerate(a):
-        at[c] = at.get(c, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    s = full
-    for c in b:
-        u = s & at.get(c, 0)
-        s = (s + u | s - u) & full
-    return 2 * (len(a) - s.bit_count()) / (len(a) + len(b))
-
-
 def title_ratio(a: str, b: str) -> float:
     return max(indel(a, b), indel(" ".join(sorted(a.split())), " ".join(sorted(b.split()))))
 
@@ -62,44 +50,47 @@ def richness() -> list[Column]:
     return [completeness(*[F.col(c) for c in OPTIONAL]).desc(), source_score(F.col("provider")).desc(), F.length(F.coalesce("description", F.lit(""))).desc()]
 
 
-def cluster_exact(df: DataFrame, order: str) -> DataFrame:
-    """Greedy single-link clusters within a start date, in input order: exact, one date in a task at a time.
-
-    Adds `cluster` (the smallest order value of its members). For catalogs whose dates hold more
-    rows than a task should, use cluster_blocked."""
-    k = keyed(df).select(order, "start_date", "_title", "_url", "_city")
-
-    def greedy(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        groups: list[list] = []
-        out = []
-        for r in rows.itertuples(index=False):
-            title, url, city = r[2] or "", r[3] or "", r[4] or ""
-            for g in groups:
-                if any(not (city and c and city != c) and ((u == url and url) or (url and u and indel(u, url) >= URL_SAME) or min(1.0, title_ratio(t, title) + (0.1 * indel(u, url) if u and url else 0)) >= SAME) for _, t, u, c in g):
-                    break
-            else:
-                g = []
-                groups.append(g)
-            g.append((r[0], title, url, city))
-            out.append((r[0], g[0][0]))
-        return pd.DataFrame(out, columns=[order, "cluster"])
-
-    clusters = k.groupBy("start_date").applyInPandas(greedy, f"{order} {dict(df.dtypes)[order]}, cluster {dict(df.dtypes)[order]}")
-    return df.join(clusters, order)
-
-
-def pairs_blocked(df: DataFrame, order: str) -> DataFrame:
-    """Similar pairs through a shared long word, first two letters or url of one date: scales where all pairs of a date
-    would not, and misses pairs that share none of these."""
-    k = keyed(df)
-    token = F.explode(F.array_distinct(F.concat(F.filter(F.split("_title", " "), lambda w: F.length(w) > 3), F.array(F.substring("_title", 1, 2)), F.array("_url"))))
-    cut = k.withColumn("_token", token)
-    a, b = cut.alias("a"), cut.alias("b")
-    near = a.join(b, (F.col("a.start_date") == F.col("b.start_date")) & (F.col("a._token") == F.col("b._token")) & (F.col(f"a.{order}") < F.col(f"b.{order}")))
-    ids = near.select(F.col(f"a.{order}").alias("x"), F.col(f"b.{order}").alias("y")).distinct()
-    back = ids.join(k.alias("a"), F.col("x") == F.col(f"a.{order}")).join(k.alias("b"), F.col("y") == F.col(f"b.{order}"))
-    return back.withColumn("score", pair_score("a", "b")).filter(F.col("score") >= SAME).select("x", "y", "score")
+def by_word(title: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(title, " "), lambda w: w != "")), " ")
+
+
+def _like(classes: DataFrame) -> DataFrame:
+    """x, y: ids of the classes of one date that are the same event. classes: id, start_date, _title, _url, _city, maybe side.
+
+    Titles need SAME less a tenth of a url's similarity below URL_SAME, whole or with their words sorted; else the urls are
+    nearly equal. Both are searched for by filters that miss none."""
+    known = classes.withColumns({"_title": F.coalesce("_title", F.lit("")), "_url": F.coalesce("_url", F.lit(""))}).withColumn("_words", by_word(F.col("_title")))
+    titles = matching.by_tiles(known, "start_date", ["_title", "_words"], SAME - 0.1 * URL_SAME)
+    urls = matching.by_index(known.filter("_url <> ''"), "start_date", "_url", URL_SAME).select("x", "y")
+    ids = titles.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).union(urls).distinct()
+    back = ids.join(known.alias("a"), F.col("x") == F.col("a.id")).join(known.alias("b"), F.col("y") == F.col("b.id"))
+    return back.filter(pair_score("a", "b") >= SAME).select("x", "y")
+
+
+def clusters(df: DataFrame, order: str) -> DataFrame:
+    """Greedy single-link clusters within a start date, in order of a unique whole number: each record joins the
+    first cluster that has a member like it, or begins one. Adds `cluster`, the order of its first member (M07).
+
+    What a record joins is the smallest number that steps to earlier records like it lead to. Records that are equal in
+    title, url, city and date form a class; classes are paired, and a record steps to the last earlier one of its own and of each
+    class like it, which leads to all that earlier ones lead to."""
+    k = keyed(df).select(F.col(order).cast("long").alias("n"), "start_date", "_title", "_url", "_city")
+    equal = ["start_date", "_title", "_url", "_city"]
+    classes = staged(k.groupBy(*equal).agg(F.min("n").alias("id")), "dedup-classes")
+    same = F.lit(True)
+    for c in equal:
+        same = same & F.col(f"k.{c}").eqNullSafe(F.col(f"c.{c}"))
+    members = staged(k.alias("k").join(classes.alias("c"), same).select("k.n", F.col("c.id").alias("of")), "dedup-members")
+    like = staged(_like(classes), "dedup-like")
+    before = F.lag("n").over(Window.partitionBy("of").orderBy("n"))
+    own = members.withColumn("last", before).filter("last is not null").select(F.col("n").alias("id"), F.explode(F.array_distinct(F.array("last", "of"))).alias("to"))
+    sides = like.join(members, F.col("of") == F.col("x")).select("x", "y", "n", F.lit(0).alias("side")).union(like.join(members, F.col("of") == F.col("y")).select("x", "y", "n", F.lit(1).alias("side")))
+    seen = Window.partitionBy("x", "y").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda side: F.last(F.when(F.col("side") == side, F.col("n")), ignorenulls=True).over(seen)
+    across = sides.withColumn("to", F.when(F.col("side") == 0, last(1)).otherwise(last(0))).filter("to is not null").select(F.col("n").alias("id"), "to")
+    edges = staged(own.union(across).distinct(), "dedup-edges")
+    first = matching.first_reachable(edges)
+    return df.join(first, F.col(order).cast("long") == first["id"], "left").withColumn("cluster", F.coalesce("first", F.col(order).cast("long"))).drop("id", "first")
 
 
 def survivors(clustered: DataFrame, order: str) -> DataFrame:
@@ -107,23 +98,25 @@ def survivors(clustered: DataFrame, order: str) -> DataFrame:
     return clustered.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def _may_match(a: str, b: str) -> Column:
-    """False only for pairs that cannot reach SAME: an indel distance is at least the edit distance, which the JVM computes.
-
-    A title needs a similarity of SAME less a tenth for the url, whole or with its words sorted; a url needs URL_SAME."""
-    x, y = (lambda c: F.coalesce(F.col(f"{a}.{c}"), F.lit(""))), (lambda c: F.coalesce(F.col(f"{b}.{c}"), F.lit("")))
-    close = lambda p, q, s: F.levenshtein(p, q) <= (1 - s) * (F.length(p) + F.length(q))
-    by_word = lambda c: F.array_join(F.array_sort(F.filter(F.split(c, " "), lambda w: w != "")), " ")
-    t, u = x("_title"), y("_title")
-    return close(t, u, SAME - 0.1) | close(by_word(t), by_word(u), SAME - 0.1) | close(x("_url"), y("_url"), URL_SAME)
-
-
 def resolve(new: DataFrame, catalog: DataFrame, order: str) -> DataFrame:
-    """New records that no active catalog record of the same date (and known city) repeats."""
-    n, c = keyed(new).alias("n"), keyed(catalog.filter("status = 'active'")).alias("c")
-    near = n.join(c, (F.col("n.start_date") == F.col("c.start_date")) & (F.col("n.key") != F.col("c.key")) & (F.col("c.city").isNull() | F.col("n.city").isNull() | (F.lower("c.city") == F.lower("n.city"))))
-    dropped = near.filter(_may_match("n", "c")).filter(pair_score("n", "c") >= SAME).select(F.col(f"n.{order}").alias(order)).distinct()
-    return new.join(dropped, order, "left_anti")
+    """New records that no active catalog record of the same date (and known city) repeats (J05). Equal ones of a side are compared once."""
+    cols = ["start_date", "_title", "_url", "_city", "_place"]
+    named = lambda df, side: keyed(df).withColumn("_place", F.lower("city")).select("key", *cols, F.lit(side).alias("side"))
+    both = named(new, 1).union(named(catalog.filter("status = 'active'"), 0))
+    grouped = both.groupBy("side", *cols).agg(F.min("key").alias("least"), F.max("key").alias("most"))
+    classes = staged(grouped.withColumn("id", F.monotonically_increasing_id()), "resolve-classes")
+    like = _like(classes)
+    one, two = classes.alias("n"), classes.alias("c")
+    pairs = like.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y")))).alias("p")).select("p.*")
+    met = pairs.join(one.filter("n.side = 1"), F.col("x") == F.col("n.id")).join(two.filter("c.side = 0"), F.col("y") == F.col("c.id"))
+    near = met.filter(F.col("n._place").isNull() | F.col("c._place").isNull() | (F.col("n._place") == F.col("c._place")))
+    held = near.groupBy(*[F.col(f"n.{c}").alias(f"n{c}") for c in cols]).agg(F.min("c.least").alias("least"), F.max("c.most").alias("most"))
+    k = keyed(new).withColumn("_place", F.lower("city"))
+    same = F.lit(True)
+    for c in cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"n{c}"))
+    repeated = k.join(held, same & ((F.col("least") != F.col("key")) | (F.col("most") != F.col("key")))).select(F.col(order)).distinct()
+    return new.join(repeated, order, "left_anti")
 
 
 def keep_best_rank(results: DataFrame) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions.scoring import OPTIONAL, completeness
 from eventloom.functions.text import communities, normalize_city, normalize_name, organisations, series_name, venue
-from eventloom.operators.dedup import title_ratio
+from eventloom.operators import matching
 from eventloom.operators.predicates import end
-from eventloom.session import ship
+from eventloom.staging import staged
 
 TYPES = {"HOSTED_BY": "community", "ORGANIZED_BY": "organization", "PART_OF": "event_series", "HELD_AT": "venue", "IN_CITY": "city"}
 
@@ -114,29 +113,27 @@ def directory(vertices: DataFrame, per_type: int = 24) -> DataFrame:
     return v.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_type)
 
 
-def resolve_exact(raw: DataFrame, aliases: dict[str, dict[str, str]], threshold: float = 0.92) -> DataFrame:
-    """type, raw, id in input order `ord` (G02): curated name, longest curated name contained, seen name, most similar seen name, new.
-
-    Order-dependent, so one type is one task: for inputs of that size only; distinct names come in, not mentions."""
-    ship(raw.sparkSession)
-    names = raw.withColumn("norm", normalize_name(F.col("raw")))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        known = aliases.get(key[0], {})
-        seen: dict[str, str] = {}
-        out = []
-        for r in rows.sort_values("ord").itertuples(index=False):
-            n = r.norm
-            hit = known.get(n) or next((known[a] for a in sorted(known, key=lambda a: (-len(a), a)) if f" {a} " in f" {n} "), None) or seen.get(n)
-            if hit is None and n:
-                best = max(((title_ratio(" ".join(sorted(n.split())), " ".join(sorted(s.split()))), s) for s in seen), key=lambda x: x[0], default=(0.0, ""))
-                hit = seen[best[1]] if best[0] >= threshold else n.replace(" ", "-")
-            if n and hit:
-                seen.setdefault(n, hit)
-            out.append((r.type, r.raw, hit))
-        return pd.DataFrame(out, columns=["type", "raw", "id"])
-
-    return names.groupBy("type").applyInPandas(run, "type string, raw string, id string")
+def resolve_names(raw: DataFrame, aliases: dict[str, dict[str, str]], threshold: float = 0.92) -> DataFrame:
+    """type, raw, id, ord of names in input order `ord` (unique): curated name, longest curated name contained, seen name, most similar seen name, new.
+
+    A name that is not curated takes the id of the most similar name before it, the first on ties. Which one that is hangs on the names and
+    their order, not on ids: so similar names are found through an index, each picks its one, and ids follow these links."""
+    names = raw.withColumn("norm", normalize_name(F.col("raw"))).select("type", "raw", "ord", "norm")
+    first = names.filter("norm <> ''").groupBy("type", "norm").agg(F.min("ord").alias("first"))
+    padded = F.concat(F.lit(" "), F.col("norm"), F.lit(" "))
+    curated = F.coalesce(*[F.when((F.col("type") == kind) & hit, F.lit(to)) for kind, known in aliases.items() for a, to, hit in [
+        *[(a, to, F.col("norm") == a) for a, to in known.items()], *[(a, known[a], F.contains(padded, F.lit(f" {a} "))) for a in sorted(known, key=lambda a: (-len(a), a))]]], F.lit(None).cast("string"))
+    distinct = staged(first.withColumn("curated", curated).withColumn("words", F.array_join(F.array_sort(F.split("norm", " ")), " ")).withColumn("id", F.monotonically_increasing_id()), "resolve-names")
+    like = matching.by_index(distinct, "type", "words", threshold)
+    of = lambda k: distinct.select(F.col("id").alias(k), F.struct("first", "curated").alias(f"of_{k}"))
+    both = like.join(of("x"), "x").join(of("y"), "y")
+    later = F.col("of_x.first") > F.col("of_y.first")
+    links = both.select(F.when(later, F.col("x")).otherwise(F.col("y")).alias("id"), F.when(later, F.col("y")).otherwise(F.col("x")).alias("to"), F.when(later, F.col("of_x.curated")).otherwise(F.col("of_y.curated")).alias("curated"), F.least("of_x.first", "of_y.first").alias("at"), "score")
+    parents = links.filter("curated is null").groupBy("id").agg(F.max_by("to", F.struct("score", -F.col("at"))).alias("to"))
+    root = distinct.join(matching.roots(parents), "id", "left").select("type", "norm", F.coalesce("root", "id").alias("root"))
+    slug = distinct.select(F.col("id").alias("root"), F.coalesce("curated", F.replace(F.col("norm"), F.lit(" "), F.lit("-"))).alias("slug"))
+    named = root.join(slug, "root").select("type", "norm", "slug")
+    return names.join(named, ["type", "norm"], "left").select("type", "raw", F.col("slug").alias("id"), "ord")
 
 
 def health(dates: DataFrame, now: Column) -> DataFrame:

@@ -193,5 +193,5 @@ def q_dedup_clusters(spark, d):
     c = catalog(spark, d)
     twice = c.unionByName(c.withColumns({"doc_id": F.col("doc_id") + 1_000_000, "description": F.concat("description", F.lit(" more"))}))
     rows = twice.withColumns({"title": F.concat(F.sha1("title"), F.lit(" "), F.sha1(F.sha1("title"))), "url": F.concat(F.lit("https://e.example.com/"), F.sha1(F.col("doc_id").cast("string"))), "city": F.lit("Pune")})
-    kept = dedup.survivors(dedup.cluster_exact(rows, "doc_id"), "doc_id")
+    kept = dedup.survivors(dedup.clusters(rows, "doc_id"), "doc_id")
     return kept.select("doc_id", "cluster")

@@ -223,7 +223,7 @@ def q_set_operators(spark, d):
 
 @query()
 def q_dedup_fuzzy(spark, d):
-    c = dedup.cluster_exact(catalog(spark, d).withColumn("url", F.concat("url", F.lit("/"), "category")), "doc_id")
+    c = dedup.clusters(catalog(spark, d).withColumn("url", F.concat("url", F.lit("/"), "category")), "doc_id")
     return dedup.survivors(c, "doc_id").select("doc_id", "cluster")
 
 
@@ -638,12 +638,6 @@ def q_organizer_profiles(spark, d):
     return graph.profiles(c, e, _today())
 
 
-@query()
-def q_entity_resolution(spark, d):
-    n = read(spark, d, "supplier").select(F.lit("organization").alias("type"), F.concat("s_name", F.lit(" Ltd")).alias("raw"), F.col("s_suppkey").alias("ord"))
-    return graph.resolve_exact(n, {"organization": {"google": "google"}})
-
-
 # --- control plane, confidences -----------------------------------------------------------------------
 
 _STATES = "WITH states AS (SELECT c_custkey AS provider, c_nationkey % 5 > 0 AS enabled, CASE WHEN c_custkey % 7 > 0 THEN date '2026-07-01' + CAST(c_custkey % 30 AS INTEGER) END AS next_run FROM customer)"
@@ -854,4 +848,4 @@ def q_candidate_urls(spark, d):
 
 
 # Further queries register themselves here.
-from eventloom.plans import pages, upkeep  # noqa: E402, F401
+from eventloom.plans import organizers, pages, upkeep  # noqa: E402, F401
