@@ -59,7 +59,7 @@ SKETCH_BITS, SLICE = 20, 4096
 #: Groups of tasks whose counts are summed first.
 SUMS = 64
 #: Pairs that a task forms at a time.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 #: With more entries, the members of a list go by their differences to a centre.
 SHORT_LIST = 64
 #: Look-ups of one list that share a task: with more, the list's entries are copied to further tasks.
@@ -426,10 +426,11 @@ _PREFIX = "g long, cid long, n long, d long, need long, far boolean, tokens arra
 
 
 def centred(long: DataFrame) -> DataFrame:
-    """g, cid: the members of long lists with their new centre, which is left out. The centre of a
-    list is the member that has its first long list earliest: few of its tokens are rarer."""
-    early = long.groupBy("g", "cid").agg(F.min("pos").alias("early"))
-    chosen = long.join(early, ["g", "cid"]).groupBy("g", "tok").agg(F.min(F.struct("early", "cid")).alias("c"))
+    """g, cid: the members of long lists with their new centre, which is left out. The centre of a list is the member that is in most
+    of the long lists, so that the lists of one group of near copies agree on few centres; of several, the one
+    that has its first long list earliest: few of its tokens are rarer."""
+    at = long.groupBy("g", "cid").agg((-F.count(F.lit(1))).alias("lists"), F.min("pos").alias("early"))
+    chosen = long.join(at, ["g", "cid"]).groupBy("g", "tok").agg(F.min(F.struct("lists", "early", "cid")).alias("c"))
     met = long.join(chosen, ["g", "tok"]).select(F.col("c.cid").alias("g"), "cid")
     return met.filter("g <> cid").distinct()
 
