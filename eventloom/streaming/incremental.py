@@ -1,4 +1,4 @@
-"""The incremental parts under Structured Streaming."""
+"""The incremental parts under Structured Streaming (Z01-Z03, Z05, Z06); batches into a catalog are in `ledger`."""
 
 from __future__ import annotations
 
@@ -35,18 +35,6 @@ def run_available(df: DataFrame, checkpoint: str, write: Callable[[DataFrame, in
     df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
-def merge_batches(catalog_path: str, order: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch of an ingest: MERGE into a Parquet catalog of one folder per version (Z04). A batch that is replayed writes the same version."""
-    from eventloom.operators.merge import upsert
-
-    def write(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{catalog_path}/v{n}")
-        upsert(old, batch.select(*old.columns), F.col(order)).drop("action").write.mode("overwrite").parquet(f"{catalog_path}/v{n + 1}")
-
-    return write
-
-
 STATE = "runs long, successes long, streak long, found double, circuit string, next_run timestamp"
 THRESHOLD, BASE_S, MOST_S, COOLDOWN_S = 3, 60, 600, 900
 
@@ -84,3 +72,29 @@ def provider_stream(runs: DataFrame) -> DataFrame:
         yield pd.DataFrame([(key[0], *new)], columns=["provider", *[c.split()[0] for c in STATE.split(", ")]])
 
     return runs.groupBy("provider").applyInPandasWithState(step, f"provider string, {STATE}", STATE, "update", "NoTimeout")
+
+
+def admission_stream(requests: DataFrame, per: str, at: str, seconds: float, *keep: str) -> DataFrame:
+    """per, at, keep..., admitted: each request as `admission.admitted` judges it (Z06). The state of a key is its last admission.
+    Requests of a key come in order of time from batch to batch; inside a batch they are sorted by time and the columns kept."""
+    from eventloom.session import ship
+
+    ship(requests.sparkSession)
+    gap = seconds * 1_000_000
+    cols = [per, at, *keep]
+    kinds = dict(requests.dtypes)
+
+    def step(key, frames, state):
+        import pandas as pd
+
+        rows = pd.concat(list(frames), ignore_index=True).sort_values([at, *keep], kind="stable")
+        last = state.get[0] if state.exists else None
+        let = []
+        for t in rows[at].astype("datetime64[us]").astype("int64"):
+            let.append(last is None or t - last >= gap)
+            last = int(t) if let[-1] else last
+        state.update((last,))
+        yield rows.assign(admitted=let)[[*cols, "admitted"]]
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in cols)
+    return requests.select(*cols).groupBy(per).applyInPandasWithState(step, f"{schema}, admitted boolean", "last long", "append", "NoTimeout")

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from eventloom.operators import analytics
@@ -45,15 +46,78 @@ def test_crawl_once(spark, tmp_path):
     assert sorted(seen) == ["a", "b"]
 
 
-def test_merge_batches_replays(spark, tmp_path):
+def _catalog(spark, path, rows, n):
+    from eventloom.streaming.ledger import Catalog
+    from tests.test_operators import frame
+
+    return Catalog(spark, path, 4).apply(frame(spark, *rows), n, F.col("last_seen_at"))
+
+
+def _files(path):
+    return {str(p): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_batches_take_effect_once_and_keep_other_buckets(spark, tmp_path):
+    from eventloom.streaming.ledger import Catalog
+    from tests.test_operators import row
+
+    path = str(tmp_path / "cat")
+    assert _catalog(spark, path, [row(k) for k in "abcdefgh"], 0)
+    before = _files(tmp_path)
+    assert _catalog(spark, path, [row("a", content_hash="2"), row("z")], 1)
+    assert not _catalog(spark, path, [row("a", content_hash="3")], 1)  # a replay
+    cat = Catalog(spark, path, 4)
+    assert {r.key: r.version for r in cat.read().collect()} == {k: 2 if k == "a" else 1 for k in "abcdefghz"}
+    after = _files(tmp_path)
+    assert before.items() <= after.items()  # nothing was rewritten in place
+    hit = {r.bucket for r in cat.ledger().filter("batch = 1").collect()}
+    assert len(hit) <= 2 and {n for b, n in cat.current().items() if b not in hit} == {0}
+    assert cat.vacuum() == len([1 for b in hit if b in {r.bucket for r in cat.ledger().filter("batch = 0").collect()}])
+    assert {r.key: r.version for r in Catalog(spark, path, 4).read().collect()} == {k: 2 if k == "a" else 1 for k in "abcdefghz"}
+
+
+def test_stream_killed_between_write_and_commit_resumes(spark, tmp_path, monkeypatch):
+    from eventloom.streaming.ledger import Catalog
+    from tests.test_operators import frame, row
+
+    log, cat = tmp_path / "log", Catalog(spark, str(tmp_path / "cat"), 4)
+    batches = [[row("a"), row("b")], [row("a", content_hash="2"), row("c")], [row("b", content_hash="2"), row("a", content_hash="3")]]
+    for i, rows in enumerate(batches):
+        frame(spark, *rows).coalesce(1).write.mode("append").parquet(str(log))
+        src = incremental.stream(spark, str(log), frame(spark, *rows).schema)
+        if i == 1:
+            with monkeypatch.context() as m:
+                m.setattr(Catalog, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+                with pytest.raises(Exception, match="killed"):
+                    incremental.run_available(src, str(tmp_path / "cp"), cat.sink("last_seen_at"))
+            assert {r.key: r.version for r in cat.read().collect()} == {"a": 1, "b": 1}
+        incremental.run_available(src, str(tmp_path / "cp"), cat.sink("last_seen_at"))
+    assert {r.key: r.version for r in cat.read().collect()} == {"a": 3, "b": 2, "c": 1}
+
+
+def test_changes_of_each_batch(spark, tmp_path):
+    from eventloom.streaming.ledger import Catalog
     from tests.test_operators import frame, row
 
-    frame(spark, row("a")).write.parquet(str(tmp_path / "cat/v0"))
-    write = incremental.merge_batches(str(tmp_path / "cat"), "last_seen_at")
-    new = frame(spark, row("a", content_hash="2"), row("b"))
-    write(new, 0)
-    write(new, 0)
-    assert {(r.key, r.version) for r in spark.read.parquet(str(tmp_path / "cat/v1")).collect()} == {("a", 2), ("b", 1)}
+    cat, seen = Catalog(spark, str(tmp_path / "cat"), 4), {}
+    note = lambda df, n: seen.update({n: sorted((r.key, r.change) for r in df.collect())})
+    cat.apply(frame(spark, row("a"), row("b")), 0, F.col("last_seen_at"), note)
+    cat.apply(frame(spark, row("a", content_hash="2", location="Hall")), 1, F.col("last_seen_at"), note)
+    assert seen == {0: [("a", "NEW"), ("b", "NEW")], 1: [("a", "UPDATED"), ("a", "VENUE_CHANGED")]}
+
+
+def test_admission_stream_matches_batch(spark, tmp_path):
+    from eventloom.operators import admission
+
+    rows = [(k, i, T0 + dt.timedelta(seconds=s)) for k in "ab" for i, s in enumerate([0, 1, 2, 3, 4, 5, 5, 9, 10, 30])]
+    df = spark.createDataFrame(rows, "k string, id int, at timestamp")
+    for part in ("id < 4", "id between 4 and 6", "id > 6"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    seen: dict = {}
+    s = incremental.admission_stream(incremental.stream(spark, str(tmp_path / "log"), df.schema), "k", "at", 2, "id")
+    incremental.run_available(s, str(tmp_path / "cp"), lambda b, n: seen.update({(r.k, r.id): r.admitted for r in b.collect()}), mode="append")
+    batch = {(r.k, r.id): r.admitted for r in admission.admitted(df, ["k"], F.col("at"), 2, "id").collect()}
+    assert seen == batch and [batch["a", i] for i in range(6)] == [True, False, True, False, True, False]
 
 
 def test_hackathon_period(spark):
