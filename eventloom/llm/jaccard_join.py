@@ -188,7 +188,7 @@ def linked(overlap: int, a: int, b: int, percent: int) -> bool:
 
 def _pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of an entry and a look-up of one list that may be linked. Rows g, tok, salt, looks, n, late,
-    need, cid are sorted by all of them: lists, in them the entries before the look-ups, the entries in blocks
+    need, cid, comp are sorted by all of them: lists, in them the entries before the look-ups, the entries in blocks
     of one size, in a block those with most room first.
 
     need is (100+p) d - (100-p) n of the set, and the room -late is (100+p) (d - 2 pos) + (100-p) n: a pair
@@ -218,7 +218,7 @@ def _new_list(t: pa.Table) -> np.ndarray:
 
 
 def _paired(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
-    g, n, late, need, cid = (t.column(c).to_numpy() for c in ("g", "n", "late", "need", "cid"))
+    g, n, late, need, cid, comp = (t.column(c).to_numpy() for c in ("g", "n", "late", "need", "cid", "comp"))
     looks = t.column("looks").to_numpy() == 1
     new_list = _new_list(t)
     of = np.cumsum(new_list)
@@ -257,7 +257,7 @@ def _paired(t: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
             b = np.repeat(probe[i:j], own)
             a = entries[np.arange(len(b)) - np.repeat(edge[i:j] - edge[i], own) + np.repeat(first_entry[k[i:j]], own)]
             closer = (need[a] < need[b]) | ((need[a] == need[b]) & (cid[a] < cid[b]))
-            ok = closer & (need[a] <= -late[b])
+            ok = closer & (need[a] <= -late[b]) & (comp[a] != comp[b])
             x, y = cid[a[ok]], cid[b[ok]]
             yield pa.RecordBatch.from_arrays([pa.array(g[a[ok]]), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["g", "u", "v"])
             i = j
@@ -346,22 +346,22 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int, index: C
         """g, tok, n, pos, late, need, cid, far, close (it is entered), and how many of the list are entered and look it up, of
         lists in which some pair is open.
 
-        entries: g, cid, n, d, need, far, tokens, entered."""
-        each = entries.select("g", "cid", "n", "d", "need", "far", "entered", F.posexplode("tokens").alias("pos", "tok")).withColumn("close", F.col("pos") < F.col("entered"))
+        entries: g, cid, comp (pairs of one are joined already), n, d, need, far, tokens, entered."""
+        each = entries.select("g", "cid", "comp", "n", "d", "need", "far", "entered", F.posexplode("tokens").alias("pos", "tok")).withColumn("close", F.col("pos") < F.col("entered"))
         open_ = each.groupBy("g", "tok").agg(F.count(F.lit(1)).alias("all"), F.count_if("close").alias("length"), F.count_if("far").alias("lookups")).filter("all > 1 and length > 0 and lookups > 0").drop("all")
         late = -(more * (F.col("d") - 2 * F.col("pos")) + less * F.col("n"))
-        return stage(each.join(open_, ["g", "tok"]).select("g", "tok", "n", "pos", late.alias("late"), "need", "cid", "far", "close", "length", "lookups"), "jaccard-lists")
+        return stage(each.join(open_, ["g", "tok"]).select("g", "tok", "n", "pos", late.alias("late"), "need", "cid", "comp", "far", "close", "length", "lookups"), "jaccard-lists")
 
     def merged(lists: DataFrame) -> DataFrame:
         """Pairs of the lists' members."""
-        by = ("g", "tok", "salt", "looks", "n", "late", "need", "cid")
+        by = ("g", "tok", "salt", "looks", "n", "late", "need", "cid", "comp")
         short = lists.withColumn("salts", F.ceil(F.col("lookups") / LOOKUPS).cast("int"))
         entered = short.filter("close").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("looks", F.lit(0))
         looked = short.filter("far").withColumn("salt", F.pmod(F.xxhash64("cid"), "salts").cast("int")).withColumn("looks", F.lit(1))
         return entered.select(*by).union(looked.select(*by)).repartition(n_parts, "g", "tok", "salt").sortWithinPartitions(*by).mapInArrow(partial(_pairs, percent=percent), "g long, u long, v long").distinct()
 
     none = F.lit(-1).cast("long")  # the group without a centre
-    plain = (listed(classes) if listed else classes).select(none.alias("g"), "cid", "n", (F.lit(UNBOUNDED) if listed else F.col("n")).alias("d"), (F.col("n") * (more - less)).alias("need"), F.lit(True).alias("far"), "tokens", "entered")
+    plain = (listed(classes) if listed else classes).select(none.alias("g"), "cid", F.col("cid").alias("comp"), "n", (F.lit(UNBOUNDED) if listed else F.col("n")).alias("d"), (F.col("n") * (more - less)).alias("need"), F.lit(True).alias("far"), "tokens", "entered")
     lists = lists_of(plain)
     small = classes.select("cid", "n", (F.col("tokens") if listed else F.col("outline")).alias("outline"))
     is_short = F.col("length") <= SHORT_LIST
@@ -402,7 +402,7 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int, index: C
         apart = stage(dealt(apart).join(salted(lacking), ["g", "salt"], "left").sortWithinPartitions("g").drop("salt").mapInArrow(partial(_prefixes, order=order, percent=percent), _PREFIX), "jaccard-prefixes")
         unstage(sides, members, lists)
         differing = differing.union(apart.select("g", "cid", "n", "set"))
-        lists = lists_of(apart)
+        lists = lists_of(with_comp(apart, "cid", "comp"))
         near = near.union(stage(merged(lists.filter(is_short)), "jaccard-near"))
         long = lists.filter(~is_short)
 
