@@ -848,4 +848,4 @@ def q_candidate_urls(spark, d):
 
 
 # Further queries register themselves here.
-from eventloom.plans import organizers, pages, rendered, streams, upkeep  # noqa: E402, F401
+from eventloom.plans import crawls, organizers, pages, rendered, streams, upkeep  # noqa: E402, F401
