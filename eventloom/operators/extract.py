@@ -126,7 +126,7 @@ def textual(page: str) -> Iterator[tuple[str, float, dict]]:
         if "title" in roles and "start_date" in roles:
             for r in rows[1:]:
                 yield "table", 0.7, {f: v for f, v in zip(roles, r, strict=False) if f and v}
-    for block in re.findall(r"<(?:article|section|li|div)[^>]*class=[\"'][^\"']*(?:event|card|talk)[^\"']*[\"'][^>]*>(.{0,1200})", page, re.S | re.I)[:100]:
+    for block in re.findall(r"<(?:article|section|li|div)[^>]*class=[\"'][^\"']*(?:event|card|talk)[^\"']*[\"'][^>]*>(.{0,1200})", page, re.S | re.I):
         d, h = _DATE.search(plain(block)), re.search(r"<h\d[^>]*>(.*?)</h\d>", block, re.S | re.I)
         if d and h:
             yield "block", 0.5, {"title": plain(h[1]), "start_date": d[1]}

@@ -161,6 +161,7 @@ def _pages_html(text: str) -> str:
  CASE doc_id % 8 {' '.join(f"WHEN {k} THEN {v}" for k, v in _SURE.items())} END::DOUBLE AS confidence, CASE doc_id % 8 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _TIER.items())} END AS sources FROM documents""")
 def q_page_extract(spark, d):
     pages = read(spark, d, "documents").select(F.expr("concat('https://p.example.com/', doc_id)").alias("url"), F.expr(_pages_html("string")).alias("html"))
+    pages = pages.union(read(spark, d, "pages").select("url", "html"))  # which hold none, and must give none
     got = extract.merge_fields(extract.extract_fields(pages))
     return got.select("page", "cluster", "title", "start_date", "location", "url", "confidence", F.array_join("sources", "|").alias("sources"))
 

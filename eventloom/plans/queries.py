@@ -299,15 +299,6 @@ def q_taxonomy_counts(spark, d):
     return t.select(F.explode(both).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def q_enrichment(spark, d):
-    c = catalog(spark, d)
-    text = F.concat_ws(" ", "title", F.coalesce("description", F.lit("")))
-    e = c.select("key", "category", "city", T.labels(text, T.TOPICS).alias("topics"), T.labels(text, T.TECHNOLOGIES).alias("technologies"), T.difficulty(text, F.col("category")).alias("level"))
-    e = e.withColumn("audiences", T.audiences(F.col("topics"), F.col("category"), F.col("level")))
-    return e.select("key", "topics", "technologies", "level", T.skills(F.col("topics"), F.col("category")).alias("skills"), "audiences", T.careers(F.col("topics")).alias("careers"), T.summary(F.col("category"), F.col("city"), F.col("topics"), F.col("technologies"), F.col("audiences"), F.col("level")).alias("summary"))
-
-
 @query(f"{CATALOG_SQL} SELECT {_CITY_SQL} AS city, count(*) AS n FROM catalog GROUP BY 1")
 def q_city_norm(spark, d):
     return catalog(spark, d).groupBy(T.normalize_city(F.col("city")).alias("city")).agg(F.count(F.lit(1)).alias("n"))
@@ -318,17 +309,6 @@ def q_normalize_title(spark, d):
     return read(spark, d, "documents").select("doc_id", T.normalize_title(F.substring_index("text", ".", 1)).alias("title"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '([0-9]{4}-[0-9]{2}-[0-9]{2})')) AS n FROM documents WHERE regexp_matches(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}')")
-def q_iso_dates(spark, d):
-    p = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    return read(spark, d, "documents").filter(F.col("text").rlike(p)).select("doc_id", F.size(F.regexp_extract_all("text", F.lit(f"({p})"))).cast("long").alias("n"))
-
-
-@query()
-def q_find_dates(spark, d):
-    return read(spark, d, "pages").select("page_id", T.find_dates(F.col("html")).alias("dates"))
-
-
 # --- urls, pages ------------------------------------------------------------------------------
 
 _HOST = "lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:@]+)', 1))"
@@ -367,11 +347,6 @@ def q_fingerprint(spark, d):
     return read(spark, d, "pages").select("page_id", extract.fingerprint(F.col("html")).alias("fp"))
 
 
-@query()
-def q_page_extract(spark, d):
-    return extract.merge_fields(extract.extract_fields(read(spark, d, "pages")))
-
-
 @query("""WITH RECURSIVE e AS (SELECT n AS source, (n * 2) % 5000 AS target FROM (SELECT DISTINCT o_custkey AS n FROM orders) UNION SELECT n, (n * 3 + 1) % 5000 FROM (SELECT DISTINCT o_custkey AS n FROM orders)),
 r(url, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.target, r.depth + 1 FROM r JOIN e ON r.url = e.source WHERE r.depth < 4) SELECT url, min(depth) AS depth FROM r GROUP BY url""")
 def q_crawl_bfs(spark, d):
@@ -631,13 +606,6 @@ def q_directory(spark, d):
     return graph.directory(v).select("type", "id", "events")
 
 
-@query()
-def q_organizer_profiles(spark, d):
-    c = catalog(spark, d)
-    _, e = graph.build(c)
-    return graph.profiles(c, e, _today())
-
-
 # --- control plane, confidences -----------------------------------------------------------------------
 
 _STATES = "WITH states AS (SELECT c_custkey AS provider, c_nationkey % 5 > 0 AS enabled, CASE WHEN c_custkey % 7 > 0 THEN date '2026-07-01' + CAST(c_custkey % 30 AS INTEGER) END AS next_run FROM customer)"

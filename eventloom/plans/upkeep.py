@@ -138,9 +138,12 @@ def q_saved_union(spark, d):
     return both.groupBy("user_id").agg(F.count(F.lit(1)).alias("saved"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS words FROM (SELECT doc_id, string_split(text[1:200], ' ') AS w FROM documents WHERE text IS NOT NULL)")
+@query("""WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS x, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents WHERE text IS NOT NULL), f AS (SELECT doc_id, x, min(i) AS i FROM w GROUP BY 1, 2)
+SELECT doc_id, sha256(string_agg(x, ' ' ORDER BY i)) AS words, count(*) AS n FROM f GROUP BY 1""")
 def q_stable_distinct(spark, d):
-    return read(spark, d, "documents").filter("text is not null").select("doc_id", F.array_join(F.array_distinct(F.split(F.left("text", F.lit(200)), " ", -1)), " ").alias("words"))
+    """The distinct words of whole texts, in order of their first places."""
+    w = F.array_distinct(F.split("text", " ", -1))
+    return read(spark, d, "documents").filter("text is not null").select("doc_id", F.sha2(F.array_join(w, " ").cast("binary"), 256).alias("words"), F.size(w).cast("long").alias("n"))
 
 
 @query("SELECT word, ord FROM (SELECT concat('q', n_nationkey, ' ', n_name) AS word, n_nationkey AS ord FROM nation) WHERE ord NOT IN (3, 7) ORDER BY CASE WHEN contains(lower(word), 'an') OR contains(lower(word), 'q1') THEN 0 ELSE 1 END, ord LIMIT 10")
@@ -154,12 +157,12 @@ def q_freshness_flags(spark, d):
     return catalog(spark, d).select("key", *[c.alias(n) for n, c in P.freshness_flags(_now()).items()])
 
 
-@query(f"""{CATALOG_SQL}, old AS (SELECT * FROM catalog WHERE doc_id % 7 > 0), new AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE content_hash END AS content_hash) FROM catalog WHERE doc_id % 11 > 0)
+@query(f"""{CATALOG_SQL}, old AS (SELECT * FROM catalog WHERE doc_id % 7 > 0 OR doc_id % 11 = 0), new AS (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE content_hash END AS content_hash) FROM catalog WHERE doc_id % 11 > 0)
 SELECT CASE WHEN o.key IS NULL THEN 'added' WHEN n.key IS NULL THEN 'removed' WHEN o.content_hash <> n.content_hash THEN 'updated' ELSE 'unchanged' END AS change, count(*) AS n FROM old o FULL JOIN new n USING (key) GROUP BY 1""")
 def q_change_counts(spark, d):
-    # Two snapshots of the whole catalog (A06): some records are only in one of them.
+    # Two snapshots that together hold the whole catalog (A06): some records are only in one of them.
     c = catalog(spark, d)
-    old, new = c.filter("doc_id % 7 > 0").alias("o"), c.filter("doc_id % 11 > 0").withColumn("content_hash", F.when(F.col("doc_id") % 5 == 0, "changed").otherwise(F.col("content_hash"))).alias("n")
+    old, new = c.filter("doc_id % 7 > 0 or doc_id % 11 = 0").alias("o"), c.filter("doc_id % 11 > 0").withColumn("content_hash", F.when(F.col("doc_id") % 5 == 0, "changed").otherwise(F.col("content_hash"))).alias("n")
     change = F.when(F.col("o.key").isNull(), "added").when(F.col("n.key").isNull(), "removed").when(F.col("o.content_hash") != F.col("n.content_hash"), "updated").otherwise("unchanged")
     return old.join(new, F.col("o.key") == F.col("n.key"), "full").groupBy(change.alias("change")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -209,11 +212,16 @@ def q_window_globals(spark, d):
     return read(spark, d, "pages").select("page_id", F.array_join(P.window_globals(html), "|").alias("names"))
 
 
-@query("SELECT page_id, 'https://x.example.com/api/events' AS url, 1 AS rank FROM pages UNION ALL SELECT page_id, '/api/other', 2 FROM pages")
+_CODE = """regexp_replace(concat(coalesce(html, ''), '<script>fetch("/api/other"); fetch("https://x.example.com/api/events"); var u = "/v1/list"; open("GET", "/rpc")</script>'), '(?is)<script[^>]*application/(?:ld\\+)?json[^>]*>.*?</script>', ' ', 'g')"""
+_CALLS = [r"fetch\(\s*[`''\"]([^`''\"]+)[`''\"]", r"axios(?:\.(?:get|post|put|request))?\(\s*[`''\"]([^`''\"]+)[`''\"]", r"(?i)\.open\(\s*[`''\"](?:GET|POST)[`''\"]\s*,\s*[`''\"]([^`''\"]+)[`''\"]", r"(?i)[`''\"]([^`''\"]*/(?:graphql|gql)[^`''\"]*)[`''\"]", r"(?i)[`''\"](/(?:api|v\d+)/[^`''\"\s]*)[`''\"]"]
+
+
+@query(f"""WITH p AS (SELECT page_id, {_CODE} AS code FROM pages), u AS (SELECT DISTINCT page_id, unnest(flatten([{", ".join(f"regexp_extract_all(code, '{c}', 1)" for c in _CALLS)}])) AS url FROM p),
+r AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY contains(lower(url), 'event') DESC, encode(url)) AS rank FROM u) SELECT page_id, url, rank FROM r WHERE rank <= 25""")
 def q_endpoint_ranking(spark, d):
-    html = F.concat(F.coalesce("html", F.lit("")), F.lit("<script>fetch('/api/other'); fetch(\"https://x.example.com/api/events\"); fetch('/api/other')</script>"))
-    found = read(spark, d, "pages").select("page_id", F.posexplode(C.endpoints(html)).alias("at", "url"))
-    return found.filter(F.col("url").isin("/api/other", "https://x.example.com/api/events")).select("page_id", "url", F.row_number().over(upkeep.Window.partitionBy("page_id").orderBy("at")).alias("rank"))
+    """The endpoints that scripts of every page call, with some more put into each, event-like ones first."""
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit('<script>fetch("/api/other"); fetch("https://x.example.com/api/events"); var u = "/v1/list"; open("GET", "/rpc")</script>'))
+    return read(spark, d, "pages").select("page_id", F.posexplode(C.endpoints(html)).alias("at", "url")).select("page_id", "url", (F.col("at") + 1).alias("rank"))
 
 
 @query("SELECT doc_id, left(text, 200) AS snippet, least(1.0, n_chars / 1000.0::DOUBLE) AS c FROM documents WHERE text IS NOT NULL".replace("least(1.0, n_chars / 1000.0::DOUBLE)", "round_even(least(1.0::DOUBLE, n_chars / 1000.0::DOUBLE), 3)"))
