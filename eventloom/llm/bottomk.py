@@ -12,9 +12,10 @@ each, in an order by rarity, so only these are entered into inverted lists. For
 Union sketches. The candidates of the lists are estimated: of the K smallest values of both sketches
 together, so many are in both. Where that is less than the bound, the pair is dropped.
 
-Exact Jaccard. The rest is confirmed on the full sets. Lists with many entries, from large groups of near copies
-or texts of frequent shingles, are not paired: their members are compared with centres, on the full
-sets, and answered through their differences to them (see jaccard_join, whose join serves both).
+Exact Jaccard. The rest is confirmed on the full sets. The lists are merged as in jaccard_join. Of lists with many entries, from
+large groups of near copies or texts of frequent shingles, no pairs are formed: their members are compared with a
+centre, and where that does not join them all, the overlaps of all full sets are counted in tiles, by products of
+0/1 matrices of sets and tokens. A tile gives no more links than it has members.
 
 Defined results: null and wordless texts have n_shingles 0, link with nothing and are their own
 component; repeated rows are members of one class, and have one component; a null doc_id is a row of its own,
@@ -27,19 +28,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import U64, blocks, flat, mix
-from eventloom.llm.jaccard_join import classes_and_components, digests, linked, sets
+from eventloom.llm.common import U64, blocks, flat, mix, stage
+from eventloom.llm.components import components
+from eventloom.llm.jaccard_join import SALT, centred, classes_and_components, digests, linked, sets
 
 #: Words of a shingle and least similarity in per cent, by default.
 SHINGLE, PERCENT = 2, 80
 #: Retained values of a sketch. A pair that links is missed with a probability below 2^-RISK.
 K, RISK = 64, 24
+#: Tokens of the sets of a tile, about, and columns of a matrix.
+TILE_TOKENS, COLUMNS = 150_000, 2048
 #: Makes the one hash function of sketches independent of the shingles' own hashes.
 _KEY = 0x5851F42D4C957F2D
 
@@ -103,9 +108,71 @@ def _estimated(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _with_centre(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The members that link with their centre."""
+    for b in batches:
+        ok = [linked(len(np.intersect1d(np.frombuffer(x, U64), np.frombuffer(c, U64), assume_unique=True)), len(x) // 8, len(c) // 8, percent) for x, c in zip(b.column("set").to_pylist(), b.column("centre").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("g"), b.column("cid")], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _tile(t: pa.Table, percent: int) -> pa.Table:
+    """Links that join what is not joined yet among the members of two tiles, by the overlaps of all their sets."""
+    lo, hi, tile, cid, comp = (t.column(c).to_numpy() for c in ("lo", "hi", "tile", "cid", "comp"))
+    a, b = np.flatnonzero(tile == lo), np.flatnonzero(tile == hi)
+    sets_ = [np.frombuffer(x, U64) for x in t.column("set").to_pylist()]
+    size = np.array([len(x) for x in sets_])
+    row = np.repeat(np.arange(len(size)), size)
+    _, column, often = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+    shared_ = (often > 1)[column]  # what only one set has, no overlap has
+    row, column = row[shared_], np.unique(column[shared_], return_inverse=True)[1]
+    o = np.argsort(column, kind="stable")
+    row, column = row[o], column[o]
+    overlap = np.zeros((len(a), len(b)), np.float32)  # whole numbers below 2^24 are exact
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, [at, at + COLUMNS])
+        m = np.zeros((len(size), COLUMNS), np.float32)
+        m[row[i:j], column[i:j] - at] = 1
+        overlap += m[a] @ m[b].T
+    ok = (100 + percent) * overlap.astype(np.int64) >= percent * (size[a][:, None] + size[b][None, :])
+    ok &= comp[a][:, None] != comp[b][None, :]
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(ok), strict=True):
+        x, y = root(int(comp[a[i]])), root(int(comp[b[j]]))
+        if x != y:
+            parent[x] = y
+            out.append((int(cid[a[i]]), int(cid[b[j]])))
+    return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+
+def _crowds(long: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """u, v: links that join the members of each long list as all their links would. whole: cid, set, n."""
+    members = stage(centred(long), "bottomk-members")
+    groups = members.select("g").distinct()
+    salted = F.explode(F.array(*[F.lit(k) for k in range(SALT)])).alias("salt")
+    centres = whole.join(groups, F.col("cid") == F.col("g")).select("g", F.col("set").alias("centre"), salted)
+    near = members.join(whole, "cid").withColumn("salt", F.pmod(F.xxhash64("cid"), F.lit(SALT)).cast("int")).join(centres, ["g", "salt"])
+    links = stage(near.select("g", "cid", "set", "centre").mapInArrow(partial(_with_centre, percent=percent), "u long, v long"), "bottomk-links")
+    comps = stage(components(links), "bottomk-comps")
+    joined = members.join(comps.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("comp", F.coalesce("root", "cid")).drop("root")
+    sized = joined.join(whole.select("cid", "n"), "cid")
+    open_ = sized.groupBy("g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.sum("n") / TILE_TOKENS).cast("int").alias("tiles")).filter("x <> y").select("g", "tiles")
+    own = joined.join(open_, "g").withColumn("tile", F.pmod(F.xxhash64("cid"), "tiles").cast("int"))
+    each = own.select("g", "cid", "comp", "tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = each.select("g", "cid", "comp", "tile", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi")).join(whole.select("cid", "set"), "cid")
+    tiles = dealt.groupBy("g", "lo", "hi").applyInArrow(lambda t: _tile(t, percent), "u long, v long")
+    return links.union(stage(tiles, "bottomk-links"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
-    rows, comp = classes_and_components(docs, shingle, percent, _index, _estimated, _listed)
+    rows, comp = classes_and_components(docs, shingle, percent, _index, _estimated, _listed, _crowds)
     full = rows.filter("class is not null").select("doc_id", "n", "class").join(comp, "class").select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
     out = full.union(rows.filter("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

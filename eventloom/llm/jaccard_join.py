@@ -319,12 +319,13 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
 
-def classes_and_components(docs: DataFrame, shingle: int, percent: int, index: Callable = _index, possible: Callable = _reachable, listed: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+def classes_and_components(docs: DataFrame, shingle: int, percent: int, index: Callable = _index, possible: Callable = _reachable, listed: Callable | None = None, crowds: Callable | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n, class) and (class, comp: smallest doc_id reachable, for classes with a set), by
     shingles of so many words and links of so many per cent (below 100) or more.
 
     index gives an outline of each set and its tokens for the first lists, possible drops pairs by their outlines. listed picks
-    of tokens itself, which are no beginnings of whole sets then: no position bounds an overlap, and they are the outlines."""
+    of tokens itself, which are no beginnings of whole sets then: no position bounds an overlap, and they are the outlines. crowds
+    links the members of long lists in its own way, in place of the rounds of differences."""
     spark = docs.sparkSession
     prepare(spark)
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -384,8 +385,10 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int, index: C
 
     links, comps = spark.createDataFrame([], "u long, v long"), None
     differing = whole.join(small.drop("outline"), "cid").select(none.alias("g"), "cid", "n", "set")
+    if crowds and long.limit(1).count():
+        links, long = crowds(long, whole.join(small.select("cid", "n"), "cid"), percent), None
     for at in range(ROUNDS):
-        if not long.limit(1).count():
+        if long is None or not long.limit(1).count():
             long = None
             break
         members = stage(centred(long), f"jaccard-members-{at}")

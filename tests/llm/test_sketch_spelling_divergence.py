@@ -80,13 +80,14 @@ def brute_components(rows, size, percent):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("k", "short", "rounds"), [(64, 64, 3), (16, 64, 3), (64, 2, 3), (64, 2, 0), (64, 1, 1)])
-def test_near_duplicates(spark, corpus, monkeypatch, k, short, rounds):
-    """Small sketches, and lists that all go by centres or are all paired, give the same."""
+@pytest.mark.parametrize(("k", "short", "tokens", "columns"), [(64, 64, 150_000, 2048), (16, 64, 150_000, 2048), (64, 2, 150_000, 100), (64, 1, 900, 50)])
+def test_near_duplicates(spark, corpus, monkeypatch, k, short, tokens, columns):
+    """Small sketches, and lists that go by centres and tiles or are paired, give the same."""
     monkeypatch.setattr(bottomk, "K", k)
     monkeypatch.setattr(bottomk, "RISK", 24 if k == 64 else 12)
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)
-    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(bottomk, "TILE_TOKENS", tokens)
+    monkeypatch.setattr(bottomk, "COLUMNS", columns)
     monkeypatch.setattr(jaccard_join, "LOOKUPS", 5)
     assert rows_of(bottomk.near_duplicates(docs(spark, corpus))) == brute_components(corpus, 2, 80)
 
