@@ -234,6 +234,22 @@ def category(title: Column, default: Column) -> Column:
     return F.when(default == "meetup", F.coalesce(refined, default)).otherwise(default)
 
 
+# What a generic record's words make of it, the first that is found.
+REFINED = {
+    "ai": r"\bai\b|\ba\.i\.|artificial intelligence|machine learning|\bml\b|deep learning|generative ai|gen ?ai|\bgenai\b|\bllms?\b|large language models?|\bgpt\b|chatgpt|neural network|computer vision|\bnlp\b|data science|\bmlops\b|hugging ?face|diffusion model|transformers?",
+    "startup": r"\bstart[ -]?ups?\b|\bfounders?\b|\bentrepreneurs?\b|\bvc\b|venture capital|\bpitch(es)?\b|demo day|\bincubators?\b|\baccelerators?\b|angel investors?|seed funding|fundraising",
+    "hackathon": r"\bhack[ae]thons?\b|\bhack[ -]?day\b", "workshop": r"\bworkshops?\b|\bhands[ -]on\b|\bbootcamps?\b|\bmasterclass", "webinar": r"\bwebinars?\b",
+    "conference": r"\bconferences?\b|\bsummits?\b|\bdevfest\b|\bconventions?\b",
+}
+
+
+def refined_category(title: Column, description: Column, given: Column) -> Column:
+    """A meetup becomes what its title and description say; categories that a source has chosen stay."""
+    text = F.lower(F.concat_ws(" ", title, F.coalesce(description, F.lit(""))))
+    found = F.coalesce(*[F.when(text.rlike(p), F.lit(k)) for k, p in REFINED.items()], given)
+    return F.when(given == "meetup", found).otherwise(given)
+
+
 def words(text: Column) -> Column:
     """Lower-cased words of an index: letters and numerals of any alphabet."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
