@@ -12,7 +12,8 @@ contexts are one string, with separators, and its suffixes are sorted by inducti
 The priority queue has one first-in-first-out file for each byte: the key is the first byte
 of a suffix, ties are by arrival, and whole pieces of suffixes are taken and put at a time.
 What exceeds QUEUE_BYTES in memory goes to files in the worker's temporary folder, which are
-removed with the queue; so a shard may be far larger than the memory of its task.
+removed with the queue. Text, types and results of a group stay in memory, so the groups are
+bounded (SORT_BYTES), not the queues alone.
 
 Neighbours in suffix order are then compared to the window length, eight bytes at a time:
 a window recurs if and only if a neighbour shares it.
