@@ -65,14 +65,14 @@ def q_expand_edges(spark, d):
 
 # Searches: an order is a query of its customer, its lines the results; the part is the url, the supplier its domain.
 _RESULTS = """SELECT concat('q', CAST(o_custkey % 97 AS {text})) AS query, o_custkey % 97 AS ord, l_linenumber AS rank, concat('https://d', CAST(l_suppkey % 50 AS {text}), '.example.com/e', CAST(l_partkey AS {text})) AS url,
- o_custkey % 97 % 4 = 0 AS hit, o_custkey % 97 % 11 = 5 AS failed, l_discount * 5 AS worth, l_orderkey FROM {lines} JOIN {orders} ON o_orderkey = l_orderkey"""
+ o_custkey % 97 % 4 = 0 AS hit, o_custkey % 97 % 11 = 5 AS failed, l_discount * 5 AS worth, l_orderkey + l_discount AS line FROM {lines} JOIN {orders} ON o_orderkey = l_orderkey"""
 _INBOX = "SELECT concat('https://d', CAST({k} % 50 AS {text}), '.example.com/e', CAST({k} AS {text})) AS url, CAST(0.2 AS double) AS score, 1 AS runs FROM {parts} WHERE p_size < 10"
 _KNOWN = "SELECT concat('https://d', CAST({k} % 50 AS {text}), '.example.com/e', CAST({k} AS {text})) AS url FROM {parts} WHERE p_size > 45"
 
 
 @query(f"""WITH res AS ({_RESULTS.format(text='varchar', lines='lineitem', orders='orders')}), qs AS (SELECT query, min(ord) AS ord, max(hit) AS hit, max(failed) AS failed FROM res GROUP BY query),
 ran AS (SELECT *, CASE WHEN ord % 7 = 3 THEN 0 ELSE 1 END AS later FROM qs ORDER BY later, ord, query LIMIT 80), found AS (SELECT res.*, later FROM res JOIN ran USING (query) WHERE NOT ran.failed),
-best AS (SELECT url, min(rank) AS rank FROM found GROUP BY url), pick AS (SELECT url, arg_min(worth, (CASE WHEN rank > 0 THEN rank ELSE 1e9 END, later, ord, rank, l_orderkey)) AS worth FROM found GROUP BY url),
+best AS (SELECT url, min(rank) AS rank FROM found GROUP BY url), pick AS (SELECT url, arg_min(worth, (CASE WHEN rank > 0 THEN rank ELSE 1e9 END, later, ord, rank, line)) AS worth FROM found GROUP BY url),
 known AS ({_KNOWN.format(k='p_partkey', text='varchar', parts='part')}), box AS ({_INBOX.format(k='p_partkey', text='varchar', parts='part')}),
 j AS (SELECT pick.url, worth, known.url IS NOT NULL AS known, box.url IS NOT NULL AS old FROM pick LEFT JOIN known ON known.url = pick.url LEFT JOIN box ON box.url = pick.url)
 SELECT * FROM (SELECT count(*) AS queries_executed, count(*) FILTER (WHERE hit) AS cache_hits, count(*) FILTER (WHERE NOT hit AND NOT failed) AS cache_misses, count(*) FILTER (WHERE failed) AS provider_errors FROM ran),
@@ -84,7 +84,7 @@ def q_discovery_run(spark, d):
     history = spark.sql(_KNOWN.format(k="p_partkey", text="string", parts="{parts}"), parts=parts)
     inbox = spark.sql(_INBOX.format(k="p_partkey", text="string", parts="{parts}"), parts=parts)
     good = results.filter("ord % 7 = 3").select("query")
-    _, counted, _ = expansion.discovery_run(results, history, inbox, F.col("worth"), least=0.2, budget=80, productive=good, tie="l_orderkey")
+    _, counted, _ = expansion.discovery_run(results, history, inbox, F.col("worth"), least=0.2, budget=80, productive=good, tie="line")
     return spark.createDataFrame([tuple(counted.values())], ", ".join(f"{k} long" for k in counted))
 
 

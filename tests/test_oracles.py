@@ -23,7 +23,7 @@ def duck():
 
 
 def _plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return None
     return round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "as_tuple") else str(v).replace(" 00:00:00", "")
 
