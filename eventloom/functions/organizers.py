@@ -121,6 +121,7 @@ def page_profile(pages: DataFrame) -> DataFrame:
     )
 
 
+# Hosts of social platforms, in order.
 PLATFORMS = {"github": r"github\.com", "discord": r"discord\.(?:gg|com)", "telegram": r"//t\.me", "linkedin": r"linkedin\.com", "notion": r"notion\.(?:so|site)", "forum": r"forum|discourse|community\.", "blog": r"blog|medium\.com|dev\.to|hashnode"}
 
 

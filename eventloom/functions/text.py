@@ -197,6 +197,7 @@ def organisations(text: Column) -> Column:
     return F.array_distinct(F.transform(labels(text, {k: rf"\b{k}\b" for k in ORGANISATIONS}), lambda k: F.element_at(literal_map(ORGANISATIONS), k)))
 
 
+# Forms of dates.
 _MONTHS = "jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?"
 #: In order of precedence (not of place in the text): ISO, month day year, day month year, day/month/year, month year.
 DATE_PATTERNS = [

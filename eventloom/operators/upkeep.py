@@ -175,6 +175,7 @@ def rates(df: DataFrame, per: list[str], **parts: tuple[Column, Column]) -> Data
 
 def tuning(metrics: DataFrame) -> DataFrame:
     """What auto-tuning would do, per row of duplicate_rate, promotion_rate, efficiency, found (P25)."""
+    # The sentences and thresholds are fixed values.
     d, p, e = F.col("duplicate_rate"), F.col("promotion_rate"), F.col("efficiency")
     two = lambda c: F.format_string("%.2f", c)
     said = F.array_compact(F.array(
