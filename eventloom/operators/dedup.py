@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,9 +34,16 @@ def url_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if not x or not y else 1.0 if x == y else indel(x, y) for x, y in zip(a, b, strict=True)])
 
 
+def fold(c: Column) -> Column:
+    """Without case, also where a letter's other case is several letters (ß and SS), which lower alone leaves apart.
+
+    The optimizer takes lower(upper(c)) for lower(c), so that A to Z are translated between them."""
+    return F.lower(F.translate(F.upper(c), ascii_uppercase, ascii_lowercase))
+
+
 def keyed(df: DataFrame) -> DataFrame:
     ship(df.sparkSession)
-    return df.withColumns({"_title": normalize_title(F.col("title")), "_url": dedup_url(F.col("url")), "_city": F.lower(normalize_city(F.col("city")))})
+    return df.withColumns({"_title": normalize_title(fold(F.col("title"))), "_url": fold(dedup_url(F.col("url"))), "_city": fold(normalize_city(F.col("city")))})
 
 
 def pair_score(a: str, b: str) -> Column:
@@ -101,7 +110,7 @@ def survivors(clustered: DataFrame, order: str) -> DataFrame:
 def resolve(new: DataFrame, catalog: DataFrame, order: str) -> DataFrame:
     """New records that no active catalog record of the same date (and known city) repeats (J05). Equal ones of a side are compared once."""
     cols = ["start_date", "_title", "_url", "_city", "_place"]
-    named = lambda df, side: keyed(df).withColumn("_place", F.lower("city")).select("key", *cols, F.lit(side).alias("side"))
+    named = lambda df, side: keyed(df).withColumn("_place", fold(F.col("city"))).select("key", *cols, F.lit(side).alias("side"))
     both = named(new, 1).union(named(catalog.filter("status = 'active'"), 0))
     grouped = both.groupBy("side", *cols).agg(F.min("key").alias("least"), F.max("key").alias("most"))
     classes = staged(grouped.withColumn("id", F.monotonically_increasing_id()), "resolve-classes")
@@ -111,7 +120,7 @@ def resolve(new: DataFrame, catalog: DataFrame, order: str) -> DataFrame:
     met = pairs.join(one.filter("n.side = 1"), F.col("x") == F.col("n.id")).join(two.filter("c.side = 0"), F.col("y") == F.col("c.id"))
     near = met.filter(F.col("n._place").isNull() | F.col("c._place").isNull() | (F.col("n._place") == F.col("c._place")))
     held = near.groupBy(*[F.col(f"n.{c}").alias(f"n{c}") for c in cols]).agg(F.min("c.least").alias("least"), F.max("c.most").alias("most"))
-    k = keyed(new).withColumn("_place", F.lower("city"))
+    k = keyed(new).withColumn("_place", fold(F.col("city")))
     same = F.lit(True)
     for c in cols:
         same = same & F.col(c).eqNullSafe(F.col(f"n{c}"))
