@@ -92,5 +92,8 @@ def q_discovery_run(spark, d):
  UNION SELECT page_id, 'calendar', '/c.ics' FROM m UNION SELECT page_id, 'telegram', 't.me' FROM m WHERE page_id % 3 = 0) GROUP BY kind""")
 def q_page_mentions(spark, d):
     """What pages name besides their links, with a code host's organisation, a calendar and a chat put into them."""
-    p = read(spark, d, "pages").select(F.concat("url", F.lit("&page="), F.col("page_id").cast("string")).alias("url"), F.concat(F.coalesce("html", F.lit("")), F.expr("concat('<a href=\"https://github.com/org-', page_id % 40, '/repo\">code</a><a href=\"/c.ics\">dates</a>')"), F.when(F.col("page_id") % 3 == 0, ' <a href="https://t.me/group">chat</a>').otherwise("")).alias("html"))
+    # Urls repeat and may have fragments, which name no page: each page is its url up to there, and its number.
+    bare = F.substring_index("url", "#", 1)
+    url = F.concat(bare, F.when(F.contains(bare, F.lit("?")), "&").otherwise("?"), F.lit("page_id="), F.col("page_id").cast("string"))
+    p = read(spark, d, "pages").select(url.alias("url"), F.concat(F.coalesce("html", F.lit("")), F.expr("concat('<a href=\"https://github.com/org-', page_id % 40, '/repo\">code</a><a href=\"/c.ics\">dates</a>')"), F.when(F.col("page_id") % 3 == 0, ' <a href="https://t.me/group">chat</a>').otherwise("")).alias("html"))
     return expansion.mentions(p).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

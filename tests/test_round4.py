@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from eventloom.operators import dedup
+from eventloom.plans import queries as plans
 from tests.test_operators import frame, row
 
 
@@ -12,3 +13,11 @@ def test_titles_are_compared_without_case(spark):
     new = frame(spark, row("n1", "CHSSKEIT !"), row("n2", "STRASSE"), row("n3", "Chkeit und mehr")).withColumn("url", F.concat(F.lit("https://other.example.net/"), F.sha1("key")))
     got = {r.key for r in dedup.resolve(new.withColumn("ord", F.monotonically_increasing_id()), old, "ord").collect()}
     assert got == {"n3"}
+
+
+def test_mentions_of_pages_with_one_url(spark, tmp_path):
+    """Pages that share a url, with a fragment, with a parameter or bare, are counted each."""
+    urls = ["https://a.example.com/p#top", "https://a.example.com/p#top", "https://a.example.com/p?page=1", "https://a.example.com/p?page=5", "https://a.example.com:8080", "https://a.example.com:8080"]
+    spark.createDataFrame([(40 * i, u, "<p>x</p>") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.kind: r.n for r in plans.QUERIES["q_page_mentions"](spark, str(tmp_path)).collect()}
+    assert got == {"github": 6, "calendar": 6, "telegram": 2}
