@@ -63,17 +63,32 @@ def by_word(title: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(title, " "), lambda w: w != "")), " ")
 
 
+def _pairs(known: DataFrame, value: str, forms: list[str], least: float) -> DataFrame:
+    """x, y, score: classes of one date and of sides that may meet, whose values are equal or similar. Equal values are compared once."""
+    values = known.groupBy("start_date", value).agg(F.min("id").alias("of"), F.bit_or("sides").alias("sides"), F.count(F.lit(1)).alias("n"), *[F.first(f).alias(f) for f in forms if f != value])
+    values = staged(values.withColumnRenamed("of", "id"), "dedup-values")
+    alike = matching.scored_tiles(values, "start_date", forms, least).union(values.filter("n > 1").select(F.col("id").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("score")))
+    at = known.alias("k").join(values.alias("v"), F.col("k.start_date").eqNullSafe(F.col("v.start_date")) & (F.col(f"k.{value}") == F.col(f"v.{value}"))).select("k.id", "k.sides", "k._city", "k._url", F.col("v.id").alias("of"))
+    at = staged(at, "dedup-of-values")
+    one, two = at.alias("a"), at.alias("b")
+    both = staged(alike, "dedup-alike").join(one, F.col("x") == F.col("a.of")).join(two, F.col("y") == F.col("b.of"))
+    meet = ((F.col("x") != F.col("y")) | (F.col("a.id") < F.col("b.id"))) & (F.col("a.sides").bitwiseOR(F.col("b.sides")) == 3)
+    near = F.coalesce((F.col("a._city") == "") | (F.col("b._city") == "") | (F.col("a._city") == F.col("b._city")), F.lit(True))
+    return both.filter(meet & near).select(F.least("a.id", "b.id").alias("x"), F.greatest("a.id", "b.id").alias("y"), "score", F.col("a._url").alias("one"), F.col("b._url").alias("two"))
+
+
 def _like(classes: DataFrame) -> DataFrame:
     """x, y: ids of the classes of one date that are the same event. classes: id, start_date, _title, _url, _city, maybe side.
 
     Titles need SAME less a tenth of a url's similarity below URL_SAME, whole or with their words sorted; else the urls are
     nearly equal. Both are searched for by filters that miss none."""
-    known = classes.withColumns({"_title": F.coalesce("_title", F.lit("")), "_url": F.coalesce("_url", F.lit(""))}).withColumn("_words", by_word(F.col("_title")))
-    titles = matching.by_tiles(known, "start_date", ["_title", "_words"], SAME - 0.1 * URL_SAME)
-    urls = matching.by_index(known.filter("_url <> ''"), "start_date", "_url", URL_SAME).select("x", "y")
-    ids = titles.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).union(urls).distinct()
-    back = ids.join(known.alias("a"), F.col("x") == F.col("a.id")).join(known.alias("b"), F.col("y") == F.col("b.id"))
-    return back.filter(pair_score("a", "b") >= SAME).select("x", "y")
+    sides = F.col("side") + 1 if "side" in classes.columns else F.lit(3)
+    known = classes.withColumns({"_title": F.coalesce("_title", F.lit("")), "_url": F.coalesce("_url", F.lit("")), "sides": sides}).withColumn("_words", by_word(F.col("_title")))
+    titles = _pairs(known, "_title", ["_title", "_words"], SAME - 0.1 * URL_SAME)
+    urls = _pairs(known.filter("_url <> ''"), "_url", ["_url"], URL_SAME).select("x", "y")
+    sure = titles.filter(F.col("score") >= SAME).select("x", "y")
+    with_url = titles.filter(F.col("score") < SAME).filter(F.col("score") + 0.1 * url_similarity("one", "two") >= SAME).select("x", "y")
+    return sure.union(with_url).union(urls).distinct()
 
 
 def clusters(df: DataFrame, order: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """What the fourth review found."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from eventloom.operators import dedup
+from eventloom.operators import dedup, matching
 from eventloom.plans import queries as plans
 from tests.test_operators import frame, row
 
@@ -21,3 +24,27 @@ def test_mentions_of_pages_with_one_url(spark, tmp_path):
     spark.createDataFrame([(40 * i, u, "<p>x</p>") for i, u in enumerate(urls)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.kind: r.n for r in plans.QUERIES["q_page_mentions"](spark, str(tmp_path)).collect()}
     assert got == {"github": 6, "calendar": 6, "telegram": 2}
+
+
+def test_common_subsequences_of_many_pairs():
+    """Short, long and empty strings, and letters beyond ASCII, as one by one."""
+    rng = random.Random(4)
+    s = ["", "", "a", "ß𝄞é", *["".join(rng.choice("abcd é𝄞") for _ in range(n)) for n in (1, 5, 63, 64, 65, 128, 129, 256, 257, 300, 600, 2100) for _ in range(5)]]
+    a, b = matching._Strings(s), matching._Strings(s[::-1])
+    i, j = (x.ravel() for x in np.meshgrid(range(len(s)), range(len(s)), indexing="ij"))
+    want = np.array([matching.lcs(a.s[x], b.s[y]) for x, y in zip(i, j, strict=True)])
+    assert (matching.lcs_many(a, b, i, j, np.zeros(len(i), np.int64)) == want).all()
+    need = np.minimum(want + np.array([rng.randint(-2, 2) for _ in want]), 10**6)
+    assert (matching.lcs_many(a, b, i, j, need) == np.where(want >= need, want, -1)).all()
+
+
+def test_equal_titles_are_compared_once(spark, monkeypatch):
+    """Records that share a title are one string of the tiles, and titles of nothing in common give no pairs."""
+    written = {}
+    monkeypatch.setattr(dedup, "staged", lambda df, name, put=dedup.staged: written.setdefault((name, "_words" in df.columns), put(df, name)))
+    h = lambda c: F.sha1(F.concat(F.lit(c), F.col("ord").cast("string")))
+    rows = spark.range(400).select(F.col("id").alias("ord"), F.lit("Pune").alias("city"), F.lit("2026-09-01").cast("date").alias("start_date")).withColumns({"title": F.concat(h("t"), F.lit(" "), h("u")), "url": F.concat(F.lit("https://e.example.com/"), h("v"))})
+    twice = rows.unionByName(rows.withColumns({"ord": F.col("ord") + 400, "url": F.concat(F.lit("https://e.example.com/"), h("w"))}))
+    got = {r.ord: r.cluster for r in dedup.clusters(twice, "ord").collect()}
+    assert got == {k: k % 400 for k in range(800)}
+    assert written["dedup-values", True].count() == 400 and written["dedup-like", False].count() == 400
