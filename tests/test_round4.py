@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import dedup, matching
+from eventloom.operators import dedup, matching, similar
 from eventloom.plans import queries as plans
+from tests.test_matching import SCHEMA, profile, score
 from tests.test_operators import frame, row
 
 
@@ -48,3 +50,19 @@ def test_equal_titles_are_compared_once(spark, monkeypatch):
     got = {r.ord: r.cluster for r in dedup.clusters(twice, "ord").collect()}
     assert got == {k: k % 400 for k in range(800)}
     assert written["dedup-values", True].count() == 400 and written["dedup-like", False].count() == 400
+
+
+@pytest.mark.parametrize(("cost", "tile"), [(0, 1024), (50, 1024), (50, 16)])
+def test_organisers_with_many_common_values(spark, monkeypatch, cost, tile):
+    """Whether by combinations (cost 0) or by tiles: the same pairs with the same scores, as by comparing all."""
+    monkeypatch.setattr(similar, "PAIRS_A_COMBINATION", cost)
+    monkeypatch.setattr(similar, "TILE", tile)
+    rng = random.Random(6)
+    some = lambda xs: rng.choice([None, [], *[rng.sample(xs, k) for k in range(1, len(xs) + 1)]])
+    rows = [profile(i, key=rng.choice(["same", "", None, f"k{i}"]), chapter=rng.choice(["gdg", "acm", "", None]), university=rng.choice(["IIT", "muj"]), city=rng.choice(["Pune", "Goa"]), venue=rng.choice(["h1", "H1", "h2"]), series=some(["a", "b", "c", "d", "e"]), technologies=some(["y1", "y2", "y3", "y4", "y5", "y6", "y7"]), sponsors=some(["o", "f", "p"])) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    member = {r.id: r["class"] for r in similar.classes(df)[1].collect()}
+    kept = [r for r in rows if member[r[0]] == r[0]]
+    got = {(r.a, r.b): (r.total, r.shared_series) for r in similar.similar(df, 0.5).collect()}
+    want = {(a[0], b[0]): (score(a, b), bool(set(a[6] or []) & set(b[6] or []))) for a in kept for b in kept if a[0] < b[0] and score(a, b) >= 0.5}
+    assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 2e-4 and got[k][1] == want[k][1] for k in want)
