@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.operators import dedup, matching, similar
+from eventloom.operators import dedup, matching, search, similar
 from eventloom.plans import queries as plans
 from tests.test_matching import SCHEMA, profile, score
 from tests.test_operators import frame, row
@@ -84,3 +84,13 @@ def test_long_lists_are_dealt_out_by_chunks(spark, monkeypatch):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(s)], "id long, s string").withColumn("block", F.lit(None).cast("string"))
     got = sorted((r.x, r.y) for r in matching.by_index(df, "block", "s", 0.92).collect())
     assert got == [(i, j) for i in range(len(s)) for j in range(i + 1, len(s)) if matching.indel(s[i], s[j]) >= 0.92]
+
+
+def test_terms_are_counted_in_one_shuffle(spark, tmp_path):
+    """Postings are written with their counts, repeated keys summed, and leave no copy of themselves in the shared folder."""
+    docs = spark.createDataFrame([(1, "b a b, B c"), (2, ""), (3, None), (4, "a"), (4, "a d")], "key long, text string")
+    ix = search.Index(spark, f"{tmp_path}/terms")
+    ix.upsert(docs, "key", F.col("text"))
+    got = {(r.key, r.term): r.tf for r in ix._postings().collect()}
+    assert got == {(1, "a"): 1, (1, "b"): 3, (1, "c"): 1, (4, "a"): 2, (4, "d"): 1}
+    assert search._terms(docs, "key", F.col("text"))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
