@@ -348,10 +348,13 @@ def classes_and_components(docs: DataFrame, shingle: int, percent: int, index: C
         lists in which some pair is open.
 
         entries: g, cid, comp (pairs of one are joined already), n, d, need, far, tokens, entered."""
-        each = entries.select("g", "cid", "comp", "n", "d", "need", "far", "entered", F.posexplode("tokens").alias("pos", "tok")).withColumn("close", F.col("pos") < F.col("entered"))
-        open_ = each.groupBy("g", "tok").agg(F.count(F.lit(1)).alias("all"), F.count_if("close").alias("length"), F.count_if("far").alias("lookups")).filter("all > 1 and length > 0 and lookups > 0").drop("all")
+        each = entries.select("g", "cid", "far", "entered", F.posexplode("tokens").alias("pos", "tok")).select("g", "tok", "cid", "pos", "far", (F.col("pos") < F.col("entered")).alias("close"))
+        counted = each.groupBy("g", "tok").agg(F.count(F.lit(1)).alias("all"), F.count_if("close").alias("length"), F.count_if("far").alias("lookups"))
+        # Most tokens are in no open list: the counts' shuffle goes before the tokens' comes, and these carry no more than they need.
+        open_ = stage(counted.filter("all > 1 and length > 0 and lookups > 0").drop("all"), "jaccard-open")
         late = -(more * (F.col("d") - 2 * F.col("pos")) + less * F.col("n"))
-        return stage(each.join(open_, ["g", "tok"]).select("g", "tok", "n", "pos", late.alias("late"), "need", "cid", "comp", "far", "close", "length", "lookups"), "jaccard-lists")
+        kept = each.join(open_, ["g", "tok"]).join(entries.select("g", "cid", "comp", "n", "d", "need"), ["g", "cid"])
+        return stage(kept.select("g", "tok", "n", "pos", late.alias("late"), "need", "cid", "comp", "far", "close", "length", "lookups"), "jaccard-lists")
 
     def merged(lists: DataFrame) -> DataFrame:
         """Pairs of the lists' members."""

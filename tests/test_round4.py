@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from eventloom.llm import jaccard_join
 from eventloom.operators import dedup, matching, search, similar
 from eventloom.plans import queries as plans
 from tests.test_matching import SCHEMA, profile, score
@@ -94,3 +95,21 @@ def test_terms_are_counted_in_one_shuffle(spark, tmp_path):
     got = {(r.key, r.term): r.tf for r in ix._postings().collect()}
     assert got == {(1, "a"): 1, (1, "b"): 3, (1, "c"): 1, (4, "a"): 2, (4, "d"): 1}
     assert search._terms(docs, "key", F.col("text"))._jdf.queryExecution().executedPlan().toString().count("Exchange") == 0
+
+
+def test_tokens_of_no_open_list_are_not_joined_wide(spark, monkeypatch):
+    """The near stage writes its open lists before it shuffles tokens for them; components are as by comparing all."""
+    written = []
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, name, put=jaccard_join.stage: written.append(name) or put(df, name))
+    rng = random.Random(9)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(60)] for _ in range(15)]
+    texts = [" ".join(w if rng.random() > 0.01 else "x" for w in b) for b in base for _ in range(3)]
+    grams = [{tuple(t.split()[k : k + 3]) for k in range(len(t.split()) - 2)} for t in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 100 * len(grams[i] & grams[j]) >= 90 * len(grams[i] | grams[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root)) and written.index("jaccard-open") < written.index("jaccard-lists")
